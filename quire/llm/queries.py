@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quire.llm import decontaminate, language, packing, tokencount
 from quire.llm.neardup import near_duplicates
 
 
@@ -13,9 +16,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_items, item_ids (comma-joined, in order), containment (the largest), contaminated."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    ids = F.array_sort(F.transform("hits", lambda x: x["item_id"]))
+    return found.select(
+        "doc_id", F.size("hits").cast("long").alias("n_items"), F.array_join(ids.cast("array<string>"), ",").alias("item_ids"),
+        F.array_max(F.transform("hits", lambda x: x["containment"])).alias("containment"), (F.size("hits") > 0).alias("contaminated"),
+    )
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def held_out(id_col: str = "doc_id"):
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(~held_out()), public_tokenizers.path("piece_bpe_32k.model"))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_near_duplicates": op9_near_duplicates}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_decontamination, op3_packing, op8_language_id, op9_near_duplicates, op10_token_counts)
+}
 ORACLE_SQL: dict[str, str] = {}
