@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontaminate, language, packing, pii, quality, tokencount
+from quire.llm import chat, decontaminate, htmltext, language, packing, pii, quality, tokencount
 from quire.llm.neardup import near_duplicates
 
 
@@ -59,6 +59,12 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(told["base_spans"], 256).alias("base_sha256"), told["spans"].alias("spans"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = htmltext.extract(pages, htmltext.train(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
@@ -79,6 +85,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_chat_format, op3_packing, op5_quality_rules, op6_personal_data, op8_language_id, op9_near_duplicates, op10_token_counts)
+    f.__name__: f for f in (op1_decontamination, op2_chat_format, op3_packing, op5_quality_rules, op6_personal_data, op7_html_text, op8_language_id, op9_near_duplicates, op10_token_counts)
 }
 ORACLE_SQL: dict[str, str] = {}
