@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontaminate, htmltext, language, packing, pii, quality, tokencount
+from quire.llm import chat, decontaminate, htmltext, language, licenses, packing, pii, quality, tokencount
 from quire.llm.neardup import near_duplicates
 
 
@@ -45,6 +45,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_licenses, licenses (license:start:end:coverage in thousandths, comma-joined by start)."""
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    told = F.transform("licenses", lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["end"].cast("string"), F.floor(x["coverage"] * 1000).cast("string")))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(told, ",").alias("licenses"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -85,6 +92,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_chat_format, op3_packing, op5_quality_rules, op6_personal_data, op7_html_text, op8_language_id, op9_near_duplicates, op10_token_counts)
+    f.__name__: f for f in (op1_decontamination, op2_chat_format, op3_packing, op4_license_scan, op5_quality_rules, op6_personal_data, op7_html_text, op8_language_id, op9_near_duplicates, op10_token_counts)
 }
 ORACLE_SQL: dict[str, str] = {}
