@@ -76,8 +76,11 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, rep, sketch) sorted by key, then rep: pairs (member, leader) of each bucket."""
-    last, leaders, marks = None, [], np.empty((0, BITS // 64), U)
+    """Rows (key, rep, sketch) sorted by key, then rep: pairs (member, leader) of each bucket.
+
+    Leaders that a member ties together count as one from then on, so that each row and each leader gives one pair at most.
+    """
+    last, leaders, joined, marks = None, [], np.empty(0, np.int64), np.empty((0, BITS // 64), U)
     for batch in batches:
         keys, reps = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         if not len(keys):
@@ -88,14 +91,20 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for i, end in zip(firsts, ends, strict=True):
             if keys[i] != last:
-                last, leaders, marks = keys[i], [reps[i]], marked[i : i + 1]
+                last, leaders, joined, marks = keys[i], [reps[i]], np.zeros(1, np.int64), marked[i : i + 1]
                 i += 1
             for j in range(i, end):
                 near = similarity(marks, marked[j])
-                for k in np.flatnonzero(near >= TIE):
+                groups = np.unique(joined[near >= TIE])
+                for k in groups[1:]:  # a group is called by its first leader
+                    a.append(leaders[k])
+                    b.append(leaders[groups[0]])
+                    joined[joined == k] = groups[0]
+                if len(groups):
                     a.append(reps[j])
-                    b.append(leaders[k])
+                    b.append(leaders[groups[0]])
                 if near.max() < SAME:
+                    joined = np.append(joined, groups[0] if len(groups) else len(leaders))
                     leaders.append(reps[j])
                     marks = np.vstack([marks, marked[j : j + 1]])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
