@@ -3,8 +3,8 @@
 A page becomes a tree: block elements, and below them leaves of running text. Every node is content or not; its features give a
 potential, and each pair of parent and child has another. Sum-product messages, once up and once down the tree, give each leaf's
 marginal probability of being content. The weights maximise the likelihood of labelled pages: generated ones with known
-parts, and a bounded sample of given pages whose own article, navigation and footer elements label them; half of the labelled
-pages have those elements renamed, so that the model also learns from text and structure.
+parts, and a bounded sample of given pages whose own article, navigation and footer elements label them; one of five labelled
+pages has those elements renamed, so that the model also learns from text and structure.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Given pages that the model is fitted on, at most about; generated ones; passes through them.
-SAMPLE, GENERATED, EPOCHS = 150, 150, 3
+SAMPLE, GENERATED, EPOCHS = 150, 300, 8
 # Elements by their role in HTML.
 BLOCKS = set(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
@@ -263,7 +263,7 @@ def generated(seed: int) -> str:
         part("section div", "comments", "".join(f'<div class="comment"><p>{label()}</p><p>{prose(5, 40)}</p></div>' for _ in range(r.randint(1, 5)))),
         part("div aside", "ad ads promoted", prose(4, 12)),
     ]
-    body = [f"<h1>{prose(3, 9)}</h1>"] + [r.choice(["<p>{}</p>", "<p>{}</p>", "<p><b>{}</b></p>", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<blockquote>{}</blockquote>", "<div>{}</div>"]).format(prose(3, 60)) for _ in range(r.randint(2, 12))]
+    body = [f"<h1>{prose(3, 9)}</h1>"] + [r.choice(["<p>{}</p>", "<p>{}</p>", "<p><b>{}</b></p>", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<blockquote>{}</blockquote>", "<div>{}</div>"]).format(prose(3, r.choice([8, 20, 60]))) for _ in range(r.choice([1, 2, 3, 5, 8, 12]))]
     if r.random() < 0.4:
         body.insert(r.randint(1, len(body)), part("div aside", "ad advert promo share related", prose(3, 10)))
     wrap = r.choice(["{}", '<div class="page">{}</div>', "<div><div>{}</div></div>"])
@@ -277,7 +277,7 @@ def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> Tre
     own = pages.select(F.col(html_col).alias("html")).where(F.col("html").rlike("(?i)<(article|main)\\b") & (F.length("html") < 200_000))
     share = min(1_000_000, -(-sample * 1_000_000 // max(own.count(), 1)))
     given = [r.html for r in own.where(F.pmod(F.xxhash64("html"), F.lit(1_000_000)) < share).limit(2 * sample).collect()]
-    trees = [(labelled(x), k % 2 == 1) for k, x in enumerate(sorted(given, key=lambda x: zlib.crc32(x.encode())) + [generated(i) for i in range(GENERATED)])]
+    trees = [(labelled(x), k % 5 == 1) for k, x in enumerate(sorted(given, key=lambda x: zlib.crc32(x.encode())) + [generated(i) for i in range(GENERATED)])]
     random.Random(7).shuffle(trees)
     return Tree().fit(trees)
 
