@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from quire.plans.scratch import Scratch
 
-#: Pre-tokens in the broadcast table: about 8 MB sent, 70 MB in a worker.
-HOT = 1 << 19
+#: Pre-tokens in the broadcast table, at most: about 3 MB sent, 30 MB in a worker.
+HOT = 200_000
 #: Distinct pre-tokens that a task counts before it passes them on.
 FLUSH = 300_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -124,7 +124,15 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     totals = texts.mapInArrow(_frequencies(model), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counts = scratch.table(totals.mapInArrow(_pieces(model), "token string, n long, pieces long"), "counts")
-    frequent = spark.sparkContext.broadcast({x.token: x.pieces for x in counts.orderBy(F.desc("n"), "token").limit(hot).select("token", "pieces").collect()})
+    # the least count of which there are no more than ``hot`` pre-tokens, by eighths of a power of two
+    step = F.floor(8 * F.log2("n"))
+    least, there = 0, 0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        there += r.n
+        if there > hot:
+            least = r.step + 1
+            break
+    frequent = spark.sparkContext.broadcast({x.token: x.pieces for x in counts.where(step >= least).select("token", "pieces").collect()})
     rows = texts.mapInArrow(_documents(model, frequent), "row long, id long, token string, n long, bytes long")
     return (
         rows.join(counts.select("token", "pieces"), "token", "left")
