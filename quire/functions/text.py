@@ -122,7 +122,7 @@ def relative(start: Column | str, target: Column | str) -> Column:
 
 def is_scene_break(c: Column | str) -> Column:
     """Up to 16 ornament characters and blanks, at least one ornament."""
-    return col(c).rlike(r"^[\s*＊※◆◇■□●○★☆§~〜\-—–_=+.·•・…]{1,16}$") & col(c).rlike(r"\S")
+    return col(c).rlike(r"^[\s*＊※◆◇■□●○★☆§~〜\-—–_=+.·•・…|]{1,16}$") & col(c).rlike(r"\S")
 
 
 def compact(c: Column | str) -> Column:
