@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.catalog.register import query, table
 from quire.functions import text as T
-from quire.operators import links, pages, selectors, structure
+from quire.operators import links, pages, rewrite, selectors, structure
 from quire.operators import tokens as M
 
 _q = lambda x: x.replace("'", "''")
@@ -402,3 +402,27 @@ def rename_class(spark, d):
 @query(f"with {_CSS}, k as (select distinct body from s) select body, 'auto_' || dense_rank() over (order by body) as class, (select count(distinct doc) from s where s.body = k.body) as n_pages from k")
 def extract_styles(spark, d):
     return pages.extract_styles(M.css_rules(docs(spark, d)))
+
+
+# rewrites and SQL
+
+
+
+@query(f"""with {TOK}, l as (select doc, seq, tok, {_href} as link from tok where ttype in ('begin', 'single')), c as (select doc, seq, replace(tok, '"' || link || '"', '"moved' || link || '"') as new from l where starts_with(link, '/') and length(link) % 5 = 0 and regexp_matches(link, '^/[a-z]+$'))
+ select t.doc as page_id, string_agg(coalesce(c.new, t.tok), '' order by t.seq) as html from tok t left join c on c.doc = t.doc and c.seq = t.seq group by 1 having count(c.new) > 0""")
+def apply_renames(spark, d):
+    """Files whose root-relative path has a length divisible by 5 move below moved/; pages are taken as files of the book's root."""
+    resources = links.resources_of(docs(spark, d)).withColumn("path", F.lit("page.html"))
+    targets = links.local_links(resources).where("length(href) % 5 = 0 and href rlike '^/[a-z]+$'").select("book", "target").distinct()
+    return rewrite.apply_renames(resources, targets.select("book", F.col("target").alias("old_path"), F.concat(F.lit("moved/"), "target").alias("new_path"))).select("page_id", "html")
+
+
+@query(f"with {ELEMENTS}, e as (select doc, bool_and(matched) as ok from el group by 1) select page_id, case when not coalesce(ok, true) then 'skipped' when regexp_matches(html, '[ \\t]+\\r?\\n') then 'formatted' else 'unchanged' end as status from pages left join e on e.doc = page_id")
+def format_markup(spark, d):
+    return rewrite.format_status(els(spark, d), docs(spark, d)).withColumnRenamed("doc", "page_id")
+
+
+@query(f"select tag, count(*) as n from (select unnest(regexp_extract_all(html, '<([a-z0-9]+)', 1)) as tag from pages) group by 1")
+def tokens_tvf(spark, d):
+    docs(spark, d).createOrReplaceTempView("quire_pages")
+    return spark.sql("select tag, count(*) as n from quire_pages lateral view explode(regexp_extract_all(html, '<([a-z0-9]+)', 1)) t as tag group by tag")

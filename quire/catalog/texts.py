@@ -462,3 +462,25 @@ def edit_sessions(spark, d):
 @query("select lang, source, count(*) as n, sum(length(text))::bigint as chars from documents group by all")
 def stream_report(spark, d):
     return docs(spark, d).groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+@query("select doc_id, length(text)::bigint as chars from documents", "stream_ingest")
+def stream_ingest(spark, d):
+    """Documents as a stream, run to its end."""
+    return _streamed(spark, d, "ingest", lambda s: s.select("doc_id", F.length("text").cast("long").alias("chars")))
+
+
+@query(f"with {_RUN} select doc_id, n_1::bigint as n_1, n_2::bigint as n_2, n_3::bigint as n_3 from c", "stream_recipe")
+def stream_recipe(spark, d):
+    return _streamed(spark, d, "recipe", lambda s: S.run_recipe(s, RULES).select("doc_id", "n_1", "n_2", "n_3"))
+
+
+def _streamed(spark, d, name, fn):
+    """A stream over the files of documents (a pattern, as the table may be a file or a folder), written to a table in the shared folder and read back."""
+    from quire.plans.scratch import Scratch
+
+    at = Scratch(spark, name).at
+    stream = C.ingest(spark, f"{d}/documents.parque[t]", "doc_id long, text string, lang string, source string, n_chars long")
+    out = fn(stream)
+    out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{at}/out")
