@@ -133,12 +133,13 @@ def contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item
 
     Containment is the share of the item's distinct shingles of five words (all its words, if fewer) that the text has.
     Null, empty and short texts have no hits unless they hold a short item; items without words are found nowhere; repeated
-    items each count. Rows are neither dropped nor changed. ``hits_col`` must not be a column of docs.
+    items each count. Rows are neither dropped nor changed; a column of docs named hits_col is replaced.
     """
     spark = docs.sparkSession
     blocks = max(1, math.ceil(items.count() / ITEMS))
-    dealt = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("binary").alias("x")).withColumn("block", F.pmod(F.xxhash64("x"), F.lit(blocks)))
+    dealt = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("binary").alias("x")).withColumn("block", F.pmod(F.xxhash64("i", "x"), F.lit(blocks)))
     kind = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("containment", T.DoubleType())]))
+    docs = docs.drop(hits_col)
     out = docs.withColumn(hits_col, F.lit(None).cast(kind))
     names = out.columns
     for block in range(blocks):

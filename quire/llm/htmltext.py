@@ -294,8 +294,9 @@ def _extracted(model, html_at: int):
 def extract(pages: DataFrame, model: Tree, html_col: str = "html", text_out: str = "text") -> DataFrame:
     """The rows of pages with their main text: blocks in page order, white space inside a block as one space.
 
-    Null, empty and text-free pages give an empty text; a page without markup is one block, judged like any other. The new
-    column must not be a column of pages.
+    Null, empty and text-free pages give an empty text; a page without markup is one block, judged like any other. A column
+    of pages with the new name is replaced.
     """
+    pages = pages.drop(text_out)
     out = pages.withColumn(text_out, F.lit(None).cast("string"))
     return out.mapInArrow(_extracted(pages.sparkSession.sparkContext.broadcast(model), pages.columns.index(html_col)), out.schema)

@@ -186,9 +186,10 @@ def _scanned(scanner, text_at: int):
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, text_col: str = "text", threshold: float = 0.8, out_col: str = "licenses") -> DataFrame:
     """The rows of docs with an array more: (license, start, end, coverage) of each place that covers a template to the threshold.
 
-    Words are runs of ASCII letters and digits, without regard to case. Null and empty texts have no hits. The new column must not be a
-    column of docs.
+    Words are runs of ASCII letters and digits, without regard to case. Null and empty texts have no hits. A column of docs
+    with the new name is replaced.
     """
+    docs = docs.drop(out_col)
     out = docs.withColumn(out_col, F.lit(None).cast("array<struct<license: string, start: bigint, end: bigint, coverage: double>>"))
     scanner = docs.sparkSession.sparkContext.broadcast(Scanner(TEMPLATES if templates is None else templates, threshold))
     return out.mapInArrow(_scanned(scanner, docs.columns.index(text_col)), out.schema)

@@ -304,9 +304,10 @@ def _found(field, text_at: int):
 def detect(docs: DataFrame, field: Field, text_col: str = "text", base_out: str = "base_spans", spans_out: str = "spans") -> DataFrame:
     """The rows of docs with two columns more: the base spans and all spans (start, end exclusive, kind; code points).
 
-    Null and empty texts have no spans. Base spans of different kinds may overlap; spans that the field adds overlap nothing. The
-    new columns must not be columns of docs.
+    Null and empty texts have no spans. Base spans of different kinds may overlap; spans that the field adds overlap nothing. Columns
+    of docs with the new names are replaced.
     """
+    docs = docs.drop(base_out, spans_out)
     out = docs.withColumns({base_out: F.lit(None).cast(SPANS), spans_out: F.lit(None).cast(SPANS)})
     return out.mapInArrow(_found(docs.sparkSession.sparkContext.broadcast(field), docs.columns.index(text_col)), out.schema)
 

@@ -306,3 +306,23 @@ def test_queries_read_back(spark):
     text = "</s>[INST] ok [/INST]"
     assert (row.n_turns, row.loss_chars, row.loss_sha256) == (2, 21, hashlib.sha256(text.encode()).hexdigest())
     assert zlib.crc32(b"") == 0
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    rows = [(1, "Released under the MIT License. " + prose(60), "en", 5), (1, "Released under the MIT License. " + prose(60), "en", 5), (None, None, None, None)]
+    names = ["hits", "licenses", "spans", "base_spans", "lang_pred", "score", "html", "n", "row", "bands", "kept", "n_words", "cluster", "ids", "rest"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, id long")
+    for x in names:
+        docs = docs.withColumn(x, F.lit("x"))
+    items = spark.createDataFrame([(1, "y z")], "item_id long, text string")
+    assert [len(r.hits) for r in decontaminate.contaminated(docs, items).orderBy("doc_id").collect()] == [0, 0, 0]
+    assert [len(r.licenses) for r in licenses.scan(docs).orderBy("doc_id").collect()] == [0, 1, 1]
+    assert [len(r.spans) for r in pii.detect(docs, pii.train(docs)).collect()] == [0, 0, 0]
+    found = language.identify(docs, language.train(docs, PIECES)).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in found] == ["und", "en", "en"] and found[1].licenses == "x"
+    assert [r.text for r in htmltext.extract(docs.withColumn("html", F.lit("")), htmltext.train(docs.withColumn("html", F.lit("")))).collect()] == ["", "", ""]
+    assert [r.n_bytes for r in tokencount.token_counts(docs, PIECES).orderBy("doc_id").collect()][0] == 0 and tokencount.token_counts(docs, PIECES).count() == 3
+    assert {r.doc_id for r in packing.pack(docs, BYTE_BPE).collect()} == {None, 1}
+    assert [(r.doc_id, r.kept) for r in neardup.near_duplicates(docs).collect()] == [(1, True), (1, True)]
+    labels = spark.createDataFrame([(1, 1), (1, None), (None, 0)], "doc_id long, quality int")
+    assert sorted(r.base_failed for r in quality.judged(docs, labels).collect()) == [False, False, True]
