@@ -151,6 +151,6 @@ def format_markup(docs: DataFrame, els: DataFrame) -> DataFrame:
 def format_css(rules: DataFrame) -> DataFrame:
     """(doc, css): one declaration on a line, rules in order."""
     groups = rules.groupBy("doc", "rule_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("selector_no", "selector"))), lambda x: x["selector"]), ", ").alias("sel"), F.first("body").alias("body"))
-    decls = F.transform(F.filter(F.split("body", ";"), lambda d: d.rlike(r"\S")), lambda d: F.concat(F.lit("  "), F.regexp_replace(F.btrim(d), r"\s*:\s*", ": "), F.lit(";\n")))
+    decls = F.transform(F.filter(F.split("body", ";"), lambda d: d.rlike(r"\S")), lambda d: F.concat(F.lit("  "), F.regexp_replace(F.btrim(d, F.lit(" \t\r\n\f")), r"^([^:]*?)\s*:\s*", "$1: "), F.lit(";\n")))
     text = F.concat("sel", F.lit(" {\n"), F.array_join(decls, ""), F.lit("}\n"))
     return groups.select("doc", "rule_no", text.alias("t")).groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rule_no", "t"))), lambda x: x["t"]), "\n").alias("css"))

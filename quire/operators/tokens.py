@@ -144,7 +144,7 @@ def css_rules(docs: DataFrame, id_col: str = "page_id", text_col: str = "html",
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(css, r"(?s)/\*.*?\*/", ""), r"@(?:media|supports)[^{]*\{", ""), r"@[a-z-]+[^{};]*;", "")
     rules = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.regexp_extract_all(clean, F.lit(r"[^{}]+\{[^{}]*\}"), F.lit(0))).alias("rule_no", "rule"))
     split = rules.select("doc", "rule_no", F.posexplode(F.split(F.regexp_extract("rule", r"^([^{]*)\{", 1), ",")).alias("selector_no", "selector"), F.regexp_extract("rule", r"\{([^}]*)\}", 1).alias("body"))
-    return split.select("doc", F.col("rule_no").cast("long").alias("rule_no"), F.col("selector_no").cast("long").alias("selector_no"), F.btrim("selector").alias("selector"), "body")
+    return split.select("doc", F.col("rule_no").cast("long").alias("rule_no"), F.col("selector_no").cast("long").alias("selector_no"), F.btrim("selector", F.lit(" \t\r\n\f")).alias("selector"), "body")
 
 
 def css_declarations(rules: DataFrame) -> DataFrame:

@@ -38,8 +38,12 @@ def scan_archives(spark: SparkSession, glob: str, limits: Limits | None = None)
 
     Unsafe paths and entries beyond a limit have an issue and no bytes; what is no archive is one row with an issue.
     """
+    return unpacked(spark.read.format("binaryFile").load(glob).select("path", "content"), limits)
+
+
+def unpacked(files: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """The entries of archives given as rows (path, content)."""
     limits = limits or Limits()
-    files = spark.read.format("binaryFile").load(glob).select("path", "content")
 
     def run(frames: Iterator):
         import pandas as pd
