@@ -32,7 +32,8 @@ def put(spark, d, old, new):
 def write_archives(spark, d):
     """Documents packed into an archive per source and unpacked again."""
     entries = texts(spark, d).where("text is not null").select(F.col("source").alias("book_id"), F.concat(F.lit("Text/"), F.col("doc_id").cast("string")).alias("bookpath"), F.col("text").cast("binary").alias("bytes"))
-    back = archives.unpacked(archives.write_archives(entries).select(F.col("book_id").alias("path"), F.col("bytes").alias("content")))
+    packed = archives.write_archives(entries).select(F.col("book_id").alias("path"), F.col("bytes").alias("content"))
+    back = archives.unpacked(packed, archives.Limits(ratio=1_000_000))  # some of the given texts repeat themselves beyond the default
     return back.select(F.substring("bookpath", 6, 20).cast("long").alias("doc_id"), "source", F.octet_length("bytes").cast("long").alias("size"))
 
 
