@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import chat, decontaminate, htmltext, language, licenses, packing, pii, quality, tokencount
 from quire.llm.neardup import near_duplicates
+from quire.llm.oracles import ORACLE_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,4 +95,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontamination, op2_chat_format, op3_packing, op4_license_scan, op5_quality_rules, op6_personal_data, op7_html_text, op8_language_id, op9_near_duplicates, op10_token_counts)
 }
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
