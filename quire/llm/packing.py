@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,15 +26,34 @@ from tokenizers import Tokenizer
 
 from quire.plans.scratch import Scratch
 
-#: Pre-tokens in a worker's cache, and rows of the offset table up to which it is broadcast (24 bytes each).
-CACHE, BROADCAST_ROWS = 400_000, 500_000
+#: Pre-tokens in each of a worker's two caches, and rows of the offset table up to which it is broadcast (24 bytes each).
+CACHE, BROADCAST_ROWS = 300_000, 500_000
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Cuts only where the byte-level pattern cuts: a run of letters, or anything up to the next white space, or white space.
 CUT = re.compile(rf" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\W\d_])|[{SPACE}]?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 
 
+class ByteSigns(dict):
+    """A character's UTF-8 bytes as the signs that byte-level vocabularies are written in: printable Latin-1 as it is, others from U+0100 on."""
+
+    def __init__(self) -> None:
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        others = iter(range(256, 512))
+        self.of = [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+    def __missing__(self, point: int) -> str:
+        out = self[point] = "".join(self.of[b] for b in chr(point).encode())
+        return out
+
+
+BYTE_SIGNS = ByteSigns()
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library; pre-tokens are encoded once and kept."""
+    """Ids of whole texts by the tokenizers library; pre-tokens are encoded once and kept.
+
+    When the cache is full it becomes the old one, from which pre-tokens that occur again are taken over.
+    """
 
     def __init__(self, spec: str) -> None:
         self.library, told = Tokenizer.from_str(spec), json.loads(spec)
@@ -40,26 +61,53 @@ class Encoder:
         self.cuts = told.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.special = [x["content"] for x in told.get("added_tokens", [])]
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.merges = self.library.model
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return packed(self.library.encode(text, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(texts), 64):
-            part = texts[i : i + 64]
+        for part in parts(texts):
             plain = [self.cuts and not any(x in t for x in self.special) for t in part]
             tokens = [CUT.findall(t) if p else [] for t, p in zip(part, plain, strict=True)]
-            missing = set().union(*tokens).difference(self.cache)
+            every = set().union(*tokens)
+            missing = every.difference(self.cache)
             if len(self.cache) + len(missing) > CACHE:
-                self.cache.clear()
-                missing = set().union(*tokens)
-            new = list(missing)
-            for x, y in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-                self.cache[x] = np.array(y.ids, "<u4").tobytes()
+                self.cache, self.old, missing = {}, self.cache, every
+            known = [x for x in missing if x in self.old]
+            self.cache.update(zip(known, map(self.old.__getitem__, known), strict=True))
+            new = list(missing.difference(self.old))
+            words = [x for x in new if x.isalpha() or x[0] == " " and x[1:].isalpha()]  # one pre-token each: straight to the merges
+            for x in words:
+                self.cache[x] = packed([t.id for t in self.merges.tokenize(x.translate(BYTE_SIGNS))])
+            rest = list(set(new).difference(words))
+            for x, y in zip(rest, self.library.encode_batch(rest, add_special_tokens=False), strict=True):
+                self.cache[x] = packed(y.ids)
             for t, p, x in zip(part, plain, tokens, strict=True):
                 yield b"".join(map(self.cache.__getitem__, x)) if p else self.whole(t)
 
 
+def parts(texts: list[str], chars: int = 1_000_000) -> Iterator[list[str]]:
+    """Successive texts of about so many characters together, or one longer text."""
+    part, n = [], 0
+    for x in texts:
+        part.append(x)
+        n += len(x)
+        if n >= chars:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
+
+
+def packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 @lru_cache(2)
 def encoder(spec: str) -> Encoder:
     return Encoder(spec)
