@@ -12,7 +12,6 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +19,18 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.shingles import odd_numbers
 from quire.plans.scratch import Scratch
 
 #: Labelled rows for each language that the model is fitted on, at most about; iterations.
 SAMPLE, ROUNDS = 3000, 4
-#: A run of more letters is scored in parts; scored words kept in a worker.
-LONGEST, CACHE = 32, 300_000
+#: A run of more letters is scored in parts; scored words kept in a worker, for up to eight languages (fewer words for more).
+LONGEST, CACHE = 32, 450_000
 UNDETERMINED = "und"
 _words = re.compile(r"[^\W\d_]+")
 UNKNOWN = 1e-8
+U = np.uint64
+STEP = U(0x100000001B3)
 
 
 def words(text: str | None) -> list[str]:
@@ -40,6 +42,49 @@ def words(text: str | None) -> list[str]:
     return found
 
 
+def piece_hash(piece: str) -> int:
+    h = 0
+    for c in piece:
+        h = (h + ord(c)) * int(STEP) % (1 << 64)
+    return h
+
+
+class PieceTable:
+    """Pieces by a hash of their characters: a large table, and a smaller one for those whose place there is taken.
+
+    Multipliers are tried until every piece has a place.
+    """
+
+    def __init__(self, pieces: dict[str, int]) -> None:
+        hashes = np.array([piece_hash(x) for x in pieces], U)
+        ids = np.fromiter(pieces.values(), np.int64, len(pieces))
+        for a, b in odd_numbers(128, 3).reshape(-1, 2):
+            self.multipliers, self.shifts = (a, b), (U(64 - 20), U(64 - 18))
+            places = self._places(hashes)
+            first = np.zeros(len(hashes), bool)
+            first[np.unique(places[0], return_index=True)[1]] = True
+            rest = places[1][~first]
+            if len(np.unique(rest)) == len(rest):
+                break
+        else:
+            raise ValueError("the tables are too small for this vocabulary")
+        self.tables = []
+        for size, chosen, at in ((1 << 20, first, places[0]), (1 << 18, ~first, places[1])):
+            table = np.zeros(size, U), np.full(size, -1, np.int64)
+            table[0][at[chosen]], table[1][at[chosen]] = hashes[chosen], ids[chosen]
+            self.tables.append(table)
+
+    def _places(self, h: np.ndarray) -> list[np.ndarray]:
+        mixed = h ^ (h >> U(29))
+        return [(mixed * m >> s).astype(np.int64) for m, s in zip(self.multipliers, self.shifts, strict=True)]
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Ids by hashes, -1 for none."""
+        (h1, i1), (h2, i2) = self.tables
+        a, b = self._places(h)
+        return np.where(h1[a] == h, i1[a], np.where(h2[b] == h, i2[b], -1))
+
+
 @dataclass
 class Model:
     """pieces: ids of the vocabulary; chances: [piece, language], then a row for an unknown letter and a row of zeros."""
@@ -50,6 +95,7 @@ class Model:
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.pieces), default=1)
+        self.table = PieceTable(self.pieces)
 
 
 def vocabulary(path: str) -> dict[str, int]:
@@ -58,13 +104,19 @@ def vocabulary(path: str) -> dict[str, int]:
     return {x: i for i, x in enumerate(dict.fromkeys(["▁", *(x for x in found if x.lstrip("▁").isalpha() and x.rfind("▁") <= 0)]))}
 
 
-def _arcs(same: list[str], model: Model) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(i, j, piece of characters i to j for each of the words of equal length); -1: no such piece."""
-    get, unknown = model.pieces.get, len(model.pieces)
-    for j in range(1, len(same[0]) + 1):
-        for i in range(max(0, j - model.longest), j):
-            none = unknown if j - i == 1 else -1
-            yield i, j, np.fromiter(map(get, [x[i:j] for x in same], repeat(none)), np.int64, len(same))
+def _arcs(same: list[str], model: Model) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(i, j, words, pieces): the words of equal length whose characters i to j are a piece, and which; by i, then j."""
+    n, unknown = len(same[0]), len(model.pieces)
+    points = np.frombuffer("".join(same).encode("utf-32-le"), np.uint32).reshape(-1, n).T.astype(U)
+    for i in range(n):
+        h = np.zeros(len(same), U)
+        for j in range(i + 1, min(n, i + model.longest) + 1):
+            h = (h + points[j - 1]) * STEP
+            ids = model.table.find(h)
+            if j == i + 1:
+                yield i, j, np.arange(len(same)), np.where(ids < 0, unknown, ids)
+            elif len(found := np.flatnonzero(ids >= 0)):
+                yield i, j, found, ids[found]
 
 
 def _by_length(found) -> dict[int, list[str]]:
@@ -81,9 +133,8 @@ def log_chances(found: list[str], model: Model) -> np.ndarray:
     for n, same in _by_length(found).items():
         forward = np.zeros((n + 2, len(same), len(model.langs)))
         forward[0] = 1
-        for i, j, ids in _arcs(same, model):
-            if (ids >= 0).any():
-                forward[j] += forward[i] * model.chances[ids]
+        for i, j, at_words, ids in _arcs(same, model):
+            forward[j, at_words] += forward[i, at_words] * model.chances[ids]
         out[[at[x[1:]] for x in same]] = np.log(forward[-1])
     return out
 
@@ -99,15 +150,16 @@ def _expected(model: Model):
                 groups[known[lang], len(word)].append(("▁" + word, n))
             for (lang, length), rows in groups.items():
                 same, weight = [x for x, _ in rows], np.array([n for _, n in rows], float)
-                arcs, p = [a for a in _arcs(same, model) if (a[2] >= 0).any()], model.chances[:, lang]
+                arcs, p = list(_arcs(same, model)), model.chances[:, lang]
                 forward, backward = np.zeros((2, length + 2, len(same)))
                 forward[0] = backward[-1] = 1
-                for i, j, ids in arcs:
-                    forward[j] += forward[i] * p[ids]
-                for i, j, ids in reversed(arcs):
-                    backward[i] += backward[j] * p[ids]
-                for i, j, ids in arcs:
-                    np.add.at(total[:, lang], ids, forward[i] * p[ids] * backward[j] / forward[-1] * weight)
+                for i, j, at, ids in arcs:
+                    forward[j, at] += forward[i, at] * p[ids]
+                for i, j, at, ids in reversed(arcs):
+                    backward[i, at] += backward[j, at] * p[ids]
+                for i, j, at, ids in arcs:
+                    expected = forward[i, at] * p[ids] * backward[j, at] / forward[-1, at] * weight[at]
+                    total[:, lang] += np.bincount(ids, expected, len(total))
         pieces, langs = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([model.langs[x] for x in langs], pa.string()), pa.array(pieces), pa.array(total[pieces, langs])], names=["lang", "piece", "n"])
 
@@ -161,7 +213,7 @@ class Scorer:
     def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
         split = [words(x) for x in texts]
         new = list(set().union(*split).difference(self.at))
-        if self.used + len(new) > CACHE:
+        if self.used + len(new) > min(CACHE, CACHE * 8 // max(1, len(self.model.langs))):
             self.at, self.used = {}, 0
             new = list(set().union(*split))
         if new and self.model.langs:
@@ -203,9 +255,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_out: st
     """The rows of docs with two columns more: the most likely language and its posterior probability (equal priors).
 
     ``und`` and 0 if the text is null, empty or has no letter, or if the model knows no language. Ties go to the first
-    language in order. Only the text decides. The new columns must not be columns of docs.
+    language in order. Only the text decides. Columns of docs with the new names are replaced.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, docs = docs.sparkSession.sparkContext.broadcast(model), docs.drop(lang_out, score_out)
     out = docs.withColumns({lang_out: F.lit(None).cast("string"), score_out: F.lit(None).cast("double")})
     key = hash(model.chances.tobytes())
     return out.mapInArrow(_predicted(sent, key, docs.columns.index(text_col)), out.schema)
