@@ -30,9 +30,9 @@ def put(spark, d, old, new):
 
 @query("select doc_id, source, octet_length(encode(text))::bigint as size from documents where text is not null")
 def write_archives(spark, d):
-    """Documents packed into an archive per source and unpacked again."""
+    """Documents packed into archives, volumes of about a thousand for each source, and unpacked again."""
     entries = texts(spark, d).where("text is not null").select(F.col("source").alias("book_id"), F.concat(F.lit("Text/"), F.col("doc_id").cast("string")).alias("bookpath"), F.col("text").cast("binary").alias("bytes"))
-    packed = archives.write_archives(entries).select(F.col("book_id").alias("path"), F.col("bytes").alias("content"))
+    packed = archives.write_archives(entries, rows=1000, size=8 << 20).select(F.col("book_id").alias("path"), F.col("bytes").alias("content"))
     back = archives.unpacked(packed, archives.Limits(ratio=1_000_000))  # some of the given texts repeat themselves beyond the default
     return back.select(F.substring("bookpath", 6, 20).cast("long").alias("doc_id"), "source", F.octet_length("bytes").cast("long").alias("size"))
 
@@ -42,7 +42,7 @@ def scan_archives(spark, d):
     """As above, every tenth entry with a path that leaves the archive."""
     path = F.concat(F.when(F.col("doc_id") % 10 == 0, "../").otherwise("Text/"), F.col("doc_id").cast("string"))
     entries = texts(spark, d).select(F.col("source").alias("book_id"), path.alias("bookpath"), F.lit("x").cast("binary").alias("bytes"))
-    back = archives.unpacked(archives.write_archives(entries).select(F.col("book_id").alias("path"), F.col("bytes").alias("content")))
+    back = archives.unpacked(archives.write_archives(entries, rows=1000).select(F.col("book_id").alias("path"), F.col("bytes").alias("content")))
     return back.groupBy("source").agg(F.count("*").alias("entries"), F.count_if(F.col("issue") == "unsafe path").alias("refused"))
 
 

@@ -42,32 +42,41 @@ def scan_archives(spark: SparkSession, glob: str, limits: Limits | None = None)
 
 
 def unpacked(files: DataFrame, limits: Limits | None = None) -> DataFrame:
-    """The entries of archives given as rows (path, content)."""
+    """The entries of archives given as rows (path, content); an entry beyond a limit is a row with an issue, and so is each one after it."""
     limits = limits or Limits()
 
     def run(frames: Iterator):
         import pandas as pd
 
-        def one(source, bookpath, size, data, issue):
-            return pd.DataFrame([(source, bookpath, size, data, issue)], columns=["source", "bookpath", "size", "bytes", "issue"])
+        def entries(source, content):
+            try:
+                archive = zipfile.ZipFile(io.BytesIO(content))
+            except zipfile.BadZipFile:
+                yield source, None, None, None, "not an archive"
+                return
+            total = 0
+            for n, info in enumerate(x for x in archive.infolist() if not x.is_dir()):
+                total += info.file_size
+                issue = (
+                    "too many entries" if n >= limits.entries else "unsafe path" if unsafe(info.filename) else "entry too large" if info.file_size > limits.entry_bytes
+                    else "archive too large" if total > limits.total_bytes else "ratio" if info.file_size > limits.ratio * max(info.compress_size, 1) else None
+                )
+                yield source, info.filename, info.file_size, None if issue else archive.read(info), issue
+
+        def table(rows):
+            return pd.DataFrame(rows, columns=["source", "bookpath", "size", "bytes", "issue"])
 
         for frame in frames:
             for source, content in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile:
-                    yield one(source, None, None, None, "not an archive")
-                    continue
-                total = 0
-                for n, info in enumerate(x for x in archive.infolist() if not x.is_dir()):
-                    total += info.file_size
-                    issue = (
-                        "too many entries" if n >= limits.entries else "unsafe path" if unsafe(info.filename) else "entry too large" if info.file_size > limits.entry_bytes
-                        else "archive too large" if total > limits.total_bytes else "ratio" if info.file_size > limits.ratio * max(info.compress_size, 1) else None
-                    )
-                    yield one(source, info.filename, info.file_size, None if issue else archive.read(info), issue)
-                    if n >= limits.entries or total > limits.total_bytes:
-                        break
+                rows, held = [], 0
+                for row in entries(source, content):
+                    rows.append(row)
+                    held += len(row[3] or b"")
+                    if len(rows) == 1000 or held > 4 << 20:
+                        yield table(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield table(rows)
 
     return files.mapInPandas(run, ENTRIES)
 
@@ -125,23 +134,29 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
 
 
-def write_archives(resources: DataFrame) -> DataFrame:
-    """(book_id, bytes): one archive per book (book_id, bookpath, bytes), mimetype first and stored, the rest deflated.
+def write_archives(resources: DataFrame, rows: int = 10_000, size: int = 64 << 20) -> DataFrame:
+    """(book_id, volume, bytes): archives of books (book_id, bookpath, bytes), mimetype first and stored, the rest deflated.
 
-    A book is one archive, so its entries meet in one task; books, not the corpus, bound that.
+    A book of up to ``rows`` entries and ``size`` bytes is one archive, volume 0. A larger one is dealt by a hash of the paths
+    into volumes of about that size, so that no task or cell holds a whole large book; its mimetype is in volume 0.
     """
     import pandas as pd
 
     def run(frame):
         out = io.BytesIO()
-        rows = sorted(zip(frame["bookpath"], frame["bytes"], strict=True), key=lambda x: (x[0] != "mimetype", x[0]))
+        entries = sorted(zip(frame["bookpath"], frame["bytes"], strict=True), key=lambda x: (x[0] != "mimetype", x[0]))
         with zipfile.ZipFile(out, "w") as z:
-            for name, data in rows:
+            for name, data in entries:
                 info = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
                 z.writestr(info, bytes(data), zipfile.ZIP_STORED if name == "mimetype" else zipfile.ZIP_DEFLATED)
-        return pd.DataFrame({"book_id": [frame["book_id"].iloc[0]], "bytes": [out.getvalue()]})
-
-    return resources.select("book_id", "bookpath", "bytes").groupBy("book_id").applyInPandas(run, "book_id string, bytes binary")
+        return pd.DataFrame({"book_id": [frame["book_id"].iloc[0]], "volume": [frame["volume"].iloc[0]], "bytes": [out.getvalue()]})
+
+    entries = resources.select("book_id", "bookpath", "bytes")
+    volumes = F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum(F.octet_length("bytes")) / size))
+    large = entries.groupBy(F.col("book_id").alias("_book")).agg(volumes.alias("_n")).where("_n > 1")  # one row for each volume at most
+    dealt = entries.join(F.broadcast(large), F.col("book_id").eqNullSafe(F.col("_book")), "left")
+    volume = F.when((F.col("bookpath") == "mimetype") | F.col("_n").isNull(), 0).otherwise(F.pmod(F.xxhash64("bookpath"), F.col("_n")))
+    return dealt.select("book_id", volume.cast("long").alias("volume"), "bookpath", "bytes").groupBy("book_id", "volume").applyInPandas(run, "book_id string, volume long, bytes binary")
 
 
 def font_kind(c: Column | str) -> Column:
