@@ -29,7 +29,8 @@ BLOCKS = set(
     "li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = set("script style head title noscript template textarea select option button iframe svg math object canvas datalist audio video".split())
+SILENT = set("script style title noscript template textarea select option button iframe svg math object canvas datalist audio video".split())
+RAW = set("script style title noscript textarea iframe".split())  # of the silent ones: no tags inside but their own end
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 CUES = (
@@ -39,6 +40,8 @@ CUES = (
 ).split()
 _cues = set(CUES)
 _markup = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_raw_end = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>", re.I) for x in RAW}
+_tag = re.compile("</?[a-zA-Z]")
 _named = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _word = re.compile(r"[a-z]+")
 
@@ -54,7 +57,10 @@ class Node:
 
 
 def parse(page: str) -> list[Node]:
-    """Nodes of the tree in page order, parents first; the first is the root."""
+    """Nodes of the tree in page order, parents first; the first is the root.
+
+    The head needs no end of its own: what may stand in it is silent or void, and anything else belongs to the body.
+    """
     nodes, stack, run, links = [Node("root", -1)], [("root", 0)], [], 0
     linked, silent, at = 0, "", 0
 
@@ -69,7 +75,7 @@ def parse(page: str) -> list[Node]:
     def close(to: int) -> None:
         del stack[to:]
 
-    for m in _markup.finditer(page):
+    while m := _markup.search(page, at):
         if m.start() > at and not silent:
             piece = html.unescape(page[at : m.start()])
             run.append(piece)
@@ -79,6 +85,11 @@ def parse(page: str) -> list[Node]:
         if m[2] is None:
             continue
         tag = m[2].lower()
+        if tag in RAW and not m[1]:
+            if not m[3].endswith("/"):
+                end = _raw_end[tag].search(page, at)
+                at = end.end() if end else len(page)
+            continue
         if silent:
             if m[1] and tag == silent:
                 silent = ""
@@ -113,7 +124,8 @@ def parse(page: str) -> list[Node]:
                 nodes.append(Node(tag, stack[-1][1], cues))
                 stack.append((tag, len(nodes) - 1))
     if not silent and at < len(page):
-        run.append(html.unescape(page[at:]) if "<" not in page[at:] else html.unescape(page[at : at + page[at:].index("<")]))
+        unfinished = _tag.search(page, max(at, page.rfind(">") + 1))
+        run.append(html.unescape(page[at : unfinished.start()] if unfinished else page[at:]))
     flush()
     for node in reversed(nodes[1:]):
         up = nodes[node.parent]
