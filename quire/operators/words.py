@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators.pages import WORD
+from quire.plans.scratch import Scratch
 
 #: Fixed value: longer runs are no words.
 LONGEST = 90
@@ -99,10 +100,24 @@ def letter_breaks(entries: DataFrame) -> DataFrame:
     return entries.select("entry", letter.alias("letter"), (~letter.eqNullSafe(F.lag(letter).over(w))).alias("new_letter"))
 
 
+def numbered(df: DataFrame, by: str, order: list[str], number: str = "n") -> DataFrame:
+    """df with the place of each row among those with the same ``by``, from 1, in two levels.
+
+    Rows are dealt into ranges of the order, which a table fixes; windows go over the rows of a range, then over the ranges' counts.
+    """
+    dealt = Scratch(df.sparkSession, "numbered").table(df.repartitionByRange(*order).withColumn("_r", F.spark_partition_id()), "dealt")
+    sums = dealt.groupBy(F.col(by).alias("_by"), F.col("_r").alias("_s")).agg(F.count("*").alias("_m"))
+    before = Window.partitionBy("_by").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0))).drop("_m")
+    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy(by, "_r").orderBy(*order)))
+    found = own.join(sums, (F.col("_r") == F.col("_s")) & F.col(by).eqNullSafe(F.col("_by")))
+    return found.withColumn(number, F.col("_own") + F.col("_before")).drop("_r", "_s", "_by", "_own", "_before")
+
+
 def unique_names(df: DataFrame, prefix: str, order: str, width: int = 4) -> DataFrame:
-    """The next free numbered name of each row within its prefix: numbers in order, padded with zeros."""
-    n = F.row_number().over(Window.partitionBy(prefix).orderBy(order))
-    return df.select(order, F.concat(F.col(prefix), F.lpad(n.cast("string"), width, "0")).alias("name"))
+    """The next free numbered name of each row within its prefix: numbers in order, padded with zeros; longer numbers stay whole."""
+    n = F.col("_n").cast("string")
+    return numbered(df.select(prefix, order), prefix, [order], "_n").select(order, F.concat(F.col(prefix), F.lpad(n, F.greatest(F.lit(width), F.length(n)), "0")).alias("name"))
 
 
 def natural_key(c: Column | str) -> Column:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import htmltext
+from quire.operators import words
 from quire.sources import archives
 
 
@@ -45,3 +46,15 @@ def test_entries_beyond_a_limit(spark):
 )
 def test_page_text_is_whole(page, want):
     assert [x.text for x in htmltext.parse(page) if x.text] == want
+
+
+def test_names_of_large_groups(spark):
+    df = spark.range(0, 25_000, 1, 8).select((F.col("id") * 7919 % 25_000).alias("k"), F.when(F.col("id") % 1000 == 0, "b").when(F.col("id") % 1000 != 1, "a").alias("p"))
+    rows = sorted((r.k, r.p) for r in df.collect())
+    want, n = {}, {"a": 0, "b": 0}
+    for k, p in rows:
+        if p:
+            n[p] += 1
+        want[k] = f"{p}{n[p]:04d}" if p else None
+    got = {r.k: r.name for r in words.unique_names(df, "p", "k").collect()}
+    assert got == want and n["a"] > 10_000
