@@ -11,6 +11,7 @@ from quire.operators import classify, links, pages, rewrite, structure
 from quire.operators import search as S
 from quire.operators import tokens as M
 from quire.operators import versions as V
+from quire.operators import words as W
 from quire.plans.scratch import Scratch
 from quire.sources import archives
 
@@ -62,13 +63,24 @@ def write_report(spark, d):
     return spark.read.option("header", True).schema("doc_id string, source string, n_chars string").csv(at)
 
 
+#: Items of a package at most.
+ITEMS = 1000
+
+
 def _package(spark, d):
-    """A package per source: its documents as items, those in English in the spine."""
+    """Packages of a source, in volumes of ``ITEMS`` documents: documents as items, those in English in the spine.
+
+    Their tables are the source's: book_id is the source, and pos goes on from volume to volume.
+    """
     item = F.concat(F.lit('<item id="i'), F.col("doc_id").cast("string"), F.lit('" href="Text/'), F.col("doc_id").cast("string"), F.lit('.xhtml" media-type="text/'), "lang", F.lit('"/>'))
     ref = F.when(F.col("lang") == "en", F.concat(F.lit('<itemref idref="i'), F.col("doc_id").cast("string"), F.lit('"/>')))
     ordered = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("doc_id", c.alias("x"))))), lambda y: y["x"]), "")
     whole = F.concat(F.lit('<package version="3.0"><metadata><dc:title>'), "source", F.lit("</dc:title></metadata><manifest>"), ordered(item), F.lit("</manifest><spine>"), ordered(ref), F.lit("</spine></package>"))
-    return archives.package_tables(texts(spark, d).groupBy("source").agg(whole.alias("text")).select(F.col("source").alias("book_id"), F.lit("OPS/p.opf").alias("bookpath"), "text"))
+    rows = W.numbered(texts(spark, d).select("source", "doc_id", "lang"), "source", ["doc_id"], "n").withColumn("volume", F.floor((F.col("n") - 1) / ITEMS))
+    volumes = rows.groupBy("source", "volume").agg(whole.alias("text"))
+    found = archives.package_tables(volumes.select(F.concat_ws("/", "volume", "source").alias("book_id"), F.lit("OPS/p.opf").alias("bookpath"), "text"))
+    pos = F.substring_index("book_id", "/", 1).cast("long") * (1 << 32) + F.col("pos")
+    return {k: found[k].withColumn("pos", pos).withColumn("book_id", F.expr("substr(book_id, instr(book_id, '/') + 1)")) for k in ("metadata", "manifest", "spine")}
 
 
 @query("select source as book_id, 'i' || doc_id as id, 'OPS/Text/' || doc_id || '.xhtml' as bookpath, 'text/' || lang as media_type from documents")
@@ -78,11 +90,8 @@ def package_tables(spark, d):
 
 @query("select source as book_id, row_number() over (partition by source order by doc_id) as place, 'OPS/Text/' || doc_id || '.xhtml' as bookpath from documents where lang = 'en'")
 def manifest_spine(spark, d):
-    from pyspark.sql import Window
-
     p = _package(spark, d)
-    place = F.row_number().over(Window.partitionBy("book_id").orderBy("pos")).cast("long")
-    return archives.manifest_spine(p["manifest"], p["spine"]).select("book_id", place.alias("place"), "bookpath")
+    return W.numbered(archives.manifest_spine(p["manifest"], p["spine"]).select("book_id", "pos", "bookpath"), "book_id", ["pos"], "place").select("book_id", "place", "bookpath")
 
 
 @query("select source as book_id, 'OPS/Text/' || doc_id || '.xhtml' as bookpath, 'no file' as issue from documents where doc_id % 7 = 0 union all select source, 'OPS/Text/x' || doc_id || '.xhtml', 'not listed' from documents where doc_id % 11 = 0")

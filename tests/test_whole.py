@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from quire.catalog import derived
 from quire.llm import htmltext
 from quire.operators import words
 from quire.sources import archives
@@ -58,3 +59,16 @@ def test_names_of_large_groups(spark):
         want[k] = f"{p}{n[p]:04d}" if p else None
     got = {r.k: r.name for r in words.unique_names(df, "p", "k").collect()}
     assert got == want and n["a"] > 10_000
+
+
+def test_packages_are_bounded(spark, tmp_path, monkeypatch):
+    docs = spark.range(2500).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.when(F.col("id") % 3 > 0, "en").otherwise("de").alias("lang"), F.when(F.col("id") < 2400, "a/b").otherwise("c").alias("source"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    seen, tables = [], archives.package_tables
+    monkeypatch.setattr(archives, "package_tables", lambda r: seen.append(r) or tables(r))
+    got = sorted((r.book_id, r.place, r.bookpath) for r in derived.manifest_spine(spark, str(tmp_path)).collect())
+    english = [[i for i in x if i % 3] for x in (range(2400), range(2400, 2500))]
+    assert got == sorted((b, k, f"OPS/Text/{i}.xhtml") for b, x in zip(("a/b", "c"), english, strict=True) for k, i in enumerate(x, 1))
+    assert sorted(r.text.count("<item ") for r in seen[0].collect()) == [100, 400, 1000, 1000]
+    assert derived.package_tables(spark, str(tmp_path)).distinct().count() == 2500
+    assert sorted(r.book_id for r in derived.ensure_uuid(spark, str(tmp_path)).collect()) == ["a/b", "c"]
