@@ -3,11 +3,13 @@
 Each language has a probability for every piece of a fixed public vocabulary. A word's probability is the sum over all ways to
 segment it into pieces, by a forward algorithm over its characters; a text's is the product over its words. The piece
 probabilities are learned by expectation maximisation on word counts of a bounded sample of labelled rows: forward-backward
-gives expected piece counts as a Spark job, the driver divides them. Words are scored in batches of equal length.
+gives expected piece counts as a Spark job, the driver divides them. Words are scored in batches of equal length, whole
+whatever their length: where a product of so many chances could leave the range of a double, the sums are sums of logarithms.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -24,8 +26,8 @@ from quire.plans.scratch import Scratch
 
 #: Labelled rows for each language that the model is fitted on, at most about; iterations.
 SAMPLE, ROUNDS = 3000, 4
-#: A run of more letters is scored in parts; scored words kept in a worker, for up to eight languages (fewer words for more).
-LONGEST, CACHE = 32, 450_000
+#: Scored words kept in a worker, for up to eight languages (fewer words for more); characters that are looked up together.
+CACHE, TOGETHER = 450_000, 1 << 15
 UNDETERMINED = "und"
 _words = re.compile(r"[^\W\d_]+")
 UNKNOWN = 1e-8
@@ -34,11 +36,10 @@ STEP = U(0x100000001B3)
 
 
 def words(text: str | None) -> list[str]:
-    """Lower-cased runs of letters, long ones in parts."""
+    """Lower-cased runs of letters."""
     found = _words.findall(text.lower()) if text else []
-    if found and (not "".join(found).isalpha() or len(max(found, key=len)) > LONGEST):
-        runs = ("".join(c if c.isalpha() else " " for c in x).split() for x in found)  # numerals that count as word characters go
-        found = [x[i : i + LONGEST] for run in runs for x in run for i in range(0, len(x), LONGEST)]
+    if found and not "".join(found).isalpha():
+        found = [x for run in found for x in "".join(c if c.isalpha() else " " for c in run).split()]  # numerals that count as word characters go
     return found
 
 
@@ -96,6 +97,9 @@ class Model:
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.pieces), default=1)
         self.table = PieceTable(self.pieces)
+        least = self.chances[self.chances > 0].min(initial=1.0)
+        #: Characters of a word up to which no product of chances comes near the least double.
+        self.safe = int(280 / max(-np.log10(least), 0.1))
 
 
 def vocabulary(path: str) -> dict[str, int]:
@@ -104,19 +108,33 @@ def vocabulary(path: str) -> dict[str, int]:
     return {x: i for i, x in enumerate(dict.fromkeys(["▁", *(x for x in found if x.lstrip("▁").isalpha() and x.rfind("▁") <= 0)]))}
 
 
-def _arcs(same: list[str], model: Model) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(i, j, words, pieces): the words of equal length whose characters i to j are a piece, and which; by i, then j."""
+def _arcs(same: list[str], model: Model, start: int = 0, stop: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(i, j, words, pieces): the words of equal length whose characters i to j are a piece, and which; by i, then j.
+
+    start, stop: bounds of i. Runs of one length are looked up together for all i of a block.
+    """
     n, unknown = len(same[0]), len(model.pieces)
+    stop = n if stop is None else stop
     points = np.frombuffer("".join(same).encode("utf-32-le"), np.uint32).reshape(-1, n).T.astype(U)
-    for i in range(n):
-        h = np.zeros(len(same), U)
-        for j in range(i + 1, min(n, i + model.longest) + 1):
-            h = (h + points[j - 1]) * STEP
+    block = max(1, TOGETHER // len(same))
+    for low in range(start, stop, block):
+        high, found = min(stop, low + block), []
+        h = np.zeros((high - low, len(same)), U)
+        for d in range(1, min(n - low, model.longest) + 1):
+            h = (h[: n - d + 1 - low] + points[low + d - 1 : high + d - 1]) * STEP
             ids = model.table.find(h)
-            if j == i + 1:
-                yield i, j, np.arange(len(same)), np.where(ids < 0, unknown, ids)
-            elif len(found := np.flatnonzero(ids >= 0)):
-                yield i, j, found, ids[found]
+            if d == 1:
+                found.append((None, np.where(ids < 0, unknown, ids), None))
+            else:
+                rows, cols = np.nonzero(ids >= 0)
+                found.append((cols, ids[rows, cols], np.searchsorted(rows, np.arange(high - low + 1))))
+        every = np.arange(len(same))
+        for i in range(low, high):
+            for d, (cols, ids, ends) in enumerate(found, 1):
+                if ends is None:
+                    yield i, i + 1, every, ids[i - low]
+                elif (a := ends[i - low]) < (b := ends[i - low + 1]):
+                    yield i, i + d, cols[a:b], ids[a:b]
 
 
 def _by_length(found) -> dict[int, list[str]]:
@@ -130,15 +148,66 @@ def log_chances(found: list[str], model: Model) -> np.ndarray:
     """Logarithms of the words' probabilities: [word, language]."""
     at = {x: k for k, x in enumerate(found)}
     out = np.empty((len(found), len(model.langs)))
+    with np.errstate(divide="ignore"):
+        logs = np.log(model.chances)
     for n, same in _by_length(found).items():
-        forward = np.zeros((n + 2, len(same), len(model.langs)))
-        forward[0] = 1
-        for i, j, at_words, ids in _arcs(same, model):
-            forward[j, at_words] += forward[i, at_words] * model.chances[ids]
-        out[[at[x[1:]] for x in same]] = np.log(forward[-1])
+        if n + 1 <= model.safe:
+            forward = np.zeros((n + 2, len(same), len(model.langs)))
+            forward[0] = 1
+            for i, j, at_words, ids in _arcs(same, model):
+                forward[j, at_words] += forward[i, at_words] * model.chances[ids]
+            last = np.log(forward[-1])
+        else:  # a ring of positions that arcs can still reach
+            ring = np.full((model.longest + 1, len(same), len(model.langs)), -np.inf)
+            ring[0], done = 0, 0
+            for i, j, at_words, ids in _arcs(same, model):
+                if i > done:
+                    ring[done % len(ring)], done = -np.inf, i
+                to = j % len(ring)
+                ring[to, at_words] = np.logaddexp(ring[to, at_words], ring[i % len(ring), at_words] + logs[ids])
+            last = ring[(n + 1) % len(ring)]
+        out[[at[x[1:]] for x in same]] = last
     return out
 
 
+def _expected_short(same: list[str], weight: np.ndarray, model: Model, lang: int) -> np.ndarray:
+    """Expected counts of the pieces in words of equal length that no product can underflow."""
+    arcs, p = list(_arcs(same, model)), model.chances[:, lang]
+    forward, backward = np.zeros((2, len(same[0]) + 1, len(same)))
+    forward[0] = backward[-1] = 1
+    for i, j, at, ids in arcs:
+        forward[j, at] += forward[i, at] * p[ids]
+    for i, j, at, ids in reversed(arcs):
+        backward[i, at] += backward[j, at] * p[ids]
+    total = np.zeros(len(p))
+    for i, j, at, ids in arcs:
+        total += np.bincount(ids, forward[i, at] * p[ids] * backward[j, at] / forward[-1, at] * weight[at], len(total))
+    return total
+
+
+def _expected_long(word: str, weight: float, model: Model, lang: int, block: int = 4096) -> np.ndarray:
+    """The same for one long word, in logarithms; arcs are made anew for each block of the backward pass."""
+    n, log = len(word), math.log
+    p = model.chances[:, lang].tolist()
+    forward, backward = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
+    forward[0] = backward[-1] = 0.0
+    for i, j, _, ids in _arcs([word], model):
+        if (x := p[ids[0]]) > 0:
+            forward[j] = _log_sum(forward[j], forward[i] + log(x))
+    total = np.zeros(len(p))
+    for low in reversed(range(0, n, block)):
+        for i, j, _, ids in reversed(list(_arcs([word], model, low, min(n, low + block)))):
+            if (x := p[ids[0]]) > 0:
+                backward[i] = _log_sum(backward[i], backward[j] + log(x))
+                total[ids[0]] += weight * math.exp(min(0.0, forward[i] + log(x) + backward[j] - forward[-1]))
+    return total
+
+
+def _log_sum(a: float, b: float) -> float:
+    high, low = (a, b) if a > b else (b, a)
+    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
+
+
 def _expected(model: Model):
     """Rows (lang, word, n) to expected counts (lang, piece, n)."""
 
@@ -149,17 +218,10 @@ def _expected(model: Model):
             for lang, word, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 groups[known[lang], len(word)].append(("▁" + word, n))
             for (lang, length), rows in groups.items():
-                same, weight = [x for x, _ in rows], np.array([n for _, n in rows], float)
-                arcs, p = list(_arcs(same, model)), model.chances[:, lang]
-                forward, backward = np.zeros((2, length + 2, len(same)))
-                forward[0] = backward[-1] = 1
-                for i, j, at, ids in arcs:
-                    forward[j, at] += forward[i, at] * p[ids]
-                for i, j, at, ids in reversed(arcs):
-                    backward[i, at] += backward[j, at] * p[ids]
-                for i, j, at, ids in arcs:
-                    expected = forward[i, at] * p[ids] * backward[j, at] / forward[-1, at] * weight[at]
-                    total[:, lang] += np.bincount(ids, expected, len(total))
+                if length + 1 <= model.safe:
+                    total[:, lang] += _expected_short([x for x, _ in rows], np.array([n for _, n in rows], float), model, lang)
+                else:
+                    total[:, lang] += sum(_expected_long(x, n, model, lang) for x, n in rows)
         pieces, langs = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([model.langs[x] for x in langs], pa.string()), pa.array(pieces), pa.array(total[pieces, langs])], names=["lang", "piece", "n"])
 
@@ -193,6 +255,8 @@ def train(docs: DataFrame, vocabulary_path: str, text_col: str = "text", lang_co
     share = F.create_map(*(F.lit(x) for lang in langs for x in (lang, min(million, -(-sample * million // counts[lang])))))
     chosen = labelled.where(F.pmod(F.xxhash64("text"), F.lit(million)) < share[F.col("lang")])
     seen = scratch.table(chosen.mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    seen = seen.repartition(tasks, "word")  # the table is small, the work on it is not
     at = {x: k for k, x in enumerate(langs)}
     for _ in range(rounds):
         total = np.full(start.shape, 0.01)

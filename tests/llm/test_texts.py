@@ -264,12 +264,42 @@ def test_language(spark):
     assert {x.lang_pred for x in language.identify(docs, none).collect()} == {"und"}
 
 
+def segmentations(word, pieces):
+    if not word:
+        yield []
+    for n in range(1, len(word) + 1):
+        if n == 1 or word[:n] in pieces:
+            for rest in segmentations(word[n:], pieces):
+                yield [pieces.get(word[:n], len(pieces)), *rest]
+
+
 def test_language_sums_all_segmentations():
-    pieces = {x: i for i, x in enumerate(["▁", "a", "b", "ab", "▁a"])}
-    chances = np.array([[0.1], [0.2], [0.3], [0.25], [0.15], [1e-8], [0.0]])
-    p = dict(zip(pieces, chances[:, 0]))
-    want = p["▁"] * p["a"] * p["b"] + p["▁"] * p["ab"] + p["▁a"] * p["b"]
-    assert np.isclose(np.exp(language.log_chances(["ab"], language.Model(["x"], pieces, chances))), want)
+    r, g = random.Random(3), np.random.default_rng(3)
+    pieces = {x: i for i, x in enumerate(["▁", "a", "b", "ab", "▁a", "ba", "aab", "bb", "▁ba"])}
+    chances = np.vstack([g.random((len(pieces) + 1, 2)) / 10, np.zeros((1, 2))])
+    model = language.Model(["x", "y"], pieces, chances)
+    found = sorted({"".join(r.choice("abc") for _ in range(r.randint(1, 9))) for _ in range(60)})
+    for safe in (model.safe, 0):  # products, then sums of logarithms
+        model.safe = safe
+        got = language.log_chances(found, model)
+        for k, word in enumerate(found):
+            every = list(segmentations("▁" + word, pieces))
+            weights = np.array([chances[s].prod(axis=0) for s in every])
+            assert np.allclose(np.exp(got[k]), weights.sum(axis=0))
+            want = sum(w / weights[:, 1].sum() * np.bincount(s, minlength=len(chances)) for w, s in zip(weights[:, 1], every, strict=True))
+            assert np.allclose(language._expected_short(["▁" + word], np.array([1.0]), model, 1), want)
+            assert np.allclose(language._expected_long("▁" + word, 1, model, 1, block=2), want)
+
+
+def test_language_of_long_unknown_runs():
+    pieces = {x: i for i, x in enumerate(["▁", "a", "ab"])}
+    model = language.Model(["x", "y"], pieces, np.array([[1e-12, 1e-12], [1e-12, 1e-11], [1e-12, 1e-12], [1e-12, 1e-12], [0, 0]]))
+    (one,) = language.log_chances(["z" * 1000], model)
+    assert np.allclose(one, 1001 * np.log(1e-12))
+    assert np.isclose(language._expected_long("▁" + "z" * 1000, 3.0, model, 0, block=100)[3], 3000)
+    scored = language.Scorer(model).score(["z" * 1000 + "a", "a" * 3000, "z" * 40])
+    assert scored[0][0] == "y" and scored[1] == ("y", 1.0) and scored[2] == ("x", 0.5)
+    assert language.words("x" * 5000 + " ½y") == ["x" * 5000, "y"]
 
 
 def test_licenses(spark):
