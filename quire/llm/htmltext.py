@@ -33,14 +33,16 @@ SILENT = set("script style title noscript template textarea select option button
 RAW = set("script style title noscript textarea iframe".split())  # of the silent ones: no tags inside but their own end
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
+ITEMS = {"p", "li", "dd", "dt"}
 CUES = (
     "ad ads advert advertisement banner promo promoted sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar side aside cookie cookies consent gdpr notice "
     "alert popup modal comment comments reply replies disqus share sharing social related recommended newsletter subscribe signup login search form widget pagination tags copyright "
     "article content main post entry story body text page"
 ).split()
 _cues = set(CUES)
-_markup = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_raw_end = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>", re.I) for x in RAW}
+_name = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_stop = re.compile("[>\"']")
+_raw_end = {x: re.compile(rf"</{x}(?=[\s/>])", re.I) for x in RAW}
 _tag = re.compile("</?[a-zA-Z]")
 _named = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _word = re.compile(r"[a-z]+")
@@ -56,13 +58,41 @@ class Node:
         self.chars, self.leaves, self.label = len(text), int(bool(text)), 0
 
 
+class Tags:
+    """Ends of tags in one page, found in time proportional to the page whatever it holds."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, {c: page.rfind(c) for c in ">\"'"}
+        self.quoted = True  # until a tag is found that only a sign in quotes could end
+
+    def end(self, at: int) -> int:
+        """The place of the sign that ends the tag whose name ends at ``at``, -1 for none: signs in closed quotes don't count."""
+        if at > self.last[">"]:
+            return -1
+        k = at
+        while self.quoted:
+            m = _stop.search(self.page, k)
+            if not m:
+                self.quoted = False
+            elif m[0] == ">":
+                return m.start()
+            elif m.start() < self.last[m[0]]:
+                k = self.page.find(m[0], m.end()) + 1
+            else:
+                k = m.end()
+        return self.page.find(">", at)
+
+
 def parse(page: str) -> list[Node]:
     """Nodes of the tree in page order, parents first; the first is the root.
 
-    The head needs no end of its own: what may stand in it is silent or void, and anything else belongs to the body.
+    The head needs no end of its own: what may stand in it is silent or void, and anything else belongs to the body. Scripts,
+    styles and the like end at their own end tag, or with the page. A sign that starts no tag is text, and so is what follows
+    it; an unfinished last tag or comment is none. Time is proportional to the page.
     """
     nodes, stack, run, links = [Node("root", -1)], [("root", 0)], [], 0
-    linked, silent, at = 0, "", 0
+    linked, silent, at, tags = 0, "", 0, Tags(page)
+    places: dict[str, list[int]] = defaultdict(lambda: [-1])  # in the stack, by name; "" for all but items
 
     def flush() -> None:
         nonlocal linked
@@ -73,39 +103,60 @@ def parse(page: str) -> list[Node]:
         linked = 0
 
     def close(to: int) -> None:
+        for name, _ in stack[to:]:
+            places[name].pop()
+            if name not in ITEMS:
+                places[""].pop()
         del stack[to:]
 
-    while m := _markup.search(page, at):
-        if m.start() > at and not silent:
-            piece = html.unescape(page[at : m.start()])
+    def say(text: str) -> None:
+        nonlocal linked
+        if not silent and text:
+            piece = html.unescape(text)
             run.append(piece)
             if links:
                 linked += len(piece.strip())
-        at = m.end()
-        if m[2] is None:
+
+    seen = 0
+    while (here := page.find("<", seen)) >= 0:
+        if page.startswith("<!--", here):
+            end = page.find("-->", here + 4) + 2
+            say(page[at:here])
+            at = seen = end + 1 if end > 1 else len(page)
+            continue
+        if page[here + 1 : here + 2] in ("!", "?"):
+            end = page.find(">", here)
+            say(page[at:here])
+            at = seen = end + 1 if end >= 0 else len(page)
+            continue
+        name = _name.match(page, here + 1)
+        end = tags.end(name.end()) if name else -1
+        if end < 0:
+            seen = here + 1
             continue
-        tag = m[2].lower()
-        if tag in RAW and not m[1]:
-            if not m[3].endswith("/"):
-                end = _raw_end[tag].search(page, at)
-                at = end.end() if end else len(page)
+        say(page[at:here])
+        at = seen = end + 1
+        tag, inside, ends = name[1].lower(), page[name.end() : end], page[here + 1] == "/"
+        if tag in RAW and not ends:
+            if not inside.endswith("/"):
+                found = _raw_end[tag].search(page, at)
+                end = page.find(">", found.end()) if found else -1
+                at = seen = end + 1 if end >= 0 else len(page)
             continue
         if silent:
-            if m[1] and tag == silent:
+            if ends and tag == silent:
                 silent = ""
             continue
-        if m[1]:
+        if ends:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in BLOCKS:
                 flush()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        close(k)
-                        break
+                if places[tag][-1] > 0:
+                    close(places[tag][-1])
             continue
         if tag in SILENT:
-            silent = "" if m[3].endswith("/") else tag
+            silent = "" if inside.endswith("/") else tag
         elif tag == "br":
             run.append(" ")
         elif tag == "a":
@@ -113,15 +164,15 @@ def parse(page: str) -> list[Node]:
         elif tag in BLOCKS:
             flush()
             links = 0
-            for k in range(len(stack) - 1, 0, -1):  # implied ends
-                if tag in CLOSES and stack[k][0] in CLOSES[tag] or stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in SCOPES.get(tag, ()) or stack[k][0] not in ("p", "li", "dd", "dt") and tag not in CLOSES:
-                    break
-            if tag not in VOID and not m[3].endswith("/"):
-                cues = [w for x in _named.findall(m[3]) for w in _word.findall(x.lower()) if w in _cues] if m[3] else None
+            ended = max(places[x][-1] for x in ("p", *CLOSES.get(tag, ())))  # implied ends
+            if 0 < ended >= max(places[x][-1] for x in SCOPES.get(tag, ("",))):
+                close(ended)
+            if tag not in VOID and not inside.endswith("/"):
+                cues = [w for x in _named.findall(inside) for w in _word.findall(x.lower()) if w in _cues] if inside else None
                 nodes.append(Node(tag, stack[-1][1], cues))
+                places[tag].append(len(stack))
+                if tag not in ITEMS:
+                    places[""].append(len(stack))
                 stack.append((tag, len(nodes) - 1))
     if not silent and at < len(page):
         unfinished = _tag.search(page, max(at, page.rfind(">") + 1))
@@ -306,8 +357,9 @@ def _extracted(model, html_at: int):
 def extract(pages: DataFrame, model: Tree, html_col: str = "html", text_out: str = "text") -> DataFrame:
     """The rows of pages with their main text: blocks in page order, white space inside a block as one space.
 
-    Null, empty and text-free pages give an empty text; a page without markup is one block, judged like any other. A column
-    of pages with the new name is replaced.
+    Null, empty and text-free pages give an empty text; a page without markup is one block, judged like any other. What unclosed
+    elements, scripts and lone signs mean is said at ``parse``; very long pages take time and memory in proportion. Repeated
+    rows are judged one by one, an empty table gives no rows. A column of pages with the new name is replaced.
     """
     pages = pages.drop(text_out)
     out = pages.withColumn(text_out, F.lit(None).cast("string"))

@@ -240,12 +240,50 @@ def test_html(spark):
         ("<head><title>T</title><body><p>a</p>", ["a"]), ("<head><meta charset=utf-8><title>a<b</title><p>a</p>", ["a"]), ("<head><script>if(a<b)c()</script></head><body>a", ["a"]), ("<head><title>T</title>a", ["a"]),
         ("<svg><script>i<n</script><p>x</p></svg><p>a", ["a"]), ("<select><option>x<option>y</select><p>a", ["a"]), ("<script src='x'/><p>a", ["a"]),
         ("if a < b then c", ["if a < b then c"]), ("<p>1 < 2 and 3 <4 > 5", ["1 < 2 and 3 <4 > 5"]), ("<p>a</p>b < c <p class='x", ["a", "b < c"]), ("a <!-- b", ["a"]), ("a </p", ["a"]), ("a <", ["a <"]),
+        ("<p title='a>b</p><p>c", ["b", "c"]), ("<p title='>'>b</p>", ["b"]), ("<p x='>", []), ("<div>a<ul><li>b<div><p>c</div><li>d</ul>e", ["a", "b", "c", "d", "e"]),
     ],
 )
 def test_page_text_is_whole(page, want):
     assert [x.text for x in htmltext.parse(page) if x.text] == want
 
 
+def test_page_marginals_sum_over_all_labels():
+    from itertools import product
+
+    r = random.Random(11)
+    for k in range(6):
+        nodes = [htmltext.Node("root", -1)]
+        for i in range(1, 8):
+            up = r.choice([j for j, x in enumerate(nodes) if not x.text])
+            nodes.append(htmltext.Node(r.choice(["div", "p", "article"]), up, ["ad"] * (i % 2)) if r.random() < 0.5 else htmltext.Node("text", up, text="Some words, here."))
+        model = htmltext.Tree()
+        found = [htmltext.features(x, nodes, False) for x in nodes]
+        model.weights = {f: r.uniform(-2, 2) for fs in found for f in fs}
+        model.pairs = {kind: [[r.uniform(-2, 2) for _ in "ab"] for _ in "ab"] for kind in (False, True)}
+        own, total, ones, edges = [sum(model.weights[f] for f in fs) for fs in found], 0.0, np.zeros(len(nodes)), np.zeros((len(nodes), 2, 2))
+        for labels in product((0, 1), repeat=len(nodes)):
+            score = sum(x for x, y in zip(own, labels, strict=True) if y) + sum(model.pairs[bool(x.text)][labels[x.parent]][y] for x, y in zip(nodes[1:], labels[1:], strict=True))
+            total += (weight := np.exp(score))
+            ones += weight * np.array(labels)
+            for i, x in enumerate(nodes[1:], 1):
+                edges[i, labels[x.parent], labels[i]] += weight
+        got, pairs = model.marginals(nodes)
+        assert np.allclose(got, ones / total)
+        for i in range(1, len(nodes)):
+            assert np.allclose(np.exp(pairs[i]) / np.exp(pairs[i]).sum(), edges[i] / total)
+
+
+def test_pages_take_time_in_proportion():
+    import time
+
+    n, began = 16_000, time.time()
+    for page in ("<a ", '<a "', '<a x=">" ', "<script></script ", "<!--", "<", "&", "<p", "<li><p>", "<dd><li>"):
+        htmltext.parse(page * n)
+    htmltext.parse("<div>" * n + "</p>" * n)
+    htmltext.parse("<li><ul>" + "<div>" * n + "<li></li>" * n)
+    assert time.time() - began < 10
+
+
 def test_language(spark):
     r = random.Random(5)
     parts = {"aa": ["lo", "mi", "ta", "re"], "bb": ["sch", "en", "ung", "er"], "cc": ["eau", "oi", "ment", "que"]}
