@@ -1,4 +1,9 @@
-"""Connected components by alternating large-star and small-star steps, each a Spark job over a written table."""
+"""Connected components by alternating large-star and small-star steps, each a Spark job over a written table.
+
+A node with very many edges, a hub, is no single task's work: the least neighbour of each node is a grouped minimum, which Spark
+forms before it shuffles. To hand it back, the minima are broadcast while they are few; beyond that they are written first, so
+that the join reads two plain shuffles, whose skewed partitions Spark splits (adaptive skew join).
+"""
 
 from __future__ import annotations
 
@@ -7,6 +12,15 @@ from pyspark.sql import functions as F
 
 from quire.plans.scratch import Scratch
 
+#: Rows up to which their minima are broadcast (16 bytes each).
+BROADCAST_ROWS = 1_000_000
+
+
+def with_least(rows: DataFrame, key: str, value: str, n_rows: int, scratch: Scratch, name: str) -> DataFrame:
+    """rows, n_rows at most, with a column m: the least value of their key."""
+    least = rows.groupBy(key).agg(F.min(value).alias("m"))
+    return rows.join(F.broadcast(least) if n_rows <= BROADCAST_ROWS else scratch.table(least, name), key)
+
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Edges (a, b) to (node, root), root the least node that can be reached; roots themselves have no row.
@@ -21,12 +35,15 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
         if tuple(seen) == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before, step = tuple(seen), step + 1
+        before, step, n = tuple(seen), step + 1, 2 * seen[0]
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(down.withColumnRenamed("m", "b"))
-        following = scratch.table(small.distinct(), f"{name}-{step}")
-        scratch.drop(f"{name}-{step - 1}")
+        near = with_least(both, "u", "v", n, scratch, f"{name}-{step}-large").where("v > u")
+        large = near.select(F.col("v").alias("a"), F.least("u", "m").alias("b")).distinct()
+        if n > BROADCAST_ROWS:
+            large = scratch.table(large, f"{name}-{step}-stars")
+        near = with_least(large, "a", "b", n, scratch, f"{name}-{step}-small")
+        small = near.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
+        following = scratch.table(small.where("a <> b").distinct(), f"{name}-{step}")
+        for old in (f"{name}-{step - 1}", f"{name}-{step}-large", f"{name}-{step}-stars", f"{name}-{step}-small"):
+            scratch.drop(old)
         now = following

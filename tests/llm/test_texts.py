@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontaminate, htmltext, language, licenses, neardup, packing, pii, quality, tokencount
+from quire.llm import chat, components as components_module, decontaminate, htmltext, language, licenses, neardup, packing, pii, quality, tokencount
 
 BYTE_BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = [None, "", " ", "\n\t ", "a", "one two", "<|endoftext|> x  \n<|endoftext|>", "a  b\n c ▁▁ d ▁e", "x　y z ﬁ ² don't 'tis", "Word.Word,word ..., .com 3.14 a,b", "  lead", "trail  ", "\x00\x1c!\x1c? é́"]
@@ -100,8 +100,10 @@ def test_near_duplicates(spark, monkeypatch):
     texts = [None, "", " \n", "Hi there", "hi  THERE", prose(20, 3), *(edited(x, k % 6) for x in base for k in range(25)), *[base[0]] * 5, *(prose(80, k) for k in range(50, 80))]
     r.shuffle(texts)
     roots, sizes = components(texts, 85)
-    for block in (512, 8):
+    for block, hot, few in ((512, 8192, 10**6), (8, 8192, 0), (8, 16, 0)):
         monkeypatch.setattr(neardup, "BLOCK", block)
+        monkeypatch.setattr(neardup, "HOT", hot)
+        monkeypatch.setattr(components_module, "BROADCAST_ROWS", few)
         got = {x.doc_id: x for x in neardup.near_duplicates(frame(spark, texts)).collect()}
         assert [got[i].component_id for i in range(len(texts))] == roots
         assert [got[i].n_shingles for i in range(len(texts))] == sizes
