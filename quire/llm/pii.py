@@ -4,7 +4,7 @@ Base spans come from fixed patterns. The field then looks at the stretches of a
 is a run of up to eight successive tokens there, features describe the whole segment (its shape, counts, check sum, the
 word before it), and dynamic programming over segment ends chooses boundaries and kinds together. Weights are fitted by gradient
 steps on the conditional log-likelihood, with the base spans (also without their marks, such as a plus sign) and quoted keys
-after words like "token" of a bounded sample as labels. Spans of the field that touch no base span are added to the base.
+after words like "token" of a bounded sample as labels, and numbers that fail the checks of their kind as counter-examples. Spans of the field that touch no base span are added to the base.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
 #: Most tokens in a segment; rows that the field is fitted on, at most about, and stretches of them; steps through them.
 LONGEST, SAMPLE, STRETCHES, EPOCHS = 8, 4000, 500, 4
+#: In training: stretches of a row, and characters of a stretch.
+STRETCHES_OF_TEXT, LONGEST_STRETCH = 20, 400
 
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -35,6 +37,7 @@ _marks = re.compile(r"[0-9@]+|[\[(](?:at|dot)[\])]")
 _token = re.compile(r"\S+")
 _key = re.compile(r"(?:token|key|secret|password)\s*[=:]\s*[\"']?([A-Za-z0-9_/+-]{16,})", re.I)
 _digit = re.compile("[0-9]")
+_long_number = re.compile(r"(?:[0-9][ ().-]?){9}")
 Span = tuple[int, int, str]
 
 
@@ -234,42 +237,60 @@ def _logsum(x: list[float]) -> float:
     return top + math.log(sum(math.exp(y - top) for y in x)) if top > -math.inf else top
 
 
+def _changed(part: str, own: list[Span], k: int, new: str, kind: str | None) -> tuple[str, list[Span]]:
+    """The part with new text in place of its k-th span, now of another kind or none; the other spans move with it."""
+    a, b, _ = own[k]
+    by = len(new) - (b - a)
+    others = [(x + by * (x >= b), y + by * (y >= b), z) for j, (x, y, z) in enumerate(own) if j != k and (y <= a or x >= b)]
+    return part[:a] + new + part[b:], sorted(others + ([(a, a + len(new), kind)] if kind else []))
+
+
+def twins(part: str, own: list[Span]) -> Iterator[tuple[str, list[Span]]]:
+    """For each span what looks like it: numbers that fail their check and are no personal data, phone numbers without their plus that are."""
+    for k, (a, b, kind) in enumerate(own):
+        if kind == "card":  # another last digit fails the check sum
+            yield _changed(part, own, k, part[a : b - 1] + str((int(part[b - 1]) + 1) % 10), None)
+        elif kind == "ip":
+            yield _changed(part, own, k, "99" + part[a:b], None)
+        elif kind == "phone":
+            yield _changed(part, own, k, part[a + 1 : b], "phone")
+
+
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches with their labels as text, start:end:kind joined by commas; one of three goes without its plus signs."""
+    """Stretches with their labels as text, start:end:kind joined by commas, and whether they are hard: long numbers without a label."""
     for batch in batches:
-        out: list[tuple[str, str]] = []
+        out: list[tuple[str, str, bool]] = []
         for text in batch.column(0).to_pylist():
             keys = [(*m.span(1), "secret") for m in _key.finditer(text)]
             keys = [x for x in keys if _digit.search(text, x[0], x[1])]
             labels = [x for x in base_spans(text) if not any(a < x[1] and x[0] < b for a, b, _ in keys)] + keys
-            for tokens in stretches(text)[:20]:
+            for tokens in stretches(text)[:STRETCHES_OF_TEXT]:
                 low, high = tokens[0][0], tokens[-1][1]
                 part = text[max(0, low - 20) : high]
-                if high - low < 400:
-                    own = [(a - high + len(part), b - high + len(part), k) for a, b, k in labels if low <= a and b <= high]
-                    if len(out) % 3 == 0:
-                        for a, b, k in sorted(own, reverse=True):
-                            if k == "phone" and part[a] == "+":
-                                part = part[:a] + part[a + 1 :]
-                                own = [(x - (x > a), y - (y > a), z) for x, y, z in own]
-                    out.append((part, ",".join(f"{a}:{b}:{k}" for a, b, k in own)))
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.string())], names=["part", "labels"])
+                if high - low < LONGEST_STRETCH:
+                    own = sorted((a - high + len(part), b - high + len(part), k) for a, b, k in labels if low <= a and b <= high)
+                    for told, spans in ((part, own), *twins(part, own)):
+                        out.append((told, ",".join(f"{a}:{b}:{k}" for a, b, k in spans), not spans and bool(_long_number.search(told))))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.bool_()))], names=["part", "labels", "hard"])
 
 
 def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, n_stretches: int = STRETCHES) -> Field:
-    """Fit the field on a bounded sample: about ``sample`` rows chosen by a hash of the text, up to n_stretches of each first label of theirs."""
+    """Fit the field on a bounded sample: about ``sample`` rows chosen by a hash of the text, of each row the first 20 stretches of under 400 characters.
+
+    Up to n_stretches / 3 of them are used for each kind that they end with, for none, and for long numbers without a label; among
+    these are twins of labelled ones that fail the check sum or the range of their kind. The bounds hold for training only.
+    """
     texts = docs.select(F.col(text_col).alias("text")).where("text is not null and text <> ''")
     total = texts.count()
     share = min(1_000_000, -(-sample * 1_000_000 // max(total, 1)))
-    sampled = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).mapInArrow(_examples, "part string, labels string")
+    sampled = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).mapInArrow(_examples, "part string, labels string, hard boolean")
     rows = Scratch(docs.sparkSession, "pii").table(sampled.distinct(), "stretches")
-    kinds = [F.col("labels") == "", *(F.col("labels").endswith(k) for k in KINDS)]
     examples = []
-    for kind in kinds:
+    for kind in [F.col("hard"), ~F.col("hard") & (F.col("labels") == ""), *(F.col("labels").endswith(k) for k in KINDS)]:
         for r in rows.where(kind).orderBy(F.xxhash64("part"), "part").limit(n_stretches // 3).collect():
             gold = {(int(a), int(b)): k for a, b, k in (x.split(":") for x in r.labels.split(",") if x)}
             examples.extend((r.part, tokens, {x: k for x, k in gold.items() if tokens[0][0] <= x[0]}) for tokens in stretches(r.part))
-    examples.sort(key=lambda x: zlib.crc32(x[0].encode()))
+    examples.sort(key=lambda x: (zlib.crc32(x[0].encode()), x[0]))
     return Field().fit(examples)
 
 
@@ -304,8 +325,9 @@ def _found(field, text_at: int):
 def detect(docs: DataFrame, field: Field, text_col: str = "text", base_out: str = "base_spans", spans_out: str = "spans") -> DataFrame:
     """The rows of docs with two columns more: the base spans and all spans (start, end exclusive, kind; code points).
 
-    Null and empty texts have no spans. Base spans of different kinds may overlap; spans that the field adds overlap nothing. Columns
-    of docs with the new names are replaced.
+    Null and empty texts have no spans. Base spans of different kinds may overlap; spans that the field adds overlap nothing. Texts are
+    searched whole, in time proportional to their length; repeated rows are searched one by one; an empty table gives no
+    rows. Columns of docs with the new names are replaced.
     """
     docs = docs.drop(base_out, spans_out)
     out = docs.withColumns({base_out: F.lit(None).cast(SPANS), spans_out: F.lit(None).cast(SPANS)})
