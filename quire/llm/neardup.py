@@ -234,8 +234,10 @@ def _linked(texts: DataFrame, clusters: DataFrame, percent: int, scratch: Scratc
     return links.unionByName(confirmed(lower.select(names).unionByName(upper.select(names)), "more-links"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (least id reachable by links), kept (it is that one), and the columns in keep.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, keep: Sequence[str] = (), group_out: str | None = None) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (least id reachable by links), kept (it is that one).
+
+    Columns named in keep follow, and with group_out a number of the row's component, null if it is alone.
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets (five words; the whole sequence
     if there are fewer). Texts that are null, empty or without words have no shingles and no links; equal texts are linked.
@@ -255,12 +257,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = connected_components(_linked(texts, clusters, percent, scratch), scratch, "joined")
     members = joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "rep").join(clusters.select("rep", "id", "digest"), "rep")
     members = scratch.table(members.select("digest", "root", "id"), "members")
-    least = with_least(members, "root", "id", members.count(), scratch, "least").select("digest", "m")
-    copies = reps.where("copies > 1").select("digest", F.col("id").alias("m")).join(least.select("digest"), "digest", "left_anti")
+    least = with_least(members, "root", "id", members.count(), scratch, "least").select("digest", "m", "root")
+    copies = reps.where("copies > 1").select("digest", F.col("id").alias("m"), F.col("rep").alias("root")).join(least.select("digest"), "digest", "left_anti")
     roots = scratch.table(least.unionByName(copies), "roots")
     scratch.keep("signed", "roots")
-    return (
-        signed.join(roots, "digest", "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("m", "id").alias("component_id"), *(F.col(f"keep_{c}").alias(c) for c in keep))
-        .withColumn("kept", F.col(id_col) == F.col("component_id"))
-    )
+    least_id = F.coalesce("m", "id")
+    more = [F.col(f"keep_{c}").alias(c) for c in keep] + ([F.col("root").alias(group_out)] if group_out else [])
+    named = F.col("id").alias(id_col), F.col("n").alias("n_shingles"), least_id.alias("component_id"), (F.col("id") == least_id).alias("kept")
+    return signed.join(roots, "digest", "left").select(*named, *more)

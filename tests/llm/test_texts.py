@@ -183,15 +183,46 @@ def test_quality(spark):
 
 
 def test_risk_bound(spark):
-    from math import comb, exp
-
-    rows = spark.createDataFrame([(k, n) for n in (10, 40, 3000) for k in (0, 1, 5)], "k long, n long")
-    for r in rows.withColumn("p", quality.log_binomial_cdf(F.col("k"), F.col("n"), 0.01)).collect():
-        assert abs(exp(r.p) - sum(comb(r.n, i) * 0.01**i * 0.99 ** (r.n - i) for i in range(r.k + 1))) < 1e-9
-    # 40,000 good texts, one in a thousand with many symbols: the lowest cutoffs of "symbols" are not safe, higher ones are
-    good = spark.range(40_000).select(F.lit("en").alias("stratum"), F.lit(100).alias("n_words"), F.lit(500).alias("word_chars"), F.when(F.col("id") % 100 == 0, 60).when(F.col("id") % 1000 == 1, 90).otherwise(4).alias("n_symbols"), F.lit(0).alias("n_dup_lines"), F.lit(0).alias("n_repeat_words"))
-    chosen = quality.cutoffs(good, "stratum").first()
-    assert 0.12 <= chosen.cut_symbols <= 0.13 and chosen.cut_dup_lines == 0.005
+    from math import comb
+
+    rows = spark.createDataFrame([(n, x) for n in (0, 10, 300, 440, 3000) for x in (0.5, 0.0125, 1e-4)], "n long, level double")
+    for r in rows.withColumn("k", quality.most_exceeding(F.col("n"), 0.01, F.log("level"))).collect():
+        below = [sum(comb(r.n, i) * 0.01**i * 0.99 ** (r.n - i) for i in range(k + 1)) for k in range(r.n // 100 + 1)]
+        assert r.k == max((k for k, p in enumerate(below) if p <= r.level), default=-1), r
+    # 40,000 good texts, one in a hundred with symbols at 0.12, one in a thousand at 0.18; bad ones at 0.125: the lowest cutoffs are not safe, 0.12 is
+    symbols = F.when(~F.col("good"), 62).when(F.col("id") % 100 == 0, 60).when(F.col("id") % 1000 == 1, 90).otherwise(4)
+    texts = spark.range(40_500).withColumn("good", F.col("id") < 40_000)
+    texts = texts.select("good", F.lit("en").alias("stratum"), F.lit(100).alias("n_words"), F.lit(500).alias("word_chars"), symbols.alias("n_symbols"), F.lit(0).alias("n_dup_lines"), F.lit(0).alias("n_repeat_words"))
+    assert quality.cutoffs(texts, "stratum").first().cut_symbols == 0.12
+    assert quality.cutoffs(texts.limit(300), "stratum").count() == 0
+
+
+def test_quality_with_safe_cutoffs(spark):
+    """Every text of a stratum against the plain statement of the method."""
+    from math import comb
+
+    texts = [prose(60, k) for k in range(700)] + [prose(60, k).replace(" ", " #$% ", 40) for k in range(700, 740)] + [prose(60, k).replace(" ", " # ", 6) for k in range(740, 745)]
+    labels = spark.createDataFrame([(k, int(k < 700 or k >= 740), 0) for k in range(745) if k % 25 or k >= 700], "doc_id long, quality int, toxic int")
+    docs = frame(spark, texts).withColumn("lang", F.lit("en"))
+    got = {x.doc_id: x for x in quality.judged(docs, labels).collect()}
+    score = {k: [got[k].n_symbols / got[k].word_chars, got[k].word_chars / got[k].n_words, got[k].n_dup_lines / got[k].n_words, got[k].n_repeat_words / got[k].n_words] for k in got}
+    usable = [k for k in score if (k % 25 or k >= 700) and not got[k].base_failed]
+    good = [k for k in usable if k < 700 or k >= 740]
+    grids, best = [g for _, g in quality.RULES.values()], None
+    for chain, (order, weight) in enumerate(quality.CHAINS):
+        places, cuts = [list(quality.RULES).index(x) for x in order], [float("inf")] * 4
+        steps = [(p, c) for p in places for c in grids[p]]
+        for at, (p, c) in enumerate(steps, 1):
+            cuts[p] = c
+            over = lambda k: any(s > x for s, x in zip(score[k], cuts, strict=True))
+            exceed = sum(map(over, good))
+            if sum(comb(len(good), i) * 0.01**i * 0.99 ** (len(good) - i) for i in range(exceed + 1)) > 0.05 * weight or exceed > 0.01 * len(good):
+                break
+            found = (sum(map(over, usable)) - exceed, -exceed, at, -chain), list(cuts)
+            best = max(best, found) if best else found
+    for k, x in got.items():
+        assert x.kept == (not x.base_failed and not any(s > c for s, c in zip(score[k], best[1], strict=True))), k
+    assert not any(got[k].kept for k in range(700, 740)) and sum(got[k].kept for k in range(700)) > 690
 
 
 def test_personal_data(spark):
@@ -218,6 +249,53 @@ def test_personal_data(spark):
     assert pii.detect(docs.limit(0), pii.train(docs.limit(0))).count() == 0
 
 
+def test_segmentations_are_summed_and_decoded():
+    r = random.Random(6)
+    text = "card 4111 1111 x@y.z 1999 or"
+    tokens = [m.span() for m in re.finditer(r"\S+", text)]
+    field = pii.Field()
+    ends = field.segments(text, tokens)
+    for e in ends:
+        for _, _, found in e:
+            for f in found:
+                field.weights.setdefault(f, [r.uniform(-1, 1) for _ in pii.KINDS])
+
+    def every(j):  # segmentations of the first j tokens: (score, segments)
+        if not j:
+            return [(0.0, ())]
+        out = list(every(j - 1))
+        for i, span, found in ends[j - 1]:
+            for kind, x in enumerate(field.scores(found)):
+                out += [(s + x, (*parts, (i, j - 1, span, kind, tuple(found)))) for s, parts in every(i)]
+        return out
+
+    whole = every(len(tokens))
+    best = max(whole, key=lambda x: x[0])
+    assert field.decode(text, tokens) == [(*span, pii.KINDS[kind]) for _, _, span, kind, _ in best[1]]
+    gold = {tuple(best[1][0][2]): pii.KINDS[best[1][0][3]]}
+    z = sum(np.exp(s) for s, _ in whole)
+    want = Counter()
+    for s, parts in whole:
+        for _, _, _, kind, found in parts:
+            for f in found:
+                want[f, kind] -= np.exp(s) / z
+    for f in best[1][0][4]:
+        want[f, best[1][0][3]] += 1
+    before = {f: list(w) for f, w in field.weights.items()}
+    field.fit([(text, tokens, gold)], epochs=1, rate=1.0)
+    for (f, kind), g in want.items():  # a step of the adaptive rate: g / sqrt(1 + g * g)
+        assert abs(field.weights[f][kind] - before[f][kind] - g / np.sqrt(1 + g * g)) < 2e-3, (f, kind)
+
+
+def test_twins():
+    part = "at 10.2.3.4 pay 4111111111111111 or +1 415 555 0134 now"
+    own = sorted(pii.base_spans(part))
+    made = list(pii.twins(part, own))
+    assert [x for x, _ in made] == [part.replace("10.2", "9910.2"), part.replace("1111 or", "1112 or"), part.replace("+1 4", "1 4")]
+    for x, spans in made:
+        assert [x[a:b] for a, b, _ in spans] == [x[a:b] for a, b, _ in sorted(pii.base_spans(x))] + ["1 415 555 0134"] * ("+" not in x)
+
+
 def test_html(spark):
     pages = [htmltext.generated(i) for i in range(40)]
     rows = [(i, "u", x, "old") for i, x in enumerate([None, "", "plain", "<p>", "<script>var a='</p>';", "<article><p>a&amp;b\n c</p></article", *pages])]
@@ -382,6 +460,30 @@ def test_pipeline(spark, tmp_path):
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "length", "ids_crc32").collect())) == sorted(map(tuple, docs.select("doc_id", "start", "length", "ids_crc32").collect()))
 
 
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b, c = prose(120, 1), prose(120, 2), prose(120, 3)
+    near = b.replace(b.split()[5], "other", 1)
+    rows = [(1, a), (1, a), (2, b), (5, near), (5, c), (7, None), (7, None), (None, a), (8, ""), (9, c), (10, prose(60, 9)), (10, prose(60, 9) + " end"), (11, prose(60, 9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("hits", "spans", "score", "id", "quire", "text_key", "group", "kept", "component_id", "rest"):
+        docs = docs.withColumn(name, F.lit("x"))
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    left = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+    tens = [x for x in left if x[0] == 10]
+    assert len(tens) == 1 and sorted((x for x in left if x[0] != 10), key=repr) == sorted([(1, a), (2, b), (5, c), (7, None), (7, None), (None, a), (8, "")], key=repr)
+    spark.createDataFrame([(1, c)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for empty in (False, True):
+        rows = docs.withColumn("lang", F.lit("en")).where(F.lit(not empty))
+        for name, stage in corpus_pipeline.STAGES:
+            found = stage(spark, rows, str(tmp_path))
+            assert name == "packing" or found.columns == rows.columns
+            n = {"language_id": 10, "near_duplicates": 8, "decontamination": 11, "personal_data": 13}.get(name, found.count())
+            assert found.count() == (0 if empty else n), name
+
+
 def test_queries_read_back(spark):
     from quire.llm import queries
 
