@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, near-duplicates, decontamination, PII masking and packing over documents.
 
-Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of documents.
-Rows with a null doc_id pass the near-duplicate stage; empty tables give empty results.
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of documents,
+whatever columns there are beside doc_id, text and lang. Stages other than near_duplicates judge repeated rows one by one.
+Texts of any length are read whole; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from quire.llm import decontaminate, language, neardup, packing, pii
 from quire.plans.scratch import Scratch
 
-#: Ids of dropped duplicates up to which their list is broadcast (8 bytes each); beyond that, the join shuffles.
+#: Ids of dropped duplicates up to which their list is broadcast (16 bytes each); beyond that, the join shuffles.
 BROADCAST_IDS = 1_000_000
 #: A language is accepted with at least this posterior probability.
 LEAST_SCORE = 0.5
@@ -29,10 +30,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near-duplicates."""
-    found = neardup.near_duplicates(docs.select("doc_id", "text"))
-    gone = Scratch(spark, "pipeline").table(found.where("not kept").select("doc_id"), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near-duplicates: the one with the least doc_id.
+
+    Rows are judged one by one, also where several share a doc_id: texts that nothing duplicates stay, and of repeats of a
+    row one stays. Rows without a doc_id, and texts without words, stay.
+    """
+    scratch, text_key = Scratch(spark, "pipeline"), F.xxhash64("text")
+    rows = docs.select("doc_id", "text", text_key.alias("text_key"))
+    found = scratch.table(neardup.near_duplicates(rows, keep=["text_key"], group_out="group").select("doc_id", "text_key", "group", "kept"), "found")
+    kept = found.where("kept and group is not null")
+    twice = scratch.table(kept.groupBy("doc_id", "group").agg(F.count("*").alias("n"), F.min("text_key").alias("best")).where("n > 1").drop("n"), "twice")
+    others = kept.join(twice, ["doc_id", "group"]).where("text_key <> best")
+    gone = scratch.table(found.where("not kept").select("doc_id", "text_key").unionByName(others.select("doc_id", "text_key")).distinct(), "gone")
+    on = [docs["doc_id"] == F.col("quire.doc_id"), text_key == F.col("quire.text_key")]
+
+    def listed(ids: DataFrame) -> DataFrame:
+        return (F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids).alias("quire")
+
+    left = docs.join(listed(gone), on, "left_anti")
+    if twice.isEmpty():
+        return left
+    once = listed(twice.select("doc_id", F.col("best").alias("text_key")).distinct())
+    return left.join(once, on, "left_anti").unionByName(left.join(once, on, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +61,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts replaced by its kind, such as <EMAIL>; n_chars follows."""
+    """All documents, personal data in their texts replaced by its kind, such as <EMAIL>; n_chars follows where there is one. Null texts stay null."""
     found = pii.detect(docs, pii.train(docs), base_out="_quire_base", spans_out="_quire_spans")
     masked = found.withColumn("text", pii.masked(F.col("text"), F.col("_quire_spans")))
-    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return masked.select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
