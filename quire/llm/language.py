@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,12 +97,24 @@ class Model:
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.pieces), default=1)
-        self.table = PieceTable(self.pieces)
+        self.key = len(self.pieces), xxhash.xxh3_64_intdigest("\n".join(self.pieces))
         least = self.chances[self.chances > 0].min(initial=1.0)
         #: Characters of a word up to which no product of chances comes near the least double.
         self.safe = int(280 / max(-np.log10(least), 0.1))
 
 
+    @property
+    def table(self) -> PieceTable:
+        """Made where it is used: it is much larger than the model and the same for all of a vocabulary."""
+        if self.key not in _tables:
+            _tables.clear()
+            _tables[self.key] = PieceTable(self.pieces)
+        return _tables[self.key]
+
+
+_tables: dict[tuple[int, int], PieceTable] = {}
+
+
 def vocabulary(path: str) -> dict[str, int]:
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (library.id_to_piece(i).lower() for i in range(library.get_piece_size()))
@@ -113,7 +126,7 @@ def _arcs(same: list[str], model: Model, start: int = 0, stop: int | None = None
 
     start, stop: bounds of i. Runs of one length are looked up together for all i of a block.
     """
-    n, unknown = len(same[0]), len(model.pieces)
+    n, unknown, table = len(same[0]), len(model.pieces), model.table
     stop = n if stop is None else stop
     points = np.frombuffer("".join(same).encode("utf-32-le"), np.uint32).reshape(-1, n).T.astype(U)
     block = max(1, TOGETHER // len(same))
@@ -122,7 +135,7 @@ def _arcs(same: list[str], model: Model, start: int = 0, stop: int | None = None
         h = np.zeros((high - low, len(same)), U)
         for d in range(1, min(n - low, model.longest) + 1):
             h = (h[: n - d + 1 - low] + points[low + d - 1 : high + d - 1]) * STEP
-            ids = model.table.find(h)
+            ids = table.find(h)
             if d == 1:
                 found.append((None, np.where(ids < 0, unknown, ids), None))
             else:
