@@ -42,8 +42,8 @@ def write_archives(spark, d):
 def scan_archives(spark, d):
     """As above, every tenth entry with a path that leaves the archive."""
     path = F.concat(F.when(F.col("doc_id") % 10 == 0, "../").otherwise("Text/"), F.col("doc_id").cast("string"))
-    entries = texts(spark, d).select(F.col("source").alias("book_id"), path.alias("bookpath"), F.lit("x").cast("binary").alias("bytes"))
-    back = archives.unpacked(archives.write_archives(entries, rows=1000).select(F.col("book_id").alias("path"), F.col("bytes").alias("content")))
+    entries = texts(spark, d).select(F.col("source").alias("book_id"), path.alias("bookpath"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
+    back = archives.unpacked(archives.write_archives(entries, rows=1000, size=8 << 20).select(F.col("book_id").alias("path"), F.col("bytes").alias("content")), archives.Limits(ratio=1_000_000))
     return back.groupBy("source").agg(F.count("*").alias("entries"), F.count_if(F.col("issue") == "unsafe path").alias("refused"))
 
 
@@ -203,9 +203,9 @@ def stylesheet_closure(spark, d):
     return links.stylesheet_closure(start, imports).select(F.col("page").alias("page_id"), "sheet", F.col("step").cast("int").alias("step"))
 
 
-@query("select doc_id, '<!DOCTYPE x []>' || source || '|' || text as text from documents where text is not null and not contains(text, '&')")
+@query("select doc_id, '<!DOCTYPE x []>' || source || '|' || text as text from documents where text is not null")
 def resolve_entities(spark, d):
-    rows = texts(spark, d).where("text is not null and instr(text, '&') = 0").withColumn("text", F.concat(F.lit("<!DOCTYPE x [<!ENTITY src '"), "source", F.lit("'>]>&src;|"), "text"))
+    rows = texts(spark, d).where("text is not null").withColumn("text", F.concat(F.lit("<!DOCTYPE x [<!ENTITY src '"), "source", F.lit("'>]>&src;|"), "text"))
     return pages.resolve_entities(rows, "doc_id", "text")
 
 
@@ -303,10 +303,14 @@ def entity_encode(spark, d):
     return texts(spark, d).select("doc_id", T.entity_encode("text", {"é": "eacute", "ü": "uuml"}).alias("named"))
 
 
-@query("select doc_id, text as back, translate(substr(lower(text), 1, 20), ' abcdefghijklmnopqrstuvwxyz.,', '　ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ．，') as wide from documents where not contains(text, '　') and not regexp_matches(lower(text)[1:20], '[^ a-z.,]')")
+_HALF = "".join(map(chr, range(0x21, 0x7F))) + " "
+_FULL = "".join(chr(ord(x) + 0xFEE0) for x in _HALF[:-1]) + "　"
+_TABLES = _HALF.replace("'", "''"), _FULL
+
+
+@query(f"with w as (select doc_id, translate(text, '{_TABLES[0]}', '{_TABLES[1]}') as wide from documents) select doc_id, wide, translate(wide, '{_TABLES[1]}', '{_TABLES[0]}') as back from w")
 def width_convert(spark, d):
-    rows = texts(spark, d).where(~F.contains("text", F.lit("　")) & ~F.substring(F.lower("text"), 1, 20).rlike("[^ a-z.,]"))
-    return rows.select("doc_id", T.half_width(T.full_width("text")).alias("back"), T.full_width(F.substring(F.lower("text"), 1, 20)).alias("wide"))
+    return texts(spark, d).select("doc_id", T.full_width("text").alias("wide")).select("doc_id", "wide", T.half_width("wide").alias("back"))
 
 
 @query("select doc_id, doc_id / 4.0 as number, case doc_id % 2 when 0 then 'em' else '%' end as unit from documents")
@@ -347,18 +351,22 @@ def relink_styles(spark, d):
     return rewrite.relink_styles(put(spark, d, "</head>", "<link rel='stylesheet' href='o.css'></head>"), ["n.css"]).select("page_id", "html")
 
 
-@query("select doc_id, translate(replace(text, 'the ', 'THE_'), 'xyz', 'XYZ') as text from documents where text is not null and text <> '' and not regexp_matches(text, '[<>]')")
+_ESCAPED = "replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+@query(f"select doc_id, translate(replace({_ESCAPED}, 'the ', 'THE_'), 'xyz', 'XYZ') as text from documents where text is not null")
 def chinese_convert(spark, d):
     """A phrase table and a character table, here of Latin letters, over the text of a page made of each document."""
-    rows = texts(spark, d).where("text is not null and text <> ''").where(~F.col("text").rlike("[<>]"))
-    made = rows.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("<html><head><title>the x</title></head><body>"), "text", F.lit("</body></html>")).alias("html"))
+    made = texts(spark, d).where("text is not null").select(F.col("doc_id").alias("page_id"), F.concat(F.lit("<html><head><title>the x</title></head><body>"), T.html_escape("text"), F.lit("</body></html>")).alias("html"))
     out = rewrite.convert_script(made, [("the ", "THE_")], {"x": "X", "y": "Y", "z": "Z"})
     return out.select(F.col("page_id").alias("doc_id"), F.regexp_extract("html", "(?s)<body>(.*)</body>", 1).alias("text"))
 
 
-@query("select lang, '<ul>' || string_agg('<li><a href=\"' || doc_id || '.html\">' || source || '</a></li>', '' order by doc_id) || '</ul>' as markup from documents group by 1")
+@query("select lang || '/' || doc_id // 1000 as book, '<ul>' || string_agg('<li><a href=\"' || doc_id || '.html\">' || source || '</a></li>', '' order by doc_id) || '</ul>' as markup from documents group by 1")
 def render_toc(spark, d):
-    return structure.render_toc(texts(spark, d).select(F.col("lang").alias("book"), F.col("doc_id").alias("pos"), F.col("source").alias("title"), F.concat(F.col("doc_id").cast("string"), F.lit(".html")).alias("href"))).withColumnRenamed("book", "lang")
+    """A thousand documents of a language are a book."""
+    book = F.concat("lang", F.lit("/"), F.floor(F.col("doc_id") / 1000).cast("string"))
+    return structure.render_toc(texts(spark, d).select(book.alias("book"), F.col("doc_id").alias("pos"), F.col("source").alias("title"), F.concat(F.col("doc_id").cast("string"), F.lit(".html")).alias("href")))
 
 
 @query("select doc_id, array_to_string(list_filter(regexp_extract_all(text, '[a-z]+ing'), lambda x: contains(x, 'th')), ' ') as accepted from documents")
@@ -372,13 +380,13 @@ def filter_reject(spark, d):
 
 
 _LINES = "length(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S')))"
+_SAFE = f"(length(string_split(text, chr(10))) > 4 and {_LINES} >= 4)"
 
 
-@query(f"select doc_id, case when {_LINES} >= 5 then 'normalized' else 'unsafe' end as status, case when {_LINES} >= 5 then {_LINES} else 0 end::bigint as n from documents where text is not null and not regexp_matches(text, '[<>&]') and not ends_with(text, chr(10)) and not starts_with(text, chr(10)) and not contains(text, chr(10) || chr(10))")
+@query(f"select doc_id, case when {_SAFE} then 'normalized' else 'unsafe' end as status, case when {_SAFE} then {_LINES} else 0 end::bigint as n from documents where text is not null")
 def br_normalize(spark, d):
     """Documents as pages whose lines are set apart by breaks."""
-    rows = texts(spark, d).where("text is not null").where(~F.col("text").rlike("[<>&]") & ~F.col("text").rlike(r"\A\n|\n\z|\n\n"))
-    made = rows.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("<html><body>"), F.replace("text", F.lit("\n"), F.lit("<br/>")), F.lit("</body></html>")).alias("html"))
+    made = texts(spark, d).where("text is not null").select(F.col("doc_id").alias("page_id"), F.concat(F.lit("<html><body>"), F.replace(T.html_escape("text"), F.lit("\n"), F.lit("<br/>")), F.lit("</body></html>")).alias("html"))
     out = classify.normalize_breaks(made, M.elements(made))
     return out.select(F.col("page_id").alias("doc_id"), "status", F.regexp_count("html", F.lit("<p>")).cast("long").alias("n"))
 
@@ -388,11 +396,11 @@ def kfx_normalize(spark, d):
     return classify.spacer_paragraphs(put(spark, d, "<p>", "<p style='height: 0'>&nbsp;</p><p>")).select("page_id", "removed")
 
 
-@query("with l as (select doc_id, length(string_split(text, chr(10))) as n from documents where text is not null and not regexp_matches(text, '[<>]')) select doc_id, n::bigint as n from l where n >= 4")
+@query("with l as (select doc_id, length(string_split(text, chr(10))) as n from documents where text is not null) select doc_id, n::bigint as n from l where n >= 4")
 def div_normalize(spark, d):
     """Documents as pages of one div for each line."""
-    rows = texts(spark, d).where("text is not null").where(~F.col("text").rlike("[<>]"))
-    made = rows.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("<body><div>"), F.replace("text", F.lit("\n"), F.lit("</div><div>")), F.lit("</div></body>")).alias("html"))
+    rows = texts(spark, d).where("text is not null")
+    made = rows.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("<body><div>"), F.replace(T.html_escape("text"), F.lit("\n"), F.lit("</div><div>")), F.lit("</div></body>")).alias("html"))
     return classify.div_normalize(made, M.elements(made)).select(F.col("page_id").alias("doc_id"), "n")
 
 

@@ -85,10 +85,10 @@ def token_lang(spark, d):
     return pages.token_lang(docs(spark, d), els(spark, d), default="en").select(F.col("doc").alias("page_id"), "seq", "lang")
 
 
-@query(f"""with {ELEMENTS}, t as (select doc, seq from btok where ttype = 'text' and seq % 7 = 3)
+@query(f"""with {ELEMENTS}, t as (select doc, seq from btok where ttype = 'text')
  select t.doc as page_id, t.seq, max_by(e.eid, e.eid) as eid, string_agg(e.tname, '/' order by e.eid) as path, bool_or(e.tname = 'body') as in_body from t join el e on e.doc = t.doc and e.eid < t.seq and e.end_seq >= t.seq and not e.alone group by all""")
 def element_at(spark, d):
-    at = M.tokens(docs(spark, d).withColumn("html", M.blanked("html")), positions=False).where("ttype = 'text' and seq % 7 = 3").select("doc", "seq")
+    at = M.tokens(docs(spark, d).withColumn("html", M.blanked("html")), positions=False).where("ttype = 'text'").select("doc", "seq")
     return pages.element_at(els(spark, d), at).withColumnRenamed("doc", "page_id")
 
 
@@ -312,9 +312,9 @@ def issues_report(spark, d):
     return pages.unclosed_issues(els(spark, d)).withColumnRenamed("doc", "page_id")
 
 
-@query(f"with {ELEMENTS} select doc as page_id, bool_and(matched) as valid from el where doc % 2 = 0 group by 1")
+@query(f"with {ELEMENTS} select doc as page_id, bool_and(matched) as valid from el group by 1")
 def validate_staged(spark, d):
-    return pages.validate(els(spark, d), docs(spark, d).where("page_id % 2 = 0").select(F.col("page_id").alias("doc"))).withColumnRenamed("doc", "page_id")
+    return pages.validate(els(spark, d), docs(spark, d).select(F.col("page_id").alias("doc"))).withColumnRenamed("doc", "page_id")
 
 
 # structure

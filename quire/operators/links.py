@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import selectors
 from quire.operators import tokens as M
+from quire.plans.scratch import Scratch
 
 
 def resources_of(pages: DataFrame) -> DataFrame:
@@ -85,18 +88,26 @@ def class_usage(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
 def selector_usage(pages: DataFrame, els: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Each selector with one page (the least) in which it matches; null if it is unused.
 
-    Selectors of one tag go through one join; others become plans of their own, so their distinct number should be in the thousands at most.
+    Selectors of an element, a class, an id, or an element with one of these are data: one join finds them however many there are. Others
+    are plans of their own, a hundred in a job.
     """
     rules = M.css_rules(pages) if rules is None else rules
-    every = rules.select("selector").distinct()
-    simple = every.where(F.col("selector").rlike("^[A-Za-z][A-Za-z0-9]*$")).withColumn("tname", F.lower("selector"))
-    found = els.groupBy("tname").agg(F.min("doc").alias("doc")).join(simple, "tname").select("selector", "doc")
-    ready = None
-    for (selector,) in every.where(~F.col("selector").rlike("^[A-Za-z][A-Za-z0-9]*$")).collect():
-        ready = selectors.prepared(els) if ready is None else ready
-        hits = selectors.selects_or_error(ready, selector).agg(F.min("doc").alias("doc"), F.count("*").alias("k")).where("k > 0").select(F.lit(selector).alias("selector"), "doc")
-        found = found.unionByName(hits)
-    return every.join(found, "selector", "left")
+    scratch = Scratch(pages.sparkSession, "selectors")
+    every = scratch.table(rules.select("selector").distinct(), "selectors")
+    rx = r"^(\*|[A-Za-z_][\w-]*)?([.#][\w-]+)?$"
+    simple = every.where(F.col("selector").rlike(rx) & (F.col("selector") != "")).select("selector", F.lower(F.regexp_extract("selector", rx, 1)).alias("tag"), F.regexp_extract("selector", rx, 2).alias("mark"))
+    attrs = M.attributes("tok")
+    classes = F.filter(F.split(F.coalesce(F.try_element_at(attrs, F.lit("class")), F.lit("")), r"\s+"), lambda x: x != "")
+    marks = F.concat(F.array(F.lit("")), F.transform(classes, lambda x: F.concat(F.lit("."), x)), F.array_compact(F.array(F.concat(F.lit("#"), F.try_element_at(attrs, F.lit("id"))))))
+    places = els.select("doc", F.array("tname", F.lit("")).alias("tags"), F.array_distinct(marks).alias("marks"))
+    places = places.select("doc", F.explode("tags").alias("tag"), "marks").select("doc", "tag", F.explode("marks").alias("mark")).groupBy("tag", "mark").agg(F.min("doc").alias("doc"))
+    found = [simple.withColumn("tag", F.when(F.col("tag") == "*", "").otherwise(F.col("tag"))).join(places, ["tag", "mark"]).select("selector", "doc")]
+    rest = [r.selector for r in every.where(~F.col("selector").rlike(rx)).orderBy("selector").toLocalIterator()]
+    ready = selectors.prepared(els) if rest else None
+    for k in range(0, len(rest), 100):
+        hits = [selectors.selects_or_error(ready, x).agg(F.min("doc").alias("doc"), F.count("*").alias("k")).where("k > 0").select(F.lit(x).alias("selector"), "doc") for x in rest[k : k + 100]]
+        found.append(scratch.table(reduce(DataFrame.unionByName, hits), f"part-{k}"))
+    return every.join(reduce(DataFrame.unionByName, found), "selector", "left")
 
 
 def unused_selectors(usage: DataFrame) -> DataFrame:
@@ -142,10 +153,12 @@ def stylesheet_closure(start: DataFrame, imports: DataFrame, rounds: int = 32) -
 
     Each round joins only what the last one found; ``rounds`` bounds the depth, and a deeper chain raises an error.
     """
+    scratch = Scratch(start.sparkSession, "closure")
     seen = start.select("page", "sheet").distinct().withColumn("step", F.lit(0))
     last = seen
     for step in range(1, rounds + 1):
-        following = last.join(imports, "sheet").select("page", F.col("target").alias("sheet")).distinct().join(seen, ["page", "sheet"], "left_anti").withColumn("step", F.lit(step)).checkpoint()
+        following = last.join(imports, "sheet").select("page", F.col("target").alias("sheet")).distinct().join(seen, ["page", "sheet"], "left_anti").withColumn("step", F.lit(step))
+        following = scratch.table(following, f"step-{step}")
         if following.isEmpty():
             return seen
         seen, last = seen.unionByName(following), following

@@ -27,23 +27,45 @@ def char_usage(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return chars.groupBy("char").agg(F.count("*").alias("n_docs")).select("char", F.ascii("char").cast("long").alias("codepoint"), F.hex(F.ascii("char")).alias("hex"), "n_docs")
 
 
+def counted_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """unique_words as a written table, for operators that read it twice."""
+    return Scratch(docs.sparkSession, "words").table(unique_words(docs, text_col, lang_col), "words")
+
+
 def dictionary(words: DataFrame, least: int) -> DataFrame:
-    """Words that occur often enough to count as correct."""
+    """(lang, key): words that occur often enough to count as correct."""
     return words.where(F.col("n") >= least).select("lang", F.lower(T.spelling_safe("word")).alias("key")).distinct()
 
 
-def misspelled(words: DataFrame, known: DataFrame) -> DataFrame:
-    """Words that the dictionary of their language lacks; languages without a dictionary have none."""
-    keyed = words.withColumn("key", F.lower(T.spelling_safe("word")))
-    langs = known.select("lang").distinct()
-    return keyed.join(known, ["lang", "key"], "left_anti").join(F.broadcast(langs), "lang", "left_semi").drop("key")  # one row a language
+def misspelled(words: DataFrame, least: int) -> DataFrame:
+    """Words (lang, word, n) that are written in no way at least so often; languages in which no word is have none.
+
+    One aggregate: the ways to write a key, a few words, stand in one row.
+    """
+    keyed = words.groupBy("lang", F.lower(T.spelling_safe("word")).alias("key")).agg(F.max("n").alias("most"), F.collect_list(F.struct("word", "n")).alias("ways"))
+    known = words.groupBy("lang").agg(F.max("n").alias("most")).where(F.col("most") >= least).select("lang")
+    return keyed.where(F.col("most") < least).select("lang", F.inline("ways")).join(known, "lang", "left_semi")
+
+
+def deletions(word: Column) -> Column:
+    """The word, and all that is left of it after deleting one or two letters beyond the first."""
+    n = F.length(word)
+    rest = lambda i: F.substring(word, i + 1, n)
+    places = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
+    between = lambda i, j: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, j - i - 1), rest(j))
+    one = F.transform(places, lambda i: F.concat(F.substring(word, F.lit(1), i - 1), rest(i)))
+    two = F.flatten(F.transform(places, lambda i: F.transform(F.filter(places, lambda j: j > i), lambda j: between(i, j))))
+    return F.array_distinct(F.concat(F.array(word), one, two))
+
 
+def suggest(wrong: DataFrame, known: DataFrame, most: int = 4) -> DataFrame:
+    """lang, word, rank, suggestion, distance: dictionary words of the same first letter and about the same length within two edits.
 
-def suggest(wrong: DataFrame, known: DataFrame, most: int = 4, distance: int = 2) -> DataFrame:
-    """lang, word, rank, suggestion: dictionary words of the same first letter and about the same length within an edit distance."""
-    a = wrong.select("lang", "word", F.lower("word").alias("w")).withColumn("first", F.substring("w", 1, 1)).withColumn("size", F.explode(F.array(F.length("w") - 1, F.length("w"), F.length("w") + 1)))
-    b = known.select("lang", "key", F.substring("key", 1, 1).alias("first"), F.length("key").alias("size"))
-    near = a.join(b, ["lang", "first", "size"]).withColumn("d", F.levenshtein("w", "key", distance)).where("d >= 0")
+    Words within two edits of each other share what is left after deleting up to two letters of each, so that an equi-join finds them.
+    """
+    a = wrong.select("lang", "word", F.lower("word").alias("w")).withColumn("part", F.explode(deletions(F.col("w"))))
+    b = known.select("lang", "key", F.explode(deletions(F.col("key"))).alias("part"))
+    near = a.join(b, ["lang", "part"]).where(F.abs(F.length("w") - F.length("key")) <= 1).select("lang", "word", "key", F.levenshtein("w", "key", 2).alias("d")).where("d >= 0").distinct()
     rank = F.row_number().over(Window.partitionBy("lang", "word").orderBy("d", "key"))
     return near.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most).select("lang", "word", "rank", F.col("key").alias("suggestion"), F.col("d").cast("long").alias("distance"))
 
@@ -69,14 +91,13 @@ def counts_report(docs: DataFrame, searches: dict[str, str], by: str, text_col:
 
 
 def index_hits(docs: DataFrame, rules: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, block, entry: lines in which a rule's pattern occurs. Up to 200 rules are tested in one projection."""
+    """id, block, entry: lines in which a rule's pattern occurs. 200 rules are tested in one array, further ones in arrays of their own."""
     from quire.operators.search import java_pattern
 
-    if len(rules) > 200:
-        raise ValueError("more than 200 rules; run them in parts")
     blocks = docs.select(id_col, F.posexplode(F.split(F.col(text_col), "\n")).alias("block", "line"))
-    tests = F.array_compact(F.array(*(F.when(F.col("line").rlike(java_pattern(p)), F.lit(e)) for p, e in rules)))
-    return blocks.select(id_col, F.col("block").cast("long").alias("block"), F.explode(F.array_distinct(tests)).alias("entry"))
+    tests = [F.when(F.col("line").rlike(java_pattern(p)), F.lit(e)) for p, e in rules]
+    arrays = [F.array_compact(F.array(*tests[k : k + 200])) for k in range(0, len(tests), 200)] or [F.array().cast("array<string>")]
+    return blocks.select(id_col, F.col("block").cast("long").alias("block"), F.explode(F.array_distinct(F.flatten(F.array(*arrays)))).alias("entry"))
 
 
 def index_anchor_ids(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -94,13 +115,13 @@ def index_tree(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def letter_breaks(entries: DataFrame) -> DataFrame:
-    """Root entries in order with a mark where the first letter changes. One window over the entries, which are few."""
-    w = Window.partitionBy(F.lit(1)).orderBy(F.lower("entry"), "entry")
-    letter = F.upper(F.substring("entry", 1, 1))
-    return entries.select("entry", letter.alias("letter"), (~letter.eqNullSafe(F.lag(letter).over(w))).alias("new_letter"))
+    """Root entries in order with a mark where the first letter differs from that of the entry before."""
+    placed = places(entries.select("entry", F.upper(F.substring("entry", 1, 1)).alias("letter")), [F.lower("entry"), F.col("entry")])
+    before = placed.select((F.col("place") + 1).alias("place"), F.col("letter").alias("last"))
+    return placed.join(before, "place", "left").select("entry", "letter", (~F.col("letter").eqNullSafe(F.col("last"))).alias("new_letter"))
 
 
-def numbered(df: DataFrame, by: str, order: list[str], number: str = "n") -> DataFrame:
+def numbered(df: DataFrame, by: str, order: list[str | Column], number: str = "n") -> DataFrame:
     """df with the place of each row among those with the same ``by``, from 1, in two levels.
 
     Rows are dealt into ranges of the order, which a table fixes; windows go over the rows of a range, then over the ranges' counts.
@@ -114,6 +135,11 @@ def numbered(df: DataFrame, by: str, order: list[str], number: str = "n") -> Dat
     return found.withColumn(number, F.col("_own") + F.col("_before")).drop("_r", "_s", "_by", "_own", "_before")
 
 
+def places(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df with the place of each row in an order, from 1."""
+    return numbered(df.withColumn("_all", F.lit(0)), "_all", order, "place").drop("_all").withColumn("place", F.col("place").cast("long"))
+
+
 def unique_names(df: DataFrame, prefix: str, order: str, width: int = 4) -> DataFrame:
     """The next free numbered name of each row within its prefix: numbers in order, padded with zeros; longer numbers stay whole."""
     n = F.col("_n").cast("string")
