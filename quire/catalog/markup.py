@@ -317,6 +317,14 @@ def validate_staged(spark, d):
     return pages.validate(els(spark, d), docs(spark, d).select(F.col("page_id").alias("doc"))).withColumnRenamed("doc", "page_id")
 
 
+@query(f"with {ELEMENTS} select 'a:hover' as selector, count(*) as n, '' as note from el where tname = 'a' union all select 'ul > li', count(*), '' from el c join el p on p.doc = c.doc and p.eid = c.parent_eid where c.tname = 'li' and p.tname = 'ul' union all select unnest(['p[', '..x']), 1, '{selectors.PARSE_ERROR}'")
+def sel_error(spark, d):
+    """Selectors that can't be parsed count as used, with a note."""
+    ready = selectors.prepared(els(spark, d))
+    told = lambda x: selectors.selects_or_error(ready, x).groupBy("note").agg(F.count("*").alias("n")).select(F.lit(x).alias("selector"), "n", "note")
+    return told("a:hover").unionByName(told("ul > li")).unionByName(told("p[")).unionByName(told("..x"))
+
+
 # structure
 
 

@@ -10,6 +10,7 @@ from quire.functions import text as T
 from quire.operators import search as S
 from quire.operators import versions as V
 from quire.operators import words as W
+from quire.plans.scratch import Scratch
 from quire.streaming import changes as C
 
 WORD = W.WORD.replace("'", "''")
@@ -161,11 +162,38 @@ def rule_stats(spark, d):
     return S.rule_stats(S.run_recipe(docs(spark, d), RULES), RULES)
 
 
-@query(f"with {_MATCH.format('[a-z]+ing[.,]')}, q as (select *, (sum(length(gap) + length(match)) over (partition by doc_id order by match_no))::bigint - length(match) as start from p) select 1 as rule_no, 'ing' as rule, doc_id, start, (length(substr(text, 1, start)) - length(replace(substr(text, 1, start), chr(10), '')) + 1)::bigint as line, match as before, upper(match) as after from q join documents using (doc_id)")
+@query(f"with {_MATCH.format('[a-z]+ing[.,]')}, q as (select *, (sum(length(gap) + length(match)) over (partition by doc_id order by match_no))::bigint - length(match) as start from p) select 1 as rule_no, 'ing' as rule, doc_id, start, (length(substr(text, 1, start)) - length(replace(substr(text, 1, start), chr(10), '')) + 1)::bigint as line, match as before, upper(match) as after, '' as variables from q join documents using (doc_id)")
 def dry_run(spark, d):
     return S.dry_run(docs(spark, d), [S.Rule("ing", "[a-z]+ing[.,]", r"\U\0\E")])
 
 
+VARIABLES = [S.Rule("opening", r"^(?:[^ ]* )?(?P<word>[A-Za-z]+)", capture_only=True), S.Rule("marks", r"[0-9]+", r"<${var:word}>"), S.Rule("last", r"(?P<name>[a-z]+)tion", r"\g{name}TION", capture=True), S.Rule("stops", r"[!?]", r"${var:name}", enabled=False)]
+
+
+@query(r"with t as (select doc_id, text, regexp_extract(text, '^(?:[^ ]* )?([A-Za-z]+)', 1) as word from documents) select doc_id, length(regexp_extract_all(text, '[0-9]+'))::bigint as n_2, nullif(word, '') as word, regexp_replace(regexp_replace(text, '[0-9]+', '<' || word || '>', 'g'), '([a-z]+)tion', '\1TION', 'g') as text from t where not (word = '' and regexp_matches(text, '[0-9]'))")
+def recipe_variables(spark, d):
+    """A word captured in a document takes the place of its numbers; documents that have none to put there fail and are left out here."""
+    run = S.run_recipe(docs(spark, d), VARIABLES)
+    return run.where("error = ''").select("doc_id", "n_2", F.col("_var_word").alias("word"), "text")
+
+
+@query(r"with b as (select max_by(regexp_extract(text, '([0-9]+)', 1), doc_id) as seed from documents where regexp_matches(text, '[0-9]+')) select doc_id, replace(text, '%%%', '[' || seed || ']') as text from documents, b where contains(text, '%%%')")
+def recipe_batch_variables(spark, d):
+    """The first number of the last document that has one, kept for all documents."""
+    rules = [S.Rule("seed", "(?s)^.*?(?P<seed>[0-9]+)", capture_only=True), S.Rule("use", "%%%", "[${var:seed}]")]
+    return S.committed(S.run_recipe(docs(spark, d), rules, scope="batch")).select("doc_id", "text")
+
+
+@query("select doc_id, source as name, case when doc_id % 7 = 1 then 0 else 1 + (doc_id % 7 = 4)::int end::bigint as n_rules, case doc_id % 7 when 1 then 'not a recipe' when 2 then 'version' when 3 then 'scope or policy' when 4 then 'repeated name' when 5 then 'empty field' when 6 then 'rule' else '' end as error from documents where doc_id % 7 <> 1 union all select doc_id, null, 0, 'not a recipe' from documents where doc_id % 7 = 1")
+def recipe_io(spark, d):
+    """A recipe of each document's source; six of seven kinds have a fault."""
+    k = F.col("doc_id") % 7
+    rule = F.struct(F.lit("a").alias("name"), F.when(k == 5, "").otherwise(F.lit("x+")).alias("find"), F.lit("y").alias("replace"), (k == 6).alias("capture_only"))
+    made = F.struct(F.when(k == 2, 9).otherwise(1).alias("version"), F.col("source").alias("name"), F.when(k == 3, "planet").otherwise("batch").alias("scope"), F.when(k == 4, F.array(rule, rule)).otherwise(F.array(rule)).alias("rules"))
+    texts = docs(spark, d).select("doc_id", F.when(k == 1, "no json").otherwise(F.to_json(made)).alias("recipe"))
+    return S.read_recipes(texts).select("doc_id", "name", "n_rules", "error")
+
+
 @query("select doc_id, n_matches, coalesce(sum(n_matches) over (order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as base from (select doc_id, length(regexp_extract_all(text, '[a-z]+tion'))::bigint as n_matches from documents)")
 def match_numbering(spark, d):
     return S.match_base(docs(spark, d), "[a-z]+tion")
@@ -463,7 +491,12 @@ def edit_sessions(spark, d):
 
 @query("select lang, source, count(*) as n, sum(length(text))::bigint as chars from documents group by all")
 def stream_report(spark, d):
-    return docs(spark, d).groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
+    """Running counts of a stream of documents: each batch of the stream writes the whole report anew; its last state."""
+    at = Scratch(spark, "report").at
+    report = _documents_stream(spark, d).groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/out")
+    report.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(report.schema).parquet(f"{at}/out")
 
 
 @query("select doc_id, length(text)::bigint as chars from documents", "stream_ingest")
@@ -477,12 +510,14 @@ def stream_recipe(spark, d):
     return _streamed(spark, d, "recipe", lambda s: S.run_recipe(s, RULES).select("doc_id", "n_1", "n_2", "n_3"))
 
 
-def _streamed(spark, d, name, fn):
-    """A stream over the files of documents (a pattern, as the table may be a file or a folder), written to a table in the shared folder and read back."""
-    from quire.plans.scratch import Scratch
+def _documents_stream(spark, d):
+    """The files of documents as a stream (a pattern, as the table may be a file or a folder)."""
+    return C.ingest(spark, f"{d}/documents.parque[t]", "doc_id long, text string, lang string, source string, n_chars long")
 
+
+def _streamed(spark, d, name, fn):
+    """A stream written to a table in the shared folder and read back."""
     at = Scratch(spark, name).at
-    stream = C.ingest(spark, f"{d}/documents.parque[t]", "doc_id long, text string, lang string, source string, n_chars long")
-    out = fn(stream)
+    out = fn(_documents_stream(spark, d))
     out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{at}/out")

@@ -204,6 +204,34 @@ def test_refused_patterns(bad):
         search.java_pattern(bad)
 
 
+def test_recipe_variables(spark):
+    docs = spark.createDataFrame([(1, "<p>A1 x</p>"), (2, "<p>A2 x</p>"), (3, "<p>x</p>")], "doc_id long, text string")
+    rules = [search.Rule("seed", r"(?P<seed>A\d)", "mark", capture=True), search.Rule("use", "x", "${var:seed}")]
+
+    def run(df=docs, rules=rules, **how):
+        return {r.doc_id: (r.text, r.error) for r in search.run_recipe(df, rules, **how).collect()}
+
+    assert run() == {1: ("<p>mark A1</p>", ""), 2: ("<p>mark A2</p>", ""), 3: ("<p>x</p>", "use")}
+    assert {k: x for k, (x, _) in run(scope="batch").items()} == {1: "<p>mark A2</p>", 2: "<p>mark A2</p>", 3: "<p>A2</p>"}
+    assert run(scope="batch", policy="first")[2][0] == "<p>mark A1</p>"
+    assert run(scope="session", variables={"seed": "S"}, policy="first")[2][0] == "<p>mark S</p>"
+    assert run(variables={"seed": "$1\\1"})[3] == ("<p>$1\\1</p>", "")  # plain text, not a reference
+    assert search.committed(search.run_recipe(docs, rules)).count() == 0  # one failing document stops the whole
+    only = [search.Rule("seed", r"(<p>)(?P<seed>A\d)", capture_only=True), rules[1]]
+    assert run(rules=only)[1] == ("<p>A1 A1</p>", "")
+    report = search.dry_run(docs, only, scope="batch").orderBy("rule_no", "doc_id").collect()
+    assert [(r.rule, r.doc_id, r.start, r.before, r.after, r.variables) for r in report[:3]] == [("seed", 1, 0, "<p>A1", "<p>A1", "seed"), ("seed", 2, 0, "<p>A2", "<p>A2", "seed"), ("use", 1, 6, "x", "A2", "")]
+    long = spark.createDataFrame([(1, "A" * 70_000)], "doc_id long, text string")
+    assert run(long, [search.Rule("big", "(?P<v>A+)", capture_only=True)])[1][1] == "big"
+    many = spark.createDataFrame([(1, "B" * 60_000 + " ")], "doc_id long, text string").withColumn("text", F.repeat("text", 80))
+    for policy, error in (("append", "big"), ("last", "")):
+        assert search.run_recipe(many, [search.Rule("big", "(?P<v>B+)", capture_only=True)], policy=policy).first().error == error
+    for bad in ([search.Rule("r", "(?P<v>a)", "${var:v}", capture=True)], [search.Rule("r", "a", capture_only=True)], [search.Rule("r", "(?P<v>a)", recursive=True, capture=True)]):
+        with pytest.raises(ValueError):
+            search.run_recipe(docs, bad)
+    assert search.group_numbers(r"(a)[(](?:b)\((?P<x>c)(?<y>(d))(?<!e)(?=f)") == {"x": 2, "y": 3}
+
+
 def test_recipes(spark):
     rules = [search.Rule("x", "a", "b"), search.Rule("y", "aa", "a", recursive=True, enabled=False)]
     assert search.load_recipe(search.dump_recipe(rules)) == rules
