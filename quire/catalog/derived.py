@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.catalog.markup import _PATH, ELEMENTS, TOK, docs
 from quire.catalog.register import query, table
 from quire.functions import text as T
-from quire.operators import classify, links, pages, rewrite, structure
+from quire.operators import classify, layout, links, pages, rewrite, structure
 from quire.operators import search as S
 from quire.operators import tokens as M
 from quire.operators import versions as V
@@ -391,6 +391,39 @@ def br_normalize(spark, d):
     return out.select(F.col("page_id").alias("doc_id"), "status", F.regexp_count("html", F.lit("<p>")).cast("long").alias("n"))
 
 
+_words = lambda words: "[" + ", ".join(f"'{x}'" for x in words) + "]"
+_hits = lambda words: f"length(list_filter({_words(words)}, lambda w: contains(compact, w)))"
+_FLOW = f"l as (select doc_id, length(string_split(text, chr(10))) as n_lines, {_LINES} as lines, lower(regexp_replace({_ESCAPED}, '[\\s\\x{{3000}}]', '', 'g')) as compact, string_split(text, chr(10)) as every from documents where text is not null)"
+
+
+def _paged(spark, d, before, between, after):
+    """Documents as pages, their lines set apart."""
+    return texts(spark, d).where("text is not null").select(F.col("doc_id").alias("page_id"), F.concat(F.lit(before), F.replace(T.html_escape("text"), F.lit("\n"), F.lit(between)), F.lit(after)).alias("html"))
+
+
+@query(f"""with {_FLOW} select doc_id, (n_lines - 1)::bigint as n_br, lines::bigint as candidates, case when {_hits(layout.CONTENTS)} > 0 then 'toc-like' when n_lines = 1 or lines = 0 then 'no-candidate'
+ when lines <= 25 and ({_hits(layout.BR_NOTICES)} > 0 or {_hits(layout.BR_IMPRINT)} >= 2) then 'notice-or-imprint' when lines < 4 or n_lines < 5 then 'short-flow' else 'normal-body-flow' end as kind from l""")
+def br_flow_kind(spark, d):
+    return layout.br_flow_kind(_paged(spark, d, "<html><body>", "<br/>", "</body></html>")).select(F.col("page_id").alias("doc_id"), "n_br", "candidates", "kind")
+
+
+@query(f"""with {_FLOW} select doc_id, (n_lines - 1)::bigint as n_spacers, lines::bigint as candidates, case when {_hits(layout.CONTENTS)} > 0 then 'toc-like' when n_lines = 1 or lines = 0 then 'no-candidate'
+ when lines <= 25 and ({_hits(layout.KFX_NOTICES)} > 0 or {_hits(layout.KFX_IMPRINT)} >= 3) then 'notice-or-imprint' when lines < 12 or n_lines < 5 then 'short-flow' else 'normal-body-flow' end as kind from l""")
+def kfx_flow_kind(spark, d):
+    made = _paged(spark, d, "<html><body>", '<p class="s" style="height: 1.5em"> </p>', "</body></html>")
+    return layout.kfx_flow_kind(made).select(F.col("page_id").alias("doc_id"), "n_spacers", "candidates", "kind")
+
+
+@query(f"""with {_FLOW}, p as (select *, length(list_filter(every, lambda x: regexp_matches(regexp_replace(x, '\\s+', '', 'g'), '^[*＊※◆◇■□●○★☆§~〜\\-—–_=+.·•・…|]{{1,16}}$'))) as scenes from l),
+ q as (select *, n_lines >= 2 and lines >= 0.75 * n_lines as parent, n_lines < 5 as short, lines - scenes as pars, length(compact) as chars from p)
+ select doc_id, case when parent then pars end::bigint as n_paragraphs, case when not parent then 'no-candidate' when {_hits(layout.CONTENTS)} > 0 then 'toc-like'
+ when pars <= 25 and (({_hits(layout.DIV_NOTICES)} > 0 and (short or pars <= 6 or chars < 600)) or {_hits(layout.DIV_IMPRINT)} >= 3) then 'notice-or-imprint' when pars < 12 or short then 'short-flow' else 'normal-body-flow' end as kind from q""")
+def div_flow_kind(spark, d):
+    made = _paged(spark, d, "<html><head><title></title></head><body><div><div>", "</div><div>", "</div></div></body></html>")
+    els = M.elements(made)
+    return layout.div_flow_kind(made, els, pages.element_texts(made, els)).select(F.col("page_id").alias("doc_id"), "n_paragraphs", "kind")
+
+
 @query(f"select page_id, {_P}::bigint as removed from pages")
 def kfx_normalize(spark, d):
     return classify.spacer_paragraphs(put(spark, d, "<p>", "<p style='height: 0'>&nbsp;</p><p>")).select("page_id", "removed")
@@ -425,10 +458,3 @@ def restore(spark, d):
     rows = texts(spark, d).select("doc_id", "text")
     both = V.snapshot(rows.where("doc_id % 10 <> 3"), 1).unionByName(V.snapshot(rows.withColumn("text", F.upper("text")), 2))
     return V.restore(both, 1).select("doc_id", "text")
-
-
-@query("select page_id, case when n_p >= 4 then 'content' else 'other' end as kind from (select page_id, length(regexp_extract_all(html, '<p>')) as n_p from pages)")
-def page_kind(spark, d):
-    """Pages by the number of paragraphs, from the same counts as page_layout_features."""
-    counts = pages.flow_features(docs(spark, d), M.elements(docs(spark, d)))
-    return counts.select(F.col("doc").alias("page_id"), F.when(F.col("n_p") >= 4, "content").otherwise("other").alias("kind"))

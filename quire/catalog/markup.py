@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.catalog.register import query, table
 from quire.functions import text as T
-from quire.operators import links, pages, rewrite, selectors, structure
+from quire.operators import layout, links, pages, rewrite, selectors, structure
 from quire.operators import tokens as M
 
 _q = lambda x: x.replace("'", "''")
@@ -288,23 +288,53 @@ def well_formed(spark, d):
     return pages.well_formed(els(spark, d)).withColumnRenamed("doc", "page_id")
 
 
-_features = f"""{ELEMENTS}, f as (select doc, count(*) filter (tname = 'br') as n_br, count(*) filter (tname = 'p') as n_p, count(*) filter (tname = 'img') as n_img, count(*) filter (tname = 'a') as n_a, count(*) filter (tname in ('div', 'section', 'article', 'table', 'ul', 'ol')) as n_block, count(*) filter (tname = 'nav') as n_nav from el group by 1),
- x as (select f.*, length(regexp_replace(array_to_string(list_filter(regexp_extract_all({BLANK}, '{M.TOKEN}'), lambda x: {_type('x')} = 'text'), ''), '\\s+', '', 'g')) as chars from f join pages on page_id = doc)"""
+#: What is put into every eighth page, so that each signal of a layout stands in some.
+_PUT = {
+    1: ("<html ", '<html style="writing-mode: vertical-rl" '), 2: ("</head>", '<meta name="viewport" content="width=600, height=800"></head>'), 3: ("<p>", '<p style="position:absolute">'),
+    4: ("</head>", "<style>.a{-epub-writing-mode:vertical-rl} .b{writing-mode : horizontal-tb}</style></head>"), 5: ("</head>", '<style>html{writing-mode:vertical-rl !important}</style><svg><text>x</text></svg></head>'),
+    6: ("<nav", '<nav epub:type="toc"'), 7: ("</head>", "<style>p{transform:rotate(3deg)} html{writing-mode:tb-rl}</style></head>"),
+}
+_VARIED = "case page_id % 8 " + " ".join(f"when {k} then replace(html, '{a}', '{_q(b)}')" for k, (a, b) in _PUT.items()) + " else html end"
 
 
-@query(f"with {_features} select doc as page_id, n_br, n_p, n_img, n_a, n_block, chars::bigint as chars, case when n_br = 0 then 'no_breaks' when n_img > 0 and chars <= 2 then 'image_page' when n_nav > 0 and n_a > n_p then 'contents' when n_p >= n_br * 2 then 'paragraphs' when n_br >= 4 and chars >= 200 then 'body_flow' when chars < 200 then 'short_flow' else 'mixed' end as kind from x")
-def br_flow_kind(spark, d):
-    return pages.br_flow_kind(docs(spark, d), els(spark, d)).withColumnRenamed("doc", "page_id")
+def varied(spark, d):
+    html = F.col("html")
+    for k, (old, new) in _PUT.items():
+        html = F.when(F.col("page_id") % 8 == k, F.replace("html", F.lit(old), F.lit(new))).otherwise(html)
+    return docs(spark, d).withColumn("html", html)
 
 
-@query(f"with {_features} select doc as page_id, case when n_img > 0 and chars <= 2 then 'image_only' when n_nav > 0 and n_a > n_p then 'navigation' when chars < 400 then 'title_page' when n_block > 8 then 'complex' else 'text' end as kind, least(100, greatest(0, (case when n_block > 8 then 30 else 0 end) + (case when n_br > n_p then 25 else 0 end) + (case when n_img > 0 then 15 else 0 end) + (case when n_a > 20 then 20 else 0 end) - (case when n_p >= 4 then 10 else 0 end) - (case when n_nav = 0 then 20 else 0 end)))::bigint as risk from x")
+_list = lambda rx: f"length(list_filter(decls, lambda x: regexp_matches(x, '{_q(rx)}')))"
+_n = lambda names, source="rest": f"length(regexp_extract_all({source}, '(?i)<(?:{names})[\\s/>]'))"
+_layout = f"""v as (select page_id, {_VARIED} as html from pages), r as (select page_id, html, {BLANK} as rest from v),
+ t as (select *, regexp_extract_all(rest, '{_q(layout.TAG)}') as tags from r),
+ s as (select *, list_concat(list_filter(list_transform(tags, lambda x: regexp_extract(x, '{_q(layout._STYLE)}', 1) || regexp_extract(x, '{_q(layout._STYLE)}', 2)), lambda x: x <> ''), regexp_extract_all(html, '(?is)<style[^<>]*>(.*?)</style>', 1)) as css from t),
+ c as (select *, list_transform(flatten(list_transform(css, lambda x: regexp_extract_all(lower(x), '{layout.DECLARATION}'))), lambda x: trim(x)) as decls from s),
+ f as (select page_id, {_list(layout.ABSOLUTE)} as n_abs, {_list(layout.ROTATE)} as n_rot, {_list(layout.VERTICAL)} > 0 as ver, {_list(layout.HORIZONTAL)} > 0 as hor, regexp_matches(rest, '(?is)<svg[\\s>].*<text[\\s>].*</svg>') as svg_text, {_n('svg')} as n_svg,
+  {_n('table')} as n_table, {_n('img|image')} as n_image, {_n('script', 'html')} as n_script, contains(rest, 'name="viewport" content="width=600, height=800"') as fixed, length(list_filter(tags, lambda x: regexp_matches(x, '{_q(layout.NAV)}'))) > 0 as nav,
+  list_sum(list_transform(regexp_split_to_array(rest, '{layout.PIECES}'), lambda x: length(trim(regexp_replace(x, '&[#A-Za-z0-9]+;', 'x', 'g'), chr(32) || chr(9) || chr(10) || chr(13))))) as chars from c),
+ k as (select *, greatest(0, least(100, (case when fixed then 30 else 0 end) + (case when n_abs > 2 then 20 when n_abs > 0 then 10 else 0 end) + (case when svg_text and ver then 20 else 0 end) + (case when ver and hor then 15 else 0 end) + (case when n_rot > 0 then 15 else 0 end)
+  + (case when n_script > 0 and (n_abs > 0 or ver) then 10 else 0 end) + (case when nav then 5 else 0 end) - (case when ver and not hor and n_abs + n_rot + n_table + n_svg = 0 and chars >= 300 then 10 else 0 end)))::bigint as risk from f),
+ kinds as (select *, case when fixed then 'fixed-layout' when svg_text and ver then 'svg-text-layout' when nav then 'toc-or-nav' when n_image > 0 and chars <= 2 then 'image-only' when n_script > 0 and n_abs > 0 then 'script-driven'
+  when ver and hor then 'mixed-writing-mode' when ver and risk >= 50 then 'reflow-vertical-review' when ver then 'reflow-vertical-safe' when chars > 0 and chars < 400 then 'title-or-colophon' else 'already-horizontal' end as kind from k)"""
+
+
+@query(f"with {_layout} select page_id, n_abs::bigint as n_absolute, n_rot::bigint as n_rotate, ver as vertical, hor as horizontal, n_image::bigint as n_image, n_script::bigint as n_script, chars::bigint as chars, kind, risk from kinds")
 def page_layout_features(spark, d):
-    return pages.layout(docs(spark, d), els(spark, d)).select(F.col("doc").alias("page_id"), "kind", "risk")
+    return layout.layout(varied(spark, d)).select("page_id", "n_absolute", "n_rotate", "vertical", "horizontal", "n_image", "n_script", "chars", "kind", "risk")
+
+
+@query(f"with {_layout}, {ELEMENTS.replace('from pages', 'from v')}, w as (select doc, bool_and(matched) as balanced from el group by 1) select page_id, case when coalesce(balanced, true) then kind else 'parse-error' end as kind from kinds left join w on doc = page_id")
+def page_kind(spark, d):
+    """Kinds of pages; unbalanced ones are parse errors."""
+    pages_ = varied(spark, d)
+    balanced = pages.well_formed(M.elements(pages_)).select(F.col("doc").alias("page_id"), "balanced")
+    return layout.layout(pages_, balanced).select("page_id", "kind")
 
 
-@query(f"with {_features}, y as (select doc, least(100, greatest(0, (case when n_block > 8 then 30 else 0 end) + (case when n_br > n_p then 25 else 0 end) + (case when n_img > 0 then 15 else 0 end) + (case when n_a > 20 then 20 else 0 end) - (case when n_p >= 4 then 10 else 0 end) - (case when n_nav = 0 then 20 else 0 end))) as risk from x) select case when risk >= 75 then 'critical' when risk >= 50 then 'high' when risk >= 25 then 'medium' else 'low' end as level, count(*) as n from y group by 1")
+@query(f"with {_layout} select case when risk < 25 then 'auto-safe' when risk < 50 then 'auto-safe-with-warnings' when risk < 75 then 'manual-review' else 'unsupported' end as level, count(*) as n from k group by 1")
 def risk_score(spark, d):
-    return pages.layout(docs(spark, d), els(spark, d)).groupBy("level").agg(F.count("*").alias("n"))
+    return layout.layout(varied(spark, d)).groupBy("level").agg(F.count("*").alias("n"))
 
 
 @query(f"with {ELEMENTS} select doc as page_id, eid as seq, 'error' as severity, 'unclosed ' || tname as message from el where not matched")

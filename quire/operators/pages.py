@@ -193,34 +193,6 @@ def validate(els: DataFrame, staged: DataFrame) -> DataFrame:
     return els.join(staged, "doc", "left_semi").groupBy("doc").agg(F.bool_and("matched").alias("valid"))
 
 
-def flow_features(docs: DataFrame, els: DataFrame) -> DataFrame:
-    tags = {"n_br": ["br"], "n_p": ["p"], "n_img": ["img"], "n_a": ["a"], "n_block": ["div", "section", "article", "table", "ul", "ol"], "n_nav": ["nav"]}
-    counts = els.groupBy("doc").agg(*(F.count_if(F.col("tname").isin(t)).alias(n) for n, t in tags.items()))
-    chars = M.visible_text(docs).select("doc", F.length(T.compact("text")).cast("long").alias("chars"))
-    return counts.join(chars, "doc")
-
-
-def br_flow_kind(docs: DataFrame, els: DataFrame) -> DataFrame:
-    """How a page uses line breaks; the first kind that fits."""
-    kind = (
-        F.when(F.col("n_br") == 0, "no_breaks").when((F.col("n_img") > 0) & (F.col("chars") <= 2), "image_page").when((F.col("n_nav") > 0) & (F.col("n_a") > F.col("n_p")), "contents")
-        .when(F.col("n_p") >= F.col("n_br") * 2, "paragraphs").when((F.col("n_br") >= 4) & (F.col("chars") >= 200), "body_flow").when(F.col("chars") < 200, "short_flow").otherwise("mixed")
-    )
-    return flow_features(docs, els).select("doc", "n_br", "n_p", "n_img", "n_a", "n_block", "chars", kind.alias("kind"))
-
-
-def layout(docs: DataFrame, els: DataFrame) -> DataFrame:
-    """Kind of page, risk (weighted signals, 0 to 100) and its level."""
-    kind = (
-        F.when((F.col("n_img") > 0) & (F.col("chars") <= 2), "image_only").when((F.col("n_nav") > 0) & (F.col("n_a") > F.col("n_p")), "navigation")
-        .when(F.col("chars") < 400, "title_page").when(F.col("n_block") > 8, "complex").otherwise("text")
-    )
-    signals = [(F.col("n_block") > 8, 30), (F.col("n_br") > F.col("n_p"), 25), (F.col("n_img") > 0, 15), (F.col("n_a") > 20, 20), (F.col("n_p") >= 4, -10), (F.col("n_nav") == 0, -20)]
-    risk = F.greatest(F.lit(0), F.least(F.lit(100), sum((F.when(c, w).otherwise(0) for c, w in signals), F.lit(0)))).cast("long")
-    level = F.when(F.col("risk") >= 75, "critical").when(F.col("risk") >= 50, "high").when(F.col("risk") >= 25, "medium").otherwise("low")
-    return flow_features(docs, els).withColumns({"kind": kind, "risk": risk}).withColumn("level", level)
-
-
 def case_text_only(docs: DataFrame, fn) -> DataFrame:
     """A function on texts outside tags only."""
     found = F.regexp_extract_all("html", F.lit(M.TOKEN), F.lit(0))
@@ -239,7 +211,8 @@ def rename_class(docs: DataFrame, old: str, new: str) -> DataFrame:
 
 
 def extract_styles(rules: DataFrame) -> DataFrame:
-    """Distinct bodies as numbered classes, and on how many pages each stands. Numbered by a window over the few distinct bodies."""
-    bodies = rules.groupBy("body").agg(F.countDistinct("doc").alias("n_pages"))
-    number = F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy("body"))
-    return bodies.select("body", F.concat(F.lit("auto_"), number.cast("string")).alias("class"), "n_pages")
+    """Distinct bodies as classes numbered in order, and on how many pages each stands."""
+    from quire.operators.words import places
+
+    bodies = places(rules.groupBy("body").agg(F.countDistinct("doc").alias("n_pages")), [F.col("body")])
+    return bodies.select("body", F.concat(F.lit("auto_"), F.col("place").cast("string")).alias("class"), "n_pages")
