@@ -161,10 +161,12 @@ class Scanner:
                 else:
                     i += 1
         found.sort(key=lambda x: (-x[0], -x[4], x[1]))
-        kept: list = []
+        kept, starts = [], []  # by start; they don't overlap, so only the neighbours of a hit can overlap it
         for x in found:
-            if not any(x[1] < y[2] and y[1] < x[2] for y in kept):
-                kept.append(x)
+            at = bisect_left(starts, x[1])
+            if not ((at and kept[at - 1][2] > x[1]) or (at < len(kept) and kept[at][1] < x[2])):
+                kept.insert(at, x)
+                starts.insert(at, x[1])
         if not kept:
             return []
         spans = [m.span() for m in _words.finditer(text)]
@@ -186,8 +188,9 @@ def _scanned(scanner, text_at: int):
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, text_col: str = "text", threshold: float = 0.8, out_col: str = "licenses") -> DataFrame:
     """The rows of docs with an array more: (license, start, end, coverage) of each place that covers a template to the threshold.
 
-    Words are runs of ASCII letters and digits, without regard to case. Null and empty texts have no hits. A column of docs
-    with the new name is replaced.
+    Words are runs of ASCII letters and digits, without regard to case. Null and empty texts have no hits. Of places that overlap, the one with
+    the most aligned words counts, then the best covered, then the first. Texts are scanned whole, in windows of a template's length and a
+    half; repeated rows are scanned one by one; an empty table gives no rows. A column of docs with the new name is replaced.
     """
     docs = docs.drop(out_col)
     out = docs.withColumn(out_col, F.lit(None).cast("array<struct<license: string, start: bigint, end: bigint, coverage: double>>"))
