@@ -8,8 +8,8 @@ bound, as many as make a miss a matter of one in a million. Windows of all class
 blocks of 8 shingles. For items of at most 8 shingles the window is one shingle, and the search is exact.
 
 A document that shares a band with an item is a candidate; the share of the item's distinct shingles that the whole document
-has, counted exactly, decides. The index of the items is sent to the tasks in blocks of a bounded number of items, one pass over
-the rows for each block; documents never leave their task.
+has, counted exactly, decides. The index of the items is sent to the tasks in blocks of a bounded number of items; a pass over the rows
+searches ten of them (200,000 items) with hashes and windows made once. Documents never leave their task.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 from quire.llm.shingles import U, odd_numbers, shingles, word_hashes
 
 WIDTH, SMALL, MISS = 5, 8, 1e-6
-#: Items in one broadcast index: about 1 KB each.
-ITEMS = 20_000
+#: Items in one broadcast index, about 1 KB each, and indexes that one pass over the documents searches.
+ITEMS, BLOCKS = 20_000, 10
 
 
 def bands(threshold: float) -> int:
@@ -96,33 +96,44 @@ class Index:
         low, high = np.searchsorted(flat, marks, "left"), np.searchsorted(flat, marks, "right")
         return {int(own[i]) for a, b in zip(low, high, strict=True) for i in range(a, b)}
 
-    def search(self, text: bytes | None) -> list[tuple[int, float]]:
-        """(item id, containment) of the items that the text contains to the threshold."""
-        hashed = word_hashes(text)
-        values = {w: shingles(hashed, w) for w in {WIDTH, *self.widths} if len(hashed) >= w}
-        found: set[int] = set()
-        for u in self.tables:
+
+
+def search(indexes: list[Index], text: bytes | None) -> list[tuple[int, float]]:
+    """(item id, containment) of the items that the text contains to the threshold; hashes and windows are made once for all indexes."""
+    hashed = word_hashes(text)
+    widths = {WIDTH}.union(*(x.widths for x in indexes))
+    values = {w: shingles(hashed, w) for w in widths if len(hashed) >= w}
+    found: list[set[int]] = [set() for _ in indexes]
+    for index, owners in zip(indexes, found, strict=True):
+        for u in index.tables:
             if u < 0 and -u in values:
-                found |= self._owners(u, values[-u])
-        if self.classes and WIDTH in values:
-            for u, marks in windows(values[WIDTH], self.family, self.classes):
-                found |= self._owners(u, marks)
-        out = []
-        whole = {w: np.unique(x) for w, x in values.items()} if found else {}
-        for k in sorted(found):
-            share = np.isin(self.sets[k], whole[self.width_of[k]], assume_unique=True).mean()
-            if share >= self.threshold:
-                out.append((self.ids[k], float(share)))
-        return out
-
-
-def _searched(index, text_at: int, hits_at: int):
+                owners |= index._owners(u, values[-u])
+    classes = sorted(set().union(*(x.classes for x in indexes)))
+    if classes and WIDTH in values:
+        for u, marks in windows(values[WIDTH], indexes[0].family, classes):
+            for index, owners in zip(indexes, found, strict=True):
+                if u in index.tables:
+                    owners |= index._owners(u, marks)
+    whole = {w: np.unique(x) for w, x in values.items()} if any(found) else {}
+    out = []
+    for index, owners in zip(indexes, found, strict=True):
+        for k in sorted(owners):
+            share = np.isin(index.sets[k], whole[index.width_of[k]], assume_unique=True).mean()
+            if share >= index.threshold:
+                out.append((index.ids[k], float(share)))
+    return out
+
+
+def _searched(indexes: list, text_at: int, hits_at: int):
+    """Hits are added to those that are there. The text's own bytes are read instead of a decoded string."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = [x.value for x in indexes]
         for batch in batches:
-            hits = [(before or []) + [{"item_id": i, "containment": x} for i, x in index.value.search(text.as_py())] for text, before in zip(batch.column(text_at), batch.column(hits_at).to_pylist(), strict=True)]
-            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64())]))
+            raw, before = batch.column(text_at).cast(pa.binary()), batch.column(hits_at).to_pylist()
+            hits = [(old or []) + [{"item_id": i, "containment": x} for i, x in search(ready, text.as_py())] for text, old in zip(raw, before, strict=True)]
             columns = list(batch.columns)
-            columns[hits_at] = pa.array(hits, kind)
+            columns[hits_at] = pa.array(hits, pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64())])))
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return run
@@ -133,7 +144,8 @@ def contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item
 
     Containment is the share of the item's distinct shingles of five words (all its words, if fewer) that the text has.
     Null, empty and short texts have no hits unless they hold a short item; items without words are found nowhere; repeated
-    items each count. Rows are neither dropped nor changed; a column of docs named hits_col is replaced.
+    items each count. Rows are neither dropped nor changed, repeated ones are searched one by one; texts are searched whole, whatever their
+    length; an empty table gives no rows. A column of docs named hits_col is replaced.
     """
     spark = docs.sparkSession
     blocks = max(1, math.ceil(items.count() / ITEMS))
@@ -142,19 +154,12 @@ def contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item
     docs = docs.drop(hits_col)
     out = docs.withColumn(hits_col, F.lit(None).cast(kind))
     names = out.columns
-    for block in range(blocks):
-        index = spark.sparkContext.broadcast(Index([(r.i, bytes(r.x or b"")) for r in dealt.where(F.col("block") == block).orderBy("i").collect()], threshold))
-        out = out.mapInArrow(_searched_text(index, names.index(text_col), names.index(hits_col)), out.schema)
-    return out
 
+    def index(block: int):
+        rows = dealt.where(F.col("block") == block).orderBy("i").collect()
+        return spark.sparkContext.broadcast(Index([(r.i, bytes(r.x or b"")) for r in rows], threshold))
 
-def _searched_text(index, text_at: int, hits_at: int):
-    """As _searched, with the text's own bytes instead of a decoded string."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = batch.set_column(text_at, batch.schema.names[text_at], batch.column(text_at).cast(pa.binary()))
-            for done in _searched(index, text_at, hits_at)(iter([raw])):
-                yield pa.RecordBatch.from_arrays([batch.column(i) if i == text_at else c for i, c in enumerate(done.columns)], names=batch.schema.names)
-
-    return run
+    for first in range(0, blocks, BLOCKS):
+        sent = [index(k) for k in range(first, min(blocks, first + BLOCKS))]
+        out = out.mapInArrow(_searched(sent, names.index(text_col), names.index(hits_col)), out.schema)
+    return out

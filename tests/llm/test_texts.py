@@ -136,8 +136,9 @@ def test_decontamination(spark, monkeypatch):
         texts += [x, prose(2000, k) + " " + x + " " + prose(700, 50 + k), " ".join(words[: len(words) * 9 // 10]), " ".join(words[: len(words) // 2]), prose(33, k) + " " + " ".join(words[::-1])]
     frames = frame(spark, texts).withColumn("item_id", F.lit(5))
     want = {i: sorted((k, round(contained(x, y), 9)) for k, y in enumerate(items) if y and contained(x, y) >= 0.8) for i, x in enumerate(texts)}
-    for size in (20_000, 3):
+    for size, blocks in ((20_000, 10), (3, 10), (2, 2)):
         monkeypatch.setattr(decontaminate, "ITEMS", size)
+        monkeypatch.setattr(decontaminate, "BLOCKS", blocks)
         found = decontaminate.contaminated(frames, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
         assert found.columns == [*frames.columns, "hits"]
         assert {r.doc_id: sorted((h.item_id, round(h.containment, 9)) for h in r.hits) for r in found.collect()} == want
@@ -438,6 +439,54 @@ def test_patience_alignment():
     assert len(pairs) == 6
 
 
+def common(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_alignment_against_brute_force():
+    r = random.Random(21)
+    for _ in range(200):
+        a, b = r.sample(range(30), r.randint(0, 20)), r.sample(range(30), r.randint(0, 20))
+        assert len(licenses.align(a, b)) == common(a, b)  # words that stand once: the best there is
+        a, b = ([r.randrange(6) for _ in range(r.randint(0, 15))] for _ in "ab")
+        pairs = licenses.align(a, b)
+        assert len(pairs) <= common(a, b) and all(a[i] == b[j] for i, j in pairs) and all(p < q and x < y for (p, x), (q, y) in zip(pairs, pairs[1:], strict=False))
+
+
+def test_license_scan_against_brute_force():
+    r = random.Random(22)
+    template = [f"w{k}" for k in range(24)]
+    scanner = licenses.Scanner({"L": [" ".join(template)]}, 0.8)
+    need, reach, seen = 0.8 * len(template), len(template) * 3 // 2 + 2, Counter()
+    for k in range(150):
+        text = [f"x{r.randrange(40)}" if r.random() < 0.8 else r.choice(template) for _ in range(r.randint(0, 60))]
+        for _ in range(r.randint(0, 2)):
+            at, copy = r.randint(0, len(text)), [w for w in template if r.random() > r.choice([0, 0.1, 0.2, 0.3])]
+            for _ in range(r.randint(0, 4)):
+                copy.insert(r.randint(0, len(copy)), "y")
+            text[at:at] = copy
+        hits = scanner.scan(" ".join(text))
+        best = max((common(template, text[i : i + reach]) for i in range(len(text))), default=0)
+        if best < need:
+            assert not hits  # no window holds enough
+        elif best >= need + 2:
+            assert hits
+        for h in hits:
+            words = " ".join(text)[h["start"] : h["end"]].split()
+            assert need <= h["coverage"] * 24 + 1e-9 and h["coverage"] * 24 <= common(template, words) + 1e-9
+        assert all(x["end"] <= y["start"] for x, y in zip(hits, hits[1:], strict=False))
+        seen[len(hits)] += 1
+    assert min(seen[0], seen[1]) > 10 and seen[2] > 3
+    many = scanner.scan((" ".join(template) + " ") * 3000)
+    assert len(many) == 3000
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
