@@ -277,10 +277,20 @@ def layout_summary(spark, d):
     return classify.layout_summary(modes, r.select("page_id", "book", F.when(F.col("page_id") % 3 == 0, "image_only").otherwise("text").alias("kind")))
 
 
-@query("select doc_id, case doc_id % 5 when 0 then 'truetype' when 1 then 'opentype' when 2 then 'woff' when 3 then 'woff2' else 'unknown' end as kind from documents")
+_BITS = [0, 2, 4, 8, 0x0100, 0x0204, 6, 0x1000]
+
+
+@query("select doc_id, case doc_id % 5 when 0 then 'truetype' when 1 then 'opentype' when 2 then 'woff' when 3 then 'woff2' else 'unknown' end as kind, case doc_id % 9 when 0 then 'installable' when 1 then 'restricted' when 2 then 'preview-and-print' when 3 then 'editable' when 4 then 'no-subsetting' when 5 then 'bitmap-only' else 'invalid-or-missing' end as license from documents")
 def font_audit(spark, d):
-    heads = F.element_at(F.array(*(F.unhex(F.lit(x)) for x in ("00010000", "4F54544F", "774F4646", "774F4632", "00"))), (F.col("doc_id") % 5 + 1).cast("int"))
-    return texts(spark, d).select("doc_id", archives.font_kind(heads).alias("kind"))
+    """A font for each document: a directory of two tables, the second with the embedding bits; every ninth lacks it."""
+    k = F.col("doc_id") % 9
+    head = F.element_at(F.array(*(F.lit(x) for x in ("00010000", "4F54544F", "774F4646", "774F4632", "00010001"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    bits = F.lpad(F.hex(F.element_at(F.array(*map(F.lit, [*_BITS, 0])), (k + 1).cast("int"))), 4, "0")
+    entry = lambda tag: F.concat(tag, F.lit("00000000" "0000002C" "00000060"))
+    directory = F.concat(entry(F.lit("676C7966")), entry(F.when(k < 8, F.lit("4F532F32")).otherwise(F.lit("6E616D65"))))
+    font = F.unhex(F.concat(head, F.lit("0002" "000000000000"), directory, F.lit("0003" "0000000000" "00"), bits, F.repeat(F.lit("00"), 40)))
+    fonts = texts(spark, d).select("doc_id", font.alias("font"))
+    return fonts.select("doc_id", archives.font_kind("font").alias("kind"), archives.font_license(archives.font_embedding_bits("font")).alias("license"))
 
 
 @query("select source as book, case when bool_or(lang = 'de') and bool_or(lang = 'fr') then 'mixed' when bool_or(lang in ('de', 'fr')) then 'generic' else 'none' end as family from documents group by 1")
@@ -289,10 +299,17 @@ def profile(spark, d):
     return classify.profile(signals, {"mixed": {"de": 30, "fr": 30}}).select("book", "family")
 
 
-@query(f"with {ELEMENTS}, c as (select doc, count(*) filter (tname = 'h1') as h, count(*) filter (tname = 'p') as p from el group by 1) select doc as page_id, 'h1' as tname, 'count is ' || h as issue from c where h <> 2")
+@query("""select doc_id, 'item' as tname, case doc_id % 6 when 1 then 'properties in version 2.0' when 2 then 'wrong parent' when 3 then 'void element has contents' end as issue from documents where doc_id % 6 in (1, 2, 3) union all select doc_id, 'manifest', 'required element is missing' from documents where doc_id % 6 = 2
+ union all select doc_id, 'spine', 'manifest must precede' from documents where doc_id % 6 in (2, 4) union all select doc_id, 'toc', 'illegal element' from documents where doc_id % 6 = 5""")
 def package_check(spark, d):
-    found = classify.package_check(M.elements(docs(spark, d)), [("h1", "article", 2, 2)])
-    return found.where("issue like 'count%'").withColumnRenamed("doc", "page_id")
+    """A package of version 2.0 for each document; five of six have a fault."""
+    k = F.col("doc_id") % 6
+    item = F.when(k == 1, "<item id='a' properties='nav'/>").when(k == 3, "<item id='a'>text</item>").otherwise("<item id='a'/>")
+    manifest, spine = F.when(k == 2, item).otherwise(F.concat(F.lit("<manifest>"), item, F.lit("</manifest>"))), F.lit("<spine><itemref idref='a'/></spine>")
+    parts = F.when(k == 4, F.concat(spine, manifest)).otherwise(F.concat(manifest, spine))
+    made = texts(spark, d).select(F.col("doc_id").alias("page_id"), F.concat(F.lit("<package version='2.0'><metadata><title>"), "source", F.lit("</title></metadata>"), parts, F.when(k == 5, "<toc/>").otherwise(""), F.lit("</package>")).alias("html"))
+    els = M.elements(made)
+    return classify.structure_check(els, classify.PACKAGE, pages.element_texts(made, els), "2.0").select(F.col("doc").alias("doc_id"), "tname", "issue")
 
 
 # functions
@@ -337,6 +354,25 @@ def rename_fragments(spark, d):
     return rewrite.rename_fragments(r, r.select("book", "path", F.concat(F.lit("old"), k).alias("old_id"), F.concat(F.lit("new"), k).alias("new_id")).distinct()).select("page_id", "html")
 
 
+@query(f"select page_id, 'Text/page.html' as path, replace(html, '<p>', '<p><img src=\"../Images/a%20b.png\"/><img src=\"gone.png\"/>') as html from pages union all select page_id, 'Images/a b.png', '' from pages where {_P} > 0")
+def import_html(spark, d):
+    """Each page with an image beside its folder, and one that isn't there; pages and imported files."""
+    r = put(spark, d, "<p>", '<p><img src="../m/a%20b.png"/><img src="gone.png"/>').select("page_id", F.col("page_id").cast("string").alias("book"), F.lit("in/page.html").alias("path"), "html")
+    files = r.select("book", F.explode(F.array(F.lit("m/a b.png"), F.lit("m/unused.png"))).alias("path"))
+    made, media = rewrite.import_html(r, files)
+    return made.select("page_id", "path", "html").unionByName(media.select(F.col("book").cast("long").alias("page_id"), F.col("new_path").alias("path"), F.lit("").alias("html")))
+
+
+@query("select doc_id, '<package><manifest><item href=\"Text/n' || doc_id || '.xhtml#f\"/><item href=\"b.css\"/></manifest><a href=''Text/o' || doc_id || '.xhtml''/></package>' as xml from documents")
+def xml_renames(spark, d):
+    """A package for each document, one of its files renamed; only elements that hold links count."""
+    k = F.col("doc_id").cast("string")
+    xml = F.concat(F.lit('<package><manifest><item href="Text/o'), k, F.lit('.xhtml#f"/><item href="b.css"/></manifest><a href=\'Text/o'), k, F.lit(".xhtml'/></package>"))
+    r = texts(spark, d).select(F.col("doc_id").alias("page_id"), k.alias("book"), F.lit("OPS/p.opf").alias("path"), xml.alias("html"))
+    updates = r.select("book", F.concat(F.lit("OPS/Text/o"), "book", F.lit(".xhtml")).alias("old_path"), F.concat(F.lit("OPS/Text/n"), "book", F.lit(".xhtml")).alias("new_path"))
+    return rewrite.xml_renames(r, updates, "opf").select(F.col("page_id").alias("doc_id"), F.col("html").alias("xml"))
+
+
 @query("select page_id, replace(html, '<p>', '<p><a href=\"m' || page_id || '.html#x\">l</a>') as html from pages where contains(html, '<p>')")
 def relink_anchors(spark, d):
     """Each page is a book of its own; its paragraphs link to an id that has moved to another file."""

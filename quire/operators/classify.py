@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,6 +148,61 @@ def convert_direction(pages: DataFrame, modes: DataFrame, override: str = "horiz
     return staged.withColumn("whole", whole).select("book", "page_id", F.when(F.col("whole"), F.col("made")).otherwise(F.col("html")).alias("html"), (F.col("whole") & vertical).alias("converted"))
 
 
+@dataclass(frozen=True)
+class ElementRule:
+    """An element of a package file: its allowed parents (none: the root), whether it is void, how often it stands, and what must stand before it."""
+
+    tname: str
+    parents: tuple[str, ...] = ()
+    void: bool = False
+    least: int = 0
+    most: int | None = None
+    after: tuple[str, ...] = ()
+
+
+# The structure of a package file, as far as both versions share it.
+PACKAGE = [
+    ElementRule("package", (), least=1, most=1), ElementRule("metadata", ("package",), least=1, most=1), ElementRule("manifest", ("package",), least=1, most=1, after=("metadata",)),
+    ElementRule("item", ("manifest",), void=True, least=1), ElementRule("spine", ("package",), least=1, most=1, after=("metadata", "manifest")), ElementRule("itemref", ("spine",), void=True, least=1),
+    ElementRule("guide", ("package",), most=1, after=("metadata", "manifest", "spine")), ElementRule("reference", ("guide",), void=True),
+]
+NAVIGATION = [
+    ElementRule("ncx", (), least=1, most=1), ElementRule("head", ("ncx",), least=1, most=1), ElementRule("meta", ("head",), void=True), ElementRule("doctitle", ("ncx",), least=1, most=1, after=("head",)),
+    ElementRule("navmap", ("ncx",), least=1, most=1, after=("head",)), ElementRule("navpoint", ("navmap", "navpoint")), ElementRule("navlabel", ("navpoint",)), ElementRule("text", ("navlabel", "doctitle")), ElementRule("content", ("navpoint",), void=True),
+]
+
+
+def structure_check(els: DataFrame, rules: list[ElementRule], texts: DataFrame | None = None, version: str = "3.0", free: tuple[str, ...] = ("metadata",)) -> DataFrame:
+    """(doc, eid, tname, issue) of elements against rules; eid is null for a required element that is missing.
+
+    free: elements in which anything may stand. texts (doc, eid, text): with it, void elements must not hold any. Version 2.0 knows no properties of items.
+    """
+    spark = els.sparkSession
+    rows = [(r.tname, list(r.parents), r.void, r.least, r.most, list(r.after)) for r in rules]
+    table = F.broadcast(spark.createDataFrame(rows, "tname string, parents array<string>, void boolean, least int, most int, after array<string>"))  # a parameter of the call
+    ups = els.select("doc", F.col("eid").alias("parent_eid"), F.col("tname").alias("up"))
+    order = Window.partitionBy("doc", "tname").orderBy("eid")
+    placed = els.withColumn("nth", F.row_number().over(order)).join(ups, ["doc", "parent_eid"], "left").where(~F.coalesce("up", F.lit("")).isin(*free))
+    known = placed.join(table, "tname", "left").withColumn("known", F.col("parents").isNotNull())
+    firsts = els.groupBy("doc", F.col("tname").alias("before")).agg(F.min("eid").alias("first"))
+    needs = known.where("known").select("doc", "eid", F.explode("after").alias("before")).join(firsts, ["doc", "before"], "left").where("first is null or first > eid").groupBy("doc", "eid").agg(F.min("before").alias("lacks"))
+    checked = known.join(needs, ["doc", "eid"], "left")
+    if texts is not None:
+        checked = checked.join(texts.select("doc", "eid", F.col("text").rlike(r"\S").alias("filled")), ["doc", "eid"], "left")
+    else:
+        checked = checked.withColumn("filled", F.lit(False))
+    properties = F.lit(version == "2.0") & (F.col("tname") == "item") & F.try_element_at(M.attributes("tok"), F.lit("properties")).isNotNull()
+    issue = (
+        F.when(~F.col("known"), "illegal element").when(F.col("nth") > F.col("most"), "too many").when(F.col("up").isNotNull() & ~F.array_contains("parents", F.col("up")), "wrong parent").when(F.col("lacks").isNotNull(), F.concat(F.col("lacks"), F.lit(" must precede")))
+        .when(properties, "properties in version 2.0").when(F.col("void") & F.coalesce("filled", F.lit(False)), "void element has contents")
+    )
+    wrong = checked.withColumn("issue", issue).where("issue is not null").select("doc", "eid", "tname", "issue")
+    counts = els.groupBy("doc").agg(*(F.count_if(F.col("tname") == r.tname).alias(f"n_{k}") for k, r in enumerate(rules)))
+    lacking = F.array_compact(F.array(*(F.when(F.col(f"n_{k}") < r.least, F.lit(r.tname)) for k, r in enumerate(rules))))
+    missing = counts.select("doc", F.lit(None).cast("int").alias("eid"), F.explode(lacking).alias("tname")).withColumn("issue", F.lit("required element is missing"))
+    return wrong.unionByName(missing)
+
+
 def package_check(els: DataFrame, rules: list[tuple[str, str, int, int | None]]) -> DataFrame:
     """(doc, tname, issue): elements with a wrong parent, and wrong counts, by rules (element, allowed parent, at least, at most)."""
     table = F.broadcast(els.sparkSession.createDataFrame(rules, "tname string, parent string, least int, most int"))  # a parameter of the call

@@ -6,6 +6,8 @@ touched. Resources are rows (book, path, html) with a page_id.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,22 +30,32 @@ def _set(tok: Column, name: Column, value: Column) -> Column:
     return F.regexp_replace(tok, rx, F.concat(F.lit("$1\""), F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$")), F.lit('"')))
 
 
-def rewrite_links(resources: DataFrame, targets: DataFrame) -> DataFrame:
+# Elements and attributes that hold links in package, navigation, synchronisation and page-map files.
+XML_LINKS = {
+    "opf": {"link": ["href"], "item": ["href"], "reference": ["href"], "site": ["href"]}, "ncx": {"content": ["src"]}, "pagemap": {"page": ["href"]},
+    "smil": {"text": ["src"], "audio": ["src"], "body": ["epub:textref"], "seq": ["epub:textref"], "par": ["epub:textref"]},
+}
+#: Where a file of a book goes, by its extension.
+FOLDERS = {"Images": "bmp gif jpeg jpg png svg webp".split(), "Styles": ["css"], "Fonts": "otf ttf woff woff2".split(), "Audio": "m4a mp3 ogg wav".split(), "Video": "m4v mp4 webm".split()}
+
+
+def rewrite_links(resources: DataFrame, targets: DataFrame, places: Column | None = None, to_path: str = "path") -> DataFrame:
     """(page_id, html, n) of changed pages. targets (book, target, fragment or null, new_path, new_fragment or null): where links go now.
 
     A row with a null fragment holds for every fragment of its target, which stays; one with a fragment only for that one.
+    places: which of (tname, attr) hold links, if not the usual attributes; to_path: column with the page's own new path.
     """
-    keyed = resources.select(F.col("page_id").alias("doc"), "book", "path")
+    keyed = resources.select(F.col("page_id").alias("doc"), "book", "path", F.col(to_path).alias("own_path"))
     toks = M.tokens(resources, positions=False)
-    found = toks.where("ttype in ('begin', 'single')").select("doc", "seq", "tok", F.explode(M.attributes("tok")).alias("attr", "value")).where(F.col("attr").isin(*LINKS) & ~T.is_external("value"))
+    found = toks.where("ttype in ('begin', 'single')").select("doc", "seq", "tok", "tname", F.explode(M.attributes("tok")).alias("attr", "value")).where((F.col("attr").isin(*LINKS) if places is None else places) & ~T.is_external("value"))
     path = F.when(F.startswith("value", F.lit("/")), T.normal_path(T.link_path("value"))).otherwise(T.resolve("path", "value"))
     aimed = found.join(keyed, "doc").withColumns({"target": path, "fragment": T.link_fragment("value")})
     general = targets.where("fragment is null").select("book", "target", F.col("new_path").alias("g_path"))
     exact = targets.where("fragment is not null").select("book", "target", "fragment", F.col("new_path").alias("e_path"), F.col("new_fragment").alias("e_fragment"))
     moved = aimed.join(general, ["book", "target"], "left").join(exact, ["book", "target", "fragment"], "left").where("g_path is not null or e_path is not null")
     new_path, fragment = F.coalesce("e_path", "g_path"), F.coalesce(F.when(F.col("e_path").isNotNull(), F.col("e_fragment")), "fragment")
-    same_file = new_path == F.col("path")
-    href = F.concat(F.when(same_file & (fragment != ""), F.lit("")).otherwise(T.url_encode(T.relative("path", new_path))), F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""))
+    same_file = new_path == F.col("own_path")
+    href = F.concat(F.when(same_file & (fragment != ""), F.lit("")).otherwise(T.url_encode(T.relative("own_path", new_path))), F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""))
     changes = moved.withColumn("new_value", href).where("new_value <> value").withColumn("new", _set(F.col("tok"), F.col("attr"), F.col("new_value")))
     one = changes.groupBy("doc", "seq").agg(F.first("new").alias("new"))
     whole = _put_together(toks.join(one, ["doc", "seq"], "left"))
@@ -56,6 +68,34 @@ def apply_renames(resources: DataFrame, updates: DataFrame) -> DataFrame:
     return rewrite_links(resources, updates.select("book", F.col("old_path").alias("target"), null.alias("fragment"), "new_path", null.alias("new_fragment")))
 
 
+def xml_renames(resources: DataFrame, updates: DataFrame, kind: str) -> DataFrame:
+    """Rewrites links of package, ncx, smil or pagemap files (page_id, book, path, html) for renamed files: (page_id, html, n) of changed ones."""
+    null = F.lit(None).cast("string")
+    places = reduce(lambda a, b: a | b, ((F.col("tname") == tag) & F.col("attr").isin(*names) for tag, names in XML_LINKS[kind].items()))
+    return rewrite_links(resources, updates.select("book", F.col("old_path").alias("target"), null.alias("fragment"), "new_path", null.alias("new_fragment")), places)
+
+
+def import_html(resources: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pages, media): pages (page_id, book, path, html) brought into the layout of a book, and the files (book, path) that they use.
+
+    Images, sound, video and stylesheets that a page points to and that exist go to the folder of their kind, media with path and new_path; the page goes
+    to Text and its links to them follow. Links to files that don't exist, to scripts and to other pages stay as they are.
+    """
+    toks = M.tokens(resources, positions=False).where("ttype in ('begin', 'single')").select("doc", "tname", F.explode(M.attributes("tok")).alias("attr", "value"))
+    sheet = (F.col("tname") == "link") & (F.col("attr") == "href")
+    media = F.col("tname").isin("img", "image", "source", "audio", "video", "embed", "object") & F.col("attr").isin("src", "xlink:href", "href", "poster", "data")
+    kinds = F.create_map(*(F.lit(x) for folder, exts in FOLDERS.items() for ext in exts for x in (ext, folder)))
+    keyed = resources.select(F.col("page_id").alias("doc"), "book", F.col("path").alias("page_path"))
+    wanted = toks.where((sheet | media) & ~T.is_external("value")).join(keyed, "doc").select("book", T.resolve("page_path", "value").alias("path")).distinct()
+    folder = F.try_element_at(kinds, T.extension("path"))
+    found = files.select("book", "path").distinct().join(wanted, ["book", "path"], "left_semi").where(folder.isNotNull()).withColumn("new_path", F.concat_ws("/", folder, T.file_name("path")))
+    null = F.lit(None).cast("string")
+    moved = resources.withColumn("new_path", F.concat(F.lit("Text/"), T.file_name("path")))
+    changed = rewrite_links(moved, found.select("book", F.col("path").alias("target"), null.alias("fragment"), "new_path", null.alias("new_fragment")), to_path="new_path")
+    out = moved.join(changed.select("page_id", F.col("html").alias("_html")), "page_id", "left").withColumns({"path": F.col("new_path"), "html": F.coalesce("_html", "html")}).drop("_html", "new_path")
+    return out, found
+
+
 def relink_anchors(resources: DataFrame, old_paths: DataFrame, places: DataFrame) -> DataFrame:
     """After a split or merge: links to an id of an old path (book, old_path) point at the file that now holds it.
 

@@ -162,7 +162,28 @@ def write_archives(resources: DataFrame, rows: int = 10_000, size: int = 64 << 2
 def font_kind(c: Column | str) -> Column:
     """Container of a font by its first bytes."""
     head = F.hex(F.substring(T.col(c), 1, 4))
-    return F.when(head == "00010000", "truetype").when(head == "4F54544F", "opentype").when(head == "774F4646", "woff").when(head == "774F4632", "woff2").when(head == "74746366", "collection").otherwise("unknown")
+    return F.when(head.isin("00010000", "74727565", "74797031"), "truetype").when(head == "4F54544F", "opentype").when(head == "774F4646", "woff").when(head == "774F4632", "woff2").when(head == "74746366", "collection").otherwise("unknown")
+
+
+def font_embedding_bits(c: Column | str) -> Column:
+    """fsType of a font's OS/2 table, found by the table directory at its start; null if there is none."""
+    h = F.hex(T.col(c))
+    n = F.conv(F.substring(h, 9, 4), 16, 10).cast("int")
+    directory = F.substring(h, F.lit(25), n * 32)
+    offset = F.conv(F.regexp_extract(directory, "^(?:[0-9A-F]{32})*?4F532F32[0-9A-F]{8}([0-9A-F]{8})", 1), 16, 10).cast("int")
+    bits = F.substring(h, offset * 2 + 17, F.lit(4))
+    return F.when(F.length(bits) == 4, F.conv(bits, 16, 10).cast("int"))
+
+
+def font_license(bits: Column | str) -> Column:
+    """Licence class by the embedding bits."""
+    b = T.col(bits)
+    embedding = b.bitwiseAND(0x000E)
+    known = (b.bitwiseAND(~0x030E & 0xFFFF) == 0) & embedding.isin(0, 2, 4, 8)
+    return (
+        F.when(b.isNull() | ~known, "invalid-or-missing").when(b.bitwiseAND(0x0100) != 0, "no-subsetting").when(b.bitwiseAND(0x0200) != 0, "bitmap-only").when(embedding == 2, "restricted")
+        .when(embedding == 4, "preview-and-print").when(embedding == 8, "editable").otherwise("installable")
+    )
 
 
 def image_size(c: Column | str) -> tuple[Column, Column]:

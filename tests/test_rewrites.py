@@ -139,3 +139,43 @@ def test_reports(spark):
 @pytest.mark.parametrize(("path", "bad"), [("a/b", False), ("../a", True), ("/a", True), ("a/../../b", True), ("C:/x", True), ("a/../b", False), ("\\x", True)])
 def test_unsafe_paths(path, bad):
     assert archives.unsafe(path) == bad
+
+
+def test_structure_rules(spark):
+    ncx = "<ncx><head><meta/></head><docTitle><text>t</text></docTitle><navMap><navPoint><navLabel><text>x</text></navLabel><content/></navPoint></navMap></ncx>"
+    docs = book(spark, a=ncx, b=ncx.replace("<content/>", "<content>y</content>"), c="<ncx><navMap><text>z</text></navMap><head/><head/><odd/></ncx>")
+    els = M.elements(docs)
+    got = {(r.doc, r.tname, r.issue) for r in classify.structure_check(els, classify.NAVIGATION, pages.element_texts(docs, els), free=()).collect()}
+    assert got == {
+        (1, "content", "void element has contents"), (2, "navmap", "head must precede"), (2, "text", "wrong parent"), (2, "head", "too many"), (2, "odd", "illegal element"), (2, "doctitle", "required element is missing"),
+    }
+
+
+def test_xml_links(spark):
+    updates = spark.createDataFrame([("b", "OPS/a.xhtml", "OPS/new/a b.xhtml")], "book string, old_path string, new_path string")
+    for kind, before, after in (
+        ("ncx", "<content src='a.xhtml#f'/><item href='a.xhtml'/>", "<content src=\"new/a%20b.xhtml#f\"/><item href='a.xhtml'/>"), ("smil", "<par epub:textref='a.xhtml'><text src='a.xhtml#g'/></par>", '<par epub:textref="new/a%20b.xhtml"><text src="new/a%20b.xhtml#g"/></par>'),
+        ("pagemap", "<page href='a.xhtml#p'/>", '<page href="new/a%20b.xhtml#p"/>'), ("opf", "<item href='http://x/a.xhtml'/><reference href='./a.xhtml'/>", "<item href='http://x/a.xhtml'/><reference href=\"new/a%20b.xhtml\"/>"),
+    ):
+        files = spark.createDataFrame([(1, "b", "OPS/x.xml", before)], "page_id long, book string, path string, html string")
+        assert [r.html for r in rewrite.xml_renames(files, updates, kind).collect()] == [after]
+
+
+def test_import(spark):
+    html = '<html><head><link rel="stylesheet" href="s.css"/><script src="j.js"></script></head><body><img src="../pic.JPG"/><a href="other.html">o</a><img src="http://x/y.png"/><img src="none.png"/><video poster="p.png"></video></body></html>'
+    page = spark.createDataFrame([(1, "b", "d/in.html", html), (2, "b", "d/other.html", None)], "page_id long, book string, path string, html string")
+    files = spark.createDataFrame([("b", x) for x in ("d/s.css", "d/j.js", "pic.JPG", "d/p.png", "d/other.html", "d/free.png")], "book string, path string")
+    made, media = rewrite.import_html(page, files)
+    assert {(r.path, r.new_path) for r in media.collect()} == {("d/s.css", "Styles/s.css"), ("pic.JPG", "Images/pic.JPG"), ("d/p.png", "Images/p.png")}
+    want = html.replace('"s.css"', '"../Styles/s.css"').replace('"../pic.JPG"', '"../Images/pic.JPG"').replace('"p.png"', '"../Images/p.png"')
+    assert {(r.path, r.html) for r in made.collect()} == {("Text/in.html", want), ("Text/other.html", None)}
+
+
+def test_font_licences(spark):
+    bits = {None: "invalid-or-missing", 0: "installable", 2: "restricted", 4: "preview-and-print", 8: "editable", 0x108: "no-subsetting", 0x208: "bitmap-only", 6: "invalid-or-missing", 1: "invalid-or-missing", 0x8000: "invalid-or-missing"}
+    rows = spark.createDataFrame([(k,) for k in bits], "b int").withColumn("x", archives.font_license("b")).collect()
+    assert {r.b: r.x for r in rows} == bits
+    entry = lambda tag, at: tag + bytes(4) + at.to_bytes(4, "big") + (96).to_bytes(4, "big")
+    font = b"OTTO" + (2).to_bytes(2, "big") + bytes(6) + entry(b"CFF ", 0x4F532F32) + entry(b"OS/2", 44) + bytes(8) + (0x204).to_bytes(2, "big") + bytes(9)
+    rows = [(font,), (font[:50],), (b"x",), (b"",), (None,)]
+    assert [r.b for r in spark.createDataFrame(rows, "f binary").select(archives.font_embedding_bits("f").alias("b")).collect()] == [0x204, None, None, None, None]
