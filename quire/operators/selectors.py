@@ -1,7 +1,7 @@
 """CSS selectors compiled to plans over the element table.
 
 ``select(els, selector)`` parses a selector on the driver and gives the elements that match. Tests on one element are columns;
-combinators are joins by document and parent, or by document and interval; :has and :not of whole selectors are semi and anti joins.
+combinators are joins by document and parent, or running windows over a document; :has and :not of whole selectors are semi and anti joins.
 """
 
 from __future__ import annotations
@@ -188,12 +188,27 @@ def select(els: DataFrame, selector: str, texts: DataFrame | None = None) -> Dat
     return out
 
 
+def _inside(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(doc, eid, outer): elements of inner within an element of outer, and elements of outer (outer: true) with one of inner within.
+
+    By two running extremes in document order instead of a join of intervals: an element lies in one that began before it and ends no earlier, so
+    the latest end of those that began before it tells; and likewise the earliest end of those that begin after it.
+    """
+    rows = inner.select("doc", "eid", "end_seq", F.lit(False).alias("outer")).unionByName(outer.select("doc", "eid", "end_seq", F.lit(True).alias("outer")))
+    order = Window.partitionBy("doc").orderBy("eid")
+    around = F.max(F.when(F.col("outer"), F.col("end_seq"))).over(order.rangeBetween(Window.unboundedPreceding, -1))
+    within = F.min(F.when(~F.col("outer"), F.col("end_seq"))).over(order.rangeBetween(1, Window.unboundedFollowing))
+    found = rows.withColumns({"around": around, "within": within})
+    return found.where(F.when(F.col("outer"), F.col("within") <= F.col("end_seq")).otherwise(F.col("around") >= F.col("end_seq"))).select("doc", "eid", "outer")
+
+
 def _combined(left: DataFrame, right: DataFrame, combinator: str) -> DataFrame:
-    a = left.select(F.col("doc").alias("a_doc"), F.col("eid").alias("a_eid"), F.col("end_seq").alias("a_end"), F.col("parent_eid").alias("a_parent"), F.col("child_no").alias("a_no"))
-    same = (F.col("doc") == F.col("a_doc"))
+    if combinator == " ":
+        return right.join(_inside(right, left).where("not outer").select(*KEY), KEY, "left_semi")
+    a = left.select(F.col("doc").alias("a_doc"), F.col("eid").alias("a_eid"), F.col("parent_eid").alias("a_parent"), F.col("child_no").alias("a_no"))
+    same = F.col("doc") == F.col("a_doc")
     on = {
         ">": same & (F.col("parent_eid") == F.col("a_eid")),
-        " ": same & (F.col("a_eid") < F.col("eid")) & (F.col("a_end") >= F.col("end_seq")) & (F.col("depth") > 1),
         "+": same & F.col("parent_eid").eqNullSafe(F.col("a_parent")) & (F.col("child_no") == F.col("a_no") + 1),
         "~": same & F.col("parent_eid").eqNullSafe(F.col("a_parent")) & (F.col("child_no") > F.col("a_no")),
     }[combinator]
@@ -206,8 +221,7 @@ def _related(els: DataFrame, now: DataFrame, name: str, arg: str, texts: DataFra
         return now.join(inner.select(*KEY), KEY, "left_anti")
     if name == "haschild" or arg.startswith(">"):
         return now.join(inner.select("doc", F.col("parent_eid").alias("eid")), KEY, "left_semi")
-    b = inner.select(F.col("doc").alias("b_doc"), F.col("eid").alias("b_eid"), F.col("end_seq").alias("b_end"))
-    return now.join(b, (F.col("doc") == F.col("b_doc")) & (F.col("b_eid") > F.col("eid")) & (F.col("b_end") <= F.col("end_seq")), "left_semi")
+    return now.join(_inside(inner, now).where("outer").select(*KEY), KEY, "left_semi")
 
 
 def selects_or_error(els: DataFrame, selector: str, texts: DataFrame | None = None) -> DataFrame:
