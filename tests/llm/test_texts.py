@@ -119,6 +119,18 @@ def test_odd_sketch_estimates():
         assert abs(neardup.similarity(neardup.sketch(a), neardup.sketch(b)) - (a == b).mean()) < 0.12
 
 
+def test_gates_lose_no_link():
+    """Pairs at the threshold, and rows linked with a member of a leader at the least similarity to it."""
+    r, one = np.random.default_rng(5), np.uint64(1)
+    for _ in range(3000):
+        x = r.integers(0, 2**63, neardup.SAMPLES).astype(np.uint64)
+        y = np.where(r.random(len(x)) < 0.85, x, x + one)
+        leader = np.where(r.random(len(x)) < 0.7, x, x + one + one)
+        a, b, c = map(neardup.sketch, (x, y, leader))
+        assert neardup.similarity(a, b) >= 0.85 - neardup.SLACK
+        assert neardup.similarity(a, c) < neardup.SAME or neardup.similarity(b, c) >= neardup.TIE
+
+
 def contained(text, item):
     words, own = (text or "").lower().split(), item.lower().split()
     k = min(5, len(own))
