@@ -49,56 +49,43 @@ class ByteSigns(dict):
 BYTE_SIGNS = ByteSigns()
 
 
-class Encoder:
-    """Ids of whole texts by the tokenizers library; pre-tokens are encoded once and kept.
+class Kept(dict):
+    """Ids of pre-tokens, encoded when they are first asked for; a full table becomes the old one, from which what occurs again is taken over."""
+
+    def __init__(self, library: Tokenizer) -> None:
+        super().__init__()
+        self.library, self.merges, self.old = library, library.model, {}
+
+    def __missing__(self, x: str) -> bytes:
+        ids = self.old.get(x)
+        if ids is None:
+            if x.isalpha() or x[0] == " " and x[1:].isalpha():  # one pre-token: straight to the merges
+                ids = packed([t.id for t in self.merges.tokenize(x.translate(BYTE_SIGNS))])
+            else:
+                ids = packed(self.library.encode(x, add_special_tokens=False).ids)
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        self[x] = ids
+        return ids
 
-    When the cache is full it becomes the old one, from which pre-tokens that occur again are taken over.
-    """
+
+class Encoder:
+    """Ids of whole texts by the tokenizers library; pre-tokens are encoded once and kept."""
 
     def __init__(self, spec: str) -> None:
         self.library, told = Tokenizer.from_str(spec), json.loads(spec)
         pre = told.get("pre_tokenizer") or {}
         self.cuts = told.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.special = [x["content"] for x in told.get("added_tokens", [])]
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.merges = self.library.model
-
-    def whole(self, text: str) -> bytes:
-        return packed(self.library.encode(text, add_special_tokens=False).ids)
+        self.kept = Kept(self.library)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for part in parts(texts):
-            plain = [self.cuts and not any(x in t for x in self.special) for t in part]
-            tokens = [CUT.findall(t) if p else [] for t, p in zip(part, plain, strict=True)]
-            every = set().union(*tokens)
-            missing = every.difference(self.cache)
-            if len(self.cache) + len(missing) > CACHE:
-                self.cache, self.old, missing = {}, self.cache, every
-            known = [x for x in missing if x in self.old]
-            self.cache.update(zip(known, map(self.old.__getitem__, known), strict=True))
-            new = list(missing.difference(self.old))
-            words = [x for x in new if x.isalpha() or x[0] == " " and x[1:].isalpha()]  # one pre-token each: straight to the merges
-            for x in words:
-                self.cache[x] = packed([t.id for t in self.merges.tokenize(x.translate(BYTE_SIGNS))])
-            rest = list(set(new).difference(words))
-            for x, y in zip(rest, self.library.encode_batch(rest, add_special_tokens=False), strict=True):
-                self.cache[x] = packed(y.ids)
-            for t, p, x in zip(part, plain, tokens, strict=True):
-                yield b"".join(map(self.cache.__getitem__, x)) if p else self.whole(t)
-
-
-def parts(texts: list[str], chars: int = 1_000_000) -> Iterator[list[str]]:
-    """Successive texts of about so many characters together, or one longer text."""
-    part, n = [], 0
-    for x in texts:
-        part.append(x)
-        n += len(x)
-        if n >= chars:
-            yield part
-            part, n = [], 0
-    if part:
-        yield part
+        for text in texts:
+            if self.cuts and not any(x in text for x in self.special):
+                yield b"".join(map(self.kept.__getitem__, CUT.findall(text)))
+            else:
+                yield packed(self.library.encode(text, add_special_tokens=False).ids)
 
 
 def packed(ids: list[int]) -> bytes:
