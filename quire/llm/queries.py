@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontaminate, htmltext, language, licenses, packing, pii, quality, tokencount
+from quire.llm import chat, decontaminate, htmltext, language, licenses, packing, pieces, pii, quality, tokencount
 from quire.llm.neardup import near_duplicates
 from quire.llm.oracles import ORACLE_SQL
 
@@ -92,8 +92,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_chat_format, op3_packing, op4_license_scan, op5_quality_rules, op6_personal_data, op7_html_text, op8_language_id, op9_near_duplicates, op10_token_counts)
+    f.__name__: f
+    for f in (
+        op1_decontamination, op2_chat_format, op3_packing, op4_license_scan, op5_quality_rules, op6_personal_data, op7_html_text, op8_language_id, op9_near_duplicates, op10_token_counts,
+        op13_sentencepiece,
+    )
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
