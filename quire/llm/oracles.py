@@ -41,4 +41,12 @@ CHAT = f"""with c as (select conv_id, turn, role, text from conversations union
  sum(length({_escaped('text')}) + case role {_MARKS} else {sum(map(len, INST.other))} + length({_escaped('role')}) end)::bigint as formatted_chars,
  regexp_matches(string_agg(case role when 'system' then 's' when 'user' then 'u' when 'assistant' then 'a' else 'x' end, '' {_ORDER}), '^s?(ua)+$') as valid from t group by 1"""
 
-ORACLE_SQL = {"op1_decontamination": DECONTAMINATION, "op2_chat_format": CHAT, "op9_near_duplicates": NEAR_DUPLICATES}
+#: Every anchor against every row.
+HARD_NEGATIVES = """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, [floor(256 * x::double) for x in embedding] as e from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len([1 for x in embedding if x is null or not isfinite(x)]) = 0),
+ s as (select a.vec_id as a, a.label as al, r.vec_id as r, r.label as rl, list_inner_product(a.e, r.e)::bigint as s from v a join v r on a.vec_id <> r.vec_id where a.vec_id % 100 = 0),
+ p as (select a, r as p, s as ps from s where al = rl qualify row_number() over (partition by a order by s desc, r) <= 5),
+ n as (select a, p, ps, r, s, row_number() over (partition by a, p order by s desc, r) as rank from p join s using (a) where al <> rl and 80 * ps <= 100 * s and 100 * s <= 100 * ps)
+ select a as anchor_id, p as positive_id, rank::integer as rank, r as negative_id, ps as positive_score, s as negative_score from n where rank <= 5"""
+
+ORACLE_SQL = {"op12_hard_negatives": HARD_NEGATIVES, "op1_decontamination": DECONTAMINATION, "op2_chat_format": CHAT, "op9_near_duplicates": NEAR_DUPLICATES}

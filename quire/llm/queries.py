@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontaminate, htmltext, language, licenses, packing, pieces, pii, quality, tokencount
+from quire.llm import chat, decontaminate, htmltext, language, licenses, negatives, packing, pieces, pii, quality, tokencount
 from quire.llm.neardup import near_duplicates
 from quire.llm.oracles import ORACLE_SQL
 
@@ -92,6 +92,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, x = table(spark, sf_dir, "embeddings"), F.col("embedding")
+    odd = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    vector = F.when(~odd, F.transform(x, lambda v: F.floor(256 * v.cast("double"))))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.select("vec_id", label.alias("label"), vector.alias("vector")), F.col("vec_id") % 100 == 0)
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     found = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
@@ -103,7 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_chat_format, op3_packing, op4_license_scan, op5_quality_rules, op6_personal_data, op7_html_text, op8_language_id, op9_near_duplicates, op10_token_counts,
-        op13_sentencepiece,
+        op12_hard_negatives, op13_sentencepiece,
     )
 }
 
