@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontaminate, htmltext, language, licenses, negatives, packing, pieces, pii, quality, tokencount
+from quire.llm import chat, decontaminate, htmltext, language, licenses, negatives, packing, pieces, pii, quality, repair, tokencount
 from quire.llm.neardup import near_duplicates
 from quire.llm.oracles import ORACLE_SQL
 
@@ -92,6 +92,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = repair.damaged(whole)
+    found = repair.audited(rows, whole)
+    hashes = repair.digests(repair.repaired(rows, found)).select(F.col("conv_id").alias("id"), "sha256")
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return found.join(hashes, found.conv_id.eqNullSafe(hashes.id), "left").select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.coalesce("sha256", nothing).alias("repaired_sha256")
+    )
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, x = table(spark, sf_dir, "embeddings"), F.col("embedding")
     odd = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
@@ -111,7 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_chat_format, op3_packing, op4_license_scan, op5_quality_rules, op6_personal_data, op7_html_text, op8_language_id, op9_near_duplicates, op10_token_counts,
-        op12_hard_negatives, op13_sentencepiece,
+        op11_conversation_repair, op12_hard_negatives, op13_sentencepiece,
     )
 }
 
