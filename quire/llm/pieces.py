@@ -15,21 +15,24 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.tokencount import PieceCounter
 
-#: Stretches of at most KEPT_CHARS characters that a worker remembers, and pairs with their tests: bounds on memory (some 60 MB), not on results.
-KEPT, KEPT_CHARS, PAIRS = 200_000, 48, 300_000
+#: Stretches of at most KEPT_CHARS characters that a worker remembers, and pairs with their tests: bounds on memory (some 100 MB), not on results.
+KEPT, KEPT_CHARS, PAIRS = 400_000, 48, 400_000
 #: Ids in an outgoing batch, unless one text has more.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
+#: Rows that are decoded at once.
+DECODED = 1000
 SPACE = "▁"
 
 
@@ -51,13 +54,17 @@ class Vocabulary:
             raise ValueError("the model must fall back to bytes, have no unused pieces and keep white space")
         self.split = PieceCounter(model).split
         self.automaton = ahocorasick.Automaton()
-        for piece in self.ids:
+        self.size, self.lengths = len(self.names), [len(x) for x in self.names]
+        for piece, i in self.ids.items():
             # pieces that merging never makes can't end a prefix
             if len(piece) == 1 or self.merge(piece) == [piece]:
-                self.automaton.add_word(piece, piece)
+                self.automaton.add_word(piece, i)
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.characters = {x for x in self.ids if len(x) == 1}
+        self.pairs: dict[int, bool] = {}
+        #: Ids of stretches, the newer and the older half.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[str]:
         """The pieces of a short string by merging pairs as they are defined."""
@@ -71,77 +78,118 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, left: str, right: str) -> bool:
-        """Whether merging leaves these two neighbours as they are."""
-        found = self.pairs.get((left, right))
-        if found is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            found = self.pairs[left, right] = self.merge(left + right) == [left, right]
-        return found
+    def name(self, piece: int) -> str:
+        """A piece's string; a character that no piece is goes by its code point below zero."""
+        return self.names[piece] if piece >= 0 else chr(~piece)
 
-    def last_pieces(self, text: str) -> list[str]:
-        """For each prefix of 1, 2, ... characters the last piece of its encoding; a character that no piece is stands for itself."""
-        last: list[str] = []
-        compatible, alone = self.compatible, self.ids
-        matches = self.automaton.iter(text)
-        end, piece = next(matches, (len(text), ""))
-        for at, char in enumerate(text):
-            found = "" if char in alone else char if at == 0 or compatible(last[-1], char) else ""
-            while end == at:
-                if not found:
-                    before = at - len(piece)
-                    if before < 0 or compatible(last[before], piece):
-                        found = piece
-                end, piece = next(matches, (len(text), ""))
-            last.append(found)
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether merging leaves these two neighbours as they are."""
+        a, b = self.name(left), self.name(right)
+        return self.merge(a + b) == [a, b]
+
+    def last_pieces(self, text: str) -> list[int]:
+        """For each prefix of 1, 2, ... characters the last piece of its encoding."""
+        last: list = [None] * len(text)
+        if not self.characters.issuperset(text):
+            last = [None if x in self.characters else ~ord(x) for x in text]
+        pairs, lengths, size = self.pairs, self.lengths, self.size
+        done = -1
+        for end, piece in self.automaton.iter(text):
+            if end == done:
+                continue
+            before = end - lengths[piece]
+            if before >= 0:
+                left = last[before]
+                pair = left * size + piece
+                fits = pairs.get(pair)
+                if fits is None:
+                    if len(pairs) >= PAIRS:
+                        pairs.clear()
+                    fits = pairs[pair] = self.compatible(left, piece)
+                if not fits:
+                    continue
+            last[end], done = piece, end
         return last
 
     def stretch(self, text: str) -> bytes:
-        """The ids of a stretch without cuts, as 32-bit integers."""
-        last, at, out = self.last_pieces(text), len(text), []
-        while at:
-            piece = last[at - 1]
-            found = self.ids.get(piece)
-            out.extend([found] if found is not None else [self.byte_ids[b] for b in reversed(piece.encode())])
-            at -= len(piece)
-        return array("i", out[::-1]).tobytes()
+        """The ids of a stretch without cuts, as 32-bit integers, read off the table from the end."""
+        last, at, out, lengths = self.last_pieces(text), len(text) - 1, [], self.lengths
+        while at >= 0:
+            piece = last[at]
+            if piece >= 0:
+                out.append(piece)
+                at -= lengths[piece]
+            else:
+                out.extend(self.byte_ids[b] for b in reversed(chr(~piece).encode()))
+                at -= 1
+        out.reverse()
+        return array("i", out).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        known, out = self.known, []
-        for x in self.split(text):
-            found = known.get(x)
-            if found is None:
-                found = self.stretch(x.replace(" ", SPACE))
-                if len(x) <= KEPT_CHARS:
-                    if len(known) >= KEPT:
-                        known.clear()
-                    known[x] = found
-            out.append(found)
+        parts = self.split(text)
+        out = list(map(self.known.get, parts))
+        if None in out:
+            out = [self.remembered(x) if y is None else y for x, y in zip(parts, out, strict=True)]
         return np.frombuffer(b"".join(out), np.int32)
 
-    @property
+    def remembered(self, part: str) -> bytes:
+        found = self.known.get(part) or self.older.get(part)
+        if found is None:
+            found = self.stretch(part.replace(" ", SPACE))
+        if len(part) <= KEPT_CHARS:
+            if len(self.known) >= KEPT // 2:
+                self.known, self.older = {}, self.known
+            self.known[part] = found
+        return found
+
+    @cached_property
     def texts(self) -> list[str]:
-        """What each id stands for; ids of bytes are characters from U+D800 on, which no text has."""
-        if not hasattr(self, "_texts"):
-            self._texts = [
-                "" if i in self.silent else " ⁇ " if i == self.unknown else chr(0xD800 + self.byte_of[i]) if i in self.byte_of else x.replace(SPACE, " ")
-                for i, x in enumerate(self.names)
-            ]
-        return self._texts
+        """What each id stands for; bytes of longer characters are characters from U+D880 on, which no text has."""
+        plain = ["" if i in self.silent else " ⁇ " if i == self.unknown else x.replace(SPACE, " ") for i, x in enumerate(self.names)]
+        for i, b in self.byte_of.items():
+            plain[i] = chr(b if b < 128 else 0xD800 + b)
+        return plain
+
+    @cached_property
+    def simple(self) -> tuple[pa.Array, np.ndarray]:
+        """Texts of ids, and which ids stand for them wherever they are."""
+        odd = [i in self.silent or i == self.unknown or self.byte_of.get(i, 0) > 127 for i in range(self.size)]
+        return pa.array(["" if x else y for x, y in zip(odd, self.texts, strict=True)]), ~np.array(odd)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: without the space that encoding puts first; a byte that belongs to no whole character is U+FFFD."""
         out = "".join(map(self.texts.__getitem__, ids))
         first = next((i for i in ids if i not in self.silent), None)
-        if out[:1] == " " and first != self.unknown:
+        if out[:1] == " " and first != self.unknown and first not in self.byte_of:
             out = out[1:]
         if not BYTES.search(out):
             return out
         return BYTES.sub(lambda m: _characters(bytes(ord(x) - 0xD800 for x in m[0])), out)
 
+    def decoded(self, rows: pa.ListArray) -> pa.Array:
+        """Texts of many rows: joined by columns where all ids are simple, else one by one."""
+        flat, ends = rows.flatten(), np.concatenate([[0], np.cumsum(np.nan_to_num(pc.list_value_length(rows).to_numpy(zero_copy_only=False)).astype(np.int64))])
+        texts, simple = self.simple
+        if flat.null_count or rows.null_count:
+            return pa.array([None if x is None else self.decode([i for i in x if i is not None]) for x in rows.to_pylist()], pa.string())
+        ids = flat.to_numpy()
+        if len(ids) and (ids.min() < 0 or ids.max() >= self.size):
+            raise ValueError("an id is not in the vocabulary")
+        odd = np.concatenate([[0], np.cumsum(~simple[ids])])
+        parts = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), texts.take(pa.array(ids)))
+        found = pc.binary_join(parts, "")
+        started = np.zeros(len(rows), bool)
+        full = ends[:-1] < ends[1:]
+        started[full] = np.array([x[:1] == SPACE for x in self.names])[ids[ends[:-1][full]]]
+        found = pc.if_else(pa.array(started), pc.utf8_slice_codeunits(found, 1), found)
+        slow = np.flatnonzero(odd[ends[1:]] > odd[ends[:-1]])
+        if len(slow):
+            own = pa.array([self.decode(ids[ends[i] : ends[i + 1]].tolist()) for i in slow], pa.string())
+            found = pc.replace_with_mask(found, pa.array(odd[ends[1:]] > odd[ends[:-1]]), own)
+        return found
+
 
-BYTES = re.compile("[\ud800-\ud8ff]+")
+BYTES = re.compile("[\ud880-\ud8ff]+")
 
 
 def _characters(found: bytes) -> str:
@@ -191,10 +239,11 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
 def _decode(model: bytes, at: int, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = vocabulary(model).decode
+        v = vocabulary(model)
         for batch in batches:
-            texts = [None if x is None else decode([i for i in x if i is not None]) for x in (x.as_py() for x in batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
+            for start in range(0, batch.num_rows, DECODED):
+                part = batch.slice(start, DECODED)
+                yield pa.RecordBatch.from_arrays([*part.columns, v.decoded(part.column(at))], names=[*part.schema.names, out])
 
     return run
 
