@@ -213,10 +213,26 @@ def link_counts(spark, d):
     return links.link_counts(links.resources_of(docs(spark, d)))
 
 
-@query(f"""with {TOK}, {_CSS}, u as (select distinct doc, tname, unnest(string_split({_cls}, ' ')) as class from tok where ttype in ('begin', 'single') and {_cls} is not null)
- select u.doc as page_id, tname, class, (select min(selector) from s where s.doc = u.doc and (s.selector = '.' || class or s.selector = tname || '.' || class)) as selector from u""")
+#: Rules in cascade order by page_id % 4: link (-1: the page itself), imports on the way, rule, selector and sheet.
+_RULES = """values (1, -1, 0, 0, 'div.ad', null), (1, -1, 0, 1, '.ad', null), (1, 0, 0, 0, '.ad', 't.css'), (2, 0, 0, 0, 'p.ad', 's' || u.doc % 9 || '.css'), (2, 0, 0, 1, 'div .ad', 's' || u.doc % 9 || '.css'),
+ (2, 0, 1, 0, '.ad.wide', 'z' || u.doc % 9 % 3 || '.css'), (2, 0, 1, 1, '.ad', 'z' || u.doc % 9 % 3 || '.css'), (2, 1, 0, 0, '.ad', 't.css'), (3, 0, 0, 0, '.ad', 't.css')"""
+
+
+@query(f"""with {TOK}, u as (select distinct doc, tname, unnest(string_split({_cls}, ' ')) as class from tok where ttype in ('begin', 'single') and {_cls} is not null),
+ m as (select u.*, r.* from u, lateral ({_RULES}) r(k, link, step, rule_no, selector, css) where r.k = u.doc % 4 and not contains(selector, ' ') and split_part(selector, '.', 2) = class and split_part(selector, '.', 1) in ('', tname)),
+ f as (select *, row_number() over (partition by doc, tname, class order by link, step, rule_no) as n from m) select u.doc as page_id, u.tname, u.class, f.selector, f.css from u left join f on f.doc = u.doc and f.tname = u.tname and f.class = u.class and f.n = 1""")
 def class_usage(spark, d):
-    return links.class_usage(docs(spark, d)).select(F.col("doc").alias("page_id"), "tname", "class", "selector")
+    """Pages with style blocks, with links to sheets that import others, with one link, and with neither."""
+    k, sheet = F.col("page_id") % 4, lambda x: F.concat(F.lit("<link rel=stylesheet href='/"), x, F.lit(".css'>"))
+    s = F.concat(F.lit("s"), (F.col("page_id") % 9).cast("string"))
+    head = F.when(k == 1, F.concat(F.lit("<style>div.ad{a:b}.ad{a:c}</style>"), sheet(F.lit("t")))).when(k == 2, F.concat(sheet(s), sheet(F.lit("t")))).when(k == 3, sheet(F.lit("t"))).otherwise("")
+    resources = links.resources_of(docs(spark, d)).withColumn("html", F.replace("html", F.lit("</head>"), F.concat(head, F.lit("</head>"))))
+    books = resources.select("book").distinct()
+    n = F.col("n").cast("string")
+    many = lambda k, name, css: books.select("book", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("n")).select("book", name.alias("path"), css.alias("css"))
+    sheets = many(9, F.concat(F.lit("s"), n, F.lit(".css")), F.concat(F.lit("@import 'z"), (F.col("n") % 3).cast("string"), F.lit(".css'; p.ad{} div .ad{}")))
+    sheets = sheets.unionByName(many(3, F.concat(F.lit("z"), n, F.lit(".css")), F.lit(".ad.wide{} .ad{}"))).unionByName(many(1, F.lit("t.css"), F.lit(".ad{}")))
+    return links.class_usage(resources, sheets=sheets).select(F.col("doc").alias("page_id"), "tname", "class", "selector", "css")
 
 
 @query(f"with {_CSS}, {ELEMENTS} select selector, (select min(e.doc) from el e where e.tname = selector) as page_id from (select distinct selector from s)")

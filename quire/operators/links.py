@@ -75,14 +75,46 @@ def path_end_match(resources: DataFrame, tails: DataFrame) -> DataFrame:
     return a.join(b, "name").where((F.lower("path") == F.lower("tail")) | F.endswith(F.lower("path"), F.concat(F.lit("/"), F.lower("tail"))))
 
 
-def class_usage(pages: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """doc, tname, class and the first selector for it; element.class and .class selectors match, null if none does."""
+def class_usage(pages: DataFrame, rules: DataFrame | None = None, sheets: DataFrame | None = None) -> DataFrame:
+    """doc, tname, class, the first selector for it in cascade order (null if none matches), and css, the path of its stylesheet (null for a style block).
+
+    The order is data: a rule's rank is where it stands, first the page's own style blocks, then, with sheets (book, path, css) and pages that have a book and
+    path, the stylesheets by link, each before what it imports, and in a sheet the rule and the place in its group. A selector without combinators and pseudo-classes stands
+    for its first class, on any element or on the one that it names. Sheets that don't exist are left out.
+    """
     toks = M.tokens(pages, positions=False).where("ttype in ('begin', 'single')")
     used = toks.select("doc", "tname", F.explode(F.split(F.try_element_at(M.attributes("tok"), F.lit("class")), " ")).alias("class")).distinct()
-    rules = M.css_rules(pages) if rules is None else rules
-    keyed = rules.select("doc", "selector", F.regexp_extract("selector", r"^([A-Za-z0-9]*)\.([-\w]+)$", 1).alias("el"), F.regexp_extract("selector", r"^([A-Za-z0-9]*)\.([-\w]+)$", 2).alias("class"))
-    matched = used.join(keyed, ["doc", "class"], "left").withColumn("selector", F.when((F.col("el") == "") | (F.lower("el") == F.col("tname")), F.col("selector")))
-    return matched.groupBy("doc", "tname", "class").agg(F.min("selector").alias("selector"))
+    no_place = F.array().cast("array<int>")
+    own = _class_rules(M.css_rules(pages) if rules is None else rules)
+    fits = (F.col("el") == "") | (F.col("el") == F.col("tname"))
+    rank = F.struct(F.lit(-1).alias("link"), F.lit(0).alias("step"), no_place.alias("place"), "at")
+    matched = used.join(own, ["doc", "class"]).where(fits).select("doc", "tname", "class", rank.alias("rank"), F.lit(None).cast("string").alias("css"), "selector")
+    if sheets is not None:
+        keyed = sheets.select(F.struct("book", "path").alias("sheet"), "book", "path", "css")
+        imports = M.css_imports(keyed, "sheet", "css").withColumnRenamed("doc", "sheet").where(~T.is_external("url"))
+        target = F.struct(F.col("sheet.book").alias("book"), T.resolve(F.col("sheet.path"), F.col("url")).alias("path"))
+        reach = stylesheet_closure(keyed.select(F.col("sheet").alias("page"), "sheet"), imports.select("sheet", target.alias("target"), "n"))
+        href = F.when(F.startswith("href", F.lit("/")), F.ltrim(T.link_path("href"), F.lit("/"))).otherwise(T.resolve("path", "href"))
+        linked = pages_links(pages).join(pages.select(F.col("page_id").alias("doc"), "book", "path"), "doc").select("doc", F.col("seq").cast("int").alias("link"), F.struct("book", href.alias("path")).alias("page"))
+        theirs = _class_rules(M.css_rules(keyed, "sheet", "css", style_blocks=False)).withColumnRenamed("doc", "sheet")
+        found = used.join(linked, "doc").join(reach, "page").join(theirs, ["sheet", "class"]).where(fits)
+        matched = matched.unionByName(found.select("doc", "tname", "class", F.struct("link", "step", "place", "at").alias("rank"), F.col("sheet.path").alias("css"), "selector"))
+    first = matched.groupBy("doc", "tname", "class").agg(F.min_by(F.struct("selector", "css"), "rank").alias("x"))
+    return used.join(first, ["doc", "tname", "class"], "left").select("doc", "tname", "class", "x.selector", "x.css")
+
+
+def pages_links(pages: DataFrame) -> DataFrame:
+    """(doc, seq, href) of links to stylesheets of the book, in order."""
+    from quire.operators.pages import stylesheet_links
+
+    return stylesheet_links(pages).where((F.col("kind") == "stylesheet") & ~T.is_external("href")).select("doc", "seq", "href")
+
+
+def _class_rules(rules: DataFrame) -> DataFrame:
+    """doc, class, el and the first selector for them, with its place (at) in the sheet."""
+    simple = rules.where(~F.col("selector").rlike(r"[:\s>~+]")).withColumn("parts", F.split("selector", r"\."))
+    named = simple.where((F.size("parts") > 1) & (F.col("parts")[1] != ""))
+    return named.groupBy("doc", F.col("parts")[1].alias("class"), F.lower(F.col("parts")[0]).alias("el")).agg(F.min_by("selector", F.struct("rule_no", "selector_no")).alias("selector"), F.min(F.struct("rule_no", "selector_no")).alias("at"))
 
 
 def selector_usage(pages: DataFrame, els: DataFrame, rules: DataFrame | None = None) -> DataFrame:
@@ -148,21 +180,28 @@ def common_prefix(resources: DataFrame) -> DataFrame:
     return ends.select("book", F.array_join(same, "/").alias("prefix"))
 
 
-def stylesheet_closure(start: DataFrame, imports: DataFrame, rounds: int = 32) -> DataFrame:
-    """(page, sheet, step): sheets reachable from pages' links (page, sheet) through imports (sheet, target); cycles end.
+def stylesheet_closure(start: DataFrame, imports: DataFrame, merge: int = 16) -> DataFrame:
+    """(page, sheet, step, place): sheets reachable from pages' links (page, sheet) through imports (sheet, target and, if their order counts, n); cycles end.
 
-    Each round joins only what the last one found; ``rounds`` bounds the depth, and a deeper chain raises an error.
+    step is the least number of imports to a sheet, place the numbers of the imports on the way, the least of those of that step. Each round joins only what the last one
+    found and is written; there are as many rounds as imports are nested. After ``merge`` rounds their tables become one, so that plans stay small.
     """
     scratch = Scratch(start.sparkSession, "closure")
-    seen = start.select("page", "sheet").distinct().withColumn("step", F.lit(0))
-    last = seen
-    for step in range(1, rounds + 1):
-        following = last.join(imports, "sheet").select("page", F.col("target").alias("sheet")).distinct().join(seen, ["page", "sheet"], "left_anti").withColumn("step", F.lit(step))
-        following = scratch.table(following, f"step-{step}")
-        if following.isEmpty():
+    n = F.col("n").cast("int") if "n" in imports.columns else F.lit(0)
+    imports = imports.select("sheet", "target", n.alias("n"))
+    last = start.select("page", "sheet").distinct().select("page", "sheet", F.lit(0).alias("step"), F.array().cast("array<int>").alias("place"))
+    parts, step = [last], 0
+    while True:
+        step += 1
+        seen = reduce(DataFrame.unionByName, parts)
+        found = last.join(imports, "sheet").groupBy("page", F.col("target").alias("sheet")).agg(F.min(F.concat("place", F.array("n"))).alias("place"))
+        new = found.join(seen, ["page", "sheet"], "left_anti").select("page", "sheet", F.lit(step).alias("step"), "place")
+        last = scratch.table(new, f"step-{step}")
+        if last.isEmpty():
             return seen
-        seen, last = seen.unionByName(following), following
-    raise ValueError(f"stylesheet imports are nested deeper than {rounds}")
+        parts.append(last)
+        if len(parts) > merge:
+            parts = [scratch.table(reduce(DataFrame.unionByName, parts), f"to-{step}")]
 
 
 def media_usage(media: DataFrame, *uses: DataFrame) -> DataFrame:

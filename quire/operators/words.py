@@ -147,9 +147,10 @@ def unique_names(df: DataFrame, prefix: str, order: str, width: int = 4) -> Data
 
 
 def natural_key(c: Column | str) -> Column:
-    """A sort key in which runs of digits count as numbers."""
+    """A sort key in which runs of digits count as numbers of any length: each goes after the count of its digits."""
     runs = F.regexp_extract_all(T.col(c), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
-    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(F.regexp_replace(x, "^0+(?=.)", ""), 20, "0")).otherwise(F.lower(x))), "")
+    number = lambda x: F.concat(F.lpad(F.length(x).cast("string"), 10, "0"), x)
+    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), number(F.regexp_replace(x, "^0+(?=.)", ""))).otherwise(F.lower(x))), "")
 
 
 def paragraphs(docs: DataFrame, ignore_blank: bool = False, text_col: str = "text") -> DataFrame:

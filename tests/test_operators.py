@@ -124,6 +124,38 @@ def test_stylesheet_closure_ends_in_cycles(spark):
     assert found == {("p1", "a", 0), ("p1", "b", 1), ("p1", "c", 2), ("p2", "d", 0)}
 
 
+def test_class_usage_takes_the_first_rule_in_cascade_order(spark):
+    markup = {
+        1: "<style>p.x{} .x{} p > .y{} .y:hover{}</style><link rel=stylesheet href='a.css'><p class='x y z'></p><div class='x'></div>",
+        2: "<link rel=stylesheet href='../s/a.css'><link rel=stylesheet href='b.css'><link rel=stylesheet href='gone.css'><p class='x'></p><b class='w y'></b><p class='deep'></p>",
+        3: "<link rel=stylesheet href='http://z/b.css'><p class='x'></p>",
+    }
+    rows = [(k, "b", "s/p.html", v) for k, v in markup.items()]
+    docs = spark.createDataFrame(rows, "page_id long, book string, path string, html string")
+    css = {"s/a.css": "@import 'c.css'; @import 'd.css'; div.x{} p.x.k{} .y.q{}", "s/b.css": ".w{} .x{} .y{}", "s/c.css": "@import 'a.css'; .w{} .a.w{}", "s/d.css": "b.w{}.deep{}", "s/e.css": ".z{}"}
+    sheets = spark.createDataFrame([("b", k, v) for k, v in css.items()], "book string, path string, css string")
+    got = {(r.doc, r.tname, r["class"]): (r.selector, r.css) for r in links.class_usage(docs, sheets=sheets).collect()}
+    assert got == {
+        (1, "p", "x"): ("p.x", None), (1, "p", "y"): (".y.q", "s/a.css"), (1, "p", "z"): (None, None), (1, "div", "x"): (".x", None),
+        (2, "p", "x"): ("p.x.k", "s/a.css"), (2, "b", "w"): (".w", "s/c.css"), (2, "b", "y"): (".y.q", "s/a.css"), (2, "p", "deep"): (".deep", "s/d.css"), (3, "p", "x"): (None, None),
+    }
+    assert {(r.doc, r.tname, r["class"]): r.selector for r in links.class_usage(docs).collect()}[2, "p", "x"] is None
+
+
+def test_deep_imports(spark):
+    n = 40
+    start = spark.createDataFrame([("p", 0)], "page string, sheet long")
+    imports = spark.createDataFrame([(k, k + 1, 0) for k in range(n)] + [(0, 7, 1)], "sheet long, target long, n long")
+    found = {r.sheet: (r.step, r.place) for r in links.stylesheet_closure(start, imports, merge=4).collect()}
+    assert len(found) == n + 1 and found[7] == (1, [1]) and found[n] == (1 + n - 7, [1] + [0] * (n - 7)) and found[6] == (6, [0] * 6)
+
+
+def test_natural_key(spark):
+    names = ["a2", "a10", "a" + "9" * 25, "a1" + "0" * 25, "a007b", "a7c", "B1"]
+    got = [r.x for r in spark.createDataFrame([(x,) for x in reversed(names)], "x string").orderBy(words.natural_key("x")).collect()]
+    assert got == ["a2", "a007b", "a7c", "a10", "a" + "9" * 25, "a1" + "0" * 25, "B1"]
+
+
 def test_links(spark):
     docs = spark.createDataFrame(
         [(1, "http://b/x/a.html", "<a id=s href='c.html#n'>1</a><a href='http://z/'>2</a><a href='C.HTML'>3</a><a href='gone.html'>4</a>"), (2, "http://b/x/c.html", "<p id=n><a href='a.html'>back</a></p>")],
