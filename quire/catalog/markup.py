@@ -30,7 +30,10 @@ ELEMENTS = f"""{_tokens('btok', BLANK)},
  lev as (select *, case when not alone then sum(case when alone then 0 when ttype = 'begin' then 1 else -1 end) over (partition by doc, tname order by seq) + case when ttype = 'end' then 1 else 0 end end as level
   from tags where ttype in ('begin', 'single', 'end') and tname <> '' and not (alone and ttype = 'end')),
  par as (select *, lead(ttype) over w as nt, lead(seq) over w as ns from lev window w as (partition by doc, tname, level order by seq)),
- b as (select doc, seq as eid, tname, tok, last, alone, (alone or coalesce(nt = 'end', false)) as matched, case when alone then seq when nt = 'end' then ns end as e0 from par where ttype <> 'end'),
+ mat as (select doc, seq as s, ns as e from par where ttype = 'begin' and not alone and nt = 'end'),
+ bra as (select doc, z, sum(step) over (partition by doc order by z) + (step < 0)::int as d from (select doc, s as z, 1 as step from mat union all select doc, e, -1 from mat)),
+ clo as (select doc, z as s, lead(z) over (partition by doc, d order by z) as e from bra), good as (select m.doc, m.s, m.e from mat m join clo c on c.doc = m.doc and c.s = m.s and c.e = m.e),
+ b as (select p.doc, p.seq as eid, p.tname, p.tok, p.last, p.alone, (p.alone or g.e is not null) as matched, case when p.alone then p.seq else g.e end as e0 from par p left join good g on g.doc = p.doc and g.s = p.seq where p.ttype <> 'end'),
  el0 as (select b.*, coalesce(e0, (select min(p.e0) from b p where p.doc = b.doc and not p.alone and p.e0 is not null and p.eid < b.eid and p.e0 > b.eid), last) as end_seq from b),
  el1 as (select c.doc, c.eid, c.tname, c.tok, c.end_seq, c.matched, c.alone, (select max(p.eid) from el0 p where p.doc = c.doc and not p.alone and p.eid < c.eid and p.end_seq >= c.end_seq) as parent_eid,
   1 + (select count(*) from el0 p where p.doc = c.doc and not p.alone and p.eid < c.eid and p.end_seq >= c.end_seq) as depth from el0 c),
@@ -164,7 +167,8 @@ def _selected(key: str, selector: str, where: str, texts: bool = False):
     def run(spark, d):
         found = els(spark, d)
         own = pages.element_texts(docs(spark, d), found) if texts else None
-        return selectors.select(selectors.prepared(pages.with_lang(found, "en")), selector, own).select(F.col("doc").alias("page_id"), "eid", "tname")
+        related = any(x in selector for x in (" ", ":has", ":not"))
+        return selectors.select(selectors.prepared(pages.with_lang(found, "en") if ":lang" in selector else found, related), selector, own).select(F.col("doc").alias("page_id"), "eid", "tname")
 
     return run
 

@@ -233,8 +233,9 @@ def div_flow_kind(pages: DataFrame, els: DataFrame, texts: DataFrame) -> DataFra
     # divs under other elements than divs and the body are out: as many of their ancestors below the body are divs as there are
     body = els.where("tname = 'body'").groupBy("doc").agg(F.min("eid").alias("body_eid"), F.min_by("depth", "eid").alias("body_depth"), F.min_by("end_seq", "eid").alias("body_end"))
     below = els.select("doc", "eid", "end_seq", "tname", "depth").join(body, "doc").where("eid > body_eid and end_seq <= body_end and tname = 'div'")
-    ups = below.select("doc", c("eid").alias("up"), c("end_seq").alias("up_end"))
-    chains = below.join(ups, "doc").where("up <= eid and up_end >= end_seq").groupBy("doc", "eid").agg(F.count("*").alias("divs"), F.first("depth").alias("depth"), F.first("body_depth").alias("body_depth")).where("divs = depth - body_depth")
+    # how many of them are open where one begins, itself included
+    marks = below.select("*", F.explode(F.array(F.struct(c("eid").alias("at"), F.lit(1).alias("step")), F.struct(c("end_seq").alias("at"), F.lit(-1).alias("step")))).alias("m"))
+    chains = marks.withColumn("divs", F.sum("m.step").over(Window.partitionBy("doc").orderBy("m.at", F.desc("m.step")))).where("m.step = 1 and divs = depth - body_depth").select("doc", "eid", "divs", "depth", "body_depth")
     spoken = texts.where(c("own_text").rlike(r"\S")).select("doc", "eid")
     able = chains.join(counts, ["doc", "eid"]).join(spoken, ["doc", "eid"], "left_anti").withColumn("share", c("leafish") / c("n")).where((c("n") >= DIV_LEAST[1]) & (c("n") <= DIV_LEAST[3]) & (c("share") >= DIV_LEAST[4]) & (c("n_convertible") > 0))
     best = able.withColumn("short", c("n") < DIV_LEAST[0]).withColumn("_r", F.row_number().over(Window.partitionBy("doc").orderBy("short", F.desc("share"), F.desc("n"), F.desc("depth"), "eid"))).where("_r = 1")

@@ -135,7 +135,7 @@ def selector_usage(pages: DataFrame, els: DataFrame, rules: DataFrame | None = N
     places = places.select("doc", F.explode("tags").alias("tag"), "marks").select("doc", "tag", F.explode("marks").alias("mark")).groupBy("tag", "mark").agg(F.min("doc").alias("doc"))
     found = [simple.withColumn("tag", F.when(F.col("tag") == "*", "").otherwise(F.col("tag"))).join(places, ["tag", "mark"]).select("selector", "doc")]
     rest = [r.selector for r in every.where(~F.col("selector").rlike(rx)).orderBy("selector").toLocalIterator()]
-    ready = selectors.prepared(els) if rest else None
+    ready = selectors.prepared(els, write=True) if rest else None
     for k in range(0, len(rest), 100):
         hits = [selectors.selects_or_error(ready, x).agg(F.min("doc").alias("doc"), F.count("*").alias("k")).where("k > 0").select(F.lit(x).alias("selector"), "doc") for x in rest[k : k + 100]]
         found.append(scratch.table(reduce(DataFrame.unionByName, hits), f"part-{k}"))

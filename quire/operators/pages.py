@@ -16,34 +16,36 @@ def _text_tokens(docs: DataFrame) -> DataFrame:
     return M.tokens(docs.withColumn("html", M.blanked("html")), positions=False).where("ttype = 'text'")
 
 
+def _own_lang() -> Column:
+    a = M.attributes("tok")
+    return F.coalesce(F.try_element_at(a, F.lit("lang")), F.try_element_at(a, F.lit("xml:lang")))
+
+
 def token_lang(docs: DataFrame, els: DataFrame, default: str = "en") -> DataFrame:
     """(doc, seq, lang) of text tokens: of the innermost element around that names one (lang, else xml:lang)."""
-    a = M.attributes("tok")
-    named = els.select("doc", "eid", "end_seq", F.coalesce(F.try_element_at(a, F.lit("lang")), F.try_element_at(a, F.lit("xml:lang"))).alias("lang")).where("lang is not null")
-    texts = _text_tokens(docs).select("doc", "seq")
-    inside = texts.join(named, "doc").where("eid <= seq and end_seq >= seq").groupBy("doc", "seq").agg(F.max_by("lang", "eid").alias("lang"))
-    return texts.join(inside, ["doc", "seq"], "left").select("doc", "seq", F.coalesce("lang", F.lit(default)).alias("lang"))
+    named = els.withColumn("lang", _own_lang()).where("lang is not null")
+    found = M.around(_text_tokens(docs).select("doc", "seq"), named, {"lang": F.col("lang")})
+    return found.withColumn("lang", F.coalesce("lang", F.lit(default)))
 
 
 def with_lang(els: DataFrame, default: str) -> DataFrame:
     """Elements with the language in force."""
-    a = M.attributes("tok")
-    named = els.select("doc", F.col("eid").alias("l_eid"), F.col("end_seq").alias("l_end"), F.lower(F.coalesce(F.try_element_at(a, F.lit("lang")), F.try_element_at(a, F.lit("xml:lang")))).alias("lang")).where("lang is not null")
-    inside = els.select("doc", "eid", "end_seq").join(named, "doc").where("l_eid <= eid and l_end >= end_seq").groupBy("doc", "eid").agg(F.max_by("lang", "l_eid").alias("lang"))
-    return els.join(inside, ["doc", "eid"], "left").withColumn("lang", F.coalesce("lang", F.lit(default)))
+    rows = els.withColumn("lang", F.lower(_own_lang()))
+    found = M.around(rows.withColumn("seq", F.col("eid")), rows.where("lang is not null"), {"_lang": F.col("lang")})
+    return found.withColumn("lang", F.coalesce("lang", "_lang", F.lit(default))).drop("seq", "_lang")
 
 
 def element_at(els: DataFrame, places: DataFrame) -> DataFrame:
-    """For (doc, seq): innermost open element, path of its ancestors, and whether it is in the body."""
-    inside = places.join(els.where("not alone").select("doc", "eid", "end_seq", "tname"), "doc").where("eid < seq and end_seq >= seq")
-    path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("eid", "tname"))), lambda x: x["tname"]), "/")
+    """For (doc, seq): innermost open element, path of its ancestors, and whether it is in the body; places outside of all elements are left out."""
+    inside = M.around(places, els, {"eid": F.col("eid"), "tname": F.col("tname")}, every=True)
+    path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("up", "tname"))), lambda x: x["tname"]), "/")
     return inside.groupBy("doc", "seq").agg(F.max("eid").alias("eid"), path.alias("path"), F.bool_or(F.col("tname") == "body").alias("in_body"))
 
 
 def element_texts(docs: DataFrame, els: DataFrame) -> DataFrame:
-    """(doc, eid, text, own_text): the texts below an element, and those directly in it."""
-    inside = _text_tokens(docs).select("doc", "seq", "tok").join(els.where("not alone").select("doc", "eid", "end_seq"), "doc").where("eid < seq and end_seq >= seq")
-    nearest = inside.withColumn("own", F.max("eid").over(Window.partitionBy("doc", "seq")) == F.col("eid"))
+    """(doc, eid, text, own_text): the texts below an element, and those directly in it (of the elements given, it is the innermost)."""
+    inside = M.around(_text_tokens(docs).select("doc", "seq", "tok"), els, {"eid": F.col("eid")}, every=True)
+    nearest = inside.withColumn("own", F.max("up").over(Window.partitionBy("doc", "seq")) == F.col("up"))
     joined = lambda x: F.array_join(F.transform(F.array_sort(x), lambda y: y["tok"]), "")
     return nearest.groupBy("doc", "eid").agg(joined(F.collect_list(F.struct("seq", "tok"))).alias("text"), joined(F.collect_list(F.when(F.col("own"), F.struct("seq", "tok")))).alias("own_text"))
 
@@ -127,8 +129,7 @@ def resolve_entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def text_blocks(docs: DataFrame, els: DataFrame) -> DataFrame:
     """(doc, eid, text): each text goes to the innermost block-like element around it."""
-    blocks = els.where(F.col("tname").isin(M.BLOCK)).select("doc", "eid", "end_seq")
-    nearest = _text_tokens(docs).select("doc", "seq", "tok").join(blocks, "doc").where("eid < seq and end_seq >= seq").groupBy("doc", "seq", "tok").agg(F.max("eid").alias("eid"))
+    nearest = M.around(_text_tokens(docs).select("doc", "seq", "tok"), els.where(F.col("tname").isin(M.BLOCK)), {"eid": F.col("eid")}).where("eid is not null")
     return nearest.groupBy("doc", "eid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "tok"))), lambda x: x["tok"]), "").alias("text"))
 
 

@@ -143,8 +143,8 @@ def convert_script(pages: DataFrame, phrases: list[tuple[str, str]], characters:
 
     els = M.elements(pages)
     toks = M.tokens(pages.withColumn("html", M.blanked("html")), positions=False)
-    guarded = with_lang(els, "").where("tname in ('head', 'code', 'kbd', 'samp') or lang = 'ja' or lang like 'ja-%'").select("doc", "eid", "end_seq")
-    inside = toks.where("ttype = 'text'").select("doc", "seq").join(guarded, "doc").where("eid < seq and end_seq >= seq").select("doc", "seq").distinct().withColumn("guard", F.lit(1))
+    guarded = with_lang(els, "").where("tname in ('head', 'code', 'kbd', 'samp') or lang = 'ja' or lang like 'ja-%'")
+    inside = M.around(toks.where("ttype = 'text'").select("doc", "seq"), guarded, {"guard": F.lit(1)}).where("guard is not null")
     out = F.col("tok")
     for a, b in sorted(phrases, key=lambda x: -len(x[0])):
         out = F.replace(out, F.lit(a), F.lit(b))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators.tokens import attributes
+from quire.plans.scratch import Scratch
 
 KEY = ["doc", "eid"]
 PARSE_ERROR = "*** Selector Parse Error ***"
@@ -109,9 +110,12 @@ def _windows(els: DataFrame) -> DataFrame:
     return els.withColumns({"attrs": attributes("tok"), "n_children": F.count("*").over(parent), "n_type": F.count("*").over(same)})
 
 
-def prepared(els: DataFrame) -> DataFrame:
-    """Elements with what the tests of one element need; made once and reused for many selectors."""
-    return _windows(els)
+def prepared(els: DataFrame, write: bool = False) -> DataFrame:
+    """Elements with what the tests of one element need; made once and reused for many selectors.
+
+    write: as a table in the shared folder, for selectors that hold elements against each other or for many selectors.
+    """
+    return Scratch(els.sparkSession, "elements").table(_windows(els), "elements") if write else _windows(els)
 
 
 def _test(els: DataFrame, kind: str, name: str, arg, texts: DataFrame | None) -> DataFrame:

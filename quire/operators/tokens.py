@@ -75,46 +75,84 @@ def token_depth(toks: DataFrame) -> DataFrame:
     return toks.withColumn("depth", F.sum(step).over(w))
 
 
-def elements(docs: DataFrame, id_col: str = "page_id", text_col: str = "html") -> DataFrame:
-    """doc, eid (its first token), tname, tok, end_seq, matched, depth, parent_eid, child_no, type_no.
+def paired(toks: DataFrame) -> DataFrame:
+    """Tags (doc, seq, tok, tname, ttype, last) with alone (void or single), partner and crossing; last is the document's last token.
 
-    Tags are paired by name and level. Void and single tags end where they begin; another begin tag without a partner ends with the nearest
-    paired element around it, or with the document. Scripts and styles are left out.
+    A begin tag's partner is the end tag of its name and level. Where the brackets of all names, by their common depth, don't close in that order, the tags cross
+    others and have no partner.
     """
-    toks = tokens(docs.select(F.col(id_col), blanked(text_col).alias(text_col)), id_col, text_col, positions=False)
-    doc_end = Window.partitionBy("doc")
-    tags = toks.withColumn("last", F.max("seq").over(doc_end)).where("ttype in ('begin', 'single', 'end') and tname <> ''")
+    doc = Window.partitionBy("doc").orderBy("seq")
     alone = (F.col("ttype") == "single") | F.col("tname").isin(VOID)
+    tags = toks.withColumn("last", F.max("seq").over(Window.partitionBy("doc"))).where("ttype in ('begin', 'single', 'end') and tname <> ''")
     tags = tags.withColumn("alone", alone).where("not (alone and ttype = 'end')")
-    by_name = Window.partitionBy("doc", "tname").orderBy("seq")
-    step = F.when(F.col("alone"), 0).when(F.col("ttype") == "begin", 1).otherwise(-1)
-    level = F.sum(step).over(by_name) + F.when(F.col("ttype") == "end", 1).otherwise(0)
-    levelled = tags.withColumn("level", F.when(F.col("alone"), F.lit(None)).otherwise(level))
-    following = Window.partitionBy("doc", "tname", "level").orderBy("seq")
-    paired = levelled.withColumn("partner", F.when(~F.col("alone") & (F.lead("ttype").over(following) == "end"), F.lead("seq").over(following)))
-    begins = paired.where("ttype <> 'end'").select(
-        "doc", F.col("seq").alias("eid"), "tname", "tok", "last", "alone", (F.col("alone") | F.col("partner").isNotNull()).alias("matched"), F.when(F.col("alone"), F.col("seq")).otherwise(F.col("partner")).alias("end_seq")
-    )
-    # the end of a begin tag without partner: that of the innermost paired element that is open there
-    pairs = begins.where("matched and not alone").select("doc", F.col("eid").alias("p_start"), F.col("end_seq").alias("p_end"))
-    loose = begins.where("not matched").select("doc", "eid").join(pairs, "doc").where("p_start < eid and p_end > eid").groupBy("doc", "eid").agg(F.min("p_end").alias("found"))
-    ended = begins.join(loose, ["doc", "eid"], "left").withColumn("end_seq", F.coalesce("end_seq", "found", "last")).drop("found", "last")
-    return with_parents(ended)
+    begins, ends = F.col("ttype") == "begin", F.col("ttype") == "end"
+    step = F.when(F.col("alone"), 0).when(begins, 1).otherwise(-1)
+    level = F.sum(step).over(Window.partitionBy("doc", "tname").orderBy("seq")) + ends.cast("int")
+    named = Window.partitionBy("doc", "tname", "level").orderBy("seq")
+    other = F.when(begins & (F.lead("ttype").over(named) == "end"), F.lead("seq").over(named)).when(ends & (F.lag("ttype").over(named) == "begin"), F.lag("seq").over(named))
+    own = tags.withColumn("level", F.when(F.col("alone"), F.lit(None)).otherwise(level)).withColumn("other", F.when(~F.col("alone"), other)).drop("level")
+    step = F.when(F.col("other").isNull(), 0).when(begins, 1).otherwise(-1)
+    common = own.withColumn("common", F.when(F.col("other").isNotNull(), F.sum(step).over(doc) + ends.cast("int")))
+    brackets = Window.partitionBy("doc", "common").orderBy("seq")
+    crossing = F.coalesce(F.when(begins, F.lead("seq").over(brackets)).otherwise(F.lag("seq").over(brackets)) != F.col("other"), F.lit(True))
+    found = common.withColumn("crossing", F.col("other").isNotNull() & crossing)
+    return found.withColumn("partner", F.when(~F.col("crossing"), F.col("other"))).drop("common", "other")
+
+
+def elements(docs: DataFrame, id_col: str = "page_id", text_col: str = "html") -> DataFrame:
+    """doc, eid (its first token), tname, tok, end_seq, matched, depth, parent_eid, child_no, type_no.
+
+    Tags are paired by name and level. Void and single tags end where they begin; a begin tag without a partner, or one that crosses others, ends with the nearest
+    paired element around it, or with the document. Scripts and styles are left out. Everything comes from running windows over a document, in time in proportion to
+    its tags and their depth.
+    """
+    tags = paired(tokens(docs.select(F.col(id_col), blanked(text_col).alias(text_col)), id_col, text_col, positions=False))
+    doc = Window.partitionBy("doc").orderBy("seq")
+    begins, loose = (F.col("ttype") == "begin") & F.col("partner").isNotNull(), (F.col("ttype") == "begin") & ~F.col("alone") & F.col("partner").isNull()
+    step = F.when(F.col("alone") | F.col("partner").isNull(), 0).when(begins, 1).otherwise(-1)
+    # a loose tag lies in the latest paired one that opened at the depth there
+    open_ = tags.withColumn("open", F.when(begins | loose, F.sum(step).over(doc)))
+    around_ = F.last(F.when(begins, F.col("partner")), ignorenulls=True).over(Window.partitionBy("doc", "open").orderBy("seq"))
+    ended = open_.withColumn("around", around_).where("ttype <> 'end'")
+    end = F.when(F.col("alone"), F.col("seq")).when(loose, F.coalesce("around", "last")).otherwise(F.col("partner"))
+    return with_parents(ended.select("doc", F.col("seq").alias("eid"), "tname", "tok", "alone", (F.col("alone") | F.col("partner").isNotNull()).alias("matched"), end.alias("end_seq")))
 
 
 def with_parents(ended: DataFrame) -> DataFrame:
-    """Depth, parent and places among siblings, by two windows instead of an interval join."""
-    opens = ended.select("doc", F.col("eid").alias("seq"), F.when(F.col("alone"), 0).otherwise(1).alias("step"), F.col("eid"), F.lit(1).alias("turn"))
-    closes = ended.where("not alone").select("doc", F.col("end_seq").alias("seq"), F.lit(-1).alias("step"), F.lit(None).cast("long").alias("eid"), F.lit(2).alias("turn"))
-    w = Window.partitionBy("doc").orderBy("seq", "turn")
-    depths = opens.unionByName(closes).withColumn("open", F.sum("step").over(w)).where("eid is not null").select("doc", "eid", "step", F.when(F.col("step") == 0, F.col("open") + 1).otherwise(F.col("open")).alias("depth"))
-    up = depths.select("doc", (F.col("depth") - 1).alias("key"), F.col("eid").alias("seq"), "eid", "depth", F.lit(None).cast("long").alias("p"))
-    own = depths.where("step = 1").select("doc", F.col("depth").alias("key"), F.col("eid").alias("seq"), F.lit(None).cast("long").alias("eid"), F.lit(None).alias("depth"), F.col("eid").alias("p"))
-    before = Window.partitionBy("doc", "key").orderBy("seq")
-    parents = up.unionByName(own).withColumn("parent_eid", F.last("p", ignorenulls=True).over(before)).where("eid is not null").select("doc", "eid", "depth", "parent_eid")
+    """Depth, parent and places among siblings, by windows: each element gives rows for its two ends, then rows as a parent and as a child."""
+    mark = lambda seq, turn, step: F.struct(F.col(seq).alias("seq"), F.lit(turn).alias("turn"), step.alias("step"))
+    opens, closes = mark("eid", 1, F.when(F.col("alone"), 0).otherwise(1)), mark("end_seq", 2, F.lit(-1))
+    marks = ended.withColumn("m", F.explode(F.when(F.col("alone"), F.array(opens)).otherwise(F.array(opens, closes)))).select("*", "m.*").drop("m")
+    depth = F.sum("step").over(Window.partitionBy("doc").orderBy("seq", "turn")) + F.col("alone").cast("long")
+    deep = marks.withColumn("depth", depth).where("turn = 1").drop("seq", "turn", "step")
+    role = lambda key, child: F.struct(key.alias("key"), F.lit(child).alias("child"))
+    child, parent = role(F.col("depth") - 1, True), role(F.col("depth"), False)
+    roles = deep.withColumn("r", F.explode(F.when(F.col("alone"), F.array(child)).otherwise(F.array(child, parent)))).select("*", "r.*").drop("r")
+    before = Window.partitionBy("doc", "key").orderBy("eid")
+    found = roles.withColumn("parent_eid", F.last(F.when(~F.col("child"), F.col("eid")), ignorenulls=True).over(before)).where("child").drop("key", "child")
     siblings = Window.partitionBy("doc", "parent_eid").orderBy("eid")
     same = Window.partitionBy("doc", "parent_eid", "tname").orderBy("eid")
-    return ended.join(parents, ["doc", "eid"]).withColumns({"child_no": F.row_number().over(siblings), "type_no": F.row_number().over(same)})
+    return found.withColumns({"child_no": F.row_number().over(siblings), "type_no": F.row_number().over(same)})
+
+
+def around(places: DataFrame, els: DataFrame, carried: dict[str, Column], every: bool = False) -> DataFrame:
+    """places (doc, seq, ...) with the columns ``carried`` of the innermost of the elements that began before and don't end before; null where there is none.
+
+    every: a row for each of these elements instead, from the outermost (up: 1) in; places outside of all are left out. Elements must be properly nested, as those of
+    ``elements`` are. One sort of the document gives the depth of each place, a sort by depth the latest element that opened at it.
+    """
+    mine = [c for c in places.columns if c != "doc"]
+    none = F.lit(None)
+    value = F.struct(*(c.alias(n) for n, c in carried.items()))
+    ends = els.where("not alone").select("doc", value.alias("e"), F.explode(F.array(F.struct(F.col("eid").alias("at"), F.lit(2).alias("turn"), F.lit(1).alias("step")), F.struct(F.col("end_seq").alias("at"), F.lit(3).alias("turn"), F.lit(-1).alias("step")))).alias("m"))
+    kind = ends.schema["e"].dataType
+    own = places.select("doc", F.struct(*mine).alias("p"), none.cast(kind).alias("e"), F.col("seq").alias("at"), F.lit(1).alias("turn"), F.lit(0).alias("step"))
+    both = own.unionByName(ends.select("doc", none.cast(own.schema["p"].dataType).alias("p"), "e", "m.*"))
+    levels = both.withColumn("up", F.sum("step").over(Window.partitionBy("doc").orderBy("at", "turn"))).where("turn < 3")
+    if every:
+        levels = levels.withColumn("up", F.explode(F.when(F.col("turn") == 2, F.array("up")).when(F.col("up") > 0, F.sequence(F.lit(1).cast("long"), F.col("up"))).otherwise(F.array().cast("array<long>"))))
+    last = F.last(F.when(F.col("turn") == 2, F.col("e")), ignorenulls=True).over(Window.partitionBy("doc", "up").orderBy("at", "turn"))
+    return levels.withColumn("e", last).where("turn = 1").select("doc", *(F.col("p")[c].alias(c) for c in mine), *(["up"] if every else []), *(F.col("e")[n].alias(n) for n in carried))
 
 
 def visible_text(docs: DataFrame, id_col: str = "page_id", text_col: str = "html") -> DataFrame:

@@ -84,6 +84,74 @@ def test_elements(spark):
     assert [x[1:4] for x in shape] == [("html", 1, True), ("body", 2, True), ("p", 3, False), ("b", 4, False), ("p", 5, True), ("br", 5, True), ("img", 5, True)]
 
 
+def random_pages(n, seed=5):
+    import random
+
+    r = random.Random(seed)
+    names = ["div", "p", "b", "ul", "li", "section"]
+    out = []
+    for k in range(n):
+        open_, parts = [], []
+        for _ in range(r.randint(0, 40)):
+            what = r.random()
+            if what < 0.45:
+                open_.append(r.choice(names))
+                parts.append(f"<{open_[-1]}{r.choice(['', ' lang=de', ' lang=fr'])}>")
+            elif what < 0.8 and open_:
+                parts.append(f"</{open_.pop(-1 if k % 3 == 0 or r.random() < 0.8 else r.randrange(len(open_)))}>")
+            elif what < 0.85 and k % 3 == 2:
+                parts.append(f"</{r.choice(names)}>")
+            else:
+                parts.append(r.choice(["text ", "<br>", "more"]))
+        out.append("".join(parts))
+    return out
+
+
+def test_innermost_elements_on_tangled_pages(spark):
+    """Windows against holding every place against every element."""
+    docs = html(spark, *random_pages(60))
+    els = M.elements(docs).cache()
+    family = {}
+    for e in els.where("not alone").collect():
+        family.setdefault(e.doc, []).append((e.eid, e.end_seq))
+    for found in family.values():  # properly nested
+        assert not any(a < b < x < y for a, x in found for b, y in found)
+    for e in els.collect():
+        around = [x for x in family.get(e.doc, []) if x[0] < e.eid and x[1] >= e.end_seq]
+        assert e.parent_eid == (max(around)[0] if around else None) and e.depth == len(around) + 1
+    texts = M.tokens(docs, positions=False).where("ttype = 'text'").select("doc", "seq")
+    want = {(t.doc, t.seq): sorted(a for a, b in family.get(t.doc, []) if a < t.seq <= b) for t in texts.collect()}
+    nearest = {(r.doc, r.seq): r.eid for r in M.around(texts, els, {"eid": F.col("eid")}).collect()}
+    assert nearest == {k: max(v, default=None) for k, v in want.items()} and any(len(v) > 4 for v in want.values())
+    every = {}
+    for r in M.around(texts, els, {"eid": F.col("eid")}, every=True).orderBy("doc", "seq", "up").collect():
+        every.setdefault((r.doc, r.seq), []).append(r.eid)
+    assert every == {k: v for k, v in want.items() if v}
+    langs = {(e.doc, e.eid): e.tok for e in els.collect()}
+    for r in pages.token_lang(docs, els).collect():
+        inside = [langs[r.doc, a][-3:-1] for a in want[r.doc, r.seq] if "lang=" in langs[r.doc, a]]
+        assert r.lang == (inside or ["en"])[-1]
+
+
+def test_crossing_tags_are_unclosed(spark):
+    rows = {r.tname: (r.matched, r.end_seq) for r in M.elements(html(spark, "<div><b>1<i>2</b>3</i></div><p>x")).collect()}
+    assert rows == {"div": (True, 8), "b": (False, 8), "i": (False, 8), "p": (False, 10)}
+
+
+def test_large_page(spark):
+    import time
+
+    n = 30_000
+    docs = html(spark, "<div>" * 40 + "<ul>" + "<li>x</li>" * n + "</ul>" + "</div>" * 40 + "<p>y" * n)
+    began = time.time()
+    els = M.elements(docs)
+    assert els.agg(F.max("depth")).first()[0] >= n
+    assert M.around(M.tokens(docs, positions=False).where("ttype = 'text'").select("doc", "seq"), els.where("tname = 'li'"), {"eid": F.col("eid")}).where("eid is not null").count() == n
+    assert time.time() - began < 120
+    for plan in (els, pages.text_blocks(docs, els), pages.element_at(els, els.select("doc", F.col("eid").alias("seq"))), structure.nav_entries(docs, els)):
+        assert not any(x in plan._jdf.queryExecution().executedPlan().toString() for x in ("Cartesian", "NestedLoop", "<= seq", ">= seq"))
+
+
 @pytest.mark.parametrize(
     ("selector", "want"),
     [
