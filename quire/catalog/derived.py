@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.catalog.markup import _PATH, ELEMENTS, TOK, docs
 from quire.catalog.register import query, table
 from quire.functions import text as T
-from quire.operators import classify, layout, links, pages, rewrite, structure
+from quire.operators import chinese, classify, layout, links, pages, rewrite, structure
 from quire.operators import search as S
 from quire.operators import tokens as M
 from quire.operators import versions as V
@@ -390,12 +390,19 @@ def relink_styles(spark, d):
 _ESCAPED = "replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 
 
-@query(f"select doc_id, translate(replace({_ESCAPED}, 'the ', 'THE_'), 'xyz', 'XYZ') as text from documents where text is not null")
+_SWAPPED = "translate(translate(replace({}, 'the ', 'THE_'), 'xyz', 'yzx'), 'y', 'Y')"
+
+
+@query(f"select doc_id, {_SWAPPED.format(_ESCAPED)} as text, {_SWAPPED.format('source')} as title, text as kept from documents where text is not null")
 def chinese_convert(spark, d):
-    """A phrase table and a character table, here of Latin letters, over the text of a page made of each document."""
-    made = texts(spark, d).where("text is not null").select(F.col("doc_id").alias("page_id"), F.concat(F.lit("<html><head><title>the x</title></head><body>"), T.html_escape("text"), F.lit("</body></html>")).alias("html"))
-    out = rewrite.convert_script(made, [("the ", "THE_")], {"x": "X", "y": "Y", "z": "Z"})
-    return out.select(F.col("page_id").alias("doc_id"), F.regexp_extract("html", "(?s)<body>(.*)</body>", 1).alias("text"))
+    """Two stages of phrase tables, here of Latin letters, the first of which exchanges letters, over a page with a title, a code block and the text of each document."""
+    title, text = F.concat(F.lit("<p title='"), "source", F.lit("'>")), T.html_escape("text")
+    made = texts(spark, d).where("text is not null").select(F.col("doc_id").alias("page_id"), F.concat(F.lit("<html><head><title>the x</title></head><body>"), title, text, F.lit("</p><code>"), text, F.lit("</code></body></html>")).alias("html"), "text")
+    table = spark.createDataFrame([("TWPhrasesRev", "the ", "THE_"), ("TWVariantsRev", "x", "y"), ("TWVariantsRev", "y", "z"), ("TWVariantsRev", "z", "x"), ("TSCharacters", "y", "Y")], "dictionary string, source string, target string")
+    out = chinese.convert_direction(made, table, "tw2sp").join(made.select("page_id", "text"), "page_id")
+    of = lambda rx: F.regexp_extract("html", rx, 1)
+    same = F.contains("html", F.concat(F.lit("<code>"), T.html_escape("text"), F.lit("</code>")))
+    return out.select(F.col("page_id").alias("doc_id"), of("(?s)'>(.*)</p><code>").alias("text"), of("(?s)<p title='([^']*)'").alias("title"), F.when(same, F.col("text")).alias("kept"))
 
 
 @query("select lang || '/' || doc_id // 1000 as book, '<ul>' || string_agg('<li><a href=\"' || doc_id || '.html\">' || source || '</a></li>', '' order by doc_id) || '</ul>' as markup from documents group by 1")

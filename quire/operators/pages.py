@@ -16,21 +16,22 @@ def _text_tokens(docs: DataFrame) -> DataFrame:
     return M.tokens(docs.withColumn("html", M.blanked("html")), positions=False).where("ttype = 'text'")
 
 
-def _own_lang() -> Column:
+def own_lang() -> Column:
+    """The language that a tag names."""
     a = M.attributes("tok")
     return F.coalesce(F.try_element_at(a, F.lit("lang")), F.try_element_at(a, F.lit("xml:lang")))
 
 
 def token_lang(docs: DataFrame, els: DataFrame, default: str = "en") -> DataFrame:
     """(doc, seq, lang) of text tokens: of the innermost element around that names one (lang, else xml:lang)."""
-    named = els.withColumn("lang", _own_lang()).where("lang is not null")
+    named = els.withColumn("lang", own_lang()).where("lang is not null")
     found = M.around(_text_tokens(docs).select("doc", "seq"), named, {"lang": F.col("lang")})
     return found.withColumn("lang", F.coalesce("lang", F.lit(default)))
 
 
 def with_lang(els: DataFrame, default: str) -> DataFrame:
     """Elements with the language in force."""
-    rows = els.withColumn("lang", F.lower(_own_lang()))
+    rows = els.withColumn("lang", F.lower(own_lang()))
     found = M.around(rows.withColumn("seq", F.col("eid")), rows.where("lang is not null"), {"_lang": F.col("lang")})
     return found.withColumn("lang", F.coalesce("lang", "_lang", F.lit(default))).drop("seq", "_lang")
 

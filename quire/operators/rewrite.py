@@ -134,24 +134,12 @@ def relink_styles(pages: DataFrame, hrefs: list[str]) -> DataFrame:
     return pages.withColumn("html", F.regexp_replace(bare, "(?i)(</head>)", links.replace("$", r"\$") + "$1"))
 
 
-def convert_script(pages: DataFrame, phrases: list[tuple[str, str]], characters: dict[str, str]) -> DataFrame:
-    """Script conversion of body texts: phrases first, the longest first, then characters; page_id, html, skipped.
+def convert_script(pages: DataFrame, phrases: list[tuple[str, str]], characters: dict[str, str], **options) -> DataFrame:
+    """Script conversion of pages by phrases and characters, leftmost and longest: page_id, html, skipped (texts that stay). Options as in ``chinese.convert``."""
+    from quire.operators import chinese
 
-    Tags, scripts, styles, code, the head and texts in elements marked as Japanese stay; skipped counts those texts.
-    """
-    from quire.operators.pages import with_lang
-
-    els = M.elements(pages)
-    toks = M.tokens(pages.withColumn("html", M.blanked("html")), positions=False)
-    guarded = with_lang(els, "").where("tname in ('head', 'code', 'kbd', 'samp') or lang = 'ja' or lang like 'ja-%'")
-    inside = M.around(toks.where("ttype = 'text'").select("doc", "seq"), guarded, {"guard": F.lit(1)}).where("guard is not null")
-    out = F.col("tok")
-    for a, b in sorted(phrases, key=lambda x: -len(x[0])):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    out = F.translate(out, "".join(characters), "".join(characters.values()))
-    marked = toks.join(inside, ["doc", "seq"], "left").withColumn("t", F.when((F.col("ttype") == "text") & F.col("guard").isNull(), out).otherwise(F.col("tok")))
-    skipped = F.count_if(F.col("guard").isNotNull() & F.col("tok").rlike(r"\S"))
-    return marked.groupBy(F.col("doc").alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "t"))), lambda x: x["t"]), "").alias("html"), skipped.alias("skipped"))
+    found = chinese.convert(pages, [list((characters | dict(phrases)).items())], **options)
+    return found.select("page_id", "html", (F.col("skipped_japanese") + F.col("skipped_protected")).alias("skipped"))
 
 
 def rebase_ids(manifest: DataFrame, spine: DataFrame) -> tuple[DataFrame, DataFrame]:

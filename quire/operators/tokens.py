@@ -38,17 +38,19 @@ def token_type(tok: Column) -> Column:
     )
 
 
-def tokens(docs: DataFrame, id_col: str = "page_id", text_col: str = "html", positions: bool = True) -> DataFrame:
+def tokens(docs: DataFrame, id_col: str = "page_id", text_col: str = "html", positions: bool = True, whole: bool = False) -> DataFrame:
     """doc, seq, pos, tok, ttype, tname: all tokens in order; their texts put together are the document.
 
-    A null text has no tokens. ``positions``: with pos, the 0-based code point where the token begins.
+    A null text has no tokens. ``positions``: with pos, the 0-based code point where the token begins. ``whole``: a script or style element is one token, of type silent.
     """
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t")).repartition("doc")
-    out = rows.select("doc", F.posexplode(F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0))).alias("seq", "tok"))
+    out = rows.select("doc", F.posexplode(F.regexp_extract_all("t", F.lit(f"{SILENT}|{TOKEN}" if whole else TOKEN), F.lit(0))).alias("seq", "tok"))
     if positions:
         before = Window.partitionBy("doc").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
         out = out.withColumn("pos", F.coalesce(F.sum(F.length("tok")).over(before), F.lit(0)))
     kind = token_type(F.col("tok"))
+    if whole:
+        kind = F.when(F.col("tok").rlike(rf"^{SILENT}$"), "silent").otherwise(kind)
     name = F.when(kind.isin("begin", "end", "single"), F.lower(F.regexp_extract("tok", r"^</?([^\s/>]*)", 1))).otherwise("")
     return out.select("doc", F.col("seq").cast("long").alias("seq"), *(["pos"] if positions else []), "tok", kind.alias("ttype"), name.alias("tname"))
 
@@ -99,14 +101,15 @@ def paired(toks: DataFrame) -> DataFrame:
     return found.withColumn("partner", F.when(~F.col("crossing"), F.col("other"))).drop("common", "other")
 
 
-def elements(docs: DataFrame, id_col: str = "page_id", text_col: str = "html") -> DataFrame:
+def elements(docs: DataFrame, id_col: str = "page_id", text_col: str = "html", whole: bool = False) -> DataFrame:
     """doc, eid (its first token), tname, tok, end_seq, matched, depth, parent_eid, child_no, type_no.
 
     Tags are paired by name and level. Void and single tags end where they begin; a begin tag without a partner, or one that crosses others, ends with the nearest
-    paired element around it, or with the document. Scripts and styles are left out. Everything comes from running windows over a document, in time in proportion to
+    paired element around it, or with the document. Scripts and styles are left out, or, with ``whole``, tokens that count but are no elements. Everything comes from running windows over a document, in time in proportion to
     its tags and their depth.
     """
-    tags = paired(tokens(docs.select(F.col(id_col), blanked(text_col).alias(text_col)), id_col, text_col, positions=False))
+    text = F.col(text_col) if whole else blanked(text_col)
+    tags = paired(tokens(docs.select(F.col(id_col), text.alias(text_col)), id_col, text_col, positions=False, whole=whole))
     doc = Window.partitionBy("doc").orderBy("seq")
     begins, loose = (F.col("ttype") == "begin") & F.col("partner").isNotNull(), (F.col("ttype") == "begin") & ~F.col("alone") & F.col("partner").isNull()
     step = F.when(F.col("alone") | F.col("partner").isNull(), 0).when(begins, 1).otherwise(-1)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import classify, links, pages, rewrite
+from quire.operators import chinese, classify, links, pages, rewrite
 from quire.operators import tokens as M
 from quire.sources import archives
 
@@ -59,6 +59,63 @@ def test_script_conversion(spark):
     assert got.html == "<html><head><title>发</title></head><body><p id='发'>頭髮發<code>发</code><span lang='ja'>发</span></p></body></html>" and got.skipped == 3
 
 
+S2T = [("汉", "漢"), ("体", "體"), ("标", "標"), ("题", "題"), ("简", "簡"), ("转", "轉"), ("换", "換"), ("图", "圖"), ("插", "插"), ("诗", "詩"), ("识", "識"), ("里", "裡"), ("软", "軟"), ("鼠", "鼠"), ("发", "發"), ("乾", "乾")]
+
+
+@pytest.fixture(scope="module")
+def dictionaries(spark):
+    rows = [("STCharacters", a, b) for a, b in S2T] + [("TSCharacters", b, a) for a, b in S2T if a != b] + [("STPhrases", "头发", "頭髮"), ("STPhrases", "里面", "裡面"), ("HKVariants", "裡", "裏"), ("TWPhrases", "軟件", "軟體"), ("TWPhrases", "鼠標", "滑鼠"), ("TWVariants", "裏", "裡")]
+    return spark.createDataFrame(rows, "dictionary string, source string, target string")
+
+
+@pytest.mark.parametrize(("mode", "text", "want"), [("s2t", "汉字", "漢字"), ("t2s", "漢字", "汉字"), ("s2twp", "鼠标和软件", "滑鼠和軟體"), ("s2hk", "里面", "裏面"), ("s2t", "头发发", "頭髮發"), ("t2hk", "裡裡", "裏裏")])
+def test_chinese_directions(spark, dictionaries, mode, text, want):
+    page = spark.createDataFrame([(1, f"<p>{text}</p>"), (2, None), (3, "")], "page_id long, html string")
+    got = {r.page_id: r.html for r in chinese.convert_direction(page, dictionaries, mode).collect()}
+    assert got == {1: f"<p>{want}</p>", 2: None, 3: ""}
+
+
+def test_chinese_markup(spark, dictionaries):
+    source = (
+        '<?xml version="1.0" encoding="utf-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml"><head>\n  <title>汉字标题</title></head><body id="汉字标识">\n  <p class="汉字类" title=\'简体提示\'>汉&amp;字'
+        '<a href="汉字.xhtml#章节">汉字</a></p>\n  <p lang="ja-JP" title="汉字">汉字日文</p><code>汉字代码</code>\n  <pre>汉字诗歌</pre><script>var label = "汉字<b>脚本";</script>\n  <ruby>汉字<rt>かんじ</rt></ruby>\n</body></html>\n'
+    )
+    page = spark.createDataFrame([(1, source)], "page_id long, html string")
+    got = chinese.convert_direction(page, dictionaries).first()
+    want = source.replace("'简体提示'", "'簡體提示'").replace("汉&amp;字", "漢&amp;字").replace(">汉字</a>", ">漢字</a>").replace("<pre>汉字诗歌", "<pre>漢字詩歌").replace("<ruby>汉字", "<ruby>漢字")
+    assert got.html == want and got.skipped_japanese == 1 and got.skipped_protected == 3
+    plain = chinese.convert_direction(page, dictionaries, attributes=(), skip_pre=True, skip_code=False, metadata=True).first().html
+    assert "title='简体提示'" in plain and "<pre>汉字诗歌" in plain and "<code>漢字代" in plain and "<title>漢字標題" in plain
+    drawing = '<svg id="汉字图" aria-label="汉字插图"><title>汉字标题</title><path id="汉字路径" d="M 0 0 L 1 1"/><text>汉字<tspan>转换</tspan></text><metadata>汉字机器数据</metadata></svg>'
+    svg = chinese.convert_direction(spark.createDataFrame([(1, drawing)], "page_id long, html string"), dictionaries, svg=True).first().html
+    assert svg == '<svg id="汉字图" aria-label="漢字插圖"><title>漢字標題</title><path id="汉字路径" d="M 0 0 L 1 1"/><text>漢字<tspan>轉換</tspan></text><metadata>汉字机器数据</metadata></svg>'
+    for mode in ("s2x", "tw2t"):
+        with pytest.raises(ValueError):
+            chinese.convert_direction(page, dictionaries, mode)
+
+
+def test_large_phrase_tables(spark):
+    """Leftmost and longest against plain search; the plan doesn't grow with the table."""
+    import random
+
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("一二三四五六七八") for _ in range(n))
+    table = {word(r.randint(1, 7)): word(2) for _ in range(50_000)}
+    texts = [word(r.randint(0, 300)) + r.choice(["", "。", "x"]) for _ in range(40)]
+
+    def brute(t):
+        out, at = "", 0
+        while at < len(t):
+            n = next((n for n in range(7, 0, -1) if t[at : at + n] in table and len(t[at : at + n]) == n), 0)
+            out, at = out + (table[t[at : at + n]] if n else t[at]), at + (n or 1)
+        return out
+
+    df = spark.createDataFrame(list(enumerate(texts)), "page_id long, html string")
+    small, large = chinese.convert(df, [[("一", "二")]]), chinese.convert(df, [list(table.items())])
+    size = lambda x: len(x._jdf.queryExecution().analyzed().toString())
+    assert {r.page_id: r.html for r in large.collect()} == {i: brute(t) for i, t in enumerate(texts)} and abs(size(small) - size(large)) < 2000
+
+
 def test_ids(spark):
     manifest = spark.createDataFrame([("b", 1, "q1", "Text/a b.xhtml"), ("b", 2, "q2", "Other/a b.xhtml"), ("b", 3, "q3", "1.css")], "book_id string, pos int, id string, bookpath string")
     spine = spark.createDataFrame([("b", 1, "q2"), ("b", 2, "zz")], "book_id string, pos int, idref string")
