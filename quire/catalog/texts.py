@@ -443,6 +443,27 @@ def line_opcodes(spark, d):
     return V.line_opcodes(docs(spark, d), _new(spark, d))
 
 
+#: Every second line goes, every tenth line is doubled and one is put before the first: few of the lines of a text are the same.
+_EDITS = """e as (select doc_id, string_split(text, chr(10)) as l from documents where text is not null), p as (select doc_id, l, [i for i in range(1, len(l) + 1) if i % 2 = 1] as own from e),
+ c as (select doc_id, len(own) as kept, len(l) - len(own) as deleted, 1 + len([i for i in own if i % 10 = 1]) as inserted from p)"""
+
+
+@query(f"with {_EDITS} select doc_id, deleted - inserted as shrinks from c")
+def edit_scripts(spark, d):
+    """Scripts give the new texts back, and the counts of lines add up. How short scripts are is tested against brute force."""
+    old = docs(spark, d).where("text is not null").select("doc_id", "text")
+    odd = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: y["i"] % 2 == 0)
+    lines = F.flatten(F.transform(odd, lambda y: F.when(y["i"] % 10 == 0, F.array(y["x"], y["x"])).otherwise(F.array(y["x"]))))
+    new = old.select("doc_id", F.array_join(F.concat(F.array(F.lit("<first>")), lines), "\n").alias("text"))
+    return V.edit_counts(V.line_opcodes(old, new)).select("doc_id", (F.col("deleted") - F.col("inserted")).alias("shrinks"))
+
+
+@query(f"with {_NEW} select d.doc_id, len(string_split(d.text, chr(10))) - (d.doc_id % 10 = 2)::int as kept, (d.doc_id % 10 = 2)::bigint as deleted, (d.doc_id % 10 = 1)::bigint as inserted, 1::bigint as n_ops from documents d join n on n.doc_id = d.doc_id where d.text <> n.text")
+def edit_counts(spark, d):
+    """Kept, deleted and inserted lines of the shortest scripts, for edits that SQL can tell."""
+    return V.edit_counts(V.line_opcodes(docs(spark, d), _new(spark, d)))
+
+
 @query(f"select doc_id, case when doc_id % 3 = 0 then 'conflict' else 'ready' end as status, length(text)::bigint as old_length, length({_up('text')})::bigint as new_length from documents")
 def stage_commit(spark, d):
     rows = docs(spark, d).select("doc_id", "text", F.when(F.col("doc_id") % 3 == 0, 2).otherwise(1).alias("revision"))

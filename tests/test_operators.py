@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import links, pages, search, selectors, structure, versions, words
+from quire.operators import diffs, links, pages, search, selectors, structure, versions, words
 from quire.operators import tokens as M
 from quire.sources import archives
 from quire.streaming import changes
@@ -224,6 +224,56 @@ def test_natural_key(spark):
     assert got == ["a2", "a007b", "a7c", "a10", "a" + "9" * 25, "a1" + "0" * 25, "B1"]
 
 
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_scripts_are_shortest():
+    import random
+
+    r = random.Random(8)
+    for k in range(3000):
+        letters = "abcdefgh"[: r.randint(1, 8)]
+        a, b = ([r.choice(letters) for _ in range(r.randint(0, 14))] for _ in range(2))
+        if k % 3 == 0:
+            b = [x for x in a if r.random() < 0.8] + ["z"] * (k % 2)
+        ops, back, at = list(diffs.opcodes(a, b)), [], (0, 0)
+        for op, i, j, x, y in ops:
+            assert (i, x) == at and (op == "equal") == (a[i:j] == b[x:y]) and op == ("equal" if a[i:j] == b[x:y] else "replace" if i < j and x < y else "delete" if i < j else "insert")
+            back, at = back + (a[i:j] if op == "equal" else b[x:y]), (j, y)
+        assert back == b and at == (len(a), len(b))
+        assert sum(j - i for op, i, j, *_ in ops if op == "equal") == longest_common(a, b), (a, b)
+        assert all(p[0] != q[0] or p[0] != "equal" for p, q in zip(ops, ops[1:]))
+
+
+def test_long_texts_with_few_differences():
+    import random
+    import time
+
+    r = random.Random(9)
+    a = [str(r.randrange(1000)) for _ in range(100_000)]
+    b = [x for i, x in enumerate(a) if i % 5000 != 7]
+    began = time.time()
+    ops = list(diffs.opcodes(a, b))
+    assert sum(j - i for op, i, j, *_ in ops if op != "equal") == 20 and time.time() - began < 5
+    assert len(list(diffs.opcodes([f"a{i}" for i in range(50_000)], [f"b{i}" for i in range(50_000)]))) == 1
+
+
+def test_line_opcodes_of_odd_rows(spark):
+    kind = "doc_id long, text string, _a int"
+    a = spark.createDataFrame([(1, None, 1), (2, "x", 1), (2, "y", 1), (None, "n", 1), (3, "same", 1), (4, "a\nb", 1)], kind)
+    b = spark.createDataFrame([(1, "x\ny", 1), (2, "y", 1), (None, "m", 1), (3, "same", 1), (5, "new", 1), (4, "", 1)], kind)
+    got = {tuple(r) for r in versions.line_opcodes(a, b).collect()}
+    assert got == {(1, "replace", 0, 1, 0, 2), (2, "replace", 0, 1, 0, 1), (4, "replace", 0, 2, 0, 1)}
+    assert versions.line_opcodes(a.limit(0), b).count() == 0
+    assert {tuple(r) for r in versions.edit_counts(versions.line_opcodes(a, b)).collect()} == {(1, 0, 1, 2, 1), (2, 0, 1, 1, 1), (4, 0, 2, 1, 1)}
+
+
 def test_links(spark):
     docs = spark.createDataFrame(
         [(1, "http://b/x/a.html", "<a id=s href='c.html#n'>1</a><a href='http://z/'>2</a><a href='C.HTML'>3</a><a href='gone.html'>4</a>"), (2, "http://b/x/c.html", "<p id=n><a href='a.html'>back</a></p>")],
