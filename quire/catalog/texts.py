@@ -510,6 +510,32 @@ def edit_sessions(spark, d):
     return C.sessions(events(spark, d))
 
 
+# As streams: what the watermark, ten minutes behind the latest event (in whole milliseconds), has passed.
+_PASSED = "p as (select date_trunc('milliseconds', max(ts)) - interval '10 minutes' as z from events)"
+
+
+def _events_stream(spark, d):
+    return C.ingest(spark, f"{d}/events.parque[t]", C.EVENTS)
+
+
+@query(f"with {_PASSED} select event_id, user_id, row_number() over (partition by user_id order by ts, event_id) as revision from events where ts <= (select z from p)")
+def stream_revisions(spark, d):
+    with C.state_store(spark):
+        return _streamed(spark, d, "revisions", C.ordered_revisions, _events_stream)
+
+
+@query(f"with {_PASSED}, w as (select time_bucket(interval '1 hour', ts) as since, user_id, max_by(event_type, (ts, event_id)) as event_type, max_by(event_id, (ts, event_id)) as event_id, count(*) as n from events group by 1, 2) select * from w where since + interval '1 hour' <= (select z from p)")
+def stream_coalesce(spark, d):
+    with C.state_store(spark):
+        return _streamed(spark, d, "coalesce", C.coalesce_changes, _events_stream)
+
+
+@query(f"with {_PASSED}, g as (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval '30 minutes' then 0 else 1 end as fresh from events), s as (select *, sum(fresh) over (partition by user_id order by ts, event_id) as k from g), w as (select min(ts) as since, max(ts) + interval '30 minutes' as until, user_id, count(*) as n from s group by user_id, k) select * from w where until <= (select z from p)")
+def stream_sessions(spark, d):
+    with C.state_store(spark):
+        return _streamed(spark, d, "sessions", C.sessions, _events_stream)
+
+
 @query("select lang, source, count(*) as n, sum(length(text))::bigint as chars from documents group by all")
 def stream_report(spark, d):
     """Running counts of a stream of documents: each batch of the stream writes the whole report anew; its last state."""
@@ -536,9 +562,9 @@ def _documents_stream(spark, d):
     return C.ingest(spark, f"{d}/documents.parque[t]", "doc_id long, text string, lang string, source string, n_chars long")
 
 
-def _streamed(spark, d, name, fn):
+def _streamed(spark, d, name, fn, source=_documents_stream):
     """A stream written to a table in the shared folder and read back."""
     at = Scratch(spark, name).at
-    out = fn(_documents_stream(spark, d))
+    out = fn(source(spark, d))
     out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{at}/out")

@@ -1,6 +1,7 @@
 """Operators on small hand-made tables, for constructs that the given tables lack."""
 
 import io
+import time
 import zipfile
 
 import pytest
@@ -415,6 +416,35 @@ def test_function_replace_keeps_failing_matches(spark):
 # versions and streams
 
 
+def test_streams_keep_order_across_batches(spark, tmp_path):
+    """Files come one by one, out of order within the watermark; a row later than it goes, and nothing waits longer than it must."""
+    import datetime
+    import random
+
+    r = random.Random(6)
+    start = datetime.datetime(2024, 5, 1)
+    rows = [(i, start + datetime.timedelta(seconds=20 * i + r.random()), r.randrange(4), "edit", 0.0, "") for i in range(600)]
+    order = sorted(rows, key=lambda x: x[0] + r.randint(0, 20))  # at most seven minutes late
+    late = (1000, start + datetime.timedelta(seconds=30), 1, "edit", 0.0, "")
+    parts = [order[k : k + 60] for k in range(0, 600, 60)]
+    parts[8].append(late)
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, changes.EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(0.02)
+    stream = changes.ingest(spark, f"{tmp_path}/in", changes.EVENTS, files_per_trigger=1)
+    batch = spark.createDataFrame(rows, changes.EVENTS)
+    passed = max(x[1] for x in rows).timestamp() - 600
+    as_rows = lambda df: {tuple(x) for x in df.collect()}
+    with changes.state_store(spark):
+        got = as_rows(changes.run_to_end(changes.ordered_revisions(stream), "ordered", f"{tmp_path}/a").select("event_id", "user_id", "revision"))
+        hours = as_rows(changes.run_to_end(changes.coalesce_changes(stream, every="10 minutes"), "hours", f"{tmp_path}/b"))
+        edits = as_rows(changes.run_to_end(changes.sessions(stream, gap="1 minute"), "edits", f"{tmp_path}/c"))
+    want = as_rows(changes.revisions(batch).where(F.unix_millis("ts") < passed * 1000 - 1).select("event_id", "user_id", "revision"))
+    assert got >= want and len(got) <= len(want) + 1 and 1000 not in {x[0] for x in got}
+    assert hours == {x for x in as_rows(changes.coalesce_changes(batch, every="10 minutes")) if x[0].timestamp() + 600 <= passed}
+    assert edits == {x for x in as_rows(changes.sessions(batch, gap="1 minute")) if x[1].timestamp() <= passed}
+
+
 def test_commit_is_all_or_nothing(spark):
     live = spark.createDataFrame([(1, "a", 3), (2, "b", 5)], "doc_id long, text string, revision int")
     staged = spark.createDataFrame([(1, "A", 3), (2, "B", 4)], "doc_id long, text string, base_revision int")
