@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.catalog.markup import _PATH, ELEMENTS, TOK, docs
 from quire.catalog.register import query, table
 from quire.functions import text as T
-from quire.operators import chinese, classify, layout, links, pages, rewrite, structure
+from quire.operators import chinese, classify, direction, layout, links, pages, rewrite, structure
 from quire.operators import search as S
 from quire.operators import tokens as M
 from quire.operators import versions as V
@@ -496,6 +496,29 @@ def convert_direction(spark, d):
     return classify.convert_direction(r.select("book", "page_id", "html"), modes, "h").where("converted").select("page_id", "html")
 
 
+_OVERRIDE = direction.override_css(True)
+_V2H = f"""r as (select page_id, html, {_PATH} from pages), g as (select book, length(book) % 5 = 0 as bad, bool_or(page_id % 2 = 0) as any_page from r group by 1),
+ f as (select book, 'p' || page_id as path, 'html' as kind, page_id % 2 = 0 as page, replace(html, '<html ', '<html style="margin:0; writing-mode : vertical-rl !important;" ') as text, html from r
+  union all select book, 's.css', 'css', true, '/* ' || book || ' */ p.v{{writing-mode:tb-rl; text-orientation:upright; color:red}}', null from g union all select book, 'c.opf', 'opf', true, '<package><' || case when bad then 'spines' else 'spine' end || ' toc="n"/></package>', null from g)"""
+
+
+@query(f"""with {_V2H} select f.book, path, case when bad or not any_page or not page then text when kind = 'html' then replace(replace(html, '<html ', '<html class="v2h-horizontal" style="margin:0; writing-mode : horizontal-tb !important;" '), '</head>', '<style class="v2h-horizontal">{_OVERRIDE}</style></head>')
+ when kind = 'css' then '/* ' || f.book || ' */ p.v{{writing-mode:horizontal-tb; color:red}}' else '<package><!-- layout-progression original=absent applied=ltr -->' || chr(10) || '<spine page-progression-direction="ltr" toc="n"/></package>' end as text,
+ not bad and any_page and page as changed from f join g on g.book = f.book""")
+def convert_books(spark, d):
+    """Books of vertical and horizontal pages, a stylesheet and a package; some packages have no spine, so that their books stay."""
+    r = links.resources_of(docs(spark, d))
+    vertical = F.replace("html", F.lit("<html "), F.lit('<html style="margin:0; writing-mode : vertical-rl !important;" '))
+    path = F.concat(F.lit("p"), F.col("page_id").cast("string"))
+    files = r.select("book", path.alias("path"), F.lit("html").alias("kind"), vertical.alias("text"))
+    books = r.select("book").distinct()
+    css = F.concat(F.lit("/* "), "book", F.lit(" */ p.v{writing-mode:tb-rl; text-orientation:upright; color:red}"))
+    opf = F.concat(F.lit("<package><"), F.when(F.length("book") % 5 == 0, "spines").otherwise("spine"), F.lit(' toc="n"/></package>'))
+    files = files.unionByName(books.select("book", F.lit("s.css").alias("path"), F.lit("css").alias("kind"), css.alias("text"))).unionByName(books.select("book", F.lit("c.opf").alias("path"), F.lit("opf").alias("kind"), opf.alias("text")))
+    modes = r.select("book", path.alias("path"), F.when(F.col("page_id") % 2 == 0, "vertical").otherwise("horizontal").alias("mode"), F.lit(False).alias("fixed"), F.lit(0).alias("risk"))
+    return direction.convert_books(files, modes)[0].select("book", "path", "text", "changed")
+
+
 @query("select doc_id, text from documents where doc_id % 10 <> 3")
 def restore(spark, d):
     rows = texts(spark, d).select("doc_id", "text")

@@ -144,8 +144,8 @@ def convert_direction(pages: DataFrame, modes: DataFrame, override: str = "horiz
     made = F.when(has_class, F.regexp_replace("html", r"""(?is)(<html\b[^<>]*\bclass\s*=\s*["'])""", f"$1{override} ")).otherwise(F.regexp_replace("html", r"(?i)<html\b", f'<html class="{override}"'))
     vertical = F.coalesce(F.col("mode") == "vertical", F.lit(False))
     staged = rows.withColumns({"made": F.when(vertical, made).otherwise(F.col("html")), "fine": ~vertical | (made != F.col("html"))})
-    whole = F.bool_and("fine").over(Window.partitionBy("book"))
-    return staged.withColumn("whole", whole).select("book", "page_id", F.when(F.col("whole"), F.col("made")).otherwise(F.col("html")).alias("html"), (F.col("whole") & vertical).alias("converted"))
+    whole = staged.groupBy(F.col("book").alias("_book")).agg(F.bool_and("fine").alias("whole"))
+    return staged.join(whole, F.col("book").eqNullSafe(F.col("_book"))).select("book", "page_id", F.when(F.col("whole"), F.col("made")).otherwise(F.col("html")).alias("html"), (F.col("whole") & vertical).alias("converted"))
 
 
 @dataclass(frozen=True)
