@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.catalog.register import query, table
 from quire.functions import text as T
-from quire.operators import layout, links, pages, rewrite, selectors, structure
+from quire.operators import layout, links, navigation, pages, rewrite, selectors, structure
 from quire.operators import tokens as M
 
 _q = lambda x: x.replace("'", "''")
@@ -413,13 +413,48 @@ _NAV = f"""{ELEMENTS}, l as (select a.doc, a.eid, {_attr('href', 'a.tok')} as hr
 
 
 @query(f"with {_NAV} select doc as page_id, row_number() over (partition by doc order by eid) as pos, lvl, title, href from l")
-def nav_tables(spark, d):
+def nav_links(spark, d):
     return structure.nav_entries(docs(spark, d), els(spark, d)).select(F.col("doc").alias("page_id"), "pos", "lvl", "title", "href")
 
 
-@query(f"""with {_NAV} select doc as page_id, string_agg('<navPoint playOrder="' || n || '"><text>' || title || '</text><content src="' || href || '"/></navPoint>', '' order by n) as ncx from (select *, row_number() over (partition by doc order by eid) as n from l) group by 1""")
+#: The menu of a page as a table of contents of two levels, a page list and landmarks.
+_MENU = [
+    ("<nav><ul>", '<nav epub:type="toc"><ol><li><a href="top.html">Top</a><ul>'),
+    ("</ul></nav>", '</ul></li><li><a href="end.html">The <b>End</b></a></li></ol></nav><nav epub:type="page-list"><ol><li><a href="#p1">1</a></li></ol></nav><nav epub:type="landmarks"><ol><li><a epub:type="cover" href="c.html">Cover</a></li></ol></nav>'),
+]
+_MENUS = """m as (select page_id, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) as nav from pages where contains(html, '<nav>')),
+ l as (select page_id, regexp_extract_all(nav, '<a href="([^"]*)">([^<]*)</a>', 1) as hs, list_transform(regexp_extract_all(nav, '<a href="([^"]*)">([^<]*)</a>', 2), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))) as ts from m)"""
+
+
+def _menus(spark, d):
+    html = F.col("html")
+    for old, new in _MENU:
+        html = F.replace(html, F.lit(old), F.lit(new))
+    with_menu = docs(spark, d).withColumn("html", html)
+    return navigation.nav_tables(with_menu, M.elements(with_menu))
+
+
+@query(f"""with {_MENUS} select page_id, section, pos::bigint as pos, lvl::bigint as lvl, title, href, kind from (select page_id, 'toc' as section, 1 as pos, 1 as lvl, 'Top' as title, 'top.html' as href, null as kind from l union all select page_id, 'toc', 1 + generate_subscripts(hs, 1), 2, unnest(ts), unnest(hs), null from l
+ union all select page_id, 'toc', 2 + len(hs), 1, 'The End', 'end.html', null from l union all select page_id, 'page-list', 1, 1, '1', '#p1', null from l union all select page_id, 'landmarks', 1, 1, 'Cover', 'c.html', 'cover' from l)""")
+def nav_tables(spark, d):
+    return _menus(spark, d).withColumnRenamed("doc", "page_id")
+
+
+_POINT = "'<navPoint id=\"navPoint' || {0} || '\" playOrder=\"' || {0} || '\"><navLabel><text>' || {1} || '</text></navLabel><content src=\"' || {2} || '\"/>'".format
+_META = "'<meta name=\"dtb:{}\" content=\"' || {} || '\"/>'".format
+
+
+@query(f"""with {_MENUS} select page_id, '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head>' || {_META("uid", "''")} || {_META("depth", "case when len(hs) > 0 then 2 else 1 end")} || {_META("totalPageCount", "1")} || {_META("maxPageNumber", "1")}
+ || '</head><docTitle><text></text></docTitle><navMap>' || {_POINT("1", "'Top'", "'top.html'")} || coalesce(array_to_string([{_POINT("(i + 1)", "ts[i]", "hs[i]")} || '</navPoint>' for i in range(1, len(hs) + 1)], ''), '') || '</navPoint>' || {_POINT("(len(hs) + 2)", "'The End'", "'end.html'")} || '</navPoint></navMap><pageList><pageTarget id="navPoint'
+ || (len(hs) + 3) || '" type="normal" playOrder="' || (len(hs) + 3) || '" value="1"><navLabel><text>1</text></navLabel><content src="#p1"/></pageTarget></pageList></ncx>' as ncx from l""")
 def ncx_from_nav(spark, d):
-    return structure.ncx(structure.nav_entries(docs(spark, d), els(spark, d))).withColumnRenamed("doc", "page_id")
+    return navigation.ncx(_menus(spark, d)).withColumnRenamed("doc", "page_id")
+
+
+@query(f"""with {_MENUS} select page_id, section, pos::bigint as pos, lvl::bigint as lvl, title, href from (select page_id, 'toc' as section, 1 as pos, 1 as lvl, 'Top' as title, 'top.html' as href from l union all select page_id, 'toc', 1 + generate_subscripts(hs, 1), 2, unnest(ts), unnest(hs) from l
+ union all select page_id, 'toc', 2 + len(hs), 1, 'The End', 'end.html' from l union all select page_id, 'page-list', 1, 1, '1', '#p1' from l)""")
+def read_ncx(spark, d):
+    return navigation.read_ncx(navigation.ncx(_menus(spark, d))).select(F.col("doc").alias("page_id"), "section", "pos", "lvl", "title", "href")
 
 
 @query(f"""with r as (select page_id, book, path, string_split(path, '/') as parts from (select page_id, {_PATH} from pages)), t as (select page_id, book, k, array_to_string(parts[-k:], '/') as tail from r, unnest(range(1, len(parts) + 1)) as u(k)),

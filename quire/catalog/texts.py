@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.catalog.register import query, table
 from quire.functions import text as T
+from quire.operators import navigation
 from quire.operators import search as S
 from quire.operators import versions as V
 from quire.operators import words as W
@@ -388,11 +389,32 @@ def rename_files(spark, d):
     return renamed.groupBy("name").agg(F.count("*").alias("n_same"))
 
 
-@query("select lang, '<ul>' || string_agg('<li>' || source || '</li>', '' order by source) || '</ul>' as markup from (select distinct lang, source from documents) group by 1")
+_INDEXED = f"""{_INDEX}, a as (select doc_id, block, 'idx' || row_number() over (partition by doc_id order by block) as anchor from (select distinct doc_id, block from h)),
+ t as (select d.source as book, string_split(entry, '/') as names, doc_id, block, doc_id || '.html#' || anchor as target from h join a using (doc_id, block) join documents d using (doc_id)),
+ u as (select distinct book, names[1:k] as names from (select book, names, unnest(range(1, len(names) + 1)) as k from t)),
+ v as (select u.book, u.names, string_agg(t.target, ' ' order by t.doc_id, t.block) as targets from u left join t on t.book = u.book and t.names = u.names group by 1, 2),
+ w as (select *, row_number() over (partition by book order by [lower(x) for x in names], names) as pos from v)"""
+
+
+def _index_rows(spark, d):
+    hits = _hits(spark, d)
+    placed = hits.join(W.index_anchor_ids(hits), ["doc_id", "block"]).join(docs(spark, d).select("doc_id", F.col("source").alias("book")), "doc_id")
+    target = F.concat(F.col("doc_id").cast("string"), F.lit(".html#"), "anchor")
+    return navigation.index_rows(placed.select("book", "entry", F.struct("doc_id", "block").alias("found"), target.alias("target")))
+
+
+@query(f"with {_INDEXED} select book, pos, len(names) as lvl, names[-1] as name, coalesce(targets, '') as targets from w")
+def index_targets(spark, d):
+    """The index of each source as a tree with its targets in found order."""
+    return _index_rows(spark, d).select("book", "pos", "lvl", "name", F.array_join("targets", " ").alias("targets"))
+
+
+@query(f"""with {_INDEXED}, x as (select *, names[1] as root, names[-1] || coalesce(' ' || array_to_string([('<a href="' || string_split(targets, ' ')[i] || '">' || i || '</a>') for i in range(1, len(string_split(targets, ' ')) + 1)], ', '), '') as item from w),
+ g as (select book, root, min(pos) as pos, max(item) filter (len(names) = 1) as own, string_agg('<li>' || item || '</li>', '' order by pos) filter (len(names) = 2) as below from x group by 1, 2),
+ m as (select *, upper(root[1]) is distinct from lag(upper(root[1])) over (partition by book order by pos) as fresh from g)
+ select book, '<ul>' || string_agg(case when fresh then '<li class="letter">' || upper(root[1]) || '</li>' else '' end || '<li>' || own || coalesce('<ul>' || below || '</ul>', '') || '</li>', '' order by pos) || '</ul>' as markup from m group by 1""")
 def render_index(spark, d):
-    entries = docs(spark, d).select("lang", "source").distinct()
-    items = F.array_join(F.transform(F.array_sort(F.collect_list("source")), lambda x: F.concat(F.lit("<li>"), x, F.lit("</li>"))), "")
-    return entries.groupBy("lang").agg(F.concat(F.lit("<ul>"), items, F.lit("</ul>")).alias("markup"))
+    return navigation.render_index(_index_rows(spark, d))
 
 
 # versions
