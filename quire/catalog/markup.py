@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.catalog.register import query, table
 from quire.functions import text as T
-from quire.operators import layout, links, navigation, pages, rewrite, selectors, structure
+from quire.operators import checks, layout, links, navigation, pages, rewrite, selectors, structure
 from quire.operators import tokens as M
 
 _q = lambda x: x.replace("'", "''")
@@ -304,10 +304,41 @@ def distinct_lists(spark, d):
 
 
 @query(f"with {ELEMENTS} select doc as page_id, count(*) filter (not matched) as n_unmatched, bool_and(matched) as balanced, bool_or(tname = 'html') and bool_or(tname = 'head') and bool_or(tname = 'body') as has_parts, min(eid) filter (not matched) as first_error from el group by 1")
-def well_formed(spark, d):
+def balance(spark, d):
     return pages.well_formed(els(spark, d)).withColumnRenamed("doc", "page_id")
 
 
+#: Faults by page_id % 6, put before the first heading: none, stray, crossing, unclosed, a void element's end, attributes.
+_FAULTS = ["", "</em>", "<b>x<i>y</b>z</i>", "<u>", "a</br>", "<i k=v>n</i>"]
+_FAULTY = "select page_id, replace(html, '<h1>', case page_id % 6 " + " ".join(f"when {k} then '\n{x}'" for k, x in enumerate(_FAULTS)) + " end || '<h1>') as html from pages"
+_CHECKED = f"""v as (select page_id, replace(html, chr(92) || 'n', chr(10)) as html from ({_FAULTY})), {_tokens('tok0', 'html').replace('from pages', 'from v').replace("'" + M.TOKEN + "'", "'" + M.SILENT + "|" + M.TOKEN + "'")},
+ btok as (select doc, seq, tok, pos, tname, case when regexp_matches(tok, '^(?is)<(script|style).*</') then 'silent' else ttype end as ttype from tok0), {ELEMENTS[ELEMENTS.index(' tags as'):ELEMENTS.index(' el1 as')].rstrip().rstrip(',')},
+ f as (select p.doc, p.seq, case when m.s is not null and g.s is null then 'crossing' when p.ttype = 'begin' and not p.alone and m.s is null then 'unclosed' end as code from par p left join mat m on m.doc = p.doc and m.s = p.seq left join good g on g.doc = p.doc and g.s = p.seq
+  union all select p.doc, p.seq, case when m.e is not null and g.e is null then 'crossing' when m.e is null then 'stray' end from par p left join mat m on m.doc = p.doc and m.e = p.seq left join good g on g.doc = p.doc and g.e = p.seq where p.ttype = 'end'
+  union all select doc, seq, 'void-end' from btok where ttype = 'end' and tname in ({_void}) union all select doc, seq, 'attributes' from btok where ttype in ('begin', 'single') and not regexp_matches(tok, '^<[^\s/>]+(?:\s+[^\s=<>"''/]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''))?)*\s*/?>$')
+  union all select doc, seq, 'sign' from btok where tok = '<'
+  union all select b.doc, b.seq, 'nested-p' from btok b where b.ttype = 'begin' and b.tname = 'p' and exists (select 1 from el0 o where o.doc = b.doc and o.tname = 'p' and not o.alone and o.eid < b.seq and o.end_seq >= b.seq)),
+ w as (select f.doc as page_id, f.code, length(substr(html, 1, pos)) - length(replace(substr(html, 1, pos), chr(10), '')) + 1 as line, pos - coalesce(length(substr(html, 1, pos)) - strpos(reverse(substr(html, 1, pos)), chr(10)) + 1, 0) * (contains(substr(html, 1, pos), chr(10)))::int + 1 as col
+  from f join btok b on b.doc = f.doc and b.seq = f.seq join v on v.page_id = f.doc where f.code is not null)"""
+
+
+def _faulty(spark, d):
+    fault = F.element_at(F.array(*(F.lit(f"\n{x}") for x in _FAULTS)), (F.col("page_id") % 6 + 1).cast("int"))
+    return docs(spark, d).withColumn("html", F.replace("html", F.lit("<h1>"), F.concat(fault, F.lit("<h1>"))))
+
+
+@query(f"with {_CHECKED} select page_id, line, col, code from w")
+def page_issues(spark, d):
+    """All issues of pages with planted faults but those that the pages have by nature."""
+    return checks.issues(_faulty(spark, d)).where("code not in ('parts', 'order', 'link-type', 'id-twice', 'twice')").select(F.col("doc").alias("page_id"), "line", "col", "code")
+
+
+@query(f"with {_CHECKED} select v.page_id, count(*) filter (code = 'unclosed') as n_unclosed, count(*) filter (code = 'stray') as n_stray, count(*) filter (code = 'crossing') as n_crossing, coalesce(bool_and(code not in ('unclosed', 'stray', 'crossing')), true) as balanced, min((line, col)).a as line, min((line, col)).b as col from v left join (select page_id, code, line, col from w) using (page_id) group by 1".replace("min((line, col)).a", "min({'a': line, 'b': col}).a").replace("min((line, col)).b", "min({'a': line, 'b': col}).b"))
+def well_formed(spark, d):
+    rows = _faulty(spark, d)
+    return checks.well_formed(rows, checks.issues(rows)).select(F.col("doc").alias("page_id"), "n_unclosed", "n_stray", "n_crossing", "balanced", "line", "col")
+
+
 #: What is put into every eighth page, so that each signal of a layout stands in some.
 _PUT = {
     1: ("<html ", '<html style="writing-mode: vertical-rl" '), 2: ("</head>", '<meta name="viewport" content="width=600, height=800"></head>'), 3: ("<p>", '<p style="position:absolute">'),
@@ -362,8 +393,19 @@ def issues_report(spark, d):
     return pages.unclosed_issues(els(spark, d)).withColumnRenamed("doc", "page_id")
 
 
-@query(f"with {ELEMENTS} select doc as page_id, bool_and(matched) as valid from el group by 1")
+@query("select page_id, case page_id % 4 when 0 then 'missing media type' when 1 then 'unchecked' when 2 then 'valid' else 'invalid' end as status, case page_id % 4 when 0 then 1 when 3 then 1 else 0 end::bigint as n_issues, case when page_id % 4 = 3 then 2 end as line, case when page_id % 4 = 3 then length(url) + 4 end as col from pages")
 def validate_staged(spark, d):
+    """Staged package files of four kinds: without a media type, a sheet, well-formed, and with a stray end tag."""
+    k, path = F.col("page_id") % 4, F.col("page_id").cast("string")
+    url = F.replace("url", F.lit("&"), F.lit("+"))
+    text = F.concat(F.lit("<package>\n<a>"), url, F.when(k == 3, "</b>").otherwise(""), F.lit("</a><meta>x</meta></package>"))
+    kind = F.when(k == 1, "text/css").when(k == 2, "application/oebps-package+xml; charset=utf-8").when(k == 3, "IMAGE/SVG+XML")
+    found = checks.validate_staged(docs(spark, d).select(path.alias("path"), kind.alias("media_type"), text.alias("text")))
+    return found.select(F.col("path").cast("long").alias("page_id"), "status", "n_issues", "line", "col")
+
+
+@query(f"with {ELEMENTS} select doc as page_id, bool_and(matched) as valid from el group by 1")
+def staged_balance(spark, d):
     return pages.validate(els(spark, d), docs(spark, d).select(F.col("page_id").alias("doc"))).withColumnRenamed("doc", "page_id")
 
 

@@ -77,14 +77,14 @@ def token_depth(toks: DataFrame) -> DataFrame:
     return toks.withColumn("depth", F.sum(step).over(w))
 
 
-def paired(toks: DataFrame) -> DataFrame:
+def paired(toks: DataFrame, void: list[str] = VOID) -> DataFrame:
     """Tags (doc, seq, tok, tname, ttype, last) with alone (void or single), partner and crossing; last is the document's last token.
 
     A begin tag's partner is the end tag of its name and level. Where the brackets of all names, by their common depth, don't close in that order, the tags cross
     others and have no partner.
     """
     doc = Window.partitionBy("doc").orderBy("seq")
-    alone = (F.col("ttype") == "single") | F.col("tname").isin(VOID)
+    alone = (F.col("ttype") == "single") | F.col("tname").isin(void)
     tags = toks.withColumn("last", F.max("seq").over(Window.partitionBy("doc"))).where("ttype in ('begin', 'single', 'end') and tname <> ''")
     tags = tags.withColumn("alone", alone).where("not (alone and ttype = 'end')")
     begins, ends = F.col("ttype") == "begin", F.col("ttype") == "end"
