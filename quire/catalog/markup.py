@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.catalog.register import query, table
 from quire.functions import text as T
-from quire.operators import checks, layout, links, navigation, pages, rewrite, selectors, structure
+from quire.operators import checks, layout, links, navigation, pages, pretty, rewrite, selectors, structure
 from quire.operators import tokens as M
 
 _q = lambda x: x.replace("'", "''")
@@ -553,10 +553,23 @@ def apply_renames(spark, d):
 
 
 @query(f"with {ELEMENTS}, e as (select doc, bool_and(matched) as ok from el group by 1) select page_id, case when not coalesce(ok, true) then 'skipped' when regexp_matches(html, '[ \\t]+\\r?\\n') then 'formatted' else 'unchanged' end as status from pages left join e on e.doc = page_id")
-def format_markup(spark, d):
+def trim_line_ends(spark, d):
     return rewrite.format_status(els(spark, d), docs(spark, d)).withColumnRenamed("doc", "page_id")
 
 
+_LINES = """m as (select page_id, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) as nav, url from pages), l as (select page_id, url, regexp_extract_all(nav, '<li>.*?</li>') as items from m)"""
+
+
+@query(f"""with {_LINES} select page_id, case when page_id % 5 = 0 then 'skipped' else 'formatted' end as status, case when page_id % 5 = 0 then '<html><head> <title>' || url || '</title></head><body><nav><ul>' || array_to_string(items, ' ') || '</ul></nav><p>a <b>b</b></p><pre> x' || chr(10) || '  <i>y</i> </pre><p></p></em></body></html>' else
+ '<html>' || chr(10) || '  <head>' || chr(10) || '    <title>' || url || '</title>' || chr(10) || '  </head>' || chr(10) || '  <body>' || chr(10) || '    <nav>' || chr(10) || '      <ul>' || array_to_string([chr(10) || '        ' || x for x in items], '') || case when len(items) > 0 then chr(10) || '      ' else '' end || '</ul>' || chr(10) || '    </nav>' || chr(10)
+ || '    <p>a <b>b</b></p>' || chr(10) || '    <pre> x' || chr(10) || '  <i>y</i> </pre>' || chr(10) || '    <p></p>' || chr(10) || '  </body>' || chr(10) || '</html>' end as html from l""")
+def format_markup(spark, d):
+    """Pages made of each page's menu; every fifth has a stray end tag."""
+    items = F.array_join(F.regexp_extract_all(F.regexp_extract("html", "(?s)<nav>(.*?)</nav>", 1), F.lit("<li>.*?</li>"), F.lit(0)), " ")
+    parts = [F.lit("<html><head> <title>"), F.col("url"), F.lit("</title></head><body><nav><ul>"), items, F.lit("</ul></nav><p>a <b>b</b></p><pre> x\n  <i>y</i> </pre><p></p>"), F.when(F.col("page_id") % 5 == 0, "</em>").otherwise(""), F.lit("</body></html>")]
+    return pretty.pretty(docs(spark, d).select("page_id", F.concat(*parts).alias("html")))
+
+
 @query(f"select tag, count(*) as n from (select unnest(regexp_extract_all(html, '<([a-z0-9]+)', 1)) as tag from pages) group by 1")
 def tokens_tvf(spark, d):
     docs(spark, d).createOrReplaceTempView("quire_pages")
