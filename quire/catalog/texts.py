@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.catalog.register import query, table
 from quire.functions import text as T
-from quire.operators import navigation
+from quire.operators import navigation, store
 from quire.operators import search as S
 from quire.operators import versions as V
 from quire.operators import words as W
@@ -434,10 +434,38 @@ def checkpoint(spark, d):
     return V.snapshot(_new(spark, d), 2).drop("text")
 
 
-@query(f"with {_NEW} select 'V0002' as tag, 2::bigint as version, count(*) as files from n union all select 'V0001', 1, count(*) from documents")
+_LINES = "len(string_split(coalesce({}.text, ''), chr(10)))"
+_HISTORY = f"""{_NEW}, c as (select d.doc_id is null as added, n.doc_id is null as removed, d.doc_id is not null and n.doc_id is not null as modified, case when d.doc_id is null then {_LINES.format("n")} when n.doc_id is null then 0 else (d.doc_id % 10 = 1)::int end as ins, case when n.doc_id is null then {_LINES.format("d")} when d.doc_id is null then 0 else (d.doc_id % 10 = 2)::int end as del
+ from documents d full join n on n.doc_id = d.doc_id where coalesce(d.text, '') is distinct from coalesce(n.text, '') or d.doc_id is null or n.doc_id is null)"""
+
+
+def _versions(spark, d):
+    old, new = docs(spark, d).select("doc_id", "text"), _new(spark, d)
+    first = store.unseen_texts(old, None)
+    texts = Scratch(spark, "store").table(first.unionByName(store.unseen_texts(new, first)), "texts")
+    return store.manifest(old, 1).unionByName(store.manifest(new, 2)), texts
+
+
+@query(f"""with {_HISTORY} select 1::bigint as version, 'V0001' as tag, timestamp '2024-01-01' as ts, 'first' as message, count(*) as files, count(*) as added, 0 as removed, 0 as modified, sum({_LINES.format("d")})::bigint as insertions, 0::bigint as deletions from documents d
+ union all select 2, 'V0002', timestamp '2024-02-01', 'edited', (select count(*) from n), count(*) filter (added), count(*) filter (removed), count(*) filter (modified), sum(ins)::bigint, sum(del)::bigint from c""")
 def checkpoint_log(spark, d):
-    both = V.snapshot(docs(spark, d).select("doc_id", "text"), 1).unionByName(V.snapshot(_new(spark, d), 2))
-    return both.groupBy("tag", "version").agg(F.count("*").alias("files"))
+    manifests, texts = _versions(spark, d)
+    log = spark.sql("select * from values (1L, 'V0001', timestamp'2024-01-01', 'first'), (2L, 'V0002', timestamp'2024-02-01', 'edited') as t(version, tag, ts, message)")
+    return store.history(manifests, texts, log)
+
+
+@query(f"with {_NEW} select count(*) as n_texts, (select count(distinct sha256(coalesce(text, ''))) from n where sha256(coalesce(text, '')) not in (select sha256(coalesce(text, '')) from documents)) as n_added from (select distinct sha256(coalesce(text, '')) from documents union select sha256(coalesce(text, '')) from n)")
+def checkpoint_texts(spark, d):
+    """How many texts two versions take in the store, and how many the second added."""
+    manifests, texts = _versions(spark, d)
+    of = lambda v: manifests.where(F.col("version") == v).select("sha256").distinct()
+    added = of(2).join(of(1), "sha256", "left_anti").agg(F.count("*").alias("n_added"))
+    return texts.agg(F.count("*").alias("n_texts")).join(F.broadcast(added))  # a row each
+
+
+@query(f"with {_NEW} select doc_id, coalesce(text, '') as text from n")
+def restore_by_hash(spark, d):
+    return store.restore(*_versions(spark, d), 2)
 
 
 @query(f"with {_NEW} select coalesce(d.doc_id, n.doc_id) as doc_id, case when n.doc_id is null then 'left_only' when d.doc_id is null then 'right_only' when d.text <> n.text then 'modified' else 'same' end as status from documents d full join n on n.doc_id = d.doc_id")
