@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.catalog.register import query, table
 from quire.functions import text as T
-from quire.operators import checks, layout, links, navigation, pages, pretty, rewrite, selectors, structure
+from quire.operators import checks, layout, links, navigation, pages, pretty, rewrite, selectors, structure, styles
 from quire.operators import tokens as M
 
 _q = lambda x: x.replace("'", "''")
@@ -539,6 +539,36 @@ def extract_styles(spark, d):
     return pages.extract_styles(M.css_rules(docs(spark, d)))
 
 
+_STYLED = """v as (select page_id, replace(replace(html, '<p>', case page_id % 3 when 0 then '<p style="COLOR: red;  margin:0">' when 1 then '<p class=''k'' style=''margin:0;color:red;''>' else '<p>' end), '<h1>', case when page_id % 2 = 0 then '<h1 style="margin-left:1px;margin:2px">' else '<h1>' end) as html from pages)"""
+
+
+def _styled(spark, d):
+    k = F.col("page_id") % 3
+    p = F.when(k == 0, '<p style="COLOR: red;  margin:0">').when(k == 1, "<p class='k' style='margin:0;color:red;'>").otherwise("<p>")
+    h = F.when(F.col("page_id") % 2 == 0, '<h1 style="margin-left:1px;margin:2px">').otherwise("<h1>")
+    return docs(spark, d).select("page_id", F.replace(F.replace("html", F.lit("<p>"), p), F.lit("<h1>"), h).alias("html"))
+
+
+@query(f"""with {_STYLED} select page_id, replace(replace(replace(replace(html, '<p style="COLOR: red;  margin:0">', '<p class="auto_1">'), '<p class=''k'' style=''margin:0;color:red;''>', '<p class=''k auto_1''>'), '<h1 style="margin-left:1px;margin:2px">', '<h1 class="auto_2">'), '</head>', '<link rel="stylesheet" type="text/css" href="auto.css"/></head>') as html,
+ len(regexp_extract_all(html, '<(p|h1)[^<>]* style='))::bigint as n from v where contains(html, ' style=')""")
+def inline_styles(spark, d):
+    """Pages in which two ways to write one style, and one whose order matters, have become two classes."""
+    return styles.extract_inline_styles(_styled(spark, d), "auto.css")[0]
+
+
+@query(f"with {_STYLED}, e as (select unnest(regexp_extract_all(html, '<(p|h1)[^<>]* style=', 1)) as t from v) select case t when 'p' then 'auto_1' else 'auto_2' end as class, case t when 'p' then 'color: red; margin: 0' else 'margin-left: 1px; margin: 2px' end as body, count(*) as n_elements from e group by t")
+def inline_style_rules(spark, d):
+    return styles.extract_inline_styles(_styled(spark, d), "auto.css")[1]
+
+
+@query("""select page_id, replace(replace(html, 'class="ad"', 'class="advert"'), '<style>p{margin:0}</style>', '<style>p.advert > .ad-x, .ad{margin:0} /* .ad */</style>') as html from pages where contains(html, 'class="ad"') or contains(html, '<style>p{margin:0}</style>')""")
+def rename_classes(spark, d):
+    """Two classes exchange their names in the class attributes and style blocks of pages."""
+    rows = docs(spark, d).withColumn("html", F.replace("html", F.lit("<style>p{margin:0}</style>"), F.lit("<style>p.ad > .ad-x, .advert{margin:0} /* .ad */</style>")))
+    sheets = spark.createDataFrame([], "path string, css string")
+    return styles.rename_classes(rows, sheets, {"ad": "advert", "advert": "ad"})[0]
+
+
 # rewrites and SQL
 
 

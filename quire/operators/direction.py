@@ -22,7 +22,7 @@ MARKER = r"<!-- layout-progression original=(absent|default|ltr|rtl) applied=(lt
 RISKY = 50
 _WRITING = r"(?:-(?:webkit|epub|ms)-)?writing-mode\s*:\s*"
 #: Comments, rules, and what is between them; together they are the sheet.
-_CSS = r"(?s)/\*.*?\*/|(?:[^{}/]|/(?!\*))*\{(?:[^{}/]|/(?!\*)|/\*.*?\*/)*\}|(?:[^{}/]|/(?!\*))+|[{}]|/"
+CSS_PIECES = r"(?s)/\*.*?\*/|(?:[^{}/]|/(?!\*))*\{(?:[^{}/]|/(?!\*)|/\*.*?\*/)*\}|(?:[^{}/]|/(?!\*))+|[{}]|/"
 
 
 def target(to_horizontal: bool) -> str:
@@ -55,7 +55,7 @@ def css_rewritten(css: Column | str, to_horizontal: bool = True, root_only: bool
         found = F.regexp_extract_all(out, F.lit(r"(?i)(?<=[{;\s])font-feature-settings\s*:[^;{}]*(?:;[ \t]*)?"), F.lit(0))
         return F.aggregate(found, out, lambda t, d: F.replace(t, d, _features(d)))
 
-    return F.array_join(F.transform(F.regexp_extract_all(T.col(css), F.lit(_CSS), F.lit(0)), lambda x: F.when(x.rlike(r"(?s)^(?!/\*).*\{"), rule(x)).otherwise(x)), "")
+    return F.array_join(F.transform(F.regexp_extract_all(T.col(css), F.lit(CSS_PIECES), F.lit(0)), lambda x: F.when(x.rlike(r"(?s)^(?!/\*).*\{"), rule(x)).otherwise(x)), "")
 
 
 def _features(declaration: Column) -> Column:
