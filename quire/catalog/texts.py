@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.catalog.register import query, table
 from quire.functions import text as T
-from quire.operators import navigation, store
+from quire.operators import navigation, rewrite, store
 from quire.operators import search as S
 from quire.operators import versions as V
 from quire.operators import words as W
@@ -378,13 +378,36 @@ def apply_edits(spark, d):
 
 
 @query("select conv_id, string_agg(coalesce(text, ''), chr(10) order by turn) as text from conversations group by 1")
-def merge_documents(spark, d):
+def joined_turns(spark, d):
     parts = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t"))))
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("text"))
 
 
-@query("with n as (select doc_id, 'book-' || regexp_extract(source, '[0-9]+') || '/' || lang || '.txt' as name from documents) select name, count(*) as n_same from n group by 1")
+_PLAIN = "replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+@query(f"""select conv_id, '<html><head></head><body>' || string_agg('<p id="x' || case when n = 1 then '' else '_' || turn end || '">' || {_PLAIN} || '</p><a href="#x' || case when n = 1 then '' else '_' || turn end || '">own</a>', chr(10) order by turn) || '</body></html>' as html
+ from (select *, row_number() over (partition by conv_id order by turn) as n from conversations) group by 1""")
+def merge_documents(spark, d):
+    """The turns of a conversation, a page each with the same id and a link to it, become one page."""
+    turns, name = table(spark, d, "conversations"), F.concat(F.lit("t/"), F.col("turn").cast("string"), F.lit(".html"))
+    html = F.concat(F.lit('<html><head></head><body><p id="x">'), T.html_escape(F.coalesce("text", F.lit(""))), F.lit('</p><a href="'), F.col("turn").cast("string"), F.lit('.html#x">own</a></body></html>'))
+    book = F.col("conv_id").cast("string").alias("book")
+    pages = turns.select((F.col("conv_id") * 100_000 + F.col("turn")).alias("page_id"), book, name.alias("path"), html.alias("html"))
+    plan = turns.select(book, name.alias("path"), F.lit("all.html").alias("target"), F.col("turn").alias("n"))
+    return rewrite.merge_documents(pages, plan).select(F.col("book").cast("long").alias("conv_id"), "html")
+
+
+@query("select doc_id, lang || '/doc-' || lpad(n, greatest(4, length(n))::int, '0') || '.txt' as path, '<a href=\"doc-' || lpad(n, greatest(4, length(n))::int, '0') || '.txt#f\">me</a>' as html from (select doc_id, lang, (row_number() over (partition by source order by doc_id))::varchar as n from documents)".replace("'.txt#f", "'#f").replace("<a href=\"doc-' || lpad(n, greatest(4, length(n))::int, '0') || '#f", "<a href=\"#f"))
 def rename_files(spark, d):
+    """Documents as files of their source, numbered by a template; each has a link to itself."""
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    files = docs(spark, d).select(F.col("doc_id").alias("page_id"), F.col("source").alias("book"), F.concat("lang", F.lit("/"), name).alias("path"), F.concat(F.lit('<a href="'), name, F.lit('#f">me</a>')).alias("html"))
+    return rewrite.rename_files(files, "doc-####{ext}", ["page_id"]).select(F.col("page_id").alias("doc_id"), "path", "html")
+
+
+@query("with n as (select doc_id, 'book-' || regexp_extract(source, '[0-9]+') || '/' || lang || '.txt' as name from documents) select name, count(*) as n_same from n group by 1")
+def renamed_by_pattern(spark, d):
     renamed = docs(spark, d).select(F.regexp_replace(F.concat_ws("/", "source", "lang"), "^src([0-9]+)/(.*)$", "book-$1/$2.txt").alias("name"))
     return renamed.groupBy("name").agg(F.count("*").alias("n_same"))
 

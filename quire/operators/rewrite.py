@@ -6,13 +6,17 @@ touched. Resources are rows (book, path, html) with a page_id.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import tokens as M
+from quire.operators.pages import ids as pages_ids
+from quire.operators.words import numbered
+from quire.plans.scratch import Scratch
 
 LINKS = ("href", "src", "xlink:href", "altimg", "poster")
 
@@ -39,11 +43,11 @@ XML_LINKS = {
 FOLDERS = {"Images": "bmp gif jpeg jpg png svg webp".split(), "Styles": ["css"], "Fonts": "otf ttf woff woff2".split(), "Audio": "m4a mp3 ogg wav".split(), "Video": "m4v mp4 webm".split()}
 
 
-def rewrite_links(resources: DataFrame, targets: DataFrame, places: Column | None = None, to_path: str = "path") -> DataFrame:
+def rewrite_links(resources: DataFrame, targets: DataFrame, places: Column | None = None, to_path: str = "path", follow: bool = False) -> DataFrame:
     """(page_id, html, n) of changed pages. targets (book, target, fragment or null, new_path, new_fragment or null): where links go now.
 
     A row with a null fragment holds for every fragment of its target, which stays; one with a fragment only for that one.
-    places: which of (tname, attr) hold links, if not the usual attributes; to_path: column with the page's own new path.
+    places: which of (tname, attr) hold links, if not the usual attributes; to_path: column with the page's own new path; follow: in pages that move, all links still lead where they did.
     """
     keyed = resources.select(F.col("page_id").alias("doc"), "book", "path", F.col(to_path).alias("own_path"))
     toks = M.tokens(resources, positions=False)
@@ -52,8 +56,9 @@ def rewrite_links(resources: DataFrame, targets: DataFrame, places: Column | Non
     aimed = found.join(keyed, "doc").withColumns({"target": path, "fragment": T.link_fragment("value")})
     general = targets.where("fragment is null").select("book", "target", F.col("new_path").alias("g_path"))
     exact = targets.where("fragment is not null").select("book", "target", "fragment", F.col("new_path").alias("e_path"), F.col("new_fragment").alias("e_fragment"))
-    moved = aimed.join(general, ["book", "target"], "left").join(exact, ["book", "target", "fragment"], "left").where("g_path is not null or e_path is not null")
-    new_path, fragment = F.coalesce("e_path", "g_path"), F.coalesce(F.when(F.col("e_path").isNotNull(), F.col("e_fragment")), "fragment")
+    aimed = aimed.withColumn("o_path", F.when(F.lit(follow) & (F.col("own_path") != F.col("path")), F.col("target")))
+    moved = aimed.join(general, ["book", "target"], "left").join(exact, ["book", "target", "fragment"], "left").where("g_path is not null or e_path is not null or o_path is not null")
+    new_path, fragment = F.coalesce("e_path", "g_path", "o_path"), F.coalesce(F.when(F.col("e_path").isNotNull(), F.col("e_fragment")), "fragment")
     same_file = new_path == F.col("own_path")
     href = F.concat(F.when(same_file & (fragment != ""), F.lit("")).otherwise(T.url_encode(T.relative("own_path", new_path))), F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""))
     changes = moved.withColumn("new_value", href).where("new_value <> value").withColumn("new", _set(F.col("tok"), F.col("attr"), F.col("new_value")))
@@ -68,6 +73,73 @@ def apply_renames(resources: DataFrame, updates: DataFrame) -> DataFrame:
     return rewrite_links(resources, updates.select("book", F.col("old_path").alias("target"), null.alias("fragment"), "new_path", null.alias("new_fragment")))
 
 
+def move_files(resources: DataFrame, moves: DataFrame) -> DataFrame:
+    """resources (page_id, book, path, html, ...) with new paths, and all links of the books' pages that follow: moves (book, old_path, new_path). Several files may go to one path."""
+    null = F.lit(None).cast("string")
+    own = moves.select("book", F.col("old_path").alias("path"), F.col("new_path").alias("_path"))
+    placed = resources.join(own, ["book", "path"], "left").withColumn("_path", F.coalesce("_path", "path"))
+    targets = moves.select("book", F.col("old_path").alias("target"), null.alias("fragment"), "new_path", null.alias("new_fragment"))
+    made = rewrite_links(placed, targets, to_path="_path", follow=True).select("page_id", F.col("html").alias("_html"))
+    return placed.join(made, "page_id", "left").withColumns({"html": F.coalesce("_html", "html"), "path": F.col("_path")}).drop("_html", "_path").select(*resources.columns)
+
+
+def rename_plan(files: DataFrame, template: str, order: list[str], start: int = 1, others: DataFrame | None = None) -> DataFrame:
+    """book, old_path, new_path, problem for files (book, path, and what orders them): names numbered in each book by a template.
+
+    The last run of # in the template is the number, with zeros to its width; longer numbers stay whole. {name} is the old name without its ending, {ext} the ending with its dot. Files stay in their
+    folders. problem, null if there is none: the new path, case aside, is that of another file of the plan, or of one of ``others`` (book, path; all files of the books) that keeps its path.
+    """
+    if "#" not in template and "{name}" not in template:
+        raise ValueError("the template needs # or {name}")
+    head, width, tail = re.fullmatch(r"(.*?)(#*)([^#]*)", template, re.S).groups()
+    rows = numbered(files.select("book", "path", *[c for c in order if c not in ("book", "path")]), "book", order, "_n")
+    n = (F.col("_n") + (start - 1)).cast("string")
+    number = F.lpad(n, F.greatest(F.lit(len(width)), F.length(n)), "0") if width else F.lit("")
+    name, ext = T.file_name("path"), F.regexp_extract(T.file_name("path"), r"(\.[^.]*)$", 1)
+    filled = lambda x: F.replace(F.replace(F.lit(x), F.lit("{ext}"), ext), F.lit("{name}"), F.regexp_replace(name, r"\.[^.]*$", ""))
+    folder = F.regexp_extract("path", r"^(.*/)[^/]*$", 1)
+    plan = rows.select("book", F.col("path").alias("old_path"), F.concat(folder, filled(head), number, filled(tail)).alias("new_path"), F.lower(F.concat(folder, filled(head), number, filled(tail))).alias("low"))
+    same = plan.groupBy("book", "low").agg(F.count("*").alias("same"))
+    kept = plan.select("book", F.lit(None).cast("string").alias("low")).limit(0).withColumn("taken", F.lit(True)) if others is None else others.select("book", F.col("path").alias("old_path")).join(plan.select("book", "old_path"), ["book", "old_path"], "left_anti").select("book", F.lower("old_path").alias("low"), F.lit(True).alias("taken")).distinct()
+    found = plan.join(same, ["book", "low"], "left").join(kept, ["book", "low"], "left")
+    problem = F.when(F.col("same") > 1, "several files get this path").when(F.col("taken"), "the path is taken")
+    return found.select("book", "old_path", "new_path", problem.alias("problem"))
+
+
+def rename_files(resources: DataFrame, template: str, order: list[str] | None = None, start: int = 1, others: DataFrame | None = None) -> DataFrame:
+    """resources with numbered paths and links that follow; a book with a problem in its ``rename_plan`` stays as it is."""
+    plan = rename_plan(resources, template, order or ["path"], start, others)
+    bad = plan.where("problem is not null").select("book").distinct()
+    return move_files(resources, plan.join(bad, "book", "left_anti").select("book", "old_path", "new_path"))
+
+
+def merge_documents(resources: DataFrame, plan: DataFrame) -> DataFrame:
+    """resources (page_id, book, path, html) in which files have become one: plan (book, path, target, n) says which, into what path, and in what order.
+
+    The first gives the head and what stands around, its body then holds the bodies of all. Ids that an earlier member has get a new name in the later one, which no id of the
+    target has; then all links of the book follow: to renamed ids, to members, and, from members that leave their folder, to everything else. The merged file has the first member's page_id.
+    A member without a body counts whole. Other files stay, with their links changed; a member that doesn't exist is left out.
+    """
+    members = resources.join(plan.select("book", "path", "target", "n"), ["book", "path"])
+    own = pages_ids(members).join(members.select("page_id", "book", "path", "target", "n"), "page_id").select("book", "path", "target", "n", "id").distinct()
+    runs = F.transform(F.regexp_extract_all("id", F.lit("_+"), F.lit(0)), F.length)
+    deep = own.groupBy("book", "target").agg(F.max(F.coalesce(F.array_max(runs), F.lit(0))).alias("deep"))
+    again = own.withColumn("k", F.row_number().over(Window.partitionBy("book", "target", "id").orderBy("n", "path"))).where("k > 1").join(deep, ["book", "target"])
+    new_id = F.concat("id", F.repeat(F.lit("_"), (F.col("deep") + 1).cast("int")), F.col("n").cast("string"))
+    renamed = rename_fragments(resources, again.select("book", "path", F.col("id").alias("old_id"), new_id.alias("new_id"))).select("page_id", F.col("html").alias("_html"))
+    step = resources.join(renamed, "page_id", "left").withColumn("html", F.coalesce("_html", "html")).drop("_html")
+    step = Scratch(resources.sparkSession, "merge").table(step, "renamed")
+    moved = move_files(step, plan.select("book", F.col("path").alias("old_path"), F.col("target").alias("new_path")))
+    keyed = moved.join(members.select("page_id", "n", "target"), "page_id", "left")
+    body = r"(?is)^(.*?<body\b[^<>]*>)(.*)(</body\s*>.*)$"
+    whole = F.col("html").rlike(body)
+    part = F.struct("n", "page_id", F.when(whole, F.regexp_extract("html", body, 2)).otherwise(F.col("html")).alias("body"), F.when(whole, F.regexp_extract("html", body, 1)).otherwise("").alias("before"), F.when(whole, F.regexp_extract("html", body, 3)).otherwise("").alias("after"))
+    merged = keyed.where("target is not null").groupBy("book", "path").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    text = F.concat(F.col("parts")[0]["before"], F.array_join(F.transform("parts", lambda x: x["body"]), "\n"), F.col("parts")[0]["after"])
+    done = merged.select(F.col("parts")[0]["page_id"].alias("page_id"), "book", "path", text.alias("html"))
+    return keyed.where("target is null").select("page_id", "book", "path", "html").unionByName(done)
+
+
 def xml_renames(resources: DataFrame, updates: DataFrame, kind: str) -> DataFrame:
     """Rewrites links of package, ncx, smil or pagemap files (page_id, book, path, html) for renamed files: (page_id, html, n) of changed ones."""
     null = F.lit(None).cast("string")
@@ -144,8 +216,6 @@ def convert_script(pages: DataFrame, phrases: list[tuple[str, str]], characters:
 
 def rebase_ids(manifest: DataFrame, spine: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Manifest ids from file names, made unique in their book by a number, and the spine's references to them."""
-    from pyspark.sql import Window
-
     base = T.valid_id(T.file_name("bookpath"))
     n = F.row_number().over(Window.partitionBy("book_id", "base").orderBy("pos"))
     named = manifest.withColumn("base", base).withColumn("n", n).withColumn("new_id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("n").cast("string"))))

@@ -116,6 +116,47 @@ def test_large_phrase_tables(spark):
     assert {r.page_id: r.html for r in large.collect()} == {i: brute(t) for i, t in enumerate(texts)} and abs(size(small) - size(large)) < 2000
 
 
+def test_files_move_with_their_links(spark):
+    pages_ = book(spark, **{"Text/a.html": "<a href='b.html#x'>1</a><img src='../i/p.png'><a href='#own'>2</a><a href='http://z/q'>3</a>", "Text/b.html": "<a href='a.html'>4</a><p id='x'></p>", "c.html": "<a href='Text/a.html#own'>5</a><a href='Text/b.html'>6</a>"})
+    moves = spark.createDataFrame([("b", "Text/a.html", "Text/b.html"), ("b", "Text/b.html", "new/a.html")], "book string, old_path string, new_path string")
+    got = {r.path: r.html for r in rewrite.move_files(pages_, moves).collect()}
+    assert got == {
+        "Text/b.html": "<a href=\"../new/a.html#x\">1</a><img src='../i/p.png'><a href='#own'>2</a><a href='http://z/q'>3</a>", "new/a.html": "<a href=\"../Text/b.html\">4</a><p id='x'></p>",
+        "c.html": "<a href=\"Text/b.html#own\">5</a><a href=\"new/a.html\">6</a>",
+    }
+
+
+def test_numbered_names(spark):
+    pages_ = book(spark, **{"t/b.xhtml": "<a href='a.html'>x</a>", "t/a.html": "<a href='b.xhtml#f'>y</a>", "c.htm": ""})
+    got = {r.path: r.html for r in rewrite.rename_files(pages_, "ch-##{ext}", start=9).collect()}
+    assert got == {"ch-09.htm": "", "t/ch-10.html": '<a href="ch-11.xhtml#f">y</a>', "t/ch-11.xhtml": '<a href="ch-10.html">x</a>'}
+    plan = {r.old_path: (r.new_path, r.problem) for r in rewrite.rename_plan(pages_, "{name}.X", ["path"]).collect()}
+    assert plan == {"t/b.xhtml": ("t/b.X", None), "t/a.html": ("t/a.X", None), "c.htm": ("c.X", None)}
+    others = spark.createDataFrame([("b", "T/CH-10.html"), ("b", "c.htm")], "book string, path string")
+    told = {r.old_path: r.problem for r in rewrite.rename_plan(pages_, "ch-#{ext}", ["path"], 9, others).collect()}
+    assert told == {"t/b.xhtml": None, "t/a.html": "the path is taken", "c.htm": None}
+    assert {r.path for r in rewrite.rename_files(pages_, "ch-#{ext}", start=9, others=others).collect()} == {"t/b.xhtml", "t/a.html", "c.htm"}
+    twins = book(spark, **{"t/x.a": "", "t/X.b": ""})
+    assert {r.problem for r in rewrite.rename_plan(twins, "{name}", ["path"]).collect()} == {"several files get this path"}
+    with pytest.raises(ValueError):
+        rewrite.rename_plan(twins, "same.html", ["path"])
+
+
+def test_merged_files_keep_their_links(spark):
+    page = "<html><head><title>{0}</title></head><body class='{0}'>{1}</body></html>"
+    files = {
+        "a.html": page.format("A", "<p id='x'>1</p><a href='t/b.html#x'>2</a><a href='#x'>3</a>"), "t/b.html": page.format("B", "<p id='x'>4</p><b id='x__1'></b><a href='#x'>5</a><img src='../i.png'><a href='c.html'>6</a>"),
+        "t/c.html": page.format("C", "<a href='b.html#x'>7</a><a href='../a.html#x'>8</a><a href='b.html'>9</a>"), "d.html": "<i id='x'>no body</i>",
+    }
+    plan = spark.createDataFrame([("b", "t/b.html", "a.html", 2), ("b", "a.html", "a.html", 1), ("b", "d.html", "a.html", 3), ("b", "gone.html", "a.html", 4)], "book string, path string, target string, n int")
+    got = {r.path: r.html for r in rewrite.merge_documents(book(spark, **files), plan).collect()}
+    body = (
+        "<p id='x'>1</p><a href=\"#x___2\">2</a><a href='#x'>3</a>\n<p id=\"x___2\">4</p><b id='x__1'></b><a href=\"#x___2\">5</a><img src=\"i.png\"><a href=\"t/c.html\">6</a>\n<i id=\"x___3\">no body</i>"
+    )
+    assert got == {"a.html": page.format("A", body), "t/c.html": page.format("C", "<a href=\"../a.html#x___2\">7</a><a href='../a.html#x'>8</a><a href=\"../a.html\">9</a>")}
+    assert rewrite.merge_documents(book(spark, **files), plan.limit(0)).count() == 4
+
+
 def test_ids(spark):
     manifest = spark.createDataFrame([("b", 1, "q1", "Text/a b.xhtml"), ("b", 2, "q2", "Other/a b.xhtml"), ("b", 3, "q3", "1.css")], "book_id string, pos int, id string, bookpath string")
     spine = spark.createDataFrame([("b", 1, "q2"), ("b", 2, "zz")], "book_id string, pos int, idref string")
