@@ -47,13 +47,13 @@ def scan_archives(spark, d):
     return back.groupBy("source").agg(F.count("*").alias("entries"), F.count_if(F.col("issue") == "unsafe path").alias("refused"))
 
 
-@query("select doc_id, case doc_id % 3 when 0 then 'UTF-8' when 1 then 'UTF-16LE' else 'UTF-16BE' end as encoding, replace(text, chr(13), chr(10)) as text from documents where text <> ''")
+@query("select doc_id, case doc_id % 3 when 0 then 'UTF-8' when 1 then 'UTF-16LE' else 'UTF-16BE' end as encoding, replace(text, chr(13), chr(10)) as text from documents")
 def decode_bytes(spark, d):
     mark = lambda x: F.unhex(F.lit(x))
     n = F.col("doc_id") % 3
     data = F.when(n == 0, F.encode("text", "UTF-8")).when(n == 1, F.concat(mark("FFFE"), F.encode("text", "UTF-16LE"))).otherwise(F.concat(mark("FEFF"), F.encode("text", "UTF-16BE")))
     text, encoding = archives.decode_bytes("b")
-    return texts(spark, d).where("text <> ''").select("doc_id", data.alias("b")).select("doc_id", encoding.alias("encoding"), text.alias("text"))
+    return texts(spark, d).select("doc_id", data.alias("b")).select("doc_id", encoding.alias("encoding"), text.alias("text"))
 
 
 @query("select doc_id::varchar as doc_id, source, n_chars::varchar as n_chars from documents")
@@ -149,7 +149,7 @@ def stylesheet_links(spark, d):
 def _sheets(spark, d):
     """A stylesheet for each page: an import, a url and a content string."""
     k = F.col("page_id").cast("string")
-    css = F.concat(F.lit("@import 's"), (F.col("page_id") % 9).cast("string"), F.lit(".css'; .c"), k, F.lit(" , p{background:url( \"../i/"), k, F.lit(".png\" );content:'"), F.substring("url", 1, 5), F.lit("\\2014 '} @media print{.v{writing-mode:vertical-rl}}"))
+    css = F.concat(F.lit("@import 's"), (F.col("page_id") % 9).cast("string"), F.lit(".css'; .c"), k, F.lit(" , p{background:url( \"../i/"), k, F.lit(".png\" );content:'"), "url", F.lit("\\2014 '} @media print{.v{writing-mode:vertical-rl}}"))
     return docs(spark, d).select(F.col("page_id").alias("doc"), F.concat(F.lit("Styles/"), k, F.lit(".css")).alias("path"), css.alias("css"))
 
 
@@ -163,7 +163,7 @@ def css_imports(spark, d):
     return M.css_imports(_sheets(spark, d), "doc", "css").select(F.col("doc").alias("page_id"), "url")
 
 
-@query("select distinct page_id, unicode(unnest(string_split(url[1:5] || '—', '')))::bigint as codepoint from pages")
+@query("select distinct page_id, unicode(unnest(string_split(url || '—', '')))::bigint as codepoint from pages")
 def css_used_codepoints(spark, d):
     rules = M.css_rules(_sheets(spark, d), "doc", "css", style_blocks=False)
     return M.css_used_codepoints(M.css_declarations(rules)).select(F.col("doc").alias("page_id"), "codepoint")
@@ -175,14 +175,14 @@ def css_layout_features(spark, d):
     return classify.css_layout_features(M.css_declarations(rules)).where("vertical is not null").select(F.col("doc").alias("page_id"), F.coalesce("vertical", F.lit(False)).alias("vertical"), "vertical_selectors")
 
 
-@query("""select page_id, '@import ''s' || page_id % 9 || '.css''; .c' || page_id || ' , p{background:url( "../new/' || page_id || '.png" );content:''' || url[1:5] || '\\2014 ''} @media print{.v{writing-mode:vertical-rl}}' as css from pages where page_id % 3 = 0""")
+@query("""select page_id, '@import ''s' || page_id % 9 || '.css''; .c' || page_id || ' , p{background:url( "../new/' || page_id || '.png" );content:''' || url || '\\2014 ''} @media print{.v{writing-mode:vertical-rl}}' as css from pages where page_id % 3 = 0""")
 def css_renames(spark, d):
     k = F.col("page_id").cast("string")
     updates = docs(spark, d).where("page_id % 3 = 0").select(F.concat(F.lit("i/"), k, F.lit(".png")).alias("old_path"), F.concat(F.lit("new/"), k, F.lit(".png")).alias("new_path"))
     return rewrite.css_renames(_sheets(spark, d), updates).select(F.col("doc").alias("page_id"), "css")
 
 
-@query("select page_id, '.c' || page_id || ', p {' || chr(10) || '  background: url( \"../i/' || page_id || '.png\" );' || chr(10) || '  content: ''' || url[1:5] || '\\2014 '';' || chr(10) || '}' || chr(10) || chr(10) || '.v {' || chr(10) || '  writing-mode: vertical-rl;' || chr(10) || '}' || chr(10) as css from pages")
+@query("select page_id, '.c' || page_id || ', p {' || chr(10) || '  background: url( \"../i/' || page_id || '.png\" );' || chr(10) || '  content: ''' || url || '\\2014 '';' || chr(10) || '}' || chr(10) || chr(10) || '.v {' || chr(10) || '  writing-mode: vertical-rl;' || chr(10) || '}' || chr(10) as css from pages")
 def format_css(spark, d):
     return rewrite.format_css(M.css_rules(_sheets(spark, d), "doc", "css", style_blocks=False)).select(F.col("doc").alias("page_id"), "css")
 

@@ -518,15 +518,15 @@ def url_codec(spark, d):
     return M.anchors(docs(spark, d)).select("href").distinct().select("href", T.url_decode(T.url_encode("href")).alias("back"))
 
 
-@query(f"with r as (select page_id, {_PATH} from pages) select page_id, regexp_extract(path, '^(.*)/[^/]*$', 1) as folder, regexp_extract(path, '([^/]*)$', 1) as name, regexp_extract(path, '^(.*)/[^/]*$', 1) || '/x.html' as resolved, '../' || path as rel from r where path like '%/%'")
+@query(f"with r as (select page_id, {_PATH} from pages) select page_id, regexp_extract(path, '^(.*)/[^/]*$', 1) as folder, regexp_extract(path, '([^/]*)$', 1) as name, regexp_extract(path, '^(.*)/[^/]*$', 1) || case when path like '%/%' then '/' else '' end || 'x.html' as resolved, '../' || path as rel from r")
 def path_algebra(spark, d):
-    r = links.resources_of(docs(spark, d)).where("path like '%/%'")
+    r = links.resources_of(docs(spark, d))
     return r.select("page_id", T.folder("path").alias("folder"), T.file_name("path").alias("name"), T.resolve("path", F.lit("./y/../x.html#f")).alias("resolved"), T.relative(F.lit("top/a.html"), F.col("path")).alias("rel"))
 
 
-@query(f"select page_id, array_to_string(list_transform(regexp_extract_all(html, '{M.TOKEN}'), lambda x: case when {_type('x')} = 'text' then upper(x) else x end), '') as html from pages where html not like '%ß%'")
+@query(f"select page_id, array_to_string(list_transform(regexp_extract_all(html, '{M.TOKEN}'), lambda x: case when {_type('x')} = 'text' then upper(replace(x, 'ß', 'SS')) else x end), '') as html from pages")
 def case_text_only(spark, d):
-    return pages.case_text_only(docs(spark, d).where("html not like '%ß%'"), F.upper).select("page_id", "html")
+    return pages.case_text_only(docs(spark, d), F.upper).select("page_id", "html")
 
 
 @query(f"""select page_id, replace(html, 'class="ad"', 'class="advert"') as html, (length(html) - length(replace(html, 'class="ad"', ''))) // 10 as n from pages where html like '%class="ad"%'""")

@@ -64,11 +64,11 @@ def case_fns(spark, d):
 _small = ", ".join(f"'{x}'" for x in T.SMALL_WORDS)
 
 
-@query(f"""select doc_id, array_to_string(list_transform(string_split(regexp_extract(text, '^[^\\n]*'), ' '), lambda x, i: case when lower(x) in ({_small}) and i > 1 then lower(x) when regexp_matches(x, '^[A-Z]\\.(?:[A-Z]\\.)*$') or regexp_matches(x, '^\\S+[A-Z]') then x
- else {_up('x[1]')} || x[2:] end), ' ') as title from documents""")
+@query(f"""select doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l: array_to_string(list_transform(string_split(l, ' '), lambda x, i: case when lower(x) in ({_small}) and i > 1 then lower(x) when regexp_matches(x, '^[A-Z]\\.(?:[A-Z]\\.)*$') or regexp_matches(x, '^\\S+[A-Z]') then x
+ else {_up('x[1]')} || x[2:] end), ' ')), chr(10)) as title from documents""")
 def title_case(spark, d):
-    line = F.regexp_extract("text", "^[^\n]*", 0)
-    return docs(spark, d).select("doc_id", T.title_case(line).alias("title"))
+    """Each line of each text as a title."""
+    return docs(spark, d).select("doc_id", F.array_join(F.transform(F.split("text", "\n"), T.title_case), "\n").alias("title"))
 
 
 @query("select doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') as escaped, replace(replace(text, 'é', '&eacute;'), 'ü', '&uuml;') as named from documents")
@@ -370,9 +370,10 @@ def reading_order(spark, d):
 # rewrites
 
 
-@query("select doc_id, substr(text, 1, 3) || '<b>' || substr(text, 4, 5) || '</b>' || substr(text, 9, 11) || substr(text, 25) as text, '' as error from documents where length(text) >= 40")
+@query("select doc_id, case when length(text) >= 24 then substr(text, 1, 3) || '<b>' || substr(text, 4, 5) || '</b>' || substr(text, 9, 11) || substr(text, 25) else text end as text, case when length(text) < 24 then 'range' else '' end as error from documents")
 def apply_edits(spark, d):
-    rows = docs(spark, d).where("length(text) >= 40").select("doc_id", "text")
+    """Two edits of each text; texts that are too short for them stay and say so."""
+    rows = docs(spark, d).select("doc_id", "text")
     edits = rows.select("doc_id", F.inline(F.array(*(F.struct(s.cast("long").alias("start"), e.cast("long").alias("end"), x.alias("text")) for s, e, x in ((F.lit(3), F.lit(8), F.concat(F.lit("<b>"), F.substring("text", 4, 5), F.lit("</b>"))), (F.lit(19), F.lit(24), F.lit("")))))))
     return S.apply_edits(rows, edits)
 
