@@ -202,9 +202,11 @@ _LINKS = f"""{TOK}, r as (select page_id, {_PATH} from pages), l as (select doc
  k as (select l.*, r.book, r.path, case when regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') then 'external' when starts_with(href, '#') then 'fragment' else 'local' end as kind, ltrim(split_part(href, '#', 1), '/') as target from l join r using (page_id))"""
 
 
-@query(f"with {_LINKS} select k.page_id, n, href, kind, case when kind = 'external' then 'n/a' when exists (select 1 from r where r.book = k.book and r.path = k.target) then 'yes' else 'no' end as target_exists from k")
+@query(f"""with {_LINKS}, p as (select book, path, min(page_id) as target_id from r group by 1, 2), t as (select k.*, p.target_id from k left join p on p.book = k.book and p.path = k.target)
+ select page_id, n, href, kind, case when kind = 'external' then 'n/a' when target_id is not null then 'yes' else 'no' end as target_exists, exists (select 1 from t b where b.page_id = t.target_id and b.target_id = t.page_id) as is_match from t""")
 def link_report(spark, d):
-    return links.link_report(links.resources_of(docs(spark, d))).select("page_id", F.col("n").cast("long").alias("n"), "href", "kind", "target_exists")
+    report = links.link_report(links.resources_of(docs(spark, d)))
+    return links.points_back(report).select("page_id", F.col("n").cast("long").alias("n"), "href", "kind", "target_exists", "is_match")
 
 
 @query(f"with {_LINKS} select k.page_id, n, href from k where kind <> 'external' and not exists (select 1 from r where r.book = k.book and r.path = k.target)")
@@ -288,9 +290,15 @@ def html_files_report(spark, d):
     return pages.html_files_report(docs(spark, d), els(spark, d))
 
 
-@query(f"select distinct unicode(unnest(string_split(array_to_string(list_filter(regexp_extract_all({BLANK}, '{M.TOKEN}'), lambda x: {_type('x')} = 'text'), ''), '')))::bigint as codepoint from pages where html <> '' union select unnest([32, 160, 12288])".replace("select distinct unicode", "select codepoint from (select distinct unicode").replace(" union select", " ) where codepoint >= 32 and codepoint not between 127 and 159 union select"))
+_DRAWN = """v as (select page_id, replace(replace(html, '</head>', '<style>p{content:"\\2014\\6c49" "Ω";}</style></head>'), '<h1>', '<h1 title="字' || url || '"><img ALT=''Ж'' src="Я">') as html from pages)"""
+
+
+@query(f"""with {_DRAWN}, t as (select array_to_string(list_filter(regexp_extract_all({BLANK}, '{M.TOKEN}'), lambda x: {_type('x')} = 'text'), '') as x from v union all select url from pages)
+ select codepoint from (select distinct unicode(unnest(string_split(x, '')))::bigint as codepoint from t where x <> '') where codepoint >= 32 and codepoint not between 127 and 159 union select unnest([32, 160, 12288, 8212, 27721, 937, 23383, 1046])""")
 def font_usage(spark, d):
-    return pages.font_usage(docs(spark, d))
+    """Pages with generated content, a title and an alternative text in signs of their own."""
+    head, title = F.lit('<style>p{content:"\\2014\\6c49" "Ω";}</style></head>'), F.concat(F.lit('<h1 title="字'), "url", F.lit("\"><img ALT='Ж' src=\"Я\">"))
+    return pages.font_usage(docs(spark, d).withColumn("html", F.replace(F.replace("html", F.lit("</head>"), head), F.lit("<h1>"), title)))
 
 
 @query(f"with {_CSS} select distinct unnest(regexp_extract_all(selector, '\\.([-_\\w]+)', 1)) as class from s")

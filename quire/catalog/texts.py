@@ -243,6 +243,12 @@ def char_usage(spark, d):
     return W.char_usage(docs(spark, d))
 
 
+@query(key="char_names")
+def char_names(spark, d):
+    """Entities and descriptions of all characters; tested against the tables that they come from."""
+    return W.char_names(W.char_usage(docs(spark, d)))
+
+
 _KNOWN = f"{_UNIQUE}, k as (select distinct lang, lower(translate(word, '’ʼ', '''''')) as key from u where n >= 20), m as (select * from u where not exists (select 1 from k where k.lang = u.lang and k.key = lower(translate(u.word, '’ʼ', ''''''))))"
 
 
@@ -332,7 +338,7 @@ _INDEX = f"h as (select distinct doc_id, block, entry from (select doc_id, block
 
 
 def _hits(spark, d):
-    return W.index_hits(docs(spark, d), INDEX)
+    return W.index_hits(docs(spark, d), spark.createDataFrame(INDEX, "pattern string, entry string"))
 
 
 @query(f"with {_INDEX} select doc_id, block, entry from h")

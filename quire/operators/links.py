@@ -31,7 +31,7 @@ def local_links(resources: DataFrame) -> DataFrame:
 
 
 def _paths(resources: DataFrame) -> DataFrame:
-    return resources.select("book", F.col("path").alias("target"), F.col("page_id").alias("target_id")).dropDuplicates(["book", "target"])
+    return resources.groupBy("book", F.col("path").alias("target")).agg(F.min("page_id").alias("target_id"))
 
 
 def link_report(resources: DataFrame, ids: DataFrame | None = None) -> DataFrame:

@@ -169,11 +169,25 @@ def html_files_report(docs: DataFrame, els: DataFrame) -> DataFrame:
     return rows.groupingSets([["page_id"], []], "page_id").agg(*sums, F.grouping("page_id").cast("int").alias("is_total"))
 
 
-def font_usage(docs: DataFrame) -> DataFrame:
-    """Code points that visible texts need, and three blanks; control characters don't count."""
-    points = M.visible_text(docs).select(F.explode(F.array_distinct(F.split("text", ""))).alias("c")).where("c <> ''").select(F.ascii("c").cast("long").alias("codepoint"))
+# Fixed value: attributes whose values are shown or spoken.
+SPOKEN = ["alt", "title", "aria-label", "label"]
+
+
+def font_usage(docs: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
+    """Code points that visible texts, spoken attributes and generated content need, and three blanks; control characters don't count.
+
+    Generated content is what strings in content declarations of style blocks, and of sheets (doc, css) if there are any, say.
+    """
+    texts = M.visible_text(docs).select(F.explode(F.array_distinct(F.split("text", ""))).alias("c"))
+    tags = F.filter(F.regexp_extract_all(M.blanked("html"), F.lit(M.TOKEN), F.lit(0)), lambda x: M.token_type(x).isin("begin", "single"))
+    said = docs.select(F.explode(tags).alias("tok")).withColumn("a", M.attributes("tok")).select(F.explode(F.array(*(F.try_element_at("a", F.lit(n)) for n in SPOKEN))).alias("text")).where("text is not null")
+    points = texts.unionByName(said.select(F.explode(F.array_distinct(F.split("text", ""))).alias("c"))).where("c <> ''").select(F.ascii("c").cast("long").alias("codepoint"))
+    rules = M.css_rules(docs).select("rule_no", "selector", F.col("doc").cast("string").alias("doc"), "body")
+    if sheets is not None:
+        rules = rules.unionByName(M.css_rules(sheets, "doc", "css", style_blocks=False).select("rule_no", "selector", F.col("doc").cast("string").alias("doc"), "body"))
+    made = M.css_used_codepoints(M.css_declarations(rules)).select("codepoint")
     fixed = docs.sparkSession.createDataFrame([(32,), (160,), (12288,)], "codepoint long")
-    return points.where("codepoint >= 32 and codepoint not between 127 and 159").unionByName(fixed).distinct()
+    return points.unionByName(made).where("codepoint >= 32 and codepoint not between 127 and 159").unionByName(fixed).distinct()
 
 
 def class_set(rules: DataFrame) -> DataFrame:

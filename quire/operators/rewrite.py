@@ -199,10 +199,18 @@ def css_renames(sheets: DataFrame, updates: DataFrame) -> DataFrame:
     return sheets.join(lists, "doc").withColumn("css", out).drop("x")
 
 
-def relink_styles(pages: DataFrame, hrefs: list[str]) -> DataFrame:
-    """Pages with their stylesheet links replaced by links to ``hrefs`` before the end of the head."""
+def relink_styles(pages: DataFrame, hrefs: list[str], scripts: list[str] | None = None) -> DataFrame:
+    """Pages with their stylesheet links replaced by links to ``hrefs`` before the end of the head; with scripts, also the scripts of the head that have a source.
+
+    Scripts in the page's text, and those in the body, stay.
+    """
     bare = F.regexp_replace("html", r"""(?i)<link\b[^<>]*\brel\s*=\s*["']?stylesheet["']?[^<>]*>\s*""", "")
     links = "".join(f'<link rel="stylesheet" type="text/css" href="{x}"/>' for x in hrefs)
+    if scripts is not None:
+        head = F.regexp_extract(bare, r"(?is)^(.*?)</head>", 1)
+        cleared = F.regexp_replace(head, r"""(?is)<script\b[^<>]*\ssrc\s*=[^<>]*>\s*</script>\s*|<script\b[^<>]*\ssrc\s*=[^<>]*/>\s*""", "")
+        bare = F.concat(cleared, F.substring(bare, F.length(head) + 1, F.length(bare)))
+        links += "".join(f'<script type="text/javascript" src="{x}"></script>' for x in scripts)
     return pages.withColumn("html", F.regexp_replace(bare, "(?i)(</head>)", links.replace("$", r"\$") + "$1"))
 
 

@@ -90,16 +90,44 @@ def counts_report(docs: DataFrame, searches: dict[str, str], by: str, text_col:
     return long.groupingSets([["name", "target"], []], "name", "target").agg(F.when(F.grouping("name") == 1, total).otherwise(F.min("n")).alias("n"), F.grouping("name").cast("int").alias("is_total"))
 
 
-def index_hits(docs: DataFrame, rules: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, block, entry: lines in which a rule's pattern occurs. 200 rules are tested in one array, further ones in arrays of their own."""
+#: Rules of an index that one plan takes; they are few, as each is a test of every line.
+MOST_RULES = 10_000
+
+
+def index_hits(docs: DataFrame, rules: list[tuple[str, str]] | DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, block, entry: lines in which a rule's pattern occurs. Rules are pairs or a table (pattern, entry).
+
+    Patterns are compiled once each: 200 rules are tested in one array, further ones in arrays of their own. A table of more than MOST_RULES is refused; a line has each entry once.
+    """
     from quire.operators.search import java_pattern
 
+    if isinstance(rules, DataFrame):
+        found = rules.select("pattern", "entry").distinct().where("pattern is not null and entry is not null").limit(MOST_RULES + 1).collect()
+        if len(found) > MOST_RULES:
+            raise ValueError(f"more than {MOST_RULES} rules")
+        rules = sorted((r.pattern, r.entry) for r in found)
     blocks = docs.select(id_col, F.posexplode(F.split(F.col(text_col), "\n")).alias("block", "line"))
     tests = [F.when(F.col("line").rlike(java_pattern(p)), F.lit(e)) for p, e in rules]
     arrays = [F.array_compact(F.array(*tests[k : k + 200])) for k in range(0, len(tests), 200)] or [F.array().cast("array<string>")]
     return blocks.select(id_col, F.col("block").cast("long").alias("block"), F.explode(F.array_distinct(F.flatten(F.array(*arrays)))).alias("entry"))
 
 
+def char_names(chars: DataFrame) -> DataFrame:
+    """``char_usage`` rows with entity (the first named reference in HTML, null if there is none) and description, the character's name in Unicode; by the distinct characters only."""
+    import unicodedata
+    from html.entities import codepoint2name
+
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            points = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([codepoint2name.get(p) for p in points], pa.string()), pa.array([unicodedata.name(chr(p), "") for p in points], pa.string())], names=["codepoint", "entity", "description"])
+
+    named = chars.select("codepoint").distinct().mapInArrow(run, "codepoint long, entity string, description string")
+    return chars.join(named, "codepoint", "left")
+
+
 def index_anchor_ids(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Numbers the blocks with hits of each document: (id, block, anchor)."""
     blocks = hits.select(id_col, "block").distinct()

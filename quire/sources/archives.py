@@ -96,8 +96,26 @@ def decode_bytes(c: Column | str) -> tuple[Column, Column]:
     return F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n"), encoding
 
 
+def package_files(files: DataFrame) -> DataFrame:
+    """book_id, bookpath, text of the package file of each book (book_id, bookpath, text): the first that its container names, else the first .opf by path."""
+    container = files.where("bookpath = 'META-INF/container.xml'").select("book_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?is)<(?:\w+:)?rootfile\b[^<>]*>"), F.lit(0))).alias("tok"))
+    a = M.attributes("tok")
+    named = container.where(F.coalesce(F.try_element_at(a, F.lit("media-type")), F.lit("application/oebps-package+xml")) == "application/oebps-package+xml")
+    first = named.groupBy("book_id").agg(F.first(T.url_decode(F.try_element_at(a, F.lit("full-path"))), ignorenulls=True).alias("bookpath")).join(files.select("book_id", "bookpath"), ["book_id", "bookpath"], "left_semi")
+    other = files.where(F.endswith(F.lower("bookpath"), F.lit(".opf"))).join(first.select("book_id"), "book_id", "left_anti").groupBy("book_id").agg(F.min("bookpath").alias("bookpath"))
+    return first.unionByName(other).join(files.select("book_id", "bookpath", "text"), ["book_id", "bookpath"])
+
+
+def with_modified(package: Column | str, when: Column | str) -> Column:
+    """A package text with its modification date (dcterms:modified) set, or put in before the end of the metadata; one without metadata stays."""
+    told = F.date_format(F.col(when) if isinstance(when, str) else when, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    rx = r"""(?is)(<meta\b[^<>]*\bproperty\s*=\s*["']dcterms:modified["'][^<>]*>)[^<]*"""
+    c = T.col(package)
+    return F.when(c.rlike(rx), F.regexp_replace(c, rx, F.concat(F.lit("$1"), told))).otherwise(F.regexp_replace(c, r"(?i)(</(?:\w+:)?metadata\s*>)", F.concat(F.lit('<meta property="dcterms:modified">'), told, F.lit("</meta>$1"))))
+
+
 def package_tables(resources: DataFrame) -> dict[str, DataFrame]:
-    """metadata, manifest, spine, guide of package files (book_id, bookpath, text): from their tags, in order."""
+    """metadata, manifest, spine, guide, bindings of package files (book_id, bookpath, text): from their tags, in order."""
     toks = M.tokens(resources.select("book_id", "text"), "book_id", "text", positions=False).withColumn("a", M.attributes("tok"))
     own = lambda k: F.try_element_at("a", F.lit(k))
     tags = toks.where("ttype in ('begin', 'single')")
@@ -105,10 +123,11 @@ def package_tables(resources: DataFrame) -> dict[str, DataFrame]:
     manifest = tags.where("tname = 'item'").join(folder, "doc").select(F.col("doc").alias("book_id"), F.col("seq").alias("pos"), own("id").alias("id"), own("href").alias("href"), T.resolve("package", own("href")).alias("bookpath"), own("media-type").alias("media_type"), own("properties").alias("properties"))
     spine = tags.where("tname = 'itemref'").select(F.col("doc").alias("book_id"), F.col("seq").alias("pos"), own("idref").alias("idref"), F.coalesce(own("linear"), F.lit("yes")).alias("linear"))
     guide = tags.where("tname = 'reference'").select(F.col("doc").alias("book_id"), own("type").alias("type"), own("title").alias("title"), own("href").alias("href"))
+    bindings = tags.where("tname = 'mediatype'").select(F.col("doc").alias("book_id"), F.col("seq").alias("pos"), own("media-type").alias("media_type"), own("handler").alias("handler"))
     texts = toks.where("ttype = 'text'").select("doc", (F.col("seq") - 1).alias("seq"), F.col("tok").alias("content"))
     metadata = tags.where("tname like 'dc:%' or tname = 'meta'").select("doc", "seq", "tname", "a").join(texts, ["doc", "seq"], "left")
     metadata = metadata.select(F.col("doc").alias("book_id"), F.col("seq").alias("pos"), F.coalesce(own("name"), own("property"), "tname").alias("name"), F.coalesce(own("content"), "content").alias("content"), F.col("a").alias("attrs"))
-    return {"metadata": metadata, "manifest": manifest, "spine": spine, "guide": guide}
+    return {"metadata": metadata, "manifest": manifest, "spine": spine, "guide": guide, "bindings": bindings}
 
 
 def manifest_audit(resources: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -53,6 +53,33 @@ def test_sheets(spark):
     assert rewrite.format_css(rules).first().css == "a, b {\n  color: red;\n  margin: 0;\n}\n\nc {\n}\n"
 
 
+def test_scripts_are_relinked(spark):
+    page = book(spark, a="<head><script src='o.js'></script><script>own('src=')</script><link rel=stylesheet href='x.css'/></head><body><script src='o.js'></script></body>")
+    got = html(rewrite.relink_styles(page, [], ["n$.js"]))[0]
+    assert got == "<head><script>own('src=')</script><script type=\"text/javascript\" src=\"n$.js\"></script></head><body><script src='o.js'></script></body>"
+    assert html(rewrite.relink_styles(page, ["y.css"]))[0].count("o.js") == 2
+
+
+def test_packages_are_found(spark):
+    opf = "<package><metadata><meta property='dcterms:modified'>x</meta></metadata><bindings><mediaType media-type='a/b' handler='h'/></bindings></package>"
+    files = spark.createDataFrame([
+        ("a", "META-INF/container.xml", "<container><rootfiles><rootfile full-path='o/x.pdf' media-type='application/pdf'/><rootfile full-path='o/b%20c.opf' media-type='application/oebps-package+xml'/><rootfile full-path='a.opf'/></rootfiles></container>"),
+        ("a", "a.opf", "no"), ("a", "o/b c.opf", opf), ("b", "z.OPF", "z"), ("b", "y.opf", "y"), ("c", "META-INF/container.xml", "<rootfile full-path='gone.opf'/>"), ("d", "x.html", None),
+    ], "book_id string, bookpath string, text string")
+    found = archives.package_files(files)
+    assert {(r.book_id, r.bookpath) for r in found.collect()} == {("a", "o/b c.opf"), ("b", "y.opf")}
+    assert [tuple(r)[2:] for r in archives.package_tables(found)["bindings"].collect()] == [("a/b", "h")]
+    when = spark.createDataFrame([(opf,), ("<metadata></metadata>",), ("<x/>",)], "t string").select(archives.with_modified("t", F.lit("2024-05-06 07:08:09").cast("timestamp")).alias("t"))
+    assert [r.t for r in when.collect()] == [opf.replace(">x<", ">2024-05-06T07:08:09Z<"), '<metadata><meta property="dcterms:modified">2024-05-06T07:08:09Z</meta></metadata>', "<x/>"]
+
+
+def test_character_names(spark):
+    from quire.operators import words
+
+    got = {r.char: (r.entity, r.description) for r in words.char_names(words.char_usage(spark.createDataFrame([("é&\x01漢",)], "text string"))).collect()}
+    assert got == {"é": ("eacute", "LATIN SMALL LETTER E WITH ACUTE"), "&": ("amp", "AMPERSAND"), "\x01": (None, ""), "漢": (None, "CJK UNIFIED IDEOGRAPH-6F22")}
+
+
 def test_script_conversion(spark):
     page = book(spark, a="<html><head><title>发</title></head><body><p id='发'>头发发<code>发</code><span lang='ja'>发</span></p></body></html>")
     got = rewrite.convert_script(page, [("头发", "頭髮")], {"发": "發", "头": "頭"}).first()
