@@ -9,6 +9,7 @@ pages has those elements renamed, so that the model also learns from text and st
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import random
@@ -22,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Given pages that the model is fitted on, at most about; generated ones; passes through them.
-SAMPLE, GENERATED, EPOCHS = 150, 300, 8
+SAMPLE, GENERATED, EPOCHS = 150, 500, 14
 # Elements by their role in HTML.
 BLOCKS = set(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
     "li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = set("script style title noscript template textarea select option button iframe svg math object canvas datalist audio video".split())
+SILENT = set("script style title noscript template textarea select option button iframe svg object canvas datalist audio video".split())
 RAW = set("script style title noscript textarea iframe".split())  # of the silent ones: no tags inside but their own end
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
@@ -64,6 +65,7 @@ class Tags:
     def __init__(self, page: str) -> None:
         self.page, self.last = page, {c: page.rfind(c) for c in ">\"'"}
         self.quoted = True  # until a tag is found that only a sign in quotes could end
+        self.places: dict[str, list[tuple[int, bool]]] = {}
 
     def end(self, at: int) -> int:
         """The place of the sign that ends the tag whose name ends at ``at``, -1 for none: signs in closed quotes don't count."""
@@ -82,16 +84,23 @@ class Tags:
                 k = m.end()
         return self.page.find(">", at)
 
+    def closed(self, tag: str, at: int) -> bool:
+        """Whether an element that begins before ``at`` has an end tag before the next of its kind begins."""
+        if tag not in self.places:
+            self.places[tag] = [(m.start(), m[0][1] == "/") for m in re.finditer(rf"</?{tag}(?=[\s/>])", self.page, re.I)]
+        k = bisect.bisect_left(self.places[tag], (at, False))
+        return k < len(self.places[tag]) and self.places[tag][k][1]
+
 
 def parse(page: str) -> list[Node]:
     """Nodes of the tree in page order, parents first; the first is the root.
 
     The head needs no end of its own: what may stand in it is silent or void, and anything else belongs to the body. Scripts,
-    styles and the like end at their own end tag, or with the page. A sign that starts no tag is text, and so is what follows
+    styles and the like end at their own end tag, or with the page; buttons, drawings, players and such that have no end tag of their own end at the next block. A sign that starts no tag is text, and so is what follows
     it; an unfinished last tag or comment is none. Time is proportional to the page.
     """
     nodes, stack, run, links = [Node("root", -1)], [("root", 0)], [], 0
-    linked, silent, at, tags = 0, "", 0, Tags(page)
+    linked, silent, until_block, at, tags = 0, "", False, 0, Tags(page)
     places: dict[str, list[int]] = defaultdict(lambda: [-1])  # in the stack, by name; "" for all but items
 
     def flush() -> None:
@@ -143,6 +152,8 @@ def parse(page: str) -> list[Node]:
                 end = page.find(">", found.end()) if found else -1
                 at = seen = end + 1 if end >= 0 else len(page)
             continue
+        if silent and until_block and tag in BLOCKS:
+            silent = ""
         if silent:
             if ends and tag == silent:
                 silent = ""
@@ -157,6 +168,7 @@ def parse(page: str) -> list[Node]:
             continue
         if tag in SILENT:
             silent = "" if inside.endswith("/") else tag
+            until_block = bool(silent) and not tags.closed(tag, at)
         elif tag == "br":
             run.append(" ")
         elif tag == "a":
@@ -215,7 +227,8 @@ class Tree:
     """Weights by feature, and of (parent, child) labels for leaves and for elements."""
 
     def __init__(self) -> None:
-        self.weights: dict[str, float] = {}
+        # the page itself is no content, whatever is in it
+        self.weights: dict[str, float] = {"tag root": -8.0, "tag html": -8.0, "tag body": -8.0}
         self.pairs = {kind: [[0.0, 0.0], [0.0, 0.0]] for kind in (False, True)}
 
     def marginals(self, nodes: list[Node], plain: bool = False, found: list[list[str]] | None = None):
@@ -240,10 +253,12 @@ class Tree:
         return [_chance(x[1] - x[0]) for x in full], edges
 
     def fit(self, pages: list[tuple[list[Node], bool]], epochs: int = EPOCHS, rate: float = 0.3) -> Tree:
-        """Adaptive gradient steps: observed minus expected features and label pairs."""
+        """Adaptive gradient steps: observed minus expected features and label pairs. The weights are the means of those after each pass of the second half."""
         squares: dict = defaultdict(lambda: 1.0)
+        sums: dict[str, float] = defaultdict(float)
+        pair_sums, means = {kind: [[0.0, 0.0], [0.0, 0.0]] for kind in self.pairs}, epochs - epochs // 2
         ready = [(nodes, [features(x, nodes, plain) for x in nodes]) for nodes, plain in pages]
-        for _ in range(epochs):
+        for epoch in range(epochs):
             for nodes, found in ready:
                 chance, edges = self.marginals(nodes, found=found)
                 step: dict = defaultdict(float)
@@ -263,6 +278,13 @@ class Tree:
                         self.weights[f] = self.weights.get(f, 0.0) + move
                     else:
                         self.pairs[f[0]][f[1]][f[2]] += move
+            if epoch >= epochs // 2:
+                for f, w in self.weights.items():
+                    sums[f] += w / means
+                for kind, pair in self.pairs.items():
+                    pair_sums[kind] = [[pair_sums[kind][a][b] + pair[a][b] / means for b in (0, 1)] for a in (0, 1)]
+        if epochs:
+            self.weights, self.pairs = dict(sums), pair_sums
         return self
 
     def extract(self, page: str | None) -> str:
@@ -296,51 +318,86 @@ def labelled(page: str) -> list[Node]:
 def generated(seed: int) -> str:
     """A labelled page: its content is in an article element, its other parts around and in it."""
     r = random.Random(seed)
+    bare = r.choice([0] * 8 + [1, 2])  # texts without stops, or of one word again and again
 
     def prose(low: int, high: int) -> str:
         words = ["".join(r.choice("aeioudnrstlm") for _ in range(r.randint(1, 9))) for _ in range(r.randint(low, high))]
+        if bare:
+            return " ".join(words[:1] * len(words) if bare > 1 else words).capitalize()
         return re.sub(r"(\w+) (\w+)", lambda m: m[0] + r.choice(["", "", "", ",", "."]), " ".join(words)).capitalize() + "."
 
     def label() -> str:
-        return prose(1, 3).rstrip(".")
+        return prose(1, r.choice([1, 3])).rstrip(".")
 
     def links(n: int) -> str:
         return "".join(f'<li><a href="/{k}">{label()}</a></li>' for k in range(n))
 
     def part(tags: str, classes: str, inner: str) -> str:
+        """An element, in one of three cases without a telling name."""
         tag = r.choice(tags.split())
-        return f'<{tag} class="{r.choice(classes.split())}">{inner}</{tag}>'
+        return f"<{tag}>{inner}</{tag}>" if r.random() < 0.33 else f'<{tag} class="{r.choice(classes.split())}">{inner}</{tag}>'
+
+    def items(tag: str, n: int) -> str:
+        return f"<{tag}>" + "".join(f"<li>{r.choice([label, lambda: prose(2, 12)])()}</li>" for _ in range(n)) + f"</{tag}>"
+
+    def table() -> str:
+        wide = r.randint(2, 4)
+        row = lambda tag: "<tr>" + "".join(f"<{tag}>{r.choice([label(), str(r.randint(1, 9999)), prose(1, 4)])}</{tag}>" for _ in range(wide)) + "</tr>"
+        return "<table>" + (row("th") if r.random() < 0.7 else "") + "".join(row("td") for _ in range(r.randint(1, 6))) + "</table>"
+
+    def link() -> str:
+        return f'<a href="/{r.randint(1, 99)}">{label()}</a>'
+
+    def block() -> str:
+        """Something that stands in an article."""
+        long = prose(3, r.choice([8, 20, 60]))
+        return r.choice([
+            lambda: f"<p>{long}</p>", lambda: f"<p>{long}</p>", lambda: f"<p>{long} {link()} {prose(2, 20)}</p>", lambda: f"<p><b>{long}</b></p>", lambda: f"<h2>{r.choice([label(), long])}</h2>", lambda: f"<h3>{label()}</h3>",
+            lambda: items(r.choice(["ul", "ol"]), r.randint(1, 7)), lambda: f"<blockquote>{long}</blockquote>", lambda: f"<blockquote><p>{long}</p></blockquote>", lambda: f"<div>{long}</div>", table,
+            lambda: "<dl>" + "".join(f"<dt>{label()}</dt><dd>{prose(2, 15)}</dd>" for _ in range(r.randint(1, 4))) + "</dl>", lambda: f"<figure><img src='i.png'><figcaption>{r.choice([label(), long])}</figcaption></figure>",
+            lambda: f"<pre>{label()} = {r.randint(1, 99)}\n  {label()}({label()})</pre>", lambda: f"<details><summary>{label()}</summary><p>{long}</p></details>", lambda: f"<p>{link()}</p>", lambda: f"<p>{label()}: {link()}, {link()}</p>",
+        ])()
 
     before = [
-        part("nav div", "nav menu navbar", f"<ul>{links(r.randint(3, 9))}</ul>"),
-        part("header div", "header masthead banner", f"<h1>{label()}</h1><p>{prose(3, 8)}</p>"),
+        part("nav div", "nav menu navbar", f"<ul>{links(r.choice([1, 1, 2, 3, 4, 6, 9]))}</ul>"),
+        part("header header div", "header masthead banner", f"<h1>{r.choice([label(), link()])}</h1>" + r.choice(["", f"<p>{prose(3, 8)}</p>"])),
         part("div aside", "ad advert promo sponsored", prose(4, 12)),
         part("div section", "cookie notice consent alert", f"<p>{prose(8, 25)}</p><button>ok</button>"),
-        part("div ul", "breadcrumb", links(3)),
+        part("div ul", "breadcrumb", links(r.randint(1, 4))),
     ]
     after = [
-        part("footer div", "footer copyright", f"&copy; {label()} &middot; {prose(4, 14)}"),
-        part("aside div", "sidebar widget related", f"<h3>{label()}</h3><ul>{links(r.randint(3, 8))}</ul>"),
-        part("aside div", "sidebar widget", f"<h3>{label()}</h3><p>{prose(8, 30)}</p>"),
-        part("form div", "newsletter subscribe search form", f"<p>{prose(4, 10)}</p><label>{label()}</label><input>"),
-        part("section div", "comments", "".join(f'<div class="comment"><p>{label()}</p><p>{prose(5, 40)}</p></div>' for _ in range(r.randint(1, 5)))),
-        part("div aside", "ad ads promoted", prose(4, 12)),
+        part("footer footer div", "footer copyright", r.choice([f"&copy; {label()}", f"&copy; {label()} &middot; {prose(4, 14)}", f"<p>&copy; {label()}</p><p>{link()}</p>"])),
+        part("aside div", "sidebar widget related", f"<h3>{label()}</h3><ul>{links(r.randint(1, 8))}</ul>"),
+        part("aside aside div", "sidebar widget", f"<h3>{label()}</h3><p>{prose(8, 30)}</p>"),
+        part("form form div", "newsletter subscribe search form", f"<p>{prose(4, 10)}</p><label>{label()}</label><input>"),
+        f'<section class="comments">{"".join(f"""<div class="comment"><p>{label()}</p><p>{prose(5, 40)}</p></div>""" for _ in range(r.randint(1, 5)))}</section>',
+        part("aside", "ad ads promoted", prose(4, 12)),
     ]
-    body = [f"<h1>{prose(3, 9)}</h1>"] + [r.choice(["<p>{}</p>", "<p>{}</p>", "<p><b>{}</b></p>", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<blockquote>{}</blockquote>", "<div>{}</div>"]).format(prose(3, r.choice([8, 20, 60]))) for _ in range(r.choice([1, 2, 3, 5, 8, 12]))]
+    body = [f"<h1>{prose(3, 9)}</h1>"] + [block() for _ in range(r.choice([1, 2, 3, 5, 8, 12, 12, 40]))]
     if r.random() < 0.4:
-        body.insert(r.randint(1, len(body)), part("div aside", "ad advert promo share related", prose(3, 10)))
+        body.insert(r.randint(1, len(body)), f'<div class="{r.choice("ad advert promo share related".split())}">{prose(3, 10)}</div>')
     wrap = r.choice(["{}", '<div class="page">{}</div>', "<div><div>{}</div></div>"])
     main = f'<article class="{r.choice(["", "content", "post entry", "story"])}">{"".join(body)}</article>'
     chosen = [x for x in before if r.random() < 0.6], [x for x in after if r.random() < 0.6]
     return f"<html><body>{wrap.format(''.join(chosen[0]) + main + ''.join(chosen[1]))}</body></html>"
 
 
+def contained(nodes: list[Node], seed: int) -> list[Node]:
+    """A labelled tree whose article, whatever its name, is of one of five kinds, by the seed."""
+    kind = [("article", None), ("main", []), ("div", ["content"]), ("div", []), ("section", ["content"])][seed % 5]
+    for node in nodes:
+        if node.tag == "article" and kind[1] is not None:
+            node.tag, node.cues = kind[0], [*kind[1]]
+    return nodes
+
+
 def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> Tree:
     """Fit on generated pages and about ``sample`` given ones, chosen by a hash, that have an article or main element and under 200,000 characters."""
     own = pages.select(F.col(html_col).alias("html")).where(F.col("html").rlike("(?i)<(article|main)\\b") & (F.length("html") < 200_000))
     share = min(1_000_000, -(-sample * 1_000_000 // max(own.count(), 1)))
     given = [r.html for r in own.where(F.pmod(F.xxhash64("html"), F.lit(1_000_000)) < share).limit(2 * sample).collect()]
-    trees = [(labelled(x), k % 5 == 1) for k, x in enumerate(sorted(given, key=lambda x: zlib.crc32(x.encode())) + [generated(i) for i in range(GENERATED)])]
+    trees = [(labelled(x), k % 5 == 1) for k, x in enumerate(sorted(given, key=lambda x: zlib.crc32(x.encode())))]
+    trees += [(contained(labelled(generated(i)), i), i % 7 == 1) for i in range(GENERATED)]
     random.Random(7).shuffle(trees)
     return Tree().fit(trees)
 

@@ -326,12 +326,35 @@ def test_html(spark):
     assert htmltext.extract(table.limit(0), htmltext.train(table.limit(0))).count() == 0
 
 
+PARTS = [
+    "<ul><li>One</li><li>Two</li><li>Three things</li></ul>", "<ol><li>First</li><li>Second</li></ol>", "<h3>Short head</h3>", "<table><tr><th>Name</th><th>Size</th></tr><tr><td>A</td><td>12</td></tr></table>",
+    "<dl><dt>Term</dt><dd>What it means here.</dd></dl>", "<details><summary>More</summary><p>Hidden text is here.</p></details>", "<figure><img src=x><figcaption>A view</figcaption></figure>", "<p><a href=x>A paragraph that is a link</a></p>",
+    "<pre>x = 5</pre>", "<blockquote>Short quote.</blockquote>", "<p>Let <math><mi>x</mi><mo>=</mo><mn>5</mn></math> hold</p>", "<button>ok", "<svg><path>", "<video><source>", "<select><option>a",
+]
+
+
+def test_articles_stay_whole():
+    """Parts of an article in containers of three kinds, between a header, a menu and a footer, by a model of generated pages only."""
+    trees = [(htmltext.contained(htmltext.labelled(htmltext.generated(i)), i), i % 7 == 1) for i in range(htmltext.GENERATED)]
+    model = htmltext.Tree().fit(trees)
+    one = "<p>This is a long paragraph of running text, which says what the article is about and goes on for a while.</p>"
+    two = "<p>Another paragraph follows, with more of the story, and it ends with a full stop after some words.</p>"
+    menu = "".join(f"<li><a href={x}>{x} page</a></li>" for x in ("Home", "About", "News"))
+    for part in PARTS:
+        inner = f"<h1>The title of it</h1>{one}{part}{two}"
+        want = "\n\n".join(x.text for x in htmltext.parse(inner) if x.text)
+        assert two[3:-4] in want
+        for kind in ("article", "main", 'div class="content"'):
+            page = f"<html><body><header><h1>Site</h1></header><nav><ul>{menu}</ul></nav><{kind}>{inner}</{kind.split()[0]}><footer>&copy; Site, all rights reserved</footer></body></html>"
+            assert model.extract(page) == want, (part, kind)
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
         ("<body><p>a</p><script>for(var i=0;i<n;i++){f(i)}</script><p>b</p>", ["a", "b"]), ("<p>a</p><style>a:before{content:'<b'}</STYLE ><p>b", ["a", "b"]), ("<p>a<script>x = '</p>'", ["a"]),
         ("<head><title>T</title><body><p>a</p>", ["a"]), ("<head><meta charset=utf-8><title>a<b</title><p>a</p>", ["a"]), ("<head><script>if(a<b)c()</script></head><body>a", ["a"]), ("<head><title>T</title>a", ["a"]),
-        ("<svg><script>i<n</script><p>x</p></svg><p>a", ["a"]), ("<select><option>x<option>y</select><p>a", ["a"]), ("<script src='x'/><p>a", ["a"]),
+        ("<svg><script>i<n</script><p>x</p></svg><p>a", ["a"]), ("<p>a<button>ok<p>b</p><button>x</button><p>c", ["a", "b", "c"]), ("<div>a<svg><path></div>b<audio>", ["a", "b"]), ("<p>x <math><mi>y</mi></math>", ["x y"]), ("<select><p>a</select><p>b", ["b"]), ("<select><option>x<option>y</select><p>a", ["a"]), ("<script src='x'/><p>a", ["a"]),
         ("if a < b then c", ["if a < b then c"]), ("<p>1 < 2 and 3 <4 > 5", ["1 < 2 and 3 <4 > 5"]), ("<p>a</p>b < c <p class='x", ["a", "b < c"]), ("a <!-- b", ["a"]), ("a </p", ["a"]), ("a <", ["a <"]),
         ("<p title='a>b</p><p>c", ["b", "c"]), ("<p title='>'>b</p>", ["b"]), ("<p x='>", []), ("<div>a<ul><li>b<div><p>c</div><li>d</ul>e", ["a", "b", "c", "d", "e"]),
     ],
