@@ -323,7 +323,7 @@ _CHECKED = f"""v as (select page_id, replace(html, chr(92) || 'n', chr(10)) as h
  btok as (select doc, seq, tok, pos, tname, case when regexp_matches(tok, '^(?is)<(script|style).*</') then 'silent' else ttype end as ttype from tok0), {ELEMENTS[ELEMENTS.index(' tags as'):ELEMENTS.index(' el1 as')].rstrip().rstrip(',')},
  f as (select p.doc, p.seq, case when m.s is not null and g.s is null then 'crossing' when p.ttype = 'begin' and not p.alone and m.s is null then 'unclosed' end as code from par p left join mat m on m.doc = p.doc and m.s = p.seq left join good g on g.doc = p.doc and g.s = p.seq
   union all select p.doc, p.seq, case when m.e is not null and g.e is null then 'crossing' when m.e is null then 'stray' end from par p left join mat m on m.doc = p.doc and m.e = p.seq left join good g on g.doc = p.doc and g.e = p.seq where p.ttype = 'end'
-  union all select doc, seq, 'void-end' from btok where ttype = 'end' and tname in ({_void}) union all select doc, seq, 'attributes' from btok where ttype in ('begin', 'single') and not regexp_matches(tok, '^<[^\s/>]+(?:\s+[^\s=<>"''/]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''))?)*\s*/?>$')
+  union all select doc, seq, 'void-end' from btok where ttype = 'end' and tname in ({_void}) union all select doc, seq, 'attributes' from btok where ttype in ('begin', 'single') and not regexp_matches(tok, '^<[^\\s/>]+(?:\\s+[^\\s=<>"''/]+(?:\\s*=\\s*(?:"[^"]*"|''[^'']*''))?)*\\s*/?>$')
   union all select doc, seq, 'sign' from btok where tok = '<'
   union all select b.doc, b.seq, 'nested-p' from btok b where b.ttype = 'begin' and b.tname = 'p' and exists (select 1 from el0 o where o.doc = b.doc and o.tname = 'p' and not o.alone and o.eid < b.seq and o.end_seq >= b.seq)),
  w as (select f.doc as page_id, f.code, length(substr(html, 1, pos)) - length(replace(substr(html, 1, pos), chr(10), '')) + 1 as line, pos - coalesce(length(substr(html, 1, pos)) - strpos(reverse(substr(html, 1, pos)), chr(10)) + 1, 0) * (contains(substr(html, 1, pos), chr(10)))::int + 1 as col
