@@ -57,3 +57,10 @@ def test_packages_are_bounded(spark, tmp_path, monkeypatch):
     assert sorted(r.text.count("<item ") for r in seen[0].collect()) == [100, 400, 1000, 1000]
     assert derived.package_tables(spark, str(tmp_path)).distinct().count() == 2500
     assert sorted(r.book_id for r in derived.ensure_uuid(spark, str(tmp_path)).collect()) == ["a/b", "c"]
+
+
+def test_pages_of_a_file_name(spark, tmp_path):
+    rows = [(1, "http://b/x/A.html", ""), (2, "http://c/a.HTML?q", ""), (3, "http://b/y/c.html", ""), (4, "http://b/", ""), (5, "http://c/x/", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = derived.path_end_match(spark, str(tmp_path)).collect()
+    assert sorted((r.page_id, r.tail_of) for r in found) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3), (4, 4), (4, 5), (5, 4), (5, 5)]
