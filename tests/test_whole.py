@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.catalog import derived
 from quire.operators import words
+from quire.operators import tokens as M
+from quire.plans import shares
 from quire.sources import archives
 
 
@@ -64,3 +66,16 @@ def test_pages_of_a_file_name(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     found = derived.path_end_match(spark, str(tmp_path)).collect()
     assert sorted((r.page_id, r.tail_of) for r in found) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3), (4, 4), (4, 5), (5, 4), (5, 5)]
+
+
+def test_partitions_grow_with_the_input(spark, tmp_path, monkeypatch):
+    at = str(tmp_path / "pages")
+    spark.range(60).selectExpr("id as page_id", "concat('<p>', repeat(sha2(string(id), 512), 50), '</p><!-- -->') as html").write.parquet(at)
+    table = spark.read.parquet(at)
+    rows = lambda: M.tokens(table, positions=False).rdd.glom().map(len).collect()
+    few = len(rows())
+    monkeypatch.setattr(shares, "SHARE", shares.input_bytes(table) // 20)
+    many = rows()
+    assert few == spark.sparkContext.defaultParallelism and len(many) >= 20 and sum(many) == 240 and max(many) < 60
+    # a table of unknown size, and one with no tokens
+    assert M.elements(spark.createDataFrame([(1, ""), (2, None), (3, "<p>")], "page_id long, html string")).count() == 1
