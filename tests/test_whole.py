@@ -6,7 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from quire.catalog import derived
-from quire.operators import words
+from quire.operators import layout, pages, words
 from quire.operators import tokens as M
 from quire.plans import shares
 from quire.sources import archives
@@ -79,3 +79,15 @@ def test_partitions_grow_with_the_input(spark, tmp_path, monkeypatch):
     assert few == spark.sparkContext.defaultParallelism and len(many) >= 20 and sum(many) == 240 and max(many) < 60
     # a table of unknown size, and one with no tokens
     assert M.elements(spark.createDataFrame([(1, ""), (2, None), (3, "<p>")], "page_id long, html string")).count() == 1
+
+
+def test_elements_are_found_once(spark):
+    page = "<html><head></head><body><div><div>one</div><div>***</div><div> </div><div>two</div></div></body></html>"
+    made = spark.createDataFrame([(1, page)], "page_id long, html string")
+    els = M.elements(made)
+    texts = pages.element_texts(made, els)
+    leaves = {(r.eid, r.leaf) for r in layout.leaf_kinds(els, texts).where("tname = 'div'").collect()}
+    assert leaves == {(r.eid, r.leaf) for r in layout.leaf_kinds(els, layout._said(texts)).where("tname = 'div'").collect()}
+    assert sorted(x for _, x in leaves) == ["nested-complex", "other", "paragraph", "paragraph", "scene-break"]
+    plan = layout.div_flow_kind(made, els, texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "own_text" not in plan
