@@ -5,7 +5,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from quire.catalog import derived
+from quire.catalog import derived, register
 from quire.operators import layout, pages, words
 from quire.operators import tokens as M
 from quire.plans import shares
@@ -91,3 +91,17 @@ def test_elements_are_found_once(spark):
     assert sorted(x for _, x in leaves) == ["nested-complex", "other", "paragraph", "paragraph", "scene-break"]
     plan = layout.div_flow_kind(made, els, texts)._jdf.queryExecution().optimizedPlan().toString()
     assert "own_text" not in plan
+
+
+PAGE = "<html lang=de><head><meta a=b></head><body><p>x</p><code lang=fr>y<p>z</p></code><meta>t</body></html>"
+
+
+def selected(spark, tmp_path, key):
+    """Rows of a selector's query, and how often its plan takes texts apart."""
+    spark.createDataFrame([(1, "u", PAGE), (2, "u", None), (3, "u", "")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    made = register.QUERIES[key](spark, str(tmp_path))
+    return sorted((r.page_id, r.eid) for r in made.collect()), made._jdf.queryExecution().optimizedPlan().toString().count("posexplode")
+
+
+def test_empty_elements_are_found_once(spark, tmp_path):
+    assert selected(spark, tmp_path, "sel_empty_root") == ([(1, 2), (1, 14)], 1)
