@@ -105,3 +105,7 @@ def selected(spark, tmp_path, key):
 
 def test_empty_elements_are_found_once(spark, tmp_path):
     assert selected(spark, tmp_path, "sel_empty_root") == ([(1, 2), (1, 14)], 1)
+
+
+def test_languages_are_found_once(spark, tmp_path):
+    assert selected(spark, tmp_path, "sel_lang") == ([(1, 5)], 0)
