@@ -68,7 +68,7 @@ def _stages(key: int, sent) -> list[Stage]:
 
 
 def _convert(sent, key: int, attributes: tuple[str, ...]):
-    """Batches with the column new: the token after conversion. mode: 1 a text, 2 a tag."""
+    """Batches with new, the token after conversion, and changed. mode: 1 a text, 2 a tag."""
     rx = re.compile(rf"""(?i)(\s(?:{"|".join(map(re.escape, attributes)) or "(?!)"})\s*=\s*)("[^"]*"|'[^']*')""")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,8 +83,10 @@ def _convert(sent, key: int, attributes: tuple[str, ...]):
 
         for batch in batches:
             toks, modes = (batch.column(batch.schema.names.index(c)) for c in ("tok", "mode"))
-            new = [text(t) if m == 1 else rx.sub(lambda x: x[1] + text(x[2]), t) if m == 2 else t for t, m in zip(toks.to_pylist(), modes.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], names=[*batch.schema.names, "new"])
+            old = toks.to_pylist()
+            new = [text(t) if m == 1 else rx.sub(lambda x: x[1] + text(x[2]), t) if m == 2 else t for t, m in zip(old, modes.to_pylist(), strict=True)]
+            made = {"new": pa.array(new, pa.string()), "changed": pa.array([a != b for a, b in zip(old, new, strict=True)], pa.bool_())}
+            yield pa.RecordBatch.from_pydict({c: made[c] if c in made else batch.column(batch.schema.names.index(c)) for c in ("doc", "seq", "new", "changed", "ja", "kept")})
 
     return run
 
@@ -114,28 +116,27 @@ def convert(
     SVG documents only what is in text, tspan, title or desc is converted. Entities, quotes and all other markup stay as they are. A null page stays null.
     """
     spark = pages.sparkSession
-    els, toks = M.elements(pages, whole=True), M.tokens(pages, positions=False, whole=True)
+    toks = M.tokens(pages, positions=False, whole=True)
     names = [*SILENT, *(CODE if skip_code else []), *(["pre"] if skip_pre else []), *([] if metadata or svg else ["head"])]
-    named = els.withColumn("lang", F.lower(own_lang())).where("lang is not null")
-    placed = M.around(toks, els.where(F.col("tname").isin(names)), {"protected": F.lit(True)})
-    placed = M.around(placed, named, {"_lang": F.col("lang")})
-    if svg:
-        placed = M.around(placed, els.where(F.col("tname").isin(SVG_TEXTS)), {"spoken": F.lit(True)})
+    protected, spoken = F.col("tname").isin(names), F.col("tname").isin(SVG_TEXTS) if svg else F.lit(False)
+    els = M.spans(pages, whole=True).withColumn("lang", F.lower(own_lang())).where(F.col("lang").isNotNull() | protected | spoken)
+    placed = M.surrounded(toks, els, {"protected": protected, "spoken": spoken}, F.col("lang").isNotNull(), {"_lang": F.col("lang")})
     tag = F.col("ttype").isin("begin", "single")
     lang = F.coalesce(F.when(tag, F.lower(own_lang())), "_lang", F.lit(""))
     japanese = (lang == "ja") | F.startswith(lang, F.lit("ja-"))
-    kept = F.col("protected").isNotNull() | (tag & F.col("tname").isin(names)) | (F.col("ttype") == "silent")
-    text = (F.col("ttype") == "text") & (F.col("spoken").isNotNull() if svg else F.lit(True))
+    kept = F.col("protected") | (tag & F.col("tname").isin(names)) | (F.col("ttype") == "silent")
+    text = (F.col("ttype") == "text") & (F.col("spoken") if svg else F.lit(True))
     said = text & F.col("tok").rlike(r"\S")
     mode = F.when(kept | japanese, 0).when(text, 1).when(tag, 2).otherwise(0)
     marked = placed.select("doc", "seq", "tok", mode.alias("mode"), (said & japanese).alias("ja"), ((said & kept & ~japanese) | (F.col("ttype") == "silent")).alias("kept"))
     sent = spark.sparkContext.broadcast(stages)
-    done = marked.mapInArrow(_convert(sent, sent._jbroadcast.id(), attributes), f"doc {pages.schema['page_id'].dataType.simpleString()}, seq long, tok string, mode int, ja boolean, kept boolean, new string")
+    done = marked.mapInArrow(_convert(sent, sent._jbroadcast.id(), attributes), f"doc {pages.schema['page_id'].dataType.simpleString()}, seq long, new string, changed boolean, ja boolean, kept boolean")
     whole = done.groupBy("doc").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "new"))), lambda x: x["new"]), "").alias("_html"), F.count_if(F.col("tok") != F.col("new")).alias("changes"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "new"))), lambda x: x["new"]), "").alias("_html"), F.count_if("changed").alias("changes"),
         F.count_if("ja").alias("skipped_japanese"), F.count_if("kept").alias("skipped_protected"),
     )
-    rows = pages.select("page_id", "html").join(whole.withColumnRenamed("doc", "page_id"), "page_id", "left")
+    # only a null or empty page has no tokens, and one without an id meets none of its own
+    rows = pages.select("page_id", F.when(F.col("page_id").isNull() | (F.col("html") == ""), F.col("html")).alias("html")).join(whole.withColumnRenamed("doc", "page_id"), "page_id", "left")
     return rows.select("page_id", F.coalesce("_html", "html").alias("html"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("changes", "skipped_japanese", "skipped_protected")))
 
 

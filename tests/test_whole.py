@@ -6,7 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from quire.catalog import derived, register
-from quire.operators import layout, pages, words
+from quire.operators import chinese, layout, pages, words
 from quire.operators import tokens as M
 from quire.plans import shares
 from quire.sources import archives
@@ -109,3 +109,12 @@ def test_empty_elements_are_found_once(spark, tmp_path):
 
 def test_languages_are_found_once(spark, tmp_path):
     assert selected(spark, tmp_path, "sel_lang") == ([(1, 5)], 0)
+
+
+def test_conversion_takes_texts_apart_twice(spark):
+    rows = [(1, PAGE), (2, None), (3, ""), (None, "<p>x</p>"), (4, "<p lang=ja>x<i lang=de>x<code>x</code></i>x</p>x")]
+    made = chinese.convert(spark.createDataFrame(rows, "page_id long, html string"), [[("x", "w"), ("z", "v")]])
+    got = {r.page_id: (r.html, r.changes, r.skipped_japanese, r.skipped_protected) for r in made.collect()}
+    first = PAGE.replace(">x<", ">w<")
+    assert got == {1: (first, 1, 0, 2), 2: (None, 0, 0, 0), 3: ("", 0, 0, 0), None: ("<p>x</p>", 0, 0, 0), 4: ("<p lang=ja>x<i lang=de>w<code>x</code></i>x</p>w", 2, 2, 1)}
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 2
