@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.catalog import derived, register
 from quire.operators import chinese, layout, pages, words
 from quire.operators import tokens as M
-from quire.plans import shares
+from quire.plans import scratch, shares
 from quire.sources import archives
 
 
@@ -118,3 +118,10 @@ def test_conversion_takes_texts_apart_twice(spark):
     first = PAGE.replace(">x<", ">w<")
     assert got == {1: (first, 1, 0, 2), 2: (None, 0, 0, 0), 3: ("", 0, 0, 0), None: ("<p>x</p>", 0, 0, 0), 4: ("<p lang=ja>x<i lang=de>w<code>x</code></i>x</p>w", 2, 2, 1)}
     assert made._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 2
+
+
+def test_texts_are_asked_of_few_elements(spark, tmp_path, monkeypatch):
+    written, table = [], scratch.Scratch.table
+    monkeypatch.setattr(scratch.Scratch, "table", lambda self, df, name: written.append(df.columns) or table(self, df, name))
+    assert selected(spark, tmp_path, "sel_text") == ([], 1)
+    assert [sorted(x) for x in written] == [["alone", "doc", "eid", "end_seq", "matched", "tname", "tok"]]
