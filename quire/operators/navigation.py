@@ -13,6 +13,7 @@ from quire.functions import text as T
 from quire.operators import tokens as M
 from quire.operators.structure import heading_tree
 from quire.plans.scratch import Scratch
+from quire.plans.shares import dealt
 
 # The sections of a navigation file.
 SECTIONS = ["toc", "page-list", "landmarks"]
@@ -25,7 +26,8 @@ def nav_tables(docs: DataFrame, els: DataFrame) -> DataFrame:
     epub:type. Links outside of navigation elements are left out.
     """
     attr = lambda name: F.try_element_at(M.attributes("tok"), F.lit(name))
-    els = Scratch(els.sparkSession, "nav").table(els.where("tname in ('a', 'nav', 'ul', 'ol')").select("doc", "eid", "end_seq", "tname", "tok", "alone"), "elements")
+    made = Scratch(els.sparkSession, "nav").table(els.where("tname in ('a', 'nav', 'ul', 'ol')").select("doc", "eid", "end_seq", "tname", "tok", "alone"), "elements")
+    els = dealt(made, "doc", like=docs)
     links = els.where("tname = 'a'").select("doc", F.col("eid").alias("seq"), attr("href").alias("href"), attr("epub:type").alias("kind"))
     navs = els.where("tname = 'nav'").withColumn("type", attr("epub:type"))
     found = M.around(links, navs, {"nav": F.col("eid"), "section": F.when(F.col("type").isin(*SECTIONS), F.col("type"))}).where("nav is not null")

@@ -1,12 +1,13 @@
 """Operators do the whole job: large groups, limits, and odd input."""
 
 import io
+import re
 import zipfile
 
 from pyspark.sql import functions as F
 
 from quire.catalog import derived, register
-from quire.operators import chinese, layout, pages, words
+from quire.operators import chinese, layout, navigation, pages, words
 from quire.operators import tokens as M
 from quire.plans import scratch, shares
 from quire.sources import archives
@@ -125,3 +126,26 @@ def test_texts_are_asked_of_few_elements(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(scratch.Scratch, "table", lambda self, df, name: written.append(df.columns) or table(self, df, name))
     assert selected(spark, tmp_path, "sel_text") == ([], 1)
     assert [sorted(x) for x in written] == [["alone", "doc", "eid", "end_seq", "matched", "tname", "tok"]]
+
+
+def pieces(df):
+    """How often a plan takes texts apart, and the numbers of partitions it asks for."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("posexplode"), [int(x) for x in re.findall(r"RepartitionByExpression \[doc[^\]]*\], (\d+)", plan)]
+
+
+def menus(spark, tmp_path, monkeypatch):
+    """A table of menus, in shares of a twentieth of it."""
+    page = "<nav epub:type=toc><ol><li><a href=a>A <b>x</b></a><ul><li><a href=b>B</a></li></ul></li></ol></nav><nav epub:type=page-list><a href=c>1</a></nav><a href=d>out</a>"
+    spark.range(40).selectExpr("id as page_id", f"concat('{page}', repeat(sha2(string(id), 512), 20)) as html").write.parquet(str(tmp_path / "menus"))
+    made = spark.read.parquet(str(tmp_path / "menus"))
+    monkeypatch.setattr(shares, "SHARE", shares.input_bytes(made) // 20)
+    return made
+
+
+def test_shares_of_menus(spark, tmp_path, monkeypatch):
+    made = menus(spark, tmp_path, monkeypatch)
+    found = navigation.nav_tables(made, M.elements(made))
+    n, parts = pieces(found)
+    assert n == 1 and len(parts) >= 4 and min(parts) >= 20
+    assert sorted((r.section, r.pos, r.lvl, r.title, r.href) for r in found.where("doc = 7").collect()) == [("page-list", 1, 0, "1", "c"), ("toc", 1, 1, "A x", "a"), ("toc", 2, 2, "B", "b")]
