@@ -78,6 +78,8 @@ def ncx(entries: DataFrame, titles: DataFrame | None = None) -> DataFrame:
 
     titles: (doc, title, uid), empty where they are missing. Titles are markup and taken as they are; addresses are escaped.
     """
+    # read four times
+    entries = Scratch(entries.sparkSession, "ncx").table(entries.select("doc", "section", "pos", "lvl", "title", "href"), "entries")
     href = F.replace(F.replace("href", F.lit('"'), F.lit("&quot;")), F.lit("<"), F.lit("&lt;"))
     number = lambda c: F.col(c).cast("string")
     toc = nested(entries.where("section = 'toc'").select("doc", "pos", "lvl", "title", "href"), ["doc"])

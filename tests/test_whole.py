@@ -149,3 +149,11 @@ def test_shares_of_menus(spark, tmp_path, monkeypatch):
     n, parts = pieces(found)
     assert n == 1 and len(parts) >= 4 and min(parts) >= 20
     assert sorted((r.section, r.pos, r.lvl, r.title, r.href) for r in found.where("doc = 7").collect()) == [("page-list", 1, 0, "1", "c"), ("toc", 1, 1, "A x", "a"), ("toc", 2, 2, "B", "b")]
+
+
+def test_menus_are_read_once(spark, tmp_path, monkeypatch):
+    made = menus(spark, tmp_path, monkeypatch)
+    files = navigation.ncx(navigation.nav_tables(made, M.elements(made)))
+    assert pieces(files) == (0, [])
+    got = [(r.section, r.pos, r.lvl, r.title, r.href) for r in navigation.read_ncx(files).where("doc = 7").collect()]
+    assert sorted(got) == [("page-list", 1, 1, "1", "c"), ("toc", 1, 1, "A x", "a"), ("toc", 2, 2, "B", "b")]
