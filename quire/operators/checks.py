@@ -15,6 +15,8 @@ from quire.operators import tokens as M
 
 # Fixed value: media types of files that must be well-formed XML, besides all that end in +xml.
 XML_TYPES = ["application/xhtml+xml", "image/svg+xml", "application/oebps-package+xml", "application/x-dtbncx+xml", "application/xml", "text/xml"]
+#: A test of a token, its code and its message.
+Check = tuple[Column, Column | str, Column | str]
 _ATTRIBUTE = r"""\s+[^\s=<>"'/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'))?"""
 
 
@@ -26,23 +28,29 @@ def placed(toks: DataFrame) -> DataFrame:
     return toks.withColumns({"line": F.coalesce(F.sum(ends).over(before), F.lit(0)) + 1, "col": F.col("pos") - F.coalesce(F.max(after).over(before), F.lit(0)) + 1})
 
 
+# All checks take tokens with their places and tell of them with what they find, so that no issue is joined with its token again.
+
+
 def tag_issues(toks: DataFrame, xml: bool = False) -> DataFrame:
-    """doc, seq, code, message: unclosed and crossing begin tags, stray and crossing end tags, and end tags of void elements.
+    """doc, code, message, and seq, line and col as far as the tokens have them: unclosed and crossing begin tags, stray and crossing end tags; of tokens with last also a p in another p.
 
     xml: no element is void by its name.
     """
     tags = M.paired(toks, void=[] if xml else M.VOID)
     begin = F.col("ttype") == "begin"
     code = F.when(F.col("crossing"), "crossing").when(begin & ~F.col("alone") & F.col("partner").isNull(), "unclosed").when((F.col("ttype") == "end") & F.col("partner").isNull(), "stray")
-    found = tags.withColumn("code", code).where("code is not null").select("doc", "seq", "code", F.concat("code", F.lit(" "), F.when(begin, "begin").otherwise("end"), F.lit(" tag: "), "tname").alias("message"))
-    if xml:
-        return found
-    void = toks.where((F.col("ttype") == "end") & F.col("tname").isin(M.VOID))
-    return found.unionByName(void.select("doc", "seq", F.lit("void-end").alias("code"), F.concat(F.lit("end tag of the void element: "), "tname").alias("message")))
-
-
-def syntax_issues(toks: DataFrame, xml: bool = False) -> DataFrame:
-    """doc, seq, code, message: tags whose attributes aren't quoted or parted, lone signs, and in XML also entities and attributes that occur twice."""
+    told = F.concat(code, F.lit(" "), F.when(begin, "begin").otherwise("end"), F.lit(" tag: "), F.col("tname"))
+    checks = [(code.isNotNull(), code, told)]
+    if "last" in toks.columns:
+        p = begin & (F.col("tname") == "p")
+        before = Window.partitionBy("doc").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+        tags = M.with_ends(tags).withColumn("nested", p & (F.max(F.when(p, F.col("end_seq"))).over(before) >= F.col("seq")))
+        checks.append((F.col("nested"), "nested-p", "a p in another p"))
+    return _found(tags, checks)
+
+
+def syntax_checks(xml: bool = False) -> list[Check]:
+    """Tags whose attributes aren't quoted or parted, lone signs, attributes that occur twice, end tags of void elements, and in XML also entities."""
     tag = F.col("ttype").isin("begin", "single")
     names = F.transform(F.regexp_extract_all("tok", F.lit(M.ATTR), F.lit(1)), F.lower)
     checks = [
@@ -51,12 +59,12 @@ def syntax_issues(toks: DataFrame, xml: bool = False) -> DataFrame:
         (tag & (F.size(names) != F.size(F.array_distinct(names))), "twice", "an attribute occurs twice"),
     ]
     if xml:
-        checks.append((F.col("ttype").isin("text", "begin", "single") & F.col("tok").rlike(r"&(?!#?\w+;)"), "entity", "an & that begins no entity"))
-    return _found(toks, checks)
+        return [*checks, (F.col("ttype").isin("text", "begin", "single") & F.col("tok").rlike(r"&(?!#?\w+;)"), "entity", "an & that begins no entity")]
+    return [*checks, ((F.col("ttype") == "end") & F.col("tname").isin(M.VOID), "void-end", F.concat(F.lit("end tag of the void element: "), "tname"))]
 
 
-def page_issues(toks: DataFrame) -> DataFrame:
-    """doc, seq, code, message: parts of a page that are out of order, links to stylesheets without their type, and repeated ids."""
+def page_checks(toks: DataFrame) -> tuple[DataFrame, list[Check]]:
+    """Tokens with what these ask for: parts of a page that are out of order, links to stylesheets without their type, and repeated ids."""
     doc = Window.partitionBy("doc").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     begin = F.col("ttype").isin("begin", "single")
     seen = {n: F.coalesce(F.max((F.col("tname").eqNullSafe(n) & begin).cast("int")).over(doc), F.lit(0)) == 1 for n in ("html", "body")}
@@ -69,37 +77,38 @@ def page_issues(toks: DataFrame) -> DataFrame:
         (F.col("ttype").isin("xmlheader", "doctype") & F.col("_html"), "order", "a declaration stands after the html tag"), (begin & (F.col("tname") == "link") & (rel == "stylesheet") & (kind != "text/css"), "link-type", "a stylesheet link without its type"),
         (F.col("_same") > 1, "id-twice", "an id occurs twice"),
     ]
-    return _found(rows, checks)
+    return rows, checks
 
 
-def _found(rows: DataFrame, checks: list[tuple[Column, str, str]]) -> DataFrame:
+def _found(rows: DataFrame, checks: list[Check]) -> DataFrame:
     """A row for each check that holds, in one pass."""
-    told = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(code).alias("code"), F.lit(message).alias("message"))) for test, code, message in checks)))
-    return rows.select("doc", "seq", F.inline(told))
+    text = lambda x: F.lit(x) if isinstance(x, str) else x
+    told = F.array_compact(F.array(*(F.when(test, F.struct(text(code).alias("code"), text(message).alias("message"))) for test, code, message in checks)))
+    return rows.select(*(c for c in ("doc", "seq", "line", "col") if c in rows.columns), F.inline(told))
 
 
 def part_issues(toks: DataFrame, docs: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """doc, seq, code, message: pages with no or several html, head or body elements; at the second one, else at the first token."""
+    """doc, seq, line, col, code, message: pages with no or several html, head or body elements; at the second one, else at the first token."""
     names = ("html", "head", "body")
     tags = toks.where(F.col("ttype").isin("begin", "single") & F.col("tname").isin(*names))
     numbered = tags.withColumn("n", F.row_number().over(Window.partitionBy("doc", "tname").orderBy("seq")))
-    found = numbered.groupBy("doc").agg(*(F.count_if(F.col("tname") == n).alias(n) for n in names), *(F.min(F.when((F.col("tname") == n) & (F.col("n") == 2), F.col("seq"))).alias(f"_{n}") for n in names))
+    found = numbered.groupBy("doc").agg(*(F.count_if(F.col("tname") == n).alias(n) for n in names), *(F.min(F.when((F.col("tname") == n) & (F.col("n") == 2), F.struct("seq", "line", "col"))).alias(f"_{n}") for n in names))
     rows = docs.select(F.col(id_col).alias("doc")).join(found, "doc", "left")
-    told = [F.when(F.coalesce(n, F.lit(0)) != 1, F.struct(F.coalesce(f"_{n}", F.lit(0)).cast("long").alias("seq"), F.lit(f"missing or multiple {n} tags").alias("message"))) for n in names]
-    return rows.select("doc", F.inline(F.array_compact(F.array(*told)))).select("doc", "seq", F.lit("parts").alias("code"), "message")
+    at = lambda n: [F.coalesce(f"_{n}.{c}", F.lit(first)).cast("long").alias(c) for c, first in (("seq", 0), ("line", 1), ("col", 1))]
+    told = [F.when(F.coalesce(n, F.lit(0)) != 1, F.struct(*at(n), F.lit(f"missing or multiple {n} tags").alias("message"))) for n in names]
+    return rows.select("doc", F.inline(F.array_compact(F.array(*told)))).select("doc", "seq", "line", "col", F.lit("parts").alias("code"), "message")
 
 
 def issues(docs: DataFrame, id_col: str = "page_id", text_col: str = "html", xml: bool = False) -> DataFrame:
     """doc, line, col, severity, code, message: all checks of pages, or with xml those of any XML file. A null or empty text has no tokens, and of pages lacks all parts."""
-    toks = M.tokens(docs, id_col, text_col, whole=not xml)
-    nested = M.around(toks.where("ttype = 'begin' and tname = 'p'").select("doc", "seq"), M.elements(docs, id_col, text_col, whole=True).where("tname = 'p'"), {"p": F.col("eid")}).where("p is not null") if not xml else None
-    found = [tag_issues(toks, xml), syntax_issues(toks, xml)]
+    toks = placed(M.tokens(docs, id_col, text_col, whole=not xml, last=not xml))
+    rows, checks = (toks, []) if xml else page_checks(toks)
+    found = [tag_issues(toks, xml), _found(rows, [*syntax_checks(xml), *checks])]
     if not xml:
-        found += [page_issues(toks), part_issues(toks, docs, id_col), nested.select("doc", "seq", F.lit("nested-p").alias("code"), F.lit("a p in another p").alias("message"))]
-    where = placed(toks).select("doc", "seq", "line", "col")
-    rows = reduce(DataFrame.unionByName, found).join(where, ["doc", "seq"], "left")
+        found.append(part_issues(toks, docs, id_col))
+    rows = reduce(DataFrame.unionByName, found)
     severity = F.when(F.col("code").isin("link-type", "twice", "id-twice"), "warning").otherwise("error")
-    return rows.select("doc", F.coalesce("line", F.lit(1)).alias("line"), F.coalesce("col", F.lit(1)).alias("col"), severity.alias("severity"), "code", "message")
+    return rows.select("doc", "line", "col", severity.alias("severity"), "code", "message")
 
 
 def well_formed(docs: DataFrame, found: DataFrame, id_col: str = "page_id") -> DataFrame:

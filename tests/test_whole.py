@@ -7,7 +7,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from quire.catalog import derived, register
-from quire.operators import chinese, layout, navigation, pages, words
+from quire.operators import checks, chinese, layout, navigation, pages, words
 from quire.operators import tokens as M
 from quire.plans import scratch, shares
 from quire.sources import archives
@@ -157,3 +157,12 @@ def test_menus_are_read_once(spark, tmp_path, monkeypatch):
     assert pieces(files) == (0, [])
     got = [(r.section, r.pos, r.lvl, r.title, r.href) for r in navigation.read_ncx(files).where("doc = 7").collect()]
     assert sorted(got) == [("page-list", 1, 1, "1", "c"), ("toc", 1, 1, "A x", "a"), ("toc", 2, 2, "B", "b")]
+
+
+def test_checks_take_pages_apart_three_times(spark):
+    page = "<html><head></head><body>\n<p>a<p>b</p></br><u>\n<p>c</body></html>"
+    found = checks.issues(spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id long, html string"))
+    assert sorted((r.code, r.line, r.col) for r in found.where("doc = 1").collect()) == [("nested-p", 2, 5), ("nested-p", 3, 1), ("unclosed", 2, 1), ("unclosed", 2, 18), ("unclosed", 3, 1), ("void-end", 2, 13)]
+    assert found.where("doc > 1").groupBy("doc").agg(F.count("*").alias("n"), F.max("line").alias("line"), F.max("col").alias("col")).orderBy("doc").collect() == [(2, 3, 1, 1), (3, 3, 1, 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert pieces(found)[0] == 3 and plan.count("Join") == 1
