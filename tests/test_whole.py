@@ -4,6 +4,7 @@ import io
 import re
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.catalog import derived, register
@@ -166,3 +167,22 @@ def test_checks_take_pages_apart_three_times(spark):
     assert found.where("doc > 1").groupBy("doc").agg(F.count("*").alias("n"), F.max("line").alias("line"), F.max("col").alias("col")).orderBy("doc").collect() == [(2, 3, 1, 1), (3, 3, 1, 1)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert pieces(found)[0] == 3 and plan.count("Join") == 1
+
+
+LIST = "<h1>x</h1><nav><ul><li><a href=a>a</a></li><li><a href=b>b</a></li><li>c</li><li><a href=d>d</a></li></ul></nav><p>y</p><ul><li>z</li></ul>"
+
+
+@pytest.mark.parametrize(("key", "wanted", "rows"), [
+    ("sel_child_desc", ["parent_eid"], ["a", "a", "a"]), ("sel_group", ["child_no", "parent_eid"], ["h1", "li", "li"]),
+    ("sel_not_has", ["child_no", "n_children", "parent_eid"], ["li", "li"]), ("sel_sibling", ["child_no", "parent_eid"], ["p"]),
+])
+def test_selectors_read_what_they_need(spark, tmp_path, monkeypatch, key, wanted, rows):
+    written, table = [], scratch.Scratch.table
+    monkeypatch.setattr(scratch.Scratch, "table", lambda self, df, name: written.append(sorted(df.columns)) or table(self, df, name))
+    monkeypatch.setattr(shares, "SHARE", 100)
+    spark.createDataFrame([(1, "u", LIST)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = register.QUERIES[key](spark, str(tmp_path))
+    assert sorted(r.tname for r in found.collect()) == rows and written == [sorted(["doc", "eid", "tname", "end_seq", *wanted])]
+    n, parts = pieces(found)
+    # windows and joins over a document's elements are in shares too
+    assert n == 0 and (key in ("sel_group", "sel_sibling") or len(parts) >= 3 and min(parts) > spark.sparkContext.defaultParallelism)
