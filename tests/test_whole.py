@@ -188,11 +188,11 @@ def test_selectors_read_what_they_need(spark, tmp_path, monkeypatch, key, wanted
     assert n == 0 and (key in ("sel_group", "sel_sibling") or len(parts) >= 3 and min(parts) > spark.sparkContext.defaultParallelism)
 
 
-@pytest.mark.parametrize(("key", "want"), [("element_at", 120)])
+@pytest.mark.parametrize(("key", "want"), [("element_at", 120), ("text_blocks", 40)])
 def test_shares_of_texts(spark, tmp_path, monkeypatch, key, want):
     at = str(tmp_path / "pages.parquet")
     spark.range(40).selectExpr("id as page_id", "'u' as url", "concat('<body><p>a<b>', repeat(sha2(string(id), 512), 20), '</b>c</p></body>') as html").write.parquet(at)
     monkeypatch.setattr(shares, "SHARE", shares.input_bytes(spark.read.parquet(at)) // 20)
     found = register.QUERIES[key](spark, str(tmp_path))
     sizes = found.rdd.glom().map(len).collect()
-    assert len(sizes) >= 20 and sum(sizes) == (want if key == "element_at" else 40) and pieces(found)[0] == 2 and min(pieces(found)[1]) >= 20
+    assert len(sizes) >= 20 and sum(sizes) == want and pieces(found)[0] == 2 and min(pieces(found)[1]) >= 20
