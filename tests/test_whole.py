@@ -196,3 +196,18 @@ def test_shares_of_texts(spark, tmp_path, monkeypatch, key, want):
     found = register.QUERIES[key](spark, str(tmp_path))
     sizes = found.rdd.glom().map(len).collect()
     assert len(sizes) >= 20 and sum(sizes) == want and pieces(found)[0] == 2 and min(pieces(found)[1]) >= 20
+
+
+LOOSE = "<body><p>a<b>b<i>c</b>d</i><div>e</div>f<br></body>g<p>h"
+
+
+def windows(spark, tmp_path, key):
+    """Rows of a query on a page of unclosed and crossing tags, and how many windows its plan has."""
+    spark.createDataFrame([(1, "u", LOOSE), (2, "u", None), (3, "u", "x")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = register.QUERIES[key](spark, str(tmp_path))
+    return sorted(tuple(r) for r in found.collect()), found._jdf.queryExecution().optimizedPlan().toString().count("Window [")
+
+
+def test_innermost_elements_need_no_tree(spark, tmp_path):
+    deep = [(2, 1, "body/p"), (4, 3, "body/p/b"), (6, 5, "body/p/b/i"), (8, 5, "body/p/b/i"), (11, 10, "body/p/b/i/div"), (13, 5, "body/p/b/i")]
+    assert windows(spark, tmp_path, "element_at") == ([(1, *x, True) for x in deep] + [(1, 18, 17, "p", False)], 8)
