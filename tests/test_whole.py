@@ -211,3 +211,7 @@ def windows(spark, tmp_path, key):
 def test_innermost_elements_need_no_tree(spark, tmp_path):
     deep = [(2, 1, "body/p"), (4, 3, "body/p/b"), (6, 5, "body/p/b/i"), (8, 5, "body/p/b/i"), (11, 10, "body/p/b/i/div"), (13, 5, "body/p/b/i")]
     assert windows(spark, tmp_path, "element_at") == ([(1, *x, True) for x in deep] + [(1, 18, 17, "p", False)], 8)
+
+
+def test_blocks_need_no_tree(spark, tmp_path):
+    assert windows(spark, tmp_path, "text_blocks") == ([(1, 1, "abcdf"), (1, 10, "e"), (1, 17, "h")], 8)
