@@ -215,3 +215,7 @@ def test_innermost_elements_need_no_tree(spark, tmp_path):
 
 def test_blocks_need_no_tree(spark, tmp_path):
     assert windows(spark, tmp_path, "text_blocks") == ([(1, 1, "abcdf"), (1, 10, "e"), (1, 17, "h")], 8)
+
+
+def test_languages_of_texts_need_no_tree(spark, tmp_path):
+    assert windows(spark, tmp_path, "token_lang") == ([*((1, x, "en") for x in (2, 4, 6, 8, 11, 13, 16, 18)), (3, 0, "en")], 8)
