@@ -95,6 +95,16 @@ def test_elements_are_found_once(spark):
     assert "own_text" not in plan
 
 
+def test_flows_of_divs_are_never_sent_whole(spark, tmp_path):
+    rows = [(1, "\n".join(["one line"] * 12)), (2, "a\n\nb\nc\nd"), (3, "one line"), (4, ""), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = derived.div_flow_kind(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # no table of elements goes through the driver, however well it packs
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 8
+    assert sorted((r.doc_id, r.n_paragraphs, r.kind) for r in found.collect()) == [(1, 12, "normal-body-flow"), (2, 4, "short-flow"), (3, None, "no-candidate"), (4, None, "no-candidate")]
+
+
 PAGE = "<html lang=de><head><meta a=b></head><body><p>x</p><code lang=fr>y<p>z</p></code><meta>t</body></html>"
 
 
