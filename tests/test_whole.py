@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.catalog import derived, register
-from quire.operators import checks, chinese, layout, navigation, pages, words
+from quire.operators import checks, chinese, layout, links, navigation, pages, words
 from quire.operators import tokens as M
 from quire.plans import scratch, shares
 from quire.sources import archives
@@ -70,6 +70,20 @@ def test_pages_of_a_file_name(spark, tmp_path):
     assert sorted((r.page_id, r.tail_of) for r in found) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3), (4, 4), (4, 5), (5, 4), (5, 5)]
 
 
+def test_pages_of_a_frequent_file_name(spark, tmp_path, monkeypatch):
+    names = ["http://b/", "http://c/x/", "http://c/X/a.html", "http://c/y/A.html", None]
+    spark.createDataFrame([(k, names[min(k // 20, 4)], "") for k in range(85)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    monkeypatch.setattr(links, "BLOCK", 4)
+    found = derived.path_end_match(spark, str(tmp_path))
+    parts = found.rdd.glom().map(lambda x: [tuple(r) for r in x]).collect()
+    assert sorted(r for x in parts for r in x) == sorted((i, j) for m in (0, 40) for i in range(m, m + 40) for j in range(m, m + 40))
+    # the pairs of a name lie in several tasks
+    assert max(map(len, parts)) < 1600 and sum(1 for x in parts if any(r[0] < 40 for r in x)) > 1
+    tails = spark.createDataFrame([("X/A.html", 1), ("", 2), ("b.html", 3), (None, 4), ("html", 5)], "tail string, n int")
+    ended = links.path_end_match(links.resources_of(spark.read.parquet(str(tmp_path / "pages.parquet"))), tails)
+    assert sorted((r.n, r.page_id, r.path, r.tail) for r in ended.collect()) == sorted([*((1, k, "X/a.html", "X/A.html") for k in range(40, 60)), *((2, k, "x/" if k > 19 else "", "") for k in range(40))])
+
+
 def test_partitions_grow_with_the_input(spark, tmp_path, monkeypatch):
     at = str(tmp_path / "pages")
     spark.range(60).selectExpr("id as page_id", "concat('<p>', repeat(sha2(string(id), 512), 50), '</p><!-- -->') as html").write.parquet(at)
