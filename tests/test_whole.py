@@ -4,11 +4,12 @@ import io
 import re
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quire.catalog import derived, register
-from quire.operators import checks, chinese, layout, links, navigation, pages, words
+from quire.catalog import derived, markup, register
+from quire.operators import checks, chinese, layout, links, navigation, pages, structure, words
 from quire.operators import tokens as M
 from quire.plans import scratch, shares
 from quire.sources import archives
@@ -193,6 +194,30 @@ def test_checks_take_pages_apart_three_times(spark):
     assert pieces(found)[0] == 3 and plan.count("Join") == 1
 
 
+TITLED = "<body><h2>A <i>b</i>\n c</h2><h3>B</h3><h5>C</h5><h4></h4><h1>D</h1><p>x</p><h7>y</h7><h2>E</h2></body>"
+
+
+def test_contents_have_all_headings(spark, tmp_path):
+    rows = [(1, "http://b/x/a.html", TITLED), (2, "http://b/c.html", "<h6>Z</h6>"), (3, "http://c/d.html", "<p>h1</p>"), (4, "http://c/e.html", None), (5, "http://c/", "<h1>F")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    made = register.QUERIES["build_toc"](spark, str(tmp_path))
+    want = [
+        ("b", "c.html", 0, 6, 1, "Z", "c.html"), ("b", "x/a.html", 1, 2, 1, "A b c", "x/a.html"), ("b", "x/a.html", 8, 3, 2, "B", "x/a.html#h8"), ("b", "x/a.html", 11, 5, 3, "C", "x/a.html#h11"),
+        ("b", "x/a.html", 14, 4, 3, "", "x/a.html#h14"), ("b", "x/a.html", 16, 1, 1, "D", "x/a.html#h16"), ("b", "x/a.html", 25, 2, 2, "E", "x/a.html#h25"), ("c", "", 0, 1, 1, "F", ""),
+    ]
+    assert sorted(tuple(r) for r in made.select("book", "path", "seq", "level", "lvl", "title", "href").collect()) == want
+    db = duckdb.connect()
+    db.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(db.sql(f"select book, path, seq, level, lvl, title, href from ({register.ORACLE_SQL['build_toc']})").fetchall()) == want
+    # each heading is written once, texts are taken apart for the titles
+    assert pieces(made)[0] == 1
+    # a book's navigation page has no entries
+    found = markup.docs(spark, str(tmp_path))
+    nav = spark.createDataFrame([("b", "x/a.html"), ("c", "c.html")], "book string, path string")
+    rest = structure.build_toc(structure.headings(found, M.spans(found)), links.resources_of(found), nav)
+    assert sorted((r.book, r.path, r.seq) for r in rest.collect()) == [("b", "c.html", 0), ("c", "", 0)]
+
+
 LIST = "<h1>x</h1><nav><ul><li><a href=a>a</a></li><li><a href=b>b</a></li><li>c</li><li><a href=d>d</a></li></ul></nav><p>y</p><ul><li>z</li></ul>"
 
 
