@@ -134,6 +134,19 @@ def test_empty_elements_are_found_once(spark, tmp_path):
     assert selected(spark, tmp_path, "sel_empty_root") == ([(1, 2), (1, 14)], 1)
 
 
+def test_empty_elements_are_those_without_texts_and_children(spark, tmp_path):
+    page = "<html><body><p></p><p>x</p><p> </p><div><br></div><div><!-- c --></div><i><b></b></i><u><script>s</script></u><a/><em>y</body></html>"
+    spark.createDataFrame([(1, "u", page), (2, "u", "<hr>"), (3, "u", "<html>"), (4, "u", None)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = register.QUERIES["sel_empty_root"](spark, str(tmp_path))
+    want = [(1, 2, "p"), (1, 11, "br"), (1, 13, "div"), (1, 17, "b"), (1, 20, "u"), (1, 22, "a"), (2, 0, "hr"), (3, 0, "html")]
+    assert sorted(tuple(r) for r in found.collect()) == want
+    db = duckdb.connect()
+    db.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(db.sql(register.ORACLE_SQL["sel_empty_root"]).fetchall()) == want
+    # no table of elements goes through the driver
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_languages_are_found_once(spark, tmp_path):
     assert selected(spark, tmp_path, "sel_lang") == ([(1, 5)], 0)
 
